@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import first_match, rfind0, strip, text
+from .text import first_match, let, rfind0, strip, text
 
 # Letters, stripped punctuation (in this order), answer phrases, letter suffixes.
 CHOICES = "ABCDEFGH"
@@ -32,15 +32,15 @@ DECORATIONS = (
 def _earliest(response: Column, forms: tuple[tuple[str, str], ...]) -> Column:
     """Among letters seen in one of the forms, the one whose last sighting lies furthest left."""
     letters = F.array(*[F.lit(x) for x in CHOICES])
-    seen = [
-        F.transform(
-            letters,
-            lambda x, b=before, a=after: F.struct(
-                rfind0(response, F.concat(F.lit(b), x, F.lit(a))).alias("at"), x.alias("letter")
-            ),
-        )
-        for before, after in forms
-    ]
+
+    def sightings(before: str, after: str) -> Column:
+        def last_seen(x: Column) -> Column:
+            at = rfind0(response, F.concat(F.lit(before), x, F.lit(after)))
+            return F.struct(at.alias("at"), x.alias("letter"))
+
+        return F.transform(letters, last_seen)
+
+    seen = [sightings(*form) for form in forms]
     found = F.filter(F.concat(*seen) if len(seen) > 1 else seen[0], lambda s: s["at"].isNotNull())
     return F.array_min(found)["letter"]
 
@@ -54,9 +54,11 @@ def choice_letter(c: Column) -> Column:
     response = strip(text(c))
     for p in PUNCTUATION:
         response = strip(response, p)
-    core = strip(response)
-    padded = F.concat(F.lit(" "), response, F.lit(" "))
+    return let(F.concat(F.lit(" "), response, F.lit(" ")), _best_letter)
+
 
+def _best_letter(padded: Column) -> Column:
+    core = strip(padded)
     opening = first_match(core, f"\\A([{CHOICES}])")
     closing = first_match(core, f"([{CHOICES}])\\z")
     numbered = F.array_min(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .extract import layered_answer, thinking_part
 from .maths import math_equal
-from .text import count_of, last_match, strip, text, words
+from .text import count_of, last_match, let, strip, text, words
 
 # Signal words, ignored prompt words, weights (format, thinking, answer).
 LOGIC_SIGNALS = (
@@ -30,26 +30,36 @@ def _hits(low: Column, signals: tuple[str, ...]) -> Column:
 
 def thinking_quality(thinking: Column, prompt: Column) -> Column:
     """Struct of length, logic, relevance, reasoning and their weighted overall score."""
-    thinking = text(thinking)
-    low = F.lower(thinking)
+    return let(
+        F.struct(text(thinking).alias("thinking"), F.lower(text(thinking)).alias("low"), text(prompt).alias("prompt")),
+        lambda x: _quality(x["thinking"], x["low"], x["prompt"]),
+    )
+
+
+def _quality(thinking: Column, low: Column, prompt: Column) -> Column:
     n = F.size(words(thinking))
     length = F.when(n < 20, 0.3).when(n < 100, 0.8).when(n < 200, 1.0).otherwise(0.9)
     logic = F.least(_hits(low, LOGIC_SIGNALS) / 3, F.lit(1.0))
     keys = F.array_except(
-        F.array_distinct(words(F.lower(text(prompt)))), F.array(*[F.lit(w) for w in IGNORED_WORDS])
+        F.array_distinct(words(F.lower(prompt))), F.array(*[F.lit(w) for w in IGNORED_WORDS])
     )
-    relevance = F.size(F.filter(keys, lambda w: F.contains(low, w))) / F.greatest(F.size(keys), F.lit(1))
+    relevance = let(keys, lambda k: F.size(F.filter(k, lambda w: F.contains(low, w)))
+                    / F.greatest(F.size(k), F.lit(1)))
     reasoning = F.least(_hits(low, MATH_SIGNALS) / 2, F.lit(1.0))
-    overall = length * 0.2 + logic * 0.3 + relevance * 0.3 + reasoning * 0.2
     enough = F.length(strip(thinking)) >= 10
-    return F.struct(*[
+    parts = F.struct(*[
         F.when(enough, part).otherwise(F.lit(0.0)).alias(name)
         for name, part in (
-            ("overall", overall), ("length", length), ("logic", logic),
-            ("relevance", relevance), ("reasoning", reasoning),
+            ("length", length), ("logic", logic), ("relevance", relevance), ("reasoning", reasoning),
         )
     ])
 
+    def with_total(p: Column) -> Column:
+        total = p["length"] * 0.2 + p["logic"] * 0.3 + p["relevance"] * 0.3 + p["reasoning"] * 0.2
+        return F.struct(total.alias("overall"), *[p[n].alias(n) for n in ("length", "logic", "relevance", "reasoning")])
+
+    return let(parts, with_total)
+
 
 def thinking_summary(thinking: Column) -> Column:
     """Display form: the first hundred characters of a longer text."""
@@ -60,20 +70,27 @@ def thinking_summary(thinking: Column) -> Column:
 
 def normal_choice(c: Column) -> Column:
     """Choice letter of a short answer: a lone letter, else the first letter used exactly once."""
-    t = strip(strip(text(c)), ".,!?;:")
-    up = F.upper(t)
-    lone = F.when(t.rlike(r"\A[A-Ha-h]\z"), up)
-    once = [F.when(up.contains(x) & (count_of(t, x) == 1), F.lit(x)) for x in "ABCDEFGH"]
-    return F.coalesce(lone, *once)
+
+    def letter(t: Column) -> Column:
+        lone = F.when(t.rlike(r"\A[A-Ha-h]\z"), F.upper(t))
+        return F.coalesce(lone, *[F.when(count_of(t, x) == 1, F.lit(x)) for x in "ABCDEFGH"])
+
+    return let(strip(strip(text(c)), ".,!?;:"), letter)
 
 
 def answer_check(pred: Column, gold: Column, answer_type: Column) -> Column:
     """Struct (correct, method, confidence) from the first check that accepts the answer."""
-    pred, gold = text(pred), text(gold)
+    return let(
+        F.struct(text(pred).alias("p"), text(gold).alias("g")),
+        lambda x: let(_accepting_check(x["p"], x["g"], answer_type), _with_confidence),
+    )
+
+
+def _accepting_check(pred: Column, gold: Column, answer_type: Column) -> Column:
     low_p, low_g = F.lower(pred), F.lower(gold)
     numeric = answer_type.isin(*NUMERIC_TYPES)
     num = lambda c: last_match(c, r"-?\d+(?:\.\d+)?", 0).try_cast("double")
-    method = (
+    return (
         F.when(F.lower(strip(pred)) == F.lower(strip(gold)), F.lit("exact_match"))
         .when(numeric & math_equal(pred, gold), F.lit("math_verify"))
         .when((answer_type == "MULTIPLE_CHOICE") & (normal_choice(pred) == normal_choice(gold)), F.lit("choice_match"))
@@ -81,6 +98,9 @@ def answer_check(pred: Column, gold: Column, answer_type: Column) -> Column:
         .when(numeric & (F.abs(num(pred) - num(gold)) < 1e-6), F.lit("numerical"))
         .otherwise(F.lit("all_failed"))
     )
+
+
+def _with_confidence(method: Column) -> Column:
     confidence = (
         F.when(method == "exact_match", 1.0).when(method == "math_verify", 0.95)
         .when(method == "choice_match", 0.9).when(method == "contained", 0.7)
@@ -111,14 +131,20 @@ def enhanced_score(
         F.when(predicted != "", NORMAL_FORMAT).otherwise(0.0),
     )
     think = _by_type(prompt_type, thinking_quality(thinking, prompt)["overall"], F.lit(NORMAL_THINKING))
-    check = answer_check(predicted, gold, answer_type)
-    ans = F.when(check["correct"], 1.0).otherwise(0.0)
-    wf, wt, wa = (_by_type(prompt_type, F.lit(a), F.lit(b)) for a, b in zip(THINKING_WEIGHTS, NORMAL_WEIGHTS))
-    return F.struct(
-        (wf * fmt + wt * think + wa * ans).alias("score"), fmt.alias("format_score"),
-        think.alias("thinking_score"), ans.alias("answer_score"),
-        check["method"].alias("validation_method"), check["confidence"].alias("confidence"),
+    parts = F.struct(
+        fmt.alias("fmt"), think.alias("think"), answer_check(predicted, gold, answer_type).alias("check")
     )
+    wf, wt, wa = (_by_type(prompt_type, F.lit(a), F.lit(b)) for a, b in zip(THINKING_WEIGHTS, NORMAL_WEIGHTS))
+
+    def total(x: Column) -> Column:
+        ans = F.when(x["check"]["correct"], 1.0).otherwise(0.0)
+        return F.struct(
+            (wf * x["fmt"] + wt * x["think"] + wa * ans).alias("score"), x["fmt"].alias("format_score"),
+            x["think"].alias("thinking_score"), ans.alias("answer_score"),
+            x["check"]["method"].alias("validation_method"), x["check"]["confidence"].alias("confidence"),
+        )
+
+    return let(parts, total)
 
 
 def score_explanation(result: Column, predicted: Column, gold: Column, prompt_type: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import (
-    WORD, WS, all_matches, first_match, first_of, last_of, lines, strip, swap, text, words,
+    WORD, WS, all_matches, first_match, first_of, last_of, let, lines, strip, swap, text, words,
 )
 
 # Patterns and phrases the extractors look for.
@@ -69,13 +69,17 @@ def _balanced_prefix(tail: Column) -> Column:
 
 def boxed_answer(c: Column) -> Column:
     """Content of the last brace-balanced ``\\boxed{...}``; empty string when there is none."""
-    parts = F.split(c, r"\\boxed\{")
-    tails = F.transform(
-        F.sequence(F.lit(2), F.size(parts)),
-        lambda i: F.array_join(F.slice(parts, i, F.size(parts)), BOXED_OPEN),
-    )
-    found = F.filter(F.transform(tails, _balanced_prefix), lambda x: x.isNotNull())
-    return F.when(c.contains(BOXED_OPEN), F.coalesce(last_of(found), F.lit(""))).otherwise("")
+
+
+    def content(parts: Column) -> Column:
+        tails = F.transform(
+            F.sequence(F.lit(2), F.size(parts)),
+            lambda i: F.array_join(F.slice(parts, i, F.size(parts)), BOXED_OPEN),
+        )
+        return last_of(F.filter(F.transform(tails, _balanced_prefix), lambda x: x.isNotNull()))
+
+    found = let(F.split(c, r"\\boxed\{"), content)
+    return F.when(c.contains(BOXED_OPEN), F.coalesce(found, F.lit(""))).otherwise("")
 
 
 def last_line_number(c: Column) -> Column:
@@ -87,11 +91,8 @@ def last_line_number(c: Column) -> Column:
 def tagged_answer(c: Column) -> Column:
     """First ``<answer>`` body (even an empty one), else boxed content, else a final number."""
     c = text(c)
-    boxed = boxed_answer(c)
     return F.coalesce(
-        first_match(c, ANSWER_TAG),
-        F.when(boxed != "", boxed),
-        last_line_number(c),
+        first_match(c, ANSWER_TAG), F.nullif(boxed_answer(c), F.lit("")), last_line_number(c)
     )
 
 
@@ -196,23 +197,24 @@ def closing_value(c: Column) -> Column:
 
 def last_line_answer(c: Column) -> Column:
     """Lowest non-empty line without an answer prefix; empty string when the text is blank."""
-    line = F.coalesce(first_of(F.filter(_upwards(c), lambda x: x != "")), F.lit(""))
-    low = F.lower(line)
-    out = line
-    for p in reversed(ANSWER_PREFIXES):
-        out = F.when(low.startswith(p), strip(F.substring(line, F.lit(len(p) + 1), F.length(line)))).otherwise(out)
-    return out
+
+    def bare(line: Column) -> Column:
+        out = line
+        for p in reversed(ANSWER_PREFIXES):
+            rest = strip(F.substring(line, F.lit(len(p) + 1), F.length(line)))
+            out = F.when(F.lower(line).startswith(p), rest).otherwise(out)
+        return out
+
+    return let(F.coalesce(first_of(F.filter(_upwards(c), lambda x: x != "")), F.lit("")), bare)
 
 
 def layered_answer(c: Column) -> Column:
     """Answer tag, else choice letter, else closing value, else the last line."""
     c = text(c)
-    choice = choice_from_lines(c)
-    closing = closing_value(c)
     return F.coalesce(
         strip(first_match(c, ANSWER_TAG)),
-        choice,
-        F.when(closing != "", closing),
+        choice_from_lines(c),
+        F.nullif(closing_value(c), F.lit("")),
         last_line_answer(c),
     )
 

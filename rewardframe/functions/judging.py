@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .enhanced import NORMAL_WEIGHTS, THINKING_WEIGHTS
-from .text import all_matches, first_match, has_any, strip, text
+from .text import all_matches, first_match, has_any, let, strip, text
 
 # Key words and answer types that decide the question type.
 REASON_WORDS = ("reason", "explain", "why", "how")
@@ -37,9 +37,17 @@ def question_type_by_answer(prompt: Column, answer_type: Column) -> Column:
 
 def rule_judge(prompt: Column, completion: Column, answer: Column) -> Column:
     """Struct (score, explanation) by containment; short completions lose a tenth."""
-    prompt, completion, gold = text(prompt), text(completion), text(answer)
+    return let(
+        F.struct(
+            text(prompt).alias("prompt"), text(completion).alias("completion"), text(answer).alias("gold"),
+            all_matches(text(completion), r"\*\*boxed\{([^}]+)\}", 1).alias("boxes"),
+        ),
+        lambda x: _verdict(x["prompt"], x["completion"], x["gold"], x["boxes"]),
+    )
+
+
+def _verdict(prompt: Column, completion: Column, gold: Column, boxes: Column) -> Column:
     low_gold, low = strip(F.lower(gold)), F.lower(completion)
-    boxes = all_matches(completion, r"\*\*boxed\{([^}]+)\}", 1)
     boxed = F.exists(boxes, lambda b: strip(F.lower(b)) == low_gold)
     cases = (
         (gold == "", 0.5, F.lit("Neutral score")),
@@ -74,23 +82,33 @@ def _unit(m: Column, key: str) -> Column:
 
 def judge_scores(reply: Column) -> Column:
     """Struct (reasoning, answer, total, error) of a two-score reply, each clamped to [0, 1]."""
-    s = strip(text(reply))
-    whole_ok = F.try_parse_json(s).isNotNull()
-    inner = first_match(s, r"\{[\s\S]*?\}", 0)
-    m = F.when(whole_ok, _as_map(s)).otherwise(_as_map(inner))
-    r = F.when(m.isNull(), 0.0).otherwise(_unit(m, "reasoning"))
-    a = F.when(m.isNull(), 0.0).otherwise(_unit(m, "answer"))
-    error = F.when(s == "", F.lit("empty_response")).when(m.isNull(), F.lit("json_parse_failed"))
-    return F.struct(
-        r.alias("reasoning"), a.alias("answer"), (r + a).alias("total"), error.alias("error")
-    )
+
+
+    def fields(s: Column) -> Column:
+        inner = let(first_match(s, r"\{[\s\S]*?\}", 0), _as_map)
+        m = F.when(F.try_parse_json(s).isNotNull(), _as_map(s)).otherwise(inner)
+        return F.struct((s == "").alias("empty"), m.alias("m"))
+
+    def scores(x: Column) -> Column:
+        r = F.when(x["m"].isNull(), 0.0).otherwise(_unit(x["m"], "reasoning"))
+        a = F.when(x["m"].isNull(), 0.0).otherwise(_unit(x["m"], "answer"))
+        error = F.when(x["empty"], F.lit("empty_response")).when(
+            x["m"].isNull(), F.lit("json_parse_failed")
+        )
+        return F.struct(
+            r.alias("reasoning"), a.alias("answer"), (r + a).alias("total"), error.alias("error")
+        )
+
+    return let(let(strip(text(reply)), fields), scores)
 
 
 def judge_detail(reply: Column) -> Column:
     """Struct of the detailed reply: JSON fields, else the first decimal as the score, else zeros."""
-    s = strip(text(reply))
-    m = _as_map(s)
-    decimal = first_match(s, r"\d+\.\d+", 0)
+    parts = lambda s: F.struct(_as_map(s).alias("m"), first_match(s, r"\d+\.\d+", 0).alias("d"))
+    return let(let(strip(text(reply)), parts), lambda x: _detail(x["m"], x["d"]))
+
+
+def _detail(m: Column, decimal: Column) -> Column:
     is_map, has_decimal = m.isNotNull(), decimal.isNotNull()
 
     def field(key: str, default: float, from_decimal: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .extract import last_answer
-from .text import WORD, all_matches, last_match, strip, swap, text
+from .text import WORD, all_matches, last_match, let, strip, swap, text
 
 # Token, tag and code-block patterns.
 HTML_TOKEN = WORD + r'+|[<>=/"]'
@@ -48,19 +48,28 @@ def normalized(markup: Column) -> Column:
 
 def overlap(a: Column, b: Column, pattern: str, group: int) -> Column:
     """Jaccard index of the distinct pattern matches; 0.0 for an empty reference ``b``."""
-    mine = F.array_distinct(all_matches(F.lower(a), pattern, group))
-    theirs = F.array_distinct(all_matches(F.lower(b), pattern, group))
-    common = F.size(F.array_intersect(mine, theirs))
-    return F.when(
-        F.size(theirs) > 0, common / (F.size(mine) + F.size(theirs) - common)
-    ).otherwise(F.lit(0.0))
+    found = lambda c: F.array_distinct(all_matches(F.lower(c), pattern, group))
+
+    def index(sets: Column) -> Column:
+        mine, theirs = sets["mine"], sets["theirs"]
+        joint = F.size(F.array_union(mine, theirs))
+        return F.when(
+            F.size(theirs) > 0, (F.size(mine) + F.size(theirs) - joint) / joint
+        ).otherwise(F.lit(0.0))
+
+    return let(F.struct(found(a).alias("mine"), found(b).alias("theirs")), index)
 
 
 def html_score(code: Column, gold: Column) -> Column:
     """1.0 for equal normalised markup, else 0.6 token overlap + 0.4 tag overlap."""
-    ref = strip(gold)
-    mixed = 0.6 * overlap(code, ref, HTML_TOKEN, 0) + 0.4 * overlap(code, ref, HTML_TAG, 1)
-    return F.when(normalized(code) == normalized(ref), F.lit(1.0)).otherwise(mixed)
+
+
+    def score(x: Column) -> Column:
+        made, ref = x["made"], x["ref"]
+        mixed = 0.6 * overlap(made, ref, HTML_TOKEN, 0) + 0.4 * overlap(made, ref, HTML_TAG, 1)
+        return F.when(normalized(made) == normalized(ref), F.lit(1.0)).otherwise(mixed)
+
+    return let(F.struct(code.alias("made"), strip(gold).alias("ref")), score)
 
 
 def svg_score(code: Column, gold: Column, image: Column | None = None) -> Column:
@@ -68,31 +77,46 @@ def svg_score(code: Column, gold: Column, image: Column | None = None) -> Column
 
     ``image`` is a similarity column computed elsewhere; without it the term counts zero.
     """
-    ref = strip(gold)
     picture = F.coalesce(image, F.lit(0.0)) if image is not None else F.lit(0.0)
-    mixed = 0.5 * picture + 0.25 * (
-        overlap(code, ref, SVG_TOKEN, 0) + overlap(code, ref, SVG_TAG, 1)
-    )
-    return (
-        F.when(~F.lower(code).contains("<svg"), F.lit(0.0))
-        .when(normalized(code) == normalized(ref), F.lit(1.0))
-        .otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), mixed)))
-    )
+
+    def score(x: Column) -> Column:
+        made, ref = x["made"], x["ref"]
+        mixed = 0.5 * picture + 0.25 * (
+            overlap(made, ref, SVG_TOKEN, 0) + overlap(made, ref, SVG_TAG, 1)
+        )
+        return (
+            F.when(~F.lower(made).contains("<svg"), F.lit(0.0))
+            .when(normalized(made) == normalized(ref), F.lit(1.0))
+            .otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), mixed)))
+        )
+
+    return let(F.struct(code.alias("made"), strip(gold).alias("ref")), score)
 
 
 def repaired_svg(svg: Column) -> Column:
     """Cut-off tag removed, open tags closed last-seen first, a closing svg tag ensured."""
-    whole = F.regexp_replace(svg, r"<[^>]*\z", "")
-    opened = all_matches(whole, SVG_TAG, 1)
-    closed = all_matches(whole, CLOSE_TAG, 1)
 
-    def missing(tag: Column) -> Column:
-        surplus = F.size(F.filter(opened, lambda t: t == tag)) - F.size(
-            F.filter(closed, lambda t: t == tag)
+    def closing(x: Column) -> Column:
+        def missing(tag: Column) -> Column:
+            surplus = F.size(F.filter(x["opened"], lambda t: t == tag)) - F.size(
+                F.filter(x["closed"], lambda t: t == tag)
+            )
+            return F.array_repeat(F.concat(F.lit("</"), tag, F.lit(">")), F.greatest(surplus, F.lit(0)))
+
+        tail = F.reverse(F.flatten(F.transform(F.array_distinct(x["opened"]), missing)))
+        return F.concat(x["whole"], F.array_join(tail, ""))
+
+    def tags(whole: Column) -> Column:
+        return let(
+            F.struct(
+                whole.alias("whole"), all_matches(whole, SVG_TAG, 1).alias("opened"),
+                all_matches(whole, CLOSE_TAG, 1).alias("closed"),
+            ),
+            closing,
         )
-        return F.array_repeat(F.concat(F.lit("</"), tag, F.lit(">")), F.greatest(surplus, F.lit(0)))
 
-    tail = F.reverse(F.flatten(F.transform(F.array_distinct(opened), missing)))
-    fixed = F.concat(whole, F.array_join(tail, ""))
-    fixed = F.when(strip(fixed).endswith("</svg>"), fixed).otherwise(F.concat(fixed, F.lit("</svg>")))
+    fixed = let(
+        let(F.regexp_replace(svg, r"<[^>]*\z", ""), tags),
+        lambda f: F.when(strip(f).endswith("</svg>"), f).otherwise(F.concat(f, F.lit("</svg>"))),
+    )
     return F.when(strip(svg) == "", svg).otherwise(fixed)

@@ -12,7 +12,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .extract import last_answer
-from .text import WHITESPACE, WS, all_matches, count_of, find, first_of, flag, lstrip, rstrip, strip, swap, text
+from .text import (
+    WHITESPACE, WS, all_matches, count_of, find, first_match, first_of, flag, let, lstrip, rstrip, strip, swap,
+    text,
+)
 
 # Literal replacements in the order they apply, and the lead-in patterns of answers.
 FIRST_CLEANUP = (
@@ -46,13 +49,11 @@ def _replaced(c: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
 
 def _after_only(c: Column, mark: str) -> Column:
     """What follows the mark when it occurs exactly once, else the text itself."""
-    return F.when(count_of(c, mark) == 1, F.substring_index(c, mark, -1)).otherwise(c)
+    return let(c, lambda s: F.when(count_of(s, mark) == 1, F.substring_index(s, mark, -1)).otherwise(s))
 
 
 def _braced_fractions(c: Column) -> Column:
     r"""``\frac12`` as ``\frac{1}{2}``; left alone when any fraction lacks two characters."""
-    parts = F.split(c, r"\\frac")
-    rest = F.slice(parts, F.lit(2), F.size(parts))
 
     def fix(p: Column) -> Column:
         a, b, more = F.substring(p, 1, 1), F.substring(p, 2, 1), F.substring(p, F.lit(3), F.length(p))
@@ -60,10 +61,13 @@ def _braced_fractions(c: Column) -> Column:
         low = F.when(b == "{", b).otherwise(F.concat(F.lit("{"), b, F.lit("}")))
         return F.when(p.startswith("{"), p).otherwise(F.concat(top, low, more))
 
-    short = F.exists(rest, lambda p: ~p.startswith("{") & (F.length(p) < 2))
-    fixed = F.concat(F.get(parts, F.lit(0)), F.array_join(
-        F.transform(rest, lambda p: F.concat(F.lit("\\frac"), fix(p))), ""))
-    return F.when(short | (F.size(parts) < 2), c).otherwise(fixed)
+    def whole(parts: Column) -> Column:
+        rest = F.slice(parts, F.lit(2), F.size(parts))
+        short = F.exists(rest, lambda p: ~p.startswith("{") & (F.length(p) < 2))
+        done = F.when(short, rest).otherwise(F.transform(rest, fix))
+        return F.array_join(F.concat(F.slice(parts, 1, 1), done), "\\frac")
+
+    return let(F.split(c, r"\\frac"), whole)
 
 
 def latex_normal(c: Column) -> Column:
@@ -73,12 +77,12 @@ def latex_normal(c: Column) -> Column:
     """
     s = _replaced(text(c), FIRST_CLEANUP)
     s = _replaced(F.substring_index(s, "\\text{ ", 1), DECIMAL_CLEANUP)
-    s = F.when(s.startswith("."), F.concat(F.lit("0"), s)).otherwise(s)
+    s = F.regexp_replace(s, r"\A\.", "0.")
     s = _after_only(_after_only(s, "="), "\\approx")
     s = F.regexp_replace(s, r"(?s)\\sqrt(?!\{|\\sqrt)(.)", r"\\sqrt{$1}")
     s = swap(s, " ", "")
-    s = F.when(s.contains("sqrt"), _braced_fractions(s)).otherwise(s)
-    s = F.when(s == "0.5", F.lit("\\frac{1}{2}")).otherwise(s)
+    s = let(s, lambda x: F.when(x.contains("sqrt"), _braced_fractions(x)).otherwise(x))
+    s = F.regexp_replace(s, r"\A0\.5\z", r"\\frac{1}{2}")
     whole = r"(0|-?[1-9]\d*)"
     return F.regexp_replace(s, r"\A" + whole + "/" + whole + r"\z", r"\\frac{$1}{$2}")
 
@@ -86,25 +90,26 @@ def latex_normal(c: Column) -> Column:
 def math_answer(c: Column) -> Column:
     """Boxed or bare answer, right of the last equals sign, units removed, LaTeX normalised."""
     s = swap(F.lower(text(c)), "{}", "")
-    boxed = r"(?s)oxed\{(.*)\}"
-    s = F.when(s.rlike(boxed), F.regexp_extract(s, boxed, 1)).otherwise(s)
-    close, open_ = find(s, "}"), find(s, "{")
-    s = F.when((close > 0) & ((open_ == 0) | (close < open_)), F.substring_index(s, "}", 1)).otherwise(s)
+    s = let(s, lambda x: F.coalesce(first_match(x, r"(?s)oxed\{(.*)\}"), x))
+    # A closing brace before any opening one ends the answer.
+    s = F.regexp_replace(s, r"(?s)\A([^{}]*)\}.*\z", "$1")
     s = F.substring_index(F.substring_index(s, "=", -1), "\\approx", -1)
     return latex_normal(_replaced(s, ANSWER_CLEANUP))
 
 
 def strict_answer(c: Column) -> Column:
     """Last answer body with an "(A)" wrapping removed; empty when there is no tag."""
-    body = F.coalesce(last_answer(strip(text(c))), F.lit(""))
-    inner = strip(F.substring(body, F.lit(2), F.length(body) - 2))
-    return F.when(body.rlike(r"\A" + WS + r"*\([a-zA-Z]\)" + WS + "*"), inner).otherwise(body)
+
+    def unwrapped(body: Column) -> Column:
+        inner = strip(F.substring(body, F.lit(2), F.length(body) - 2))
+        return F.when(body.rlike(r"\A" + WS + r"*\([a-zA-Z]\)"), inner).otherwise(body)
+
+    return let(F.coalesce(last_answer(strip(text(c))), F.lit("")), unwrapped)
 
 
 def _tidy(c: Column) -> Column:
-    c = F.when(c.startswith("option"), F.substring(c, F.lit(7), F.length(c))).otherwise(c)
-    bold = c.startswith("**") & c.endswith("**")
-    return strip(F.when(bold, F.substring(c, F.lit(3), F.length(c) - 4)).otherwise(c))
+    c = F.regexp_replace(c, r"\Aoption", "")
+    return strip(F.regexp_replace(c, r"(?s)\A\*\*(.*)\*\*\z", "$1"))
 
 
 def _lead_in_candidates(t: Column, rank: int, lead: str, end: str) -> Column:
@@ -133,7 +138,13 @@ def _lead_in_candidates(t: Column, rank: int, lead: str, end: str) -> Column:
 
 def lenient_answer(c: Column) -> Column:
     """Strict answer, else the candidate nearest to the end of the text, normalised."""
-    t = strip(text(c))
+    searched = let(strip(text(c)), _nearest_answer)
+    return let(
+        strict_answer(c), lambda s: F.when(s != "", s).otherwise(F.coalesce(searched, F.lit("")))
+    )
+
+
+def _nearest_answer(t: Column) -> Column:
     letters = F.array(*[F.lit(x) for x in LETTERS])
 
     def option(x: Column) -> Column:
@@ -153,9 +164,9 @@ def lenient_answer(c: Column) -> Column:
 
     chosen = first_of(F.filter(letters, option))
     tail = rstrip(strip(F.substring_index(t, "is", -1)), ".")
-    tail = F.when(tail.startswith("the "), strip(F.substring(tail, F.lit(5), F.length(tail)))).otherwise(tail)
-    tail = F.when(tail.startswith(":"), strip(F.substring(tail, F.lit(2), F.length(tail)))).otherwise(tail)
-    ending = F.when(tail.rlike(ANY_NUMBER) | tail.rlike(r"\A[A-Z]\z"), tail)
+    tail = strip(F.regexp_replace(tail, r"\Athe ", ""))
+    tail = strip(F.regexp_replace(tail, r"\A:", ""))
+    ending = let(tail, lambda x: F.when(x.rlike(ANY_NUMBER) | x.rlike(r"\A[A-Z]\z"), x))
 
     pool = F.concat(
         F.array(item(_tidy(chosen), 0), item(_tidy(ending), 1)),
@@ -163,25 +174,31 @@ def lenient_answer(c: Column) -> Column:
     )
     best = F.array_min(F.filter(pool, lambda x: x["body"] != ""))["body"]
 
-    def named(x: Column) -> Column:
-        has = lambda a, b, v=x: F.contains(best, F.concat(F.lit(a), v, F.lit(b)))
-        return (
-            has("(", ")") | has("{", "}") | has("", ". ", F.upper(x))
-            | F.startswith(best, F.concat(x, F.lit(") ")))
-        )
+    def letter_or_all(answer: Column) -> Column:
+        def named(x: Column) -> Column:
+            has = lambda a, b, v=x: F.contains(answer, F.concat(F.lit(a), v, F.lit(b)))
+            return (
+                has("(", ")") | has("{", "}") | has("", ". ", F.upper(x))
+                | F.startswith(answer, F.concat(x, F.lit(") ")))
+            )
 
-    pick = F.coalesce(first_of(F.filter(letters, named)), best)
-    out = F.regexp_replace(math_answer(pick), r"\(([A-Za-z])\)", "$1")
+        return F.coalesce(first_of(F.filter(letters, named)), answer)
+
+    # Null when no candidate was found, and null through every step below.
+    pick = let(best, letter_or_all)
+    out = F.when(pick.isNotNull(), math_answer(pick))
+    out = F.regexp_replace(out, r"\(([A-Za-z])\)", "$1")
     out = F.regexp_replace(out, r"\{([A-Za-z])\}", "$1")
-    out = lstrip(rstrip(out, WHITESPACE + "."), WHITESPACE + ":")
-    strict = strict_answer(c)
-    return F.when(strict != "", strict).when(best.isNull(), F.lit("")).otherwise(out)
+    return lstrip(rstrip(out, WHITESPACE + "."), WHITESPACE + ":")
 
 
 def numeric_value(c: Column) -> Column:
     r"""Double of a number, ``a/b`` or ``\frac{a}{b}``; null for anything else."""
     s = _replaced(F.lower(text(c)), (("$", ""), (" ", ""), ("dfrac", "frac"), ("tfrac", "frac")))
-    s = strip(s)
+    return let(s, _ratio_or_number)
+
+
+def _ratio_or_number(s: Column) -> Column:
     plain = r"\A" + PLAIN_NUMBER + r"\z"
     ratio = r"\A(" + PLAIN_NUMBER + ")/(" + PLAIN_NUMBER + r")\z"
     frac = r"\A([+-]?)\\frac\{(" + PLAIN_NUMBER + r")\}\{(" + PLAIN_NUMBER + r")\}\z"
@@ -196,32 +213,39 @@ def numeric_value(c: Column) -> Column:
 
 def rounded_tuple(c: Column) -> Column:
     """Tuple or list with every element rounded to two decimals; other texts unchanged."""
-    items = F.split(F.substring(c, F.lit(2), F.length(c) - 2), ",")
+
 
     def value(x: Column) -> Column:
         keep = x.contains("infty") | x.isin("a", "-a")
         return F.when(keep, x).otherwise(F.round(numeric_value(x), 2).cast("string"))
 
-    vals = F.transform(items, value)
-    shaped = (
-        ((c.startswith("(") & c.endswith(")")) | (c.startswith("[") & c.endswith("]")))
-        & (F.size(items) > 1)
-    )
-    whole = F.concat(F.substring(c, 1, 1), F.array_join(vals, ","), F.substring(c, -1, 1))
-    return F.when(shaped & ~F.exists(vals, lambda v: v.isNull()), whole).otherwise(c)
+    def whole(vals: Column) -> Column:
+        known = (F.size(vals) > 1) & ~F.exists(vals, lambda v: v.isNull())
+        return F.when(
+            known, F.concat(F.substring(c, 1, 1), F.array_join(vals, ","), F.substring(c, -1, 1))
+        ).otherwise(c)
+
+    items = F.split(F.substring(c, F.lit(2), F.length(c) - 2), ",")
+    shaped = (c.startswith("(") & c.endswith(")")) | (c.startswith("[") & c.endswith("]"))
+    return F.when(shaped, let(F.transform(items, value), whole)).otherwise(c)
 
 
 def math_method(pred: Column, gold: Column) -> Column:
     """Name of the rule by which two answers agree: text, tuple, numeric; else none."""
-    a, b = F.lower(text(pred)), F.lower(text(gold))
-    blank = (swap(a, " ", "") == "") | (swap(b, " ", "") == "")
-    return (
-        F.when(blank, F.lit("none"))
-        .when(strip(a) == strip(b), F.lit("text"))
-        .when(rounded_tuple(a) == rounded_tuple(b), F.lit("tuple"))
-        .when(F.round(numeric_value(a), 2) == F.round(numeric_value(b), 2), F.lit("numeric"))
-        .otherwise(F.lit("none"))
-    )
+
+
+    def method(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        blank = (swap(a, " ", "") == "") | (swap(b, " ", "") == "")
+        return (
+            F.when(blank, F.lit("none"))
+            .when(strip(a) == strip(b), F.lit("text"))
+            .when(rounded_tuple(a) == rounded_tuple(b), F.lit("tuple"))
+            .when(F.round(numeric_value(a), 2) == F.round(numeric_value(b), 2), F.lit("numeric"))
+            .otherwise(F.lit("none"))
+        )
+
+    return let(F.struct(F.lower(text(pred)).alias("a"), F.lower(text(gold)).alias("b")), method)
 
 
 def math_equal(pred: Column, gold: Column) -> Column:

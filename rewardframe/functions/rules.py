@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import all_matches, collapse, first_match, flag, has_any, last_match, strip, text
+from .text import all_matches, collapse, first_match, flag, has_any, last_match, let, strip, text
 
 # Number and box patterns.
 NUMBER_RUN = r"[0-9.]+"
@@ -50,15 +50,18 @@ def exact_match(pred: Column, gold: Column) -> Column:
 
 def ocr_match(pred: Column, targets: Column) -> Column:
     """One minus the smallest normalised edit distance to a target; below one half counts zero."""
-    seen = collapse(F.lower(strip(pred)))
 
-    def distance(target: Column) -> Column:
-        longest = F.greatest(F.length(F.upper(target)), F.length(F.upper(seen)))
-        steps = F.levenshtein(collapse(F.lower(strip(target))), seen)
-        return F.when(longest == 0, F.lit(0.0)).otherwise(steps / longest)
 
-    score = 1 - F.array_min(F.transform(targets, distance))
-    return F.when((pred != "") & (score >= 0.5), score).otherwise(F.lit(0.0))
+    def nearest(seen: Column) -> Column:
+        def distance(target: Column) -> Column:
+            longest = F.greatest(F.length(F.upper(target)), F.length(F.upper(seen)))
+            steps = F.levenshtein(collapse(F.lower(strip(target))), seen)
+            return F.when(longest == 0, F.lit(0.0)).otherwise(steps / longest)
+
+        return 1 - F.array_min(F.transform(targets, distance))
+
+    score = let(let(collapse(F.lower(strip(pred))), nearest), lambda s: F.when(s >= 0.5, s))
+    return F.coalesce(F.when(pred != "", score), F.lit(0.0))
 
 
 def first_box(c: Column) -> Column:
@@ -69,14 +72,18 @@ def first_box(c: Column) -> Column:
 
 def box_iou(pred: Column, gold: Column) -> Column:
     """Intersection over union of two four-number boxes; zero area or a bad box gives 0.0."""
-    a, b = first_box(pred), first_box(gold)
     zero = F.lit(0.0)
-    width = F.greatest(zero, F.least(a[2], b[2]) - F.greatest(a[0], b[0]))
-    height = F.greatest(zero, F.least(a[3], b[3]) - F.greatest(a[1], b[1]))
-    both = width * height
-    areas = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1])
-    iou = F.coalesce(F.try_divide(both, areas - both), zero)
-    return F.when((F.size(a) == 4) & (F.size(b) == 4), iou).otherwise(zero)
+
+    def iou(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        width = F.greatest(zero, F.least(a[2], b[2]) - F.greatest(a[0], b[0]))
+        height = F.greatest(zero, F.least(a[3], b[3]) - F.greatest(a[1], b[1]))
+        both = width * height
+        areas = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1])
+        ratio = F.coalesce(F.try_divide(both, areas - both), zero)
+        return F.when((F.size(a) == 4) & (F.size(b) == 4), ratio).otherwise(zero)
+
+    return let(F.struct(first_box(pred).alias("a"), first_box(gold).alias("b")), iou)
 
 
 def numbers_in(c: Column) -> Column:
@@ -88,9 +95,8 @@ def numbers_in(c: Column) -> Column:
 
     # Leading blanks and zeros go; what is left must still be a number: "0" alone is not, and a
     # signed integer may not start with a zero.
-    def value(x: Column) -> Column:
-        bare = F.replace(F.ltrim(F.btrim(x), F.lit(" 0")), F.lit(" "), F.lit(""))
-        return F.when(~bare.rlike(r"\A[+-]0+[1-9]\d*\z"), bare.try_cast("double"))
-
-    values = F.transform(found, value)
+    bare = F.transform(found, lambda x: F.replace(F.ltrim(F.btrim(x), F.lit(" 0")), F.lit(" "), F.lit("")))
+    values = F.transform(
+        bare, lambda b: F.when(~b.rlike(r"\A[+-]0+[1-9]\d*\z"), b.try_cast("double"))
+    )
     return F.filter(values, lambda v: v.isNotNull())

@@ -6,7 +6,7 @@ whitespace set of ``str.strip`` / ``re`` is spelled out once here.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,6 +31,15 @@ def text(c: Column | str) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row, however often ``use`` mentions it.
+
+    Column expressions are trees: a step that mentions its input three times would otherwise carry,
+    and inside conditions also compute, three copies of everything before it.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column, chars: str = WHITESPACE) -> Column:
     return F.btrim(c, F.lit(chars))
 

@@ -53,7 +53,7 @@ FROM {lineitem}
 
 # Four completions per sample in twelve shapes.
 VIEWS["rollouts"] = """
-SELECT id, CAST(g AS INT) AS g, n, step, problem, answer, answer_type, prompt_type, problem_type,
+SELECT id, CAST(g AS BIGINT) AS g, n, step, problem, answer, answer_type, prompt_type, problem_type,
        CASE (n + g * 3) % 12
          WHEN 0 THEN '<think>first [1, 1, 11, 11] so' || chr(10) || 'therefore</think>' || chr(10) || '<answer>' || answer || '</answer>'
          WHEN 1 THEN '<think>x</think><answer>wrong 7</answer>'
