@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import first_match, let, rfind0, strip, text
+from .text import all_matches, first_match, let, strip, text
 
-# Letters, stripped punctuation (in this order), answer phrases, letter suffixes.
+# Letters, stripped punctuation (in this order), answer phrases.
 CHOICES = "ABCDEFGH"
 PUNCTUATION = (",", ".", "!", "?", ";", ":", "'", '"')
 ANSWER_PHRASES = (
@@ -18,31 +18,23 @@ ANSWER_PHRASES = (
     "the choice is", "choice is", "the correct choice is", "correct choice is",
     "i choose", "i select", "i pick", "my answer is", "my choice is",
 )
-# Letter decorations from the most to the least trusted; the last tier shares one rank.
-DECORATIONS = (
-    (("(", ")"),),
-    (("", "."),),
-    (("", ":"),),
-    (("", ")"),),
-    (("", " "),),
-    (("", "-"), ("", "_"), ("", "=")),
-)
-
+# Letter decorations from the most to the least trusted; the last but one tier shares one rank, the
+# last takes any letter.
+DECORATED = (r"\([A-H]\)", r"[A-H]\.", "[A-H]:", r"[A-H]\)", "[A-H] ", "[A-H][-_=]", "[A-H]")
+NUMBERED = r"1\. A|2\. B|3\. C|4\. D|5\. E|6\. F|7\. G|8\. H"
 
-def _earliest(response: Column, forms: tuple[tuple[str, str], ...]) -> Column:
-    """Among letters seen in one of the forms, the one whose last sighting lies furthest left."""
-    letters = F.array(*[F.lit(x) for x in CHOICES])
 
-    def sightings(before: str, after: str) -> Column:
-        def last_seen(x: Column) -> Column:
-            at = rfind0(response, F.concat(F.lit(before), x, F.lit(after)))
-            return F.struct(at.alias("at"), x.alias("letter"))
+def _earliest(response: Column, pattern: str) -> Column:
+    """Letter of the distinct match whose last sighting lies furthest left; null without a match."""
 
-        return F.transform(letters, last_seen)
+    def pick(found: Column) -> Column:
+        last = lambda x: F.struct(
+            (F.size(found) - F.array_position(F.reverse(found), x)).alias("at"), x.alias("match")
+        )
+        return F.array_min(F.transform(F.array_distinct(found), last))["match"]
 
-    seen = [sightings(*form) for form in forms]
-    found = F.filter(F.concat(*seen) if len(seen) > 1 else seen[0], lambda s: s["at"].isNotNull())
-    return F.array_min(found)["letter"]
+    match = let(all_matches(response, pattern), pick)
+    return F.nullif(F.regexp_extract(match, "[A-H]", 0), F.lit(""))
 
 
 def choice_letter(c: Column) -> Column:
@@ -61,17 +53,7 @@ def _best_letter(padded: Column) -> Column:
     core = strip(padded)
     opening = first_match(core, f"\\A([{CHOICES}])")
     closing = first_match(core, f"([{CHOICES}])\\z")
-    numbered = F.array_min(
-        F.filter(
-            F.array(*[
-                F.struct(
-                    rfind0(padded, F.lit(f"{i}. {x}")).alias("at"), F.lit(x).alias("letter")
-                )
-                for i, x in enumerate(CHOICES, 1)
-            ]),
-            lambda s: s["at"].isNotNull(),
-        )
-    )["letter"]
+    numbered = _earliest(padded, NUMBERED)
     phrase = "|".join(ANSWER_PHRASES)
     low = F.lower(padded)
     phrase_at = F.regexp_instr(low, F.lit(phrase))
@@ -79,11 +61,10 @@ def _best_letter(padded: Column) -> Column:
         low.rlike(phrase),
         first_match(F.substring(padded, phrase_at, F.length(padded)), f"[{CHOICES}]", 0),
     )
-    decorated = [_earliest(padded, forms) for forms in DECORATIONS]
-    anywhere = _earliest(padded, (("", ""),))
+    decorated = [_earliest(padded, pattern) for pattern in DECORATED]
     return F.when(
         core.rlike(f"[{CHOICES}]"),
-        F.coalesce(opening, closing, numbered, phrased, *decorated, anywhere, F.lit("")),
+        F.coalesce(opening, closing, numbered, phrased, *decorated, F.lit("")),
     ).otherwise("")
 
 

@@ -44,11 +44,15 @@ def think_answer_format(c: Column) -> Column:
     return _ends(c, "<think>", "</answer>") & _in_order(inner, "</think>", "<answer>")
 
 
-def format_score(c: Column) -> Column:
-    """1.0 for think+answer or boxed content, 0.8 for a long text with math and an answer, else 0."""
+def format_score(c: Column, tagged: Column | None = None) -> Column:
+    """1.0 for think+answer or boxed content, 0.8 for a long text with math and an answer, else 0.
+
+    ``tagged`` is the extracted answer where a caller has it already.
+    """
     c = text(c)
+    tagged = tagged_answer(c) if tagged is None else tagged
     partial = (
-        (F.length(strip(c)) > 50) & c.rlike(MATH_SIGN) & (tagged_answer(c) != "")
+        (F.length(strip(c)) > 50) & c.rlike(MATH_SIGN) & (tagged != "")
     )
     return (
         F.when(think_answer_format(c) | (boxed_answer(c) != ""), F.lit(1.0))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .extract import last_answer
-from .text import WORD, all_matches, last_match, let, strip, swap, text
+from .text import WORD, all_matches, both, last_match, let, strip, swap, text
 
 # Token, tag and code-block patterns.
 HTML_TOKEN = WORD + r'+|[<>=/"]'
@@ -48,16 +48,20 @@ def normalized(markup: Column) -> Column:
 
 def overlap(a: Column, b: Column, pattern: str, group: int) -> Column:
     """Jaccard index of the distinct pattern matches; 0.0 for an empty reference ``b``."""
-    found = lambda c: F.array_distinct(all_matches(F.lower(c), pattern, group))
 
     def index(sets: Column) -> Column:
-        mine, theirs = sets["mine"], sets["theirs"]
+        mine, theirs = F.get(sets, F.lit(0)), F.get(sets, F.lit(1))
         joint = F.size(F.array_union(mine, theirs))
         return F.when(
             F.size(theirs) > 0, (F.size(mine) + F.size(theirs) - joint) / joint
         ).otherwise(F.lit(0.0))
 
-    return let(F.struct(found(a).alias("mine"), found(b).alias("theirs")), index)
+    found = both(a, b, lambda c: F.array_distinct(all_matches(F.lower(c), pattern, group)))
+    return let(found, index)
+
+
+def same_markup(a: Column, b: Column) -> Column:
+    return let(both(a, b, normalized), lambda v: F.get(v, F.lit(0)) == F.get(v, F.lit(1)))
 
 
 def html_score(code: Column, gold: Column) -> Column:
@@ -67,7 +71,7 @@ def html_score(code: Column, gold: Column) -> Column:
     def score(x: Column) -> Column:
         made, ref = x["made"], x["ref"]
         mixed = 0.6 * overlap(made, ref, HTML_TOKEN, 0) + 0.4 * overlap(made, ref, HTML_TAG, 1)
-        return F.when(normalized(made) == normalized(ref), F.lit(1.0)).otherwise(mixed)
+        return F.when(same_markup(made, ref), F.lit(1.0)).otherwise(mixed)
 
     return let(F.struct(code.alias("made"), strip(gold).alias("ref")), score)
 
@@ -86,7 +90,7 @@ def svg_score(code: Column, gold: Column, image: Column | None = None) -> Column
         )
         return (
             F.when(~F.lower(made).contains("<svg"), F.lit(0.0))
-            .when(normalized(made) == normalized(ref), F.lit(1.0))
+            .when(same_markup(made, ref), F.lit(1.0))
             .otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), mixed)))
         )
 

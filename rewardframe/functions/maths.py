@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .extract import last_answer
 from .text import (
-    WHITESPACE, WS, all_matches, count_of, find, first_match, first_of, flag, let, lstrip, rstrip, strip, swap,
+    WHITESPACE, WS, all_matches, both, count_of, find, first_match, flag, let, lstrip, rstrip, strip, swap,
     text,
 )
 
@@ -29,7 +29,11 @@ ANSWER_CLEANUP = (
     ("^{\\circ}", ""), ("^\\circ", ""), ("{m}^3", ""), ("m^3", ""), ("{units}", ""), ("units", ""),
     ("{km}", ""), ("km", ""),
 )
-LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+OPTION_ENDS = (
+    r" ([A-Za-z])\.\z", r" \(([A-Za-z])\)\.\z", r" \(([A-Za-z])\)\z", r"\*\*([A-Za-z])\*\*\.\z",
+)
+OPTION_STARTS = (r"\A([A-Za-z])\n", r"\A\(([A-Za-z])\)\n", r"\A\(([A-Za-z])\) \1\n")
+NAMED_OPTION = (r"\(([A-Za-z])\)", r"\{([A-Za-z])\}", r"([A-Z])\. ", r"\A([A-Za-z])\) ")
 _LINK = r"(?:(?:\s+(?:is|should be))|(?:\:))?"
 _REST = _LINK + r"(?:\*\*)?" + _LINK + r"(?:\s+)?\n?"
 _END = r"(?:\n|$|\.(?:\s|$))"
@@ -114,26 +118,22 @@ def _tidy(c: Column) -> Column:
 
 def _lead_in_candidates(t: Column, rank: int, lead: str, end: str) -> Column:
     """Candidates after one lead-in pattern, each with its distance to the end of the text."""
-    pattern = f"(?d)({lead})(.*?)({end})"
-    found = F.arrays_zip(
-        all_matches(t, pattern, 0).alias("m"),
-        all_matches(t, pattern, 1).alias("lead"),
-        all_matches(t, pattern, 2).alias("body"),
-    )
+    pattern = f"(?d)({lead})(.*?){end}"
     entry = "array<struct<far:int,rank:int,body:string>>"
     start = F.struct(F.lit(1).alias("at"), F.array().cast(entry).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = F.position(x["m"], t, acc["at"])
-        far = F.length(t) - (at + F.length(x["lead"]) - 1)
+    def step(acc: Column, m: Column) -> Column:
+        at = F.position(m, t, acc["at"])
+        far = F.length(t) - (at + F.length(F.regexp_extract(m, pattern, 1)) - 1)
         item = F.struct(
-            far.cast("int").alias("far"), F.lit(rank).alias("rank"), _tidy(strip(x["body"])).alias("body")
+            far.cast("int").alias("far"), F.lit(rank).alias("rank"),
+            _tidy(strip(F.regexp_extract(m, pattern, 2))).alias("body"),
         )
         return F.struct(
-            (at + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(item)).alias("out")
+            (at + F.length(m)).alias("at"), F.concat(acc["out"], F.array(item)).alias("out")
         )
 
-    return F.aggregate(found, start, step, lambda acc: acc["out"])
+    return F.aggregate(all_matches(t, pattern, 0), start, step, lambda acc: acc["out"])
 
 
 def lenient_answer(c: Column) -> Column:
@@ -145,44 +145,23 @@ def lenient_answer(c: Column) -> Column:
 
 
 def _nearest_answer(t: Column) -> Column:
-    letters = F.array(*[F.lit(x) for x in LETTERS])
-
-    def option(x: Column) -> Column:
-        par = F.concat(F.lit("("), x, F.lit(")"))
-        tails = [F.concat(F.lit(" "), x, F.lit(".")), F.concat(F.lit(" "), par, F.lit(".")),
-                 F.concat(F.lit(" "), par), F.concat(F.lit("**"), x, F.lit("**."))]
-        heads = [F.concat(x, F.lit("\n")), F.concat(par, F.lit("\n")), F.concat(par, F.lit(" "), x, F.lit("\n"))]
-        hit = F.lit(False)
-        for p in tails:
-            hit = hit | F.endswith(t, p)
-        for p in heads:
-            hit = hit | F.startswith(t, p)
-        return hit
-
     def item(body: Column, rank: int) -> Column:
         return F.struct(F.lit(0).alias("far"), F.lit(rank).alias("rank"), body.alias("body"))
 
-    chosen = first_of(F.filter(letters, option))
+    chosen = F.array_min(F.array(*[first_match(t, p) for p in OPTION_ENDS + OPTION_STARTS]))
     tail = rstrip(strip(F.substring_index(t, "is", -1)), ".")
     tail = strip(F.regexp_replace(tail, r"\Athe ", ""))
     tail = strip(F.regexp_replace(tail, r"\A:", ""))
     ending = let(tail, lambda x: F.when(x.rlike(ANY_NUMBER) | x.rlike(r"\A[A-Z]\z"), x))
 
-    pool = F.concat(
-        F.array(item(_tidy(chosen), 0), item(_tidy(ending), 1)),
-        *[_lead_in_candidates(t, i + 2, lead, end) for i, (lead, end) in enumerate(LEAD_INS)],
-    )
+    sure = F.array(item(_tidy(chosen), 0), item(_tidy(ending), 1))
+    led = F.concat(*[_lead_in_candidates(t, i + 2, lead, end) for i, (lead, end) in enumerate(LEAD_INS)])
+    pool = F.when(t.contains("nswer"), F.concat(sure, led)).otherwise(sure)
     best = F.array_min(F.filter(pool, lambda x: x["body"] != ""))["body"]
 
     def letter_or_all(answer: Column) -> Column:
-        def named(x: Column) -> Column:
-            has = lambda a, b, v=x: F.contains(answer, F.concat(F.lit(a), v, F.lit(b)))
-            return (
-                has("(", ")") | has("{", "}") | has("", ". ", F.upper(x))
-                | F.startswith(answer, F.concat(x, F.lit(") ")))
-            )
-
-        return F.coalesce(first_of(F.filter(letters, named)), answer)
+        named = F.concat(*[all_matches(answer, p, 1) for p in NAMED_OPTION])
+        return F.coalesce(F.array_min(named), answer)
 
     # Null when no candidate was found, and null through every step below.
     pick = let(best, letter_or_all)
@@ -234,18 +213,19 @@ def math_method(pred: Column, gold: Column) -> Column:
     """Name of the rule by which two answers agree: text, tuple, numeric; else none."""
 
 
-    def method(x: Column) -> Column:
-        a, b = x["a"], x["b"]
-        blank = (swap(a, " ", "") == "") | (swap(b, " ", "") == "")
+    def agree(pair: Column, use) -> Column:
+        return let(F.transform(pair, use), lambda v: F.get(v, F.lit(0)) == F.get(v, F.lit(1)))
+
+    def method(pair: Column) -> Column:
         return (
-            F.when(blank, F.lit("none"))
-            .when(strip(a) == strip(b), F.lit("text"))
-            .when(rounded_tuple(a) == rounded_tuple(b), F.lit("tuple"))
-            .when(F.round(numeric_value(a), 2) == F.round(numeric_value(b), 2), F.lit("numeric"))
+            F.when(F.exists(pair, lambda x: swap(x, " ", "") == ""), F.lit("none"))
+            .when(agree(pair, strip), F.lit("text"))
+            .when(agree(pair, rounded_tuple), F.lit("tuple"))
+            .when(agree(pair, lambda x: F.round(numeric_value(x), 2)), F.lit("numeric"))
             .otherwise(F.lit("none"))
         )
 
-    return let(F.struct(F.lower(text(pred)).alias("a"), F.lower(text(gold)).alias("b")), method)
+    return let(both(text(pred), text(gold), F.lower), method)
 
 
 def math_equal(pred: Column, gold: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import all_matches, collapse, first_match, flag, has_any, last_match, let, strip, text
+from .text import all_matches, both, collapse, first_match, flag, has_any, last_match, let, strip, text
 
 # Number and box patterns.
 NUMBER_RUN = r"[0-9.]+"
@@ -74,8 +74,8 @@ def box_iou(pred: Column, gold: Column) -> Column:
     """Intersection over union of two four-number boxes; zero area or a bad box gives 0.0."""
     zero = F.lit(0.0)
 
-    def iou(x: Column) -> Column:
-        a, b = x["a"], x["b"]
+    def iou(boxes: Column) -> Column:
+        a, b = F.get(boxes, F.lit(0)), F.get(boxes, F.lit(1))
         width = F.greatest(zero, F.least(a[2], b[2]) - F.greatest(a[0], b[0]))
         height = F.greatest(zero, F.least(a[3], b[3]) - F.greatest(a[1], b[1]))
         both = width * height
@@ -83,7 +83,7 @@ def box_iou(pred: Column, gold: Column) -> Column:
         ratio = F.coalesce(F.try_divide(both, areas - both), zero)
         return F.when((F.size(a) == 4) & (F.size(b) == 4), ratio).otherwise(zero)
 
-    return let(F.struct(first_box(pred).alias("a"), first_box(gold).alias("b")), iou)
+    return let(both(pred, gold, first_box), iou)
 
 
 def numbers_in(c: Column) -> Column:

@@ -40,6 +40,11 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def both(a: Column, b: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of two columns as a two-element array."""
+    return F.transform(F.array(a, b), use)
+
+
 def strip(c: Column, chars: str = WHITESPACE) -> Column:
     return F.btrim(c, F.lit(chars))
 

@@ -117,16 +117,20 @@ def rule_scores(df: DataFrame, judge: Column | None = None, format_weight: float
     """
     pred, gold = F.col("predict_str"), F.col("ground_truth")
     relaxed = relaxed_match(pred, gold)
-    acc = F.when(relaxed > 0, relaxed).when(maths.math_equal(pred, gold), 1.0)
-    acc = F.coalesce(acc, judge if judge is not None else F.lit(0.0), F.lit(0.0))
+    acc = F.coalesce(
+        F.nullif(relaxed, F.lit(0.0)), F.when(maths.math_equal(pred, gold), 1.0),
+        judge if judge is not None else F.lit(0.0), F.lit(0.0),
+    )
     return (
-        df.withColumn("predict_str", plain_answer(strip(tagged_answer(F.col("completion")))))
+        df.withColumn("_tagged", tagged_answer(F.col("completion")))
+        .withColumn("predict_str", plain_answer(strip(F.col("_tagged"))))
         .withColumn("ground_truth", plain_answer(F.col("answer")))
         .withColumn("acc_score", acc)
-        .withColumn("format_score", formats.format_score(F.col("completion")))
+        .withColumn("format_score", formats.format_score(F.col("completion"), F.col("_tagged")))
         .withColumn(
             "score", (1 - format_weight) * F.col("acc_score") + format_weight * F.col("format_score")
         )
+        .drop("_tagged")
     )
 
 

@@ -228,7 +228,7 @@ def _latex(t):
   e AS (SELECT *, replace(regexp_replace(s3, '\\sqrt([^{{])', '\\sqrt{{\1}}'), ' ', '') AS s4 FROM d),
   f AS (SELECT *, CASE WHEN contains(s4, 'sqrt') THEN regexp_replace(s4, '\\frac([^{{])([^{{])', '\\frac{{\1}}{{\2}}') ELSE s4 END AS s5 FROM e),
   h AS (SELECT *, CASE WHEN s5 = '0.5' THEN '\frac{{1}}{{2}}' ELSE s5 END AS s6 FROM f)
-  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, regexp_replace(s6, '^(0|-?[1-9]\d*)/(0|-?[1-9]\d*)$', '\\frac{{\1}}{{\2}}') AS normal FROM h""")
+  SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey, regexp_replace(s6, '^(0|-?[1-9]\d*)/(0|-?[1-9]\d*)$', '\\frac{{\1}}{{\2}}') AS normal FROM h""")
 def _(t):
     return _latex(t).withColumn("normal", maths.latex_normal(F.col("tex"))).drop("tex")
 
@@ -277,7 +277,7 @@ def _(t):
 
 @query("e24_code_scan", f"""SELECT id, {trim(f"CASE WHEN k = 1 THEN regexp_extract({pred('completion')}, '```python\\n([\\s\\S]*?)```', 1) WHEN k = 2 THEN regexp_extract({pred('completion')}, '```python\\n([\\s\\S]*)$', 1) ELSE {pred('completion')} END")} AS code,
     CASE k WHEN 3 THEN 'open(,os.remove' ELSE '' END AS forbidden FROM codes WHERE k <> 0
-    UNION ALL SELECT id, NULL, NULL FROM codes WHERE k = 0""")
+    UNION ALL SELECT id, NULL, '' FROM codes WHERE k = 0""")
 def _(t):
     return code_samples(t("codes")).select("id", "code", F.array_join("forbidden", ",").alias("forbidden"))
 

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
+
 VIEWS: dict[str, str] = {}
 
 # One sample per line item: problem, gold answer, answer type.
@@ -218,12 +220,43 @@ SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'thinking' ELSE 'normal'
 FROM (SELECT event_id, event_type, CAST(floor(value) / 64 AS STRING) AS v, event_type || ' broken' AS broken FROM {events}) t
 """
 
+# Chats with system, tool and reasoning turns.
+VIEWS["dialogs"] = """
+SELECT id, shape, user_text, assistant_text, CASE shape
+  WHEN 0 THEN '[{"role":"user","content":' || u || '},{"role":"assistant","content":' || a || '}]'
+  WHEN 1 THEN '[{"role":"system","content":"be kind <image>"},{"role":"user","content":' || i || '},{"role":"assistant","content":' || th || '}]'
+  WHEN 2 THEN '[{"role":"user","content":' || u || '},{"role":"assistant","content":' || a || '},{"role":"tool","content":"r1"},'
+    || '{"role":"tool","content":"r2"},{"role":"assistant","reasoning_content":"why","content":' || a || '}]'
+  WHEN 3 THEN '[{"role":"system","content":"sys","functions":[{"name":"f1"},{"name":"f2"}]},{"role":"user","content":' || u
+    || '},{"role":"assistant","content":"","tool_calls":[{"name":"f1","arguments":"7"},{"function":{"name":"f2","arguments":{"b":2}}}]}]'
+  ELSE '[{"role":"user","content":' || u || ',"tools":"x"},{"role":"assistant","content":' || a || '}]' END AS conversations
+FROM (SELECT id, shape, user_text, assistant_text, JS(user_text) AS u, JS(assistant_text) AS a, JS(imaged) AS i, JS(thought) AS th
+      FROM (SELECT *, (conv_id + turn) % 5 AS shape, '<image> ' || user_text AS imaged,
+              '<think>' || chr(10) || user_text || chr(10) || '</think>' || chr(10) || chr(10) || assistant_text AS thought FROM {qa}) x) t
+"""
+
+# Texts that become token arrays of code points: two answers between markers, the second one open.
+VIEWS["spoken"] = """
+SELECT id, CAST(floor(id / 4000) AS BIGINT) AS batch, user_text, assistant_text,
+       'u ' || user_text || '<a>' || assistant_text || '</a> v <a><a>' || user_text || CASE WHEN id % 2 = 0 THEN '</a> w' ELSE '' END AS t
+FROM {qa}
+"""
+
+# Log-probabilities of a policy and a reference over 64 tokens, with mask and advantage.
+VIEWS["logps"] = """
+SELECT a.vec_id AS id, a.label AS grp, a.embedding AS pi, b.embedding AS ref, a.label % 3 - 0.5 AS advantage
+FROM {embeddings} a JOIN {embeddings} b ON b.vec_id = a.vec_id
+"""
+
 _REF = re.compile(r"\{(\w+)\}")
 _EACH = re.compile(r"EACH\((\d+), (\d+)\)")
 _JS = re.compile(r"JS\((\w+)\)")
 
 
 def _spark_text(sql: str) -> str:
+    # Braces other than references are doubled, as the SQL formatter asks.
+    bits = re.split(r"(\{\w+\})", sql)
+    sql = "".join(b if _REF.fullmatch(b) else b.replace("{", "{{").replace("}", "}}") for b in bits)
     sql = _EACH.sub(r"explode(sequence(\1, \2))", sql)
     return _JS.sub(r"substr(to_json(array(\1)), 2, length(to_json(array(\1))) - 2)", sql)
 
@@ -242,8 +275,10 @@ class Tables:
 
     def __call__(self, name: str) -> DataFrame:
         if name not in VIEWS:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        sql = VIEWS[name]
+            return spread(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
+        return self.sql(VIEWS[name])
+
+    def sql(self, sql: str) -> DataFrame:
         return self.spark.sql(_spark_text(sql), **{ref: self(ref) for ref in set(_REF.findall(sql))})
 
 

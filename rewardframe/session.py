@@ -18,6 +18,7 @@ def local_session(cpus: int | str = "*", app: str = "rewardframe") -> SparkSessi
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -41,6 +42,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than cores, dealt out over the cores; larger scans stay as they are.
+
+    Only small single-file inputs are touched: anything of cluster size has more splits than cores
+    and is never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The frame written to the checkpoint folder, so that several readers share one computation.
 
