@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip, text
+from .text import let, strip, text
 
 
 def shared_chars(a: Column, b: Column) -> Column:
@@ -13,18 +13,22 @@ def shared_chars(a: Column, b: Column) -> Column:
 
     One pass per distinct character that both texts hold, all inside the row: no shuffle.
     """
-    chars = lambda c: F.array_distinct(F.split(c, ""))
-    common = F.filter(F.array_intersect(chars(a), chars(b)), lambda ch: ch != "")
     count = lambda c, ch: F.length(c) - F.length(F.replace(c, ch, F.lit("")))
-    return F.aggregate(
-        common, F.lit(0), lambda n, ch: n + F.least(count(a, ch), count(b, ch))
-    )
+
+    def shared(pair: Column) -> Column:
+        chars = lambda i: F.array_distinct(F.split(F.get(pair, F.lit(i)), ""))
+        common = F.filter(F.array_intersect(chars(0), chars(1)), lambda ch: ch != "")
+        return F.aggregate(
+            common, F.lit(0),
+            lambda n, ch: n + F.least(count(F.get(pair, F.lit(0)), ch), count(F.get(pair, F.lit(1)), ch)),
+        )
+
+    return let(F.array(a, b), shared)
 
 
 def char_f1(pred: Column, gold: Column) -> Column:
     """F1 of the shared characters; null without a gold text."""
     p, g = strip(text(pred)), strip(text(gold))
-    both = shared_chars(p, g)
     # 2PR / (P + R) with P = both / len(p) and R = both / len(g).
-    f1 = F.try_divide(2.0 * both, F.length(p) + F.length(g))
-    return F.when(g != "", F.when(both > 0, f1).otherwise(F.lit(0.0)))
+    f1 = F.try_divide(2.0 * shared_chars(p, g), F.length(p) + F.length(g))
+    return F.when(g != "", F.coalesce(f1, F.lit(0.0)))

@@ -9,7 +9,7 @@ from .hashing import stable_percent
 from .prompts import (
     EMPTY_THINK, FORMAT_INSTRUCTION, IM_END, IM_START, IMAGE_PAD, SYSTEM_PROMPTS, TOOLS_FOOT, TOOLS_HEAD,
 )
-from .text import has_any, last_of, lstrip, rstrip, strip, swap, text
+from .text import has_any, last_of, let, lstrip, rstrip, strip, strip_chars, swap, text
 
 # The turn schema, image tags and caption hints.
 CALL_SCHEMA = "array<struct<name:string,arguments:string,function:struct<name:string,arguments:string>>>"
@@ -42,18 +42,30 @@ def conversation(c: Column) -> Column:
     State is ``json_error``, ``non_standard`` (not a list of two), ``empty_text`` or ``ok``; the
     texts are null unless the state is ``ok``.
     """
-    doc = F.try_parse_json(c)
-    user, assistant = _string_field(doc, "$[0].content"), _string_field(doc, "$[1].content")
-    state = (
-        F.when(doc.isNull(), F.lit("json_error"))
-        .when(F.coalesce(F.json_array_length(c), F.lit(0)) < 2, F.lit("non_standard"))
-        .when((strip(user) == "") | (strip(assistant) == ""), F.lit("empty_text"))
-        .otherwise(F.lit("ok"))
-    )
-    ok = state == "ok"
-    return F.struct(
-        F.when(ok, user).alias("user"), F.when(ok, assistant).alias("assistant"), state.alias("state")
-    )
+    n = F.coalesce(F.json_array_length(c), F.lit(0))
+
+    def parts(doc: Column) -> Column:
+        return F.struct(
+            doc.isNull().alias("bad"), _string_field(doc, "$[0].content").alias("user"),
+            _string_field(doc, "$[1].content").alias("assistant"),
+        )
+
+    def judged(p: Column) -> Column:
+        blank = (strip(p["user"]) == "") | (strip(p["assistant"]) == "")
+        state = (
+            F.when(p["bad"], F.lit("json_error")).when(n < 2, F.lit("non_standard"))
+            .when(blank, F.lit("empty_text")).otherwise(F.lit("ok"))
+        )
+        return F.struct(p["user"].alias("user"), p["assistant"].alias("assistant"), state.alias("state"))
+
+    def finished(p: Column) -> Column:
+        ok = p["state"] == "ok"
+        return F.struct(
+            F.when(ok, p["user"]).alias("user"), F.when(ok, p["assistant"]).alias("assistant"),
+            p["state"].alias("state"),
+        )
+
+    return let(let(let(F.try_parse_json(c), parts), judged), finished)
 
 
 def chat_turns(c: Column) -> Column:
@@ -116,8 +128,15 @@ def question_text(normal: Column) -> Column:
 
 
 def looks_like_caption(c: Column) -> Column:
-    low = F.lower(strip(text(c)))
-    return (low == "") | (~is_question(low) & has_any(low, CAPTION_HINTS))
+    return let(
+        F.lower(strip(text(c))),
+        lambda low: (low == "") | (~is_question(low) & has_any(low, CAPTION_HINTS)),
+    )
+
+
+def worth_asking(c: Column, min_len: int = 15) -> Column:
+    """A question, or longer than ``min_len``."""
+    return let(c, lambda q: is_question(q) | (F.length(q) > min_len))
 
 
 def with_system_prompt(
@@ -174,7 +193,7 @@ def _assistant(t: Column) -> Column:
 
     calls = F.coalesce(F.array_join(F.transform(t["tool_calls"], call), ""), F.lit(""))
     return F.concat(
-        F.lit(f"{IM_START}assistant\n<think>\n"), strip(reasoning, "\n"), F.lit("\n</think>\n\n"),
+        F.lit(f"{IM_START}assistant\n<think>\n"), strip_chars(reasoning, "\n"), F.lit("\n</think>\n\n"),
         lstrip(content, "\n"), calls, F.lit(f"{IM_END}\n"),
     )
 
@@ -188,6 +207,12 @@ def render_chat(
     Assistant turns always carry a think block, neighbouring tool turns share one user turn, and
     tool definitions go into the system header.
     """
+    return let(turns, lambda v: _chat_text(v, tools, generation_prompt, open_thinking))
+
+
+def _chat_text(
+    turns: Column, tools: Column | None, generation_prompt: bool, open_thinking: bool
+) -> Column:
     first = F.get(turns, F.lit(0))
     leads = first["role"] == "system"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import all_matches, first_match, let, strip, text
+from .text import all_matches, first_match, let, strip, strip_chars, text
 
 # Letters, stripped punctuation (in this order), answer phrases.
 CHOICES = "ABCDEFGH"
@@ -45,7 +45,7 @@ def choice_letter(c: Column) -> Column:
     """
     response = strip(text(c))
     for p in PUNCTUATION:
-        response = strip(response, p)
+        response = strip_chars(response, p)
     return let(F.concat(F.lit(" "), response, F.lit(" ")), _best_letter)
 
 

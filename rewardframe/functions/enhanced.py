@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .extract import layered_answer, thinking_part
 from .maths import math_equal
-from .text import count_of, last_match, let, strip, text, words
+from .text import count_of, last_match, let, strip, strip_chars, text, words
 
 # Signal words, ignored prompt words, weights (format, thinking, answer).
 LOGIC_SIGNALS = (
@@ -75,7 +75,7 @@ def normal_choice(c: Column) -> Column:
         lone = F.when(t.rlike(r"\A[A-Ha-h]\z"), F.upper(t))
         return F.coalesce(lone, *[F.when(count_of(t, x) == 1, F.lit(x)) for x in "ABCDEFGH"])
 
-    return let(strip(strip(text(c)), ".,!?;:"), letter)
+    return let(strip_chars(strip(text(c)), ".,!?;:"), letter)
 
 
 def answer_check(pred: Column, gold: Column, answer_type: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import all_matches, both, collapse, first_match, flag, has_any, last_match, let, strip, text
+from .text import all_matches, both, collapse, first_match, flag, has_any, last_match, let, strip, strip_chars, text
 
 # Number and box patterns.
 NUMBER_RUN = r"[0-9.]+"
@@ -40,7 +40,7 @@ def bool_match(pred: Column, gold: Column) -> Column:
 
 def choice_match(pred: Column, gold: Column) -> Column:
     """First character of the answer, punctuation stripped, equals the gold letter."""
-    letter = F.upper(F.substring(strip(strip(pred), ".()"), 1, 1))
+    letter = F.upper(F.substring(strip_chars(strip(pred), ".()"), 1, 1))
     return flag((pred != "") & (letter == F.upper(gold)))
 
 
@@ -66,7 +66,7 @@ def ocr_match(pred: Column, targets: Column) -> Column:
 
 def first_box(c: Column) -> Column:
     """First bracketed number list as doubles; null when there is none."""
-    body = strip(first_match(text(c), BOX, 0), "[]")
+    body = strip_chars(first_match(text(c), BOX, 0), "[]")
     return F.transform(F.split(body, ","), lambda x: strip(x).try_cast("double"))
 
 

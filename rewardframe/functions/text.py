@@ -45,7 +45,12 @@ def both(a: Column, b: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(a, b), use)
 
 
-def strip(c: Column, chars: str = WHITESPACE) -> Column:
+def strip(c: Column) -> Column:
+    """One parameter only: a lambda with two would receive the element's index as well."""
+    return F.btrim(c, F.lit(WHITESPACE))
+
+
+def strip_chars(c: Column, chars: str) -> Column:
     return F.btrim(c, F.lit(chars))
 
 

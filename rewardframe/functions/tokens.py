@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 IGNORE = -100
 
 
@@ -24,17 +26,16 @@ def int_array(values: list[int]) -> Column:
 
 def _starts(ids: Column, marker: list[int]) -> Column:
     """0-based positions at which the marker sequence starts."""
-    span = F.when(F.size(ids) > 0, F.sequence(F.lit(0), F.size(ids) - 1)).otherwise(F.array().cast("array<int>"))
-    whole = int_array(marker)
-    return F.filter(
-        span,
-        lambda i: (F.get(ids, i) == marker[0]) & (F.slice(ids, i + 1, F.lit(len(marker))) == whole),
-    )
+    at = F.filter(F.transform(ids, lambda x, i: F.when(x == marker[0], i)), lambda i: i.isNotNull())
+    return F.filter(at, lambda i: F.slice(ids, i + 1, F.lit(len(marker))) == int_array(marker))
 
 
 def answer_spans(ids: Column, start: list[int], end: list[int], max_length: int) -> Column:
     """Half-open [from, to) spans after each start marker through the next end marker."""
-    ends = _starts(ids, end)
+    return let(ids, lambda x: let(_starts(x, end), lambda ends: _spans(x, ends, start, end, max_length)))
+
+
+def _spans(ids: Column, ends: Column, start: list[int], end: list[int], max_length: int) -> Column:
     entry = "array<struct<a:int,b:int>>"
 
     def step(acc: Column, at: Column) -> Column:
@@ -53,11 +54,14 @@ def answer_spans(ids: Column, start: list[int], end: list[int], max_length: int)
 
 def loss_labels(ids: Column, start: list[int], end: list[int], max_length: int) -> Column:
     """Ids inside answer spans, the ignore label elsewhere."""
-    spans = answer_spans(ids, start, end, max_length)
-    return F.transform(
-        ids,
-        lambda x, i: F.when(F.exists(spans, lambda s: (i >= s["a"]) & (i < s["b"])), x).otherwise(F.lit(IGNORE)),
-    )
+
+    def within(spans: Column) -> Column:
+        return F.transform(
+            ids,
+            lambda x, i: F.when(F.exists(spans, lambda s: (i >= s["a"]) & (i < s["b"])), x).otherwise(F.lit(IGNORE)),
+        )
+
+    return let(answer_spans(ids, start, end, max_length), within)
 
 
 def prompt_length(ids: Column, labels: Column, pad: int) -> Column:
@@ -74,7 +78,8 @@ def prompt_length(ids: Column, labels: Column, pad: int) -> Column:
 
 def labelled_ids(ids: Column, labels: Column) -> Column:
     """Ids at the positions that carry a label."""
-    return F.filter(ids, lambda x, i: F.get(labels, i) != IGNORE)
+    kept = F.zip_with(ids, labels, lambda x, y: F.when(y != IGNORE, x))
+    return F.filter(kept, lambda x: x.isNotNull())
 
 
 def until_eos(ids: Column, eos: int) -> Column:
@@ -85,25 +90,18 @@ def until_eos(ids: Column, eos: int) -> Column:
 
 def completion_mask(ids: Column, eos: int) -> Column:
     """1 up to and including the first end token, 0 after it."""
-    at = F.array_position(ids, F.lit(eos)).cast("int")
-    last = F.when(at > 0, at).otherwise(F.size(ids))
-    return F.transform(ids, lambda _, i: F.when(i < last, 1).otherwise(0))
+    n = F.size(until_eos(ids, eos))
+    return F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.size(ids) - n))
 
 
 def image_runs(ids: Column, marker: int) -> Column:
     """Start and length of every unbroken run of the image marker."""
-    starts = F.filter(
-        F.transform(ids, lambda x, i: F.when((x == marker) & ((i == 0) | (F.get(ids, i - 1) != marker)), i)),
-        lambda i: i.isNotNull(),
-    )
-    # Each run ends before the first other id after its start.
-    others = F.filter(
-        F.transform(ids, lambda x, i: F.when(x != marker, i)), lambda i: i.isNotNull()
-    )
-    return F.transform(
-        starts,
-        lambda s: F.struct(
-            s.alias("at"),
-            (F.coalesce(F.array_min(F.filter(others, lambda o: o > s)), F.size(ids)) - s).alias("n"),
-        ),
-    )
+    here = lambda cond: F.filter(cond, lambda i: i.isNotNull())
+    edge = lambda x, side: F.coalesce(side != marker, F.lit(True)) & (x == marker)
+
+    def runs(v: Column) -> Column:
+        first = here(F.transform(v, lambda x, i: F.when(edge(x, F.get(v, i - 1)), i)))
+        last = here(F.transform(v, lambda x, i: F.when(edge(x, F.get(v, i + 1)), i)))
+        return F.zip_with(first, last, lambda a, b: F.struct(a.alias("at"), (b - a + 1).alias("n")))
+
+    return let(ids, runs)

@@ -7,13 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.chat import is_question, looks_like_caption, normal_user, question_text
+from ..functions.chat import looks_like_caption, normal_user, question_text, worth_asking
 from ..functions.distilling import (
     ANSWER_FOCUSED, EVAL_STYLE, answer_too_long, chat_json, distilled_text, explanation_lines,
     same_text_similarity, think_lines,
 )
 from ..functions.prompts import distill_prompt
-from ..functions.text import strip
+from ..functions.text import let, strip
 from .audit import parsed
 
 # Drop reasons in the order the rules run.
@@ -56,7 +56,7 @@ def candidates(df: DataFrame, rules: DistillRules = DistillRules()) -> DataFrame
         ("no_image_bytes", image == "no_image_bytes"),
         ("non_single_image", image == "multi"),
         ("not_question_or_too_short",
-         ~(is_question(question) | (F.length(question) > rules.min_user_len))),
+         ~worth_asking(question, rules.min_user_len)),
         ("caption_like", looks_like_caption(question)),
     ])
     return (
@@ -71,6 +71,40 @@ def candidates(df: DataFrame, rules: DistillRules = DistillRules()) -> DataFrame
     )
 
 
+def _reply_outcome(reply: Column, ref: Column, rules: DistillRules) -> Column:
+    """Struct (reason, made, n_lines, similarity) of a reply; a null reason passes every rule."""
+
+    def checked(x: Column) -> Column:
+        explanation, made = F.array_join(x["shown"], " "), x["made"]
+        short = (F.length(made) < rules.min_total_len) | (F.size(x["shown"]) < rules.min_think_lines)
+        # The answer is carried over from the reference, so its similarity is that of equal texts.
+        sim = same_text_similarity(ref, ref)
+        reason = _first_failing([
+            ("api_fail", F.coalesce(reply, F.lit("")) == ""),
+            ("no_think", x["n"] == 0),
+            ("no_answer", ref == ""),
+            ("answer_too_long", answer_too_long(ref, ref, rules.max_answer_ratio)),
+            ("answer_focused_explanation", explanation.rlike(ANSWER_FOCUSED)),
+            ("explanation_eval_style", explanation.rlike(EVAL_STYLE)),
+            ("too_short", short),
+            ("inconsistent_answer", sim < rules.similarity_threshold),
+        ])
+        return F.struct(
+            reason.alias("reason"), made.alias("made"), F.size(x["shown"]).alias("n_lines"),
+            sim.alias("similarity"),
+        )
+
+    def shown(x: Column) -> Column:
+        return F.struct(
+            x["n"].alias("n"), x["made"].alias("made"), explanation_lines(x["made"]).alias("shown")
+        )
+
+    def made(kept: Column) -> Column:
+        return F.struct(F.size(kept).alias("n"), distilled_text(kept, ref).alias("made"))
+
+    return let(let(let(think_lines(reply), made), shown), checked)
+
+
 def funnel(
     df: DataFrame, replies: DataFrame, key: str = "id", rules: DistillRules = DistillRules()
 ) -> DataFrame:
@@ -84,30 +118,15 @@ def funnel(
         key, "reply",
         (F.col("latency") if "latency" in replies.columns else F.lit(None).cast("double")).alias("latency"),
     )
-    rows = (
-        cand.join(answers, key, "left")
-        .withColumn("lines", think_lines(F.col("reply")))
-        .withColumn("new_assistant", distilled_text(F.col("lines"), F.col("ref_answer")))
-        .withColumn("shown_lines", explanation_lines(F.col("new_assistant")))
+    out = F.col("outcome")
+    rows = cand.join(answers, key, "left").withColumn(
+        "outcome", _reply_outcome(F.col("reply"), F.col("ref_answer"), rules)
     )
-    ref, made = F.col("ref_answer"), F.col("new_assistant")
-    explanation = F.array_join("shown_lines", " ")
-    sim = same_text_similarity(ref, ref)
-    late = _first_failing([
-        ("api_fail", F.coalesce(F.col("reply"), F.lit("")) == ""),
-        ("no_think", F.size("lines") == 0),
-        ("no_answer", ref == ""),
-        ("answer_too_long", answer_too_long(ref, ref, rules.max_answer_ratio)),
-        ("answer_focused_explanation", explanation.rlike(ANSWER_FOCUSED)),
-        ("explanation_eval_style", explanation.rlike(EVAL_STYLE)),
-        ("too_short", (F.length(made) < rules.min_total_len) | (F.size("shown_lines") < rules.min_think_lines)),
-        ("inconsistent_answer", sim < rules.similarity_threshold),
-    ])
-    reason = F.coalesce(F.col("early_reason"), late, F.lit("keep"))
+    reason = F.coalesce(F.col("early_reason"), out["reason"], F.lit("keep"))
     return rows.withColumn("drop_reason", reason).select(
-        key, "drop_reason", "early_reason", "new_user", "new_assistant", "latency",
-        F.size("shown_lines").alias("n_lines"),
-        F.when(F.col("drop_reason").isin("keep", "inconsistent_answer"), sim).alias("similarity"),
+        key, "drop_reason", "early_reason", "new_user", out["made"].alias("new_assistant"), "latency",
+        out["n_lines"].alias("n_lines"),
+        F.when(F.col("drop_reason").isin("keep", "inconsistent_answer"), out["similarity"]).alias("similarity"),
     )
 
 

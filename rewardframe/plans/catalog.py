@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import chat, scoring  # noqa: F401
+from . import chat, judging, rollouts, scoring  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -204,8 +204,7 @@ def _(t):
 
 @query("b9_long_or_question", f"WITH {PARSED} SELECT id, question FROM qs WHERE {_ASKS.format('question')} OR length(question) > 15")
 def _(t):
-    q = F.col("question")
-    return _questions(t).filter(chat.is_question(q) | (F.length(q) > 15)).select("id", "question")
+    return _questions(t).filter(chat.worth_asking(F.col("question"))).select("id", "question")
 
 
 @query("b10_caption_like", f"WITH {PARSED} SELECT id, {CAPTION_SQL} AS caption FROM qs")
@@ -289,11 +288,11 @@ def _funnel(t: Tables) -> DataFrame:
     return funnel(chat_table(t), t("replies"))
 
 
-@query("b16_min_length", f"WITH {FUNNEL} SELECT id, length(made) AS chars, len(shown) AS n_lines, coalesce(length(made) < 40 OR len(shown) < 1, TRUE) AS short FROM fun")
+@query("b16_min_length", f"WITH {FUNNEL} SELECT id, coalesce(length(made), -1) AS chars, len(shown) AS n_lines, coalesce(length(made) < 40 OR len(shown) < 1, TRUE) AS short FROM fun")
 def _(t):
     f = _funnel(t)
     n = F.length("new_assistant")
-    return f.select("id", n.alias("chars"), "n_lines", F.coalesce((n < 40) | (F.col("n_lines") < 1), F.lit(True)).alias("short"))
+    return f.select("id", F.coalesce(n, F.lit(-1)).alias("chars"), "n_lines", F.coalesce((n < 40) | (F.col("n_lines") < 1), F.lit(True)).alias("short"))
 
 
 @query("b17_similarity")
@@ -352,7 +351,7 @@ def _(t):
 
 
 @query("b21_distill_job", f"""WITH {FUNNEL} SELECT id, {REWRITTEN} AS conversations,
-    CASE WHEN n_images = 1 THEN 1 ELSE 2 END AS n_images, {_IMG_LEN.replace('conversations', 'old')} AS image_bytes FROM (SELECT *, conversations AS old FROM fun) WHERE drop_reason = 'keep'""")
+    CAST(CASE WHEN n_images = 1 THEN 1 ELSE 2 END AS BIGINT) AS n_images, {_IMG_LEN.replace('conversations', 'old')} AS image_bytes FROM (SELECT *, conversations AS old FROM fun) WHERE drop_reason = 'keep'""")
 def _(t):
     # The whole job: funnel, survivors written under the input columns, read back.
     chats = chat_table(t)
@@ -396,7 +395,7 @@ def _turns(t: Tables) -> DataFrame:
 
 @query("c1_system_prompt", f"""SELECT id, CASE WHEN shape IN (0, 2) AND {percent_sql('system', 'id')} < 2000 THEN {_PICK}
     WHEN shape = 1 THEN 'be kind <image>' WHEN shape = 3 THEN 'sys' ELSE user_text END AS first_text,
-    CASE shape WHEN 2 THEN 5 WHEN 1 THEN 3 WHEN 3 THEN 3 ELSE 2 END + CASE WHEN shape IN (0, 2) AND {percent_sql('system', 'id')} < 2000 THEN 1 ELSE 0 END AS n_turns FROM dialogs""")
+    CAST(CASE shape WHEN 2 THEN 5 WHEN 1 THEN 3 WHEN 3 THEN 3 ELSE 2 END + CASE WHEN shape IN (0, 2) AND {percent_sql('system', 'id')} < 2000 THEN 1 ELSE 0 END AS BIGINT) AS n_turns FROM dialogs""")
 def _(t):
     x = _turns(t).withColumn("turns", chat.with_system_prompt(F.col("turns"), F.col("id"), "Ada"))
     return x.select("id", F.get("turns", F.lit(0))["content"].alias("first_text"), F.size("turns").alias("n_turns"))
@@ -519,7 +518,7 @@ SEG = f"""{CUT}, s AS (SELECT *, regexp_extract_all(cut, '(?s)<a>(.*?)(?:</a>|$)
   regexp_extract_all(cut, '(?s)<a>((?:.*?)(?:</a>|$))', 1) AS segs FROM c)"""
 
 
-@query("c8_pad_right", f"WITH {CUT} SELECT id, {MAX_LEN} AS n, {sum_sql('cut')} AS total, greatest(0, {MAX_LEN} - length(t)) AS pads FROM c")
+@query("c8_pad_right", f"WITH {CUT} SELECT id, CAST({MAX_LEN} AS BIGINT) AS n, {sum_sql('cut')} AS total, greatest(0, {MAX_LEN} - length(t)) AS pads FROM c")
 def _(t):
     ids = t("spoken").select("id", tokens.pad_right(_ids("t"), MAX_LEN, PAD).alias("ids"))
     return ids.select(
@@ -561,7 +560,7 @@ def _(t):
 
 @query("c13_collate", f"""WITH x AS (SELECT id, batch, left(user_text, 300) AS cut FROM spoken),
     w AS (SELECT *, max(length(cut)) OVER (PARTITION BY batch) AS width FROM x)
-    SELECT id, width AS n, length(cut) AS mask_sum, {sum_sql('cut')} AS total, CASE WHEN width > length(cut) THEN {PAD} ELSE unicode(cut) END AS first_id FROM w""")
+    SELECT id, width AS n, length(cut) AS mask_sum, {sum_sql('cut')} AS total, CAST(CASE WHEN width > length(cut) THEN {PAD} ELSE unicode(cut) END AS BIGINT) AS first_id FROM w""")
 def _(t):
     x = t("spoken").select("id", "batch", _ids("user_text").alias("ids"))
     return collate(x, "batch", "ids", 300, PAD).select(

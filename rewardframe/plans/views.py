@@ -17,7 +17,7 @@ VIEWS: dict[str, str] = {}
 # One sample per line item: problem, gold answer, answer type.
 VIEWS["gold"] = """
 SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING)
-         || '-' || CAST(l_suppkey AS STRING) AS id,
+         || '-' || CAST(l_suppkey AS STRING) || '-' || CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING) AS id,
        l_orderkey + l_linenumber + l_partkey AS n, CAST(floor(l_orderkey / 64) AS BIGINT) AS step,
        'How many units in line ' || CAST(l_linenumber AS STRING) || '?' AS problem,
        CASE (l_orderkey + l_linenumber) % 11
