@@ -93,7 +93,7 @@ def cache_lookup(df: DataFrame, cache: DataFrame, now: Column, ttl_seconds: int
 
     ``cache`` holds at most one (key, score, ts) per key; misses keep a null score.
     """
-    age = now.cast("double") - F.col("ts").cast("double")
+    age = now.cast("double") - F.col("ts").cast("timestamp").cast("double")
     fresh = cache.filter(age < ttl_seconds).select("key", "score", F.lit(True).alias("hit"))
     return (
         df.withColumn("key", request_key()).join(fresh, "key", "left")
@@ -103,7 +103,7 @@ def cache_lookup(df: DataFrame, cache: DataFrame, now: Column, ttl_seconds: int
 
 def cache_misses(df: DataFrame, cache: DataFrame, now: Column, ttl_seconds: int = 3600) -> DataFrame:
     """One request per key that has no fresh cache entry."""
-    age = now.cast("double") - F.col("ts").cast("double")
+    age = now.cast("double") - F.col("ts").cast("timestamp").cast("double")
     return unique_requests(df).join(cache.filter(age < ttl_seconds).select("key"), "key", "left_anti")
 
 

@@ -289,12 +289,12 @@ def _(t):
 @query("g4_cache_update", f"""WITH {CACHE}, fresh AS (SELECT key, 0.25 AS score, max(ts) AS ts FROM keyed WHERE ts >= TIMESTAMP '{HALF}' GROUP BY key),
     al AS (SELECT key, CAST(score AS DOUBLE) AS score, ts FROM cache UNION ALL SELECT key, CAST(score AS DOUBLE), ts FROM fresh),
     l AS (SELECT key, max(ts) AS ts, arg_max(score, ts) AS score FROM al GROUP BY key)
-    SELECT key, score, epoch_us(ts) AS at_us FROM l ORDER BY ts DESC, key LIMIT 700""")
+    SELECT key, score, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at FROM l ORDER BY ts DESC, key LIMIT 700""")
 def _(t):
     new = t("requests").filter(F.col("ts") >= F.lit(HALF).cast("timestamp")).withColumn("key", judge.request_key())
     scored = new.groupBy("key").agg(F.max("ts").alias("ts")).withColumn("score", F.lit(0.25))
     out = judge.cache_update(_cache(t), scored, 700)
-    return out.select("key", "score", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"))
+    return out.select("key", "score", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))
 
 
 @query("g5_request_batches", f"WITH {KEYED} SELECT key, prompt, CAST(floor((row_number() OVER (ORDER BY key) - 1) / 32) AS BIGINT) AS batch FROM uniq")
@@ -363,11 +363,11 @@ def _(t):
     return t.spark.read.parquet(out).select("key", "source")
 
 
-@query("g9_window_counts", "SELECT epoch(time_bucket(INTERVAL '1 day', ts)) AS window_start, count(*) AS requests FROM requests WHERE ts < TIMESTAMP '2024-01-29 00:00:00' GROUP BY 1")
+@query("g9_window_counts", "SELECT strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d') AS window_start, count(*) AS requests FROM requests WHERE ts < TIMESTAMP '2024-01-29 00:00:00' GROUP BY 1")
 def _(t):
     out = scratch(t.spark)
     counts = window_counts(_request_stream(t), "1 day", "0 seconds")
     start_window_counts(counts, out, scratch(t.spark)).awaitTermination()
     # Windows the watermark has not yet closed stay in the state; compare the closed ones.
     closed = t.spark.read.parquet(out).filter(F.col("window_start") < F.lit("2024-01-29").cast("timestamp"))
-    return closed.select(F.col("window_start").cast("double").alias("window_start"), "requests")
+    return closed.select(F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "requests")

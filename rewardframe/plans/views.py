@@ -174,7 +174,7 @@ FROM {documents}
 
 # Judge requests with many duplicates.
 VIEWS["requests"] = """
-SELECT event_id AS request_id, ts, 'user ' || CAST(user_id % 20 AS STRING) AS prompt,
+SELECT event_id AS request_id, CAST(ts AS TIMESTAMP) AS ts, 'user ' || CAST(user_id % 20 AS STRING) AS prompt,
        event_type || ' ' || CAST(CAST(floor(value) AS BIGINT) % 10 AS STRING) AS completion,
        CASE WHEN event_id % 9 = 4 THEN NULL ELSE upper(substr(event_type, 1, 1)) || substr(event_type, 2) END AS answer, 'ANY' AS answer_type
 FROM {events}
