@@ -362,18 +362,18 @@ def _(t):
     )
 
 
-@query("a8_write_kept")
+@query("a8_write_kept", "SELECT id, length(conversations) AS chars FROM chats")
 def _(t):
     chats, path = chat_table(t), scratch(t.spark)
     src.write_kept(chats, chats.columns, path)
     return t.spark.read.parquet(path).select("id", F.length("conversations").alias("chars"))
 
 
-@query("a9_report_json")
+@query("a9_report_json", f"""WITH {FUNNEL} SELECT count(*) AS total, {_N('keep')} AS keep, {q6(f"{_N('keep')} / greatest(count(*), 1)")} AS keep_ratio FROM fun""")
 def _(t):
     path = scratch(t.spark)
     src.write_report(distill_report(_funnel(t)), path)
-    return t.spark.read.json(path).select("total", "keep", "keep_ratio")
+    return t.spark.read.json(path).select("total", "keep", r6(F.col("keep_ratio")).alias("keep_ratio"))
 
 
 # --- rendering -----------------------------------------------------------------------------------

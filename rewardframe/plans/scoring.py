@@ -107,8 +107,12 @@ def _core(x: str) -> str:
 
 
 _PHRASE = "|".join(choices.ANSWER_PHRASES)
-MCQ_CTES = f"""m0 AS (SELECT *, ' ' || {_core('pred')} || ' ' AS r FROM mcq),
-m AS (SELECT id, pred, gold, CASE WHEN NOT regexp_matches({trim('r')}, '[A-H]') THEN '' ELSE coalesce(
+
+
+def mcq_ctes(src: str) -> str:
+    """Rows of ``src`` (pred, gold, ...) with the choice letter of the prediction, as ``m``."""
+    return f"""m0 AS (SELECT *, ' ' || {_core('pred')} || ' ' AS r FROM {src}),
+m AS (SELECT * EXCLUDE (r), CASE WHEN NOT regexp_matches({trim('r')}, '[A-H]') THEN '' ELSE coalesce(
   nullif(regexp_extract({trim('r')}, '^([A-H])', 1), ''), nullif(regexp_extract({trim('r')}, '([A-H])$', 1), ''),
   {_numbered()},
   CASE WHEN regexp_matches(lower(r), '{_PHRASE}') THEN nullif(regexp_extract(substr(r, instr(lower(r), regexp_extract(lower(r), '{_PHRASE}'))), '[A-H]'), '') END,
@@ -116,13 +120,22 @@ m AS (SELECT id, pred, gold, CASE WHEN NOT regexp_matches({trim('r')}, '[A-H]')
   {_tier([('', '-'), ('', '_'), ('', '=')])}, {_tier([('', '')])}, '') END AS letter FROM m0)"""
 
 
-@query("e5_choice_letter", f"WITH {MCQ_CTES} SELECT id, letter FROM m")
+RELAXED_SQL = (
+    f"CASE WHEN regexp_matches(gold, '^[A-H]$') THEN {flag_sql('letter = gold')} ELSE "
+    + flag_sql(
+        "(contains(gold, pred) AND length(pred) >= 0.9 * length(gold)) OR (contains(pred, gold) "
+        f"AND length(gold) >= 0.9 * length(pred)) OR {trim('pred')} = {trim('gold')}"
+    )
+    + " END"
+)
+
+
+@query("e5_choice_letter", f"WITH {mcq_ctes('mcq')} SELECT id, letter FROM m")
 def _(t):
     return t("mcq").select("id", choices.choice_letter(F.col("pred")).alias("letter"))
 
 
-@query("e6_relaxed_match", f"""WITH {MCQ_CTES} SELECT id, CASE WHEN regexp_matches(gold, '^[A-H]$') THEN {flag_sql('letter = gold')}
-  ELSE {flag_sql(f"(contains(gold, pred) AND length(pred) >= 0.9 * length(gold)) OR (contains(pred, gold) AND length(gold) >= 0.9 * length(pred)) OR {trim('pred')} = {trim('gold')}")} END AS score FROM m""")
+@query("e6_relaxed_match", f"WITH {mcq_ctes('mcq')} SELECT id, {RELAXED_SQL} AS score FROM m")
 def _(t):
     return t("mcq").select("id", choices.relaxed_match(F.col("pred"), F.col("gold")).alias("score"))
 
@@ -138,8 +151,9 @@ FORMAT_SQL = (
 )
 
 
-# The free-form letters of rollouts are single: first, last or only letters decide.
-@query("e7_rule_score")
+@query("e7_rule_score", f"""WITH rs AS (SELECT id, g, {plain_sql(trim(TAGGED_SQL))} AS pred, {plain_sql('answer')} AS gold, {FORMAT_SQL} AS fs FROM rollouts),
+    {mcq_ctes('rs')}, ac AS (SELECT *, CASE WHEN {RELAXED_SQL} > 0 OR {math_method_sql('pred', 'gold')} <> 'none' THEN 1.0 ELSE 0.0 END AS acc FROM m)
+    SELECT id, g, pred AS predict_str, gold AS ground_truth, {q6('acc')} AS acc_score, {q6('fs')} AS format_score, {q6('0.9 * acc + 0.1 * fs')} AS score FROM ac""")
 def _(t):
     return rule_scores(t("rollouts")).select(
         "id", "g", "predict_str", "ground_truth", r6(F.col("acc_score")).alias("acc_score"),
