@@ -130,13 +130,20 @@ def funnel(
     )
 
 
-def kept_chats(df: DataFrame, funnelled: DataFrame, key: str = "id") -> DataFrame:
-    """Survivors with the rewritten conversation; every other input column unchanged."""
+def kept_chats(
+    df: DataFrame, funnelled: DataFrame, key: str = "id", rules: DistillRules = DistillRules()
+) -> DataFrame:
+    """Survivors with the rewritten conversation; every other input column unchanged.
+
+    The call-free rules run again on the scan, so that only rows worth a call carry their image bytes
+    into the join.
+    """
     new = funnelled.filter(F.col("drop_reason") == "keep").select(
         key, chat_json(F.col("new_user"), F.col("new_assistant")).alias("_new")
     )
     cols = [F.col("_new").alias(c) if c == "conversations" else F.col(c) for c in df.columns]
-    return df.join(new, key).select(*cols)
+    asked = candidates(df, rules).filter(F.col("early_reason").isNull()).select(*df.columns)
+    return asked.join(new, key).select(*cols)
 
 
 def drop_counts(funnelled: DataFrame) -> DataFrame:

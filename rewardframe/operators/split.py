@@ -35,11 +35,9 @@ def epoch_plan(
     order = hash_rank(df.select(id_col), digest, [id_col])
     if shards > 1:
         total = df.agg(F.count("*")).scalar()
-        # Fewer rows than there are shards.
-        filler = order.filter(F.col("position") < F.pmod(-total, F.lit(shards))).withColumn(
-            "position", F.col("position") + total
-        )
-        order = order.unionByName(filler)
+        at = F.col("position")
+        again = F.when(at < F.pmod(-total, F.lit(shards)), F.array(at, at + total)).otherwise(F.array(at))
+        order = order.withColumn("position", F.explode(again))
     in_shard = F.floor(F.col("position") / shards)
     return (
         order.withColumn("shard", (F.col("position") % shards).cast("int"))

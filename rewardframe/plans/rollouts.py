@@ -180,9 +180,8 @@ def _(t):
 
 @query("a10_generations", """SELECT step, CAST(1 AS BIGINT) AS epoch, count(*) AS num_samples, md5(string_agg(completion, '|' ORDER BY id, g)) AS texts FROM rollouts GROUP BY step""")
 def _(t):
-    rows = t("rollouts").withColumn("place", F.struct("id", "g"))
     path = scratch(t.spark)
-    src.append_records(src.generations(rows, F.col("step"), "completion", "place"), path)
+    src.append_records(src.generations(t("rollouts"), F.col("step"), "completion", ["id", "g"]), path)
     back = t.spark.read.schema("step bigint, epoch bigint, num_samples bigint, gen_texts array<string>").json(path)
     return back.select("step", "epoch", "num_samples", F.md5(F.array_join("gen_texts", "|")).alias("texts"))
 

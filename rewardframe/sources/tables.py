@@ -48,7 +48,7 @@ def preview(df: DataFrame, key: str, n: int = 3) -> DataFrame:
     """First n rows by key: turns (null where the chat does not parse), the raw chat, image count and
     sizes, and the size of the whole table."""
     total = df.agg(F.count("*")).scalar()
-    return newest(df, [F.col(key)], [key], n).select(
+    return first_rows(df, key, n).select(
         key,
         chat_turns(F.col("conversations")).alias("turns"),
         F.col("conversations").alias("raw"),
@@ -73,8 +73,11 @@ def spread_preview(df: DataFrame, key: str, parts: int = 5) -> DataFrame:
 
 
 def first_rows(df: DataFrame, key: str, k: int = 100) -> DataFrame:
-    """The first k rows in key order."""
-    return newest(df, [F.col(key)], [key], k)
+    """The first k rows in the order of a unique key.
+
+    Only keys are ordered; the rows, images included, are picked by a semi join.
+    """
+    return df.join(newest(df.select(key), [F.col(key)], [key], k), key, "left_semi")
 
 
 def capped(df: DataFrame, key: str, max_samples: int | None) -> DataFrame:
@@ -108,11 +111,19 @@ def read_eval_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EVAL_SCHEMA).json(path)
 
 
-def generations(df: DataFrame, step: Column, text: str, order: str, epoch: int = 1) -> DataFrame:
-    """(epoch, step, num_samples, gen_texts) records; a step holds one batch of completions."""
-    return df.groupBy(step.alias("step")).agg(
+def generations(
+    df: DataFrame, step: Column, text: str, order: list[str], epoch: int = 1, max_texts: int = 4096
+) -> DataFrame:
+    """(epoch, step, part, num_samples, gen_texts) records.
+
+    A step is one training batch and makes one record, part 0.  A step with more texts than fit a
+    record is dealt out over several parts, so that no task gathers an unbounded list.
+    """
+    rows = df.withColumn("step", step).select("step", *order, F.col(text).alias("_text"))
+    sizes = rows.groupBy("step").agg(F.ceil(F.count("*") / max_texts).alias("_parts"))
+    part = F.pmod(F.xxhash64(*order), F.col("_parts")).cast("int")
+    place = F.struct(*order, "_text")
+    return rows.join(sizes, "step").withColumn("part", part).groupBy("step", "part").agg(
         F.lit(epoch).alias("epoch"), F.count("*").alias("num_samples"),
-        F.transform(
-            F.array_sort(F.collect_list(F.struct(F.col(order), F.col(text).alias("t")))), lambda s: s["t"]
-        ).alias("gen_texts"),
+        F.transform(F.array_sort(F.collect_list(place)), lambda s: s["_text"]).alias("gen_texts"),
     )

@@ -37,7 +37,7 @@ def cached_stream(unique: DataFrame, cache: DataFrame, ttl_seconds: int, ts: str
 def start_judging(
     unique: DataFrame, out: str, checkpoint: str,
     score: Callable[[DataFrame], DataFrame] = rule_judged,
-    interval: str | None = None, ts: str = "ts",
+    interval: str | None = None,
 ) -> StreamingQuery:
     """Scores every micro-batch into ``out/batch=N``; a replayed batch overwrites its own folder.
 
@@ -47,14 +47,17 @@ def start_judging(
     has_cache = "cached_score" in unique.columns
 
     def write(batch: DataFrame, number: int) -> None:
-        todo = batch.filter(F.col("cached_score").isNull()) if has_cache else batch
+        rows = batch.persist() if has_cache else batch
+        todo = rows.filter(F.col("cached_score").isNull()) if has_cache else rows
         done = score(todo).select("key", "score", F.lit("judge").alias("source"))
         if has_cache:
-            known = batch.filter(F.col("cached_score").isNotNull())
+            known = rows.filter(F.col("cached_score").isNotNull())
             done = done.unionByName(
                 known.select("key", F.col("cached_score").alias("score"), F.lit("cache").alias("source"))
             )
-        done.join(batch.select("key", ts), "key").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        done.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if has_cache:
+            rows.unpersist()
 
     writer = unique.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
