@@ -43,9 +43,9 @@ def chat_table(t: Tables) -> DataFrame:
 
 # --- sources and sinks ---------------------------------------------------------------------------
 
-@query("a1_read_chats", f"""SELECT id, 'many' AS kind, CASE WHEN n_images = 4 THEN -1 WHEN n_images < 2 THEN n_images ELSE 2 END AS n,
+@query("a1_read_chats", f"""SELECT id, 'many' AS kind, CAST(CASE WHEN n_images = 4 THEN -1 WHEN n_images < 2 THEN n_images ELSE 2 END AS BIGINT) AS n,
       length(conversations) AS chars FROM chats
-    UNION ALL SELECT id, 'one', CASE WHEN n_images IN (0, 4) THEN -1 ELSE 1 END, length(conversations) FROM chats""")
+    UNION ALL SELECT id, 'one', CAST(CASE WHEN n_images IN (0, 4) THEN -1 ELSE 1 END AS BIGINT), length(conversations) FROM chats""")
 def _(t):
     rows = chat_table(t).withColumnRenamed("images", "image_bytes")
     many, one = scratch(t.spark), scratch(t.spark)
@@ -75,14 +75,14 @@ def _(t):
     )
 
 
-@query("a3_preview", f"""SELECT id, CASE WHEN json_valid(conversations) AND starts_with(conversations, '[') THEN json_array_length(CASE WHEN json_valid(conversations) THEN conversations ELSE '[]' END) ELSE -1 END AS n_turns,
-    CASE WHEN n_images = 4 THEN 0 WHEN n_images < 2 THEN n_images ELSE 2 END AS n_images,
+@query("a3_preview", f"""SELECT id, CASE WHEN json_valid(conversations) AND starts_with(conversations, '[') THEN CAST(json_array_length(CASE WHEN json_valid(conversations) THEN conversations ELSE '[]' END) AS BIGINT) ELSE CAST(-1 AS BIGINT) END AS n_turns,
+    CAST(CASE WHEN n_images = 4 THEN 0 WHEN n_images < 2 THEN n_images ELSE 2 END AS BIGINT) AS n_images,
     CASE WHEN n_images = 4 THEN '' WHEN n_images = 0 THEN '' WHEN n_images = 1 THEN CAST({_IMG_LEN} AS VARCHAR)
       WHEN n_images = 2 THEN CAST({_IMG_LEN} AS VARCHAR) || ',0' ELSE CAST({_IMG_LEN} AS VARCHAR) || ',' || CAST({_IMG_LEN} AS VARCHAR) END AS sizes,
     conversations AS raw, (SELECT count(*) FROM chats) AS total_rows FROM chats ORDER BY id LIMIT 20""")
 def _(t):
     return src.preview(chat_table(t), "id", 20).select(
-        "id", F.coalesce(F.size("turns"), F.lit(-1)).alias("n_turns"), "n_images",
+        "id", F.coalesce("n_turns", F.lit(-1)).alias("n_turns"), "n_images",
         F.coalesce(F.array_join(F.col("image_sizes").cast("array<string>"), ","), F.lit("")).alias("sizes"),
         "raw", "total_rows",
     )

@@ -45,12 +45,13 @@ def read_rl_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def preview(df: DataFrame, key: str, n: int = 3) -> DataFrame:
-    """First n rows by key: turns (null where the chat does not parse), the raw chat, image count and
-    sizes, and the size of the whole table."""
+    """First n rows by key: turns (null where the chat is not a list of turns), the number of list
+    items (null where it does not parse), the raw chat, image count and sizes, and the table's size."""
     total = df.agg(F.count("*")).scalar()
     return first_rows(df, key, n).select(
         key,
         chat_turns(F.col("conversations")).alias("turns"),
+        F.json_array_length("conversations").alias("n_turns"),
         F.col("conversations").alias("raw"),
         F.coalesce(F.size("images"), F.lit(0)).alias("n_images"),
         F.transform("images", F.length).alias("image_sizes"),
