@@ -141,6 +141,37 @@ def judge_int(reply: Column) -> Column:
     return F.coalesce(F.when(s.rlike(r"\A[+-]?\d+\z"), s.try_cast("int")), F.lit(0))
 
 
+def detailed_result(reply: Column) -> Column:
+    """Struct of a reply with nested detail scores.
+
+    A reply without a usable score counts as failed: zeros.  Without details, or without an accuracy
+    among them, the answer score is the total score.
+    """
+    return let(let(strip(text(reply)), _as_map), _detailed)
+
+
+def _detailed(m: Column) -> Column:
+    score = F.try_element_at(m, F.lit("score")).try_cast("double")
+    details = F.try_element_at(m, F.lit("detailed_scores"))
+    failed = score.isNull()
+
+    def parts(d: Column) -> Column:
+        part = lambda key: F.try_element_at(d, F.lit(key)).try_cast("double")
+        zero = lambda c: F.when(failed, 0.0).otherwise(F.coalesce(c, F.lit(0.0)))
+        why = F.coalesce(F.try_element_at(m, F.lit("explanation")), F.lit(""))
+        sure = F.coalesce(F.try_element_at(m, F.lit("confidence")).try_cast("double"), F.lit(0.8))
+        return F.struct(
+            zero(score).alias("score"), zero(part("reasoning")).alias("thinking_score"),
+            zero(F.coalesce(part("accuracy"), score)).alias("answer_score"),
+            zero(part("format")).alias("format_score"),
+            F.when(failed, F.lit("Judge model failed")).otherwise(why).alias("explanation"),
+            zero(sure).alias("confidence"),
+            F.lit("vllm_judge").alias("source"), F.lit("vllm_model").alias("validation_method"),
+        )
+
+    return let(_as_map(F.coalesce(details, F.lit(""))), parts)
+
+
 def weighted_judge(fmt: Column, reasoning: Column, answer: Column, prompt_type: Column) -> Column:
     """Total of three judge parts; weights follow the prompt type."""
     total = lambda w: w[0] * fmt + w[1] * reasoning + w[2] * answer

@@ -14,6 +14,7 @@ from .ranks import hash_rank, order_rank
 
 KEY_COLUMNS = ("prompt", "completion", "answer", "answer_type")
 SMALL_LIMIT = 100_000
+MAX_BATCH = 128  # Fixed value: largest batch a judge accepts.
 # Takes one pandas batch of requests, gives a score and an explanation for each row.
 JudgeFn = Callable[[pd.DataFrame], pd.DataFrame]
 
@@ -128,12 +129,21 @@ def cache_update(cache: DataFrame, scored: DataFrame, max_size: int = 10_000) ->
 
 def request_batches(df: DataFrame, size: int = 32) -> DataFrame:
     """Unique requests with a batch number; every batch but the last holds ``size`` of them."""
+    size = min(size, MAX_BATCH)
     ranked = hash_rank(unique_requests(df), F.col("key"), [], "position")
     return ranked.withColumn("batch", F.floor(F.col("position") / size))
 
 
 def with_fallback(df: DataFrame, judge: str = "judge_score", rule: str = "rule_reward") -> DataFrame:
-    """Judge score where there is one, else the rule reward, with its source."""
+    """Judge score where there is one, else the rule reward, with its source.
+
+    An ``explanation`` column, where there is one, says why the judge was passed over.
+    """
+    if "explanation" in df.columns:
+        failed = F.concat(F.lit("Fallback to rule-based reward: "), F.coalesce("explanation", F.lit("")))
+        df = df.withColumn(
+            "explanation", F.when(F.col(judge).isNull(), failed).otherwise(F.col("explanation"))
+        )
     return df.withColumn("score", F.coalesce(judge, rule, F.lit(0.0))).withColumn(
         "source",
         F.when(F.col(judge).isNotNull(), F.lit("judge"))

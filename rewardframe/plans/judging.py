@@ -227,6 +227,15 @@ def _(t):
     return v.select("id", r6(total).alias("score"))
 
 
+@query("e48_detailed_result", f"""SELECT id, {q6('CASE WHEN k < 3 THEN CAST(v AS DOUBLE) ELSE 0.0 END')} AS score, {q6('CASE k WHEN 0 THEN CAST(v AS DOUBLE) ELSE 0.0 END')} AS thinking_score,
+    {q6('CASE k WHEN 0 THEN 0.25 WHEN 1 THEN CAST(v AS DOUBLE) WHEN 2 THEN CAST(v AS DOUBLE) ELSE 0.0 END')} AS answer_score, {q6('CASE k WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 ELSE 0.0 END')} AS format_score,
+    {q6('CASE k WHEN 0 THEN 0.9 WHEN 1 THEN 0.8 WHEN 2 THEN 0.8 ELSE 0.0 END')} AS confidence FROM details""")
+def _(t):
+    d = t("details").select("id", judging.detailed_result(F.col("reply")).alias("d")).select("id", "d.*")
+    cols = ("score", "thinking_score", "answer_score", "format_score", "confidence")
+    return d.select("id", *[r6(F.col(c)).alias(c) for c in cols])
+
+
 @query("e49_standard_result", f"""WITH {ENHANCED} SELECT id, {q6('ans')} AS acc_reward, {q6('th')} AS thinking_reward, {q6('total')} AS reward,
     'enhanced_judge' AS source, method AS validation_method, prompt_type, {q6("CASE WHEN id % 3 = 0 THEN 0.5 * " + flag_sql(f"len(list_filter(regexp_extract_all(completion, '{_THINK}', 1), lambda b: regexp_matches(b, '{FOUR}'))) > 0") + " ELSE 0.0 END")} AS spatial FROM en""")
 def _(t):

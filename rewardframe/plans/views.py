@@ -220,6 +220,17 @@ SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'thinking' ELSE 'normal'
 FROM (SELECT event_id, event_type, CAST(floor(value) / 64 AS STRING) AS v, event_type || ' broken' AS broken FROM {events}) t
 """
 
+# Judge replies with nested detail scores.
+VIEWS["details"] = """
+SELECT event_id AS id, event_id % 5 AS k, v,
+       CASE event_id % 5
+         WHEN 0 THEN '{"score": ' || v || ', "explanation": "' || event_type || '", "detailed_scores": {"format": 0.5, "accuracy": 0.25, "reasoning": ' || v || '}, "confidence": 0.9}'
+         WHEN 1 THEN '{"score": ' || v || ', "detailed_scores": {"format": 1}}'
+         WHEN 2 THEN '{"score": ' || v || ', "detailed_scores": null}'
+         WHEN 3 THEN '{"explanation": "no score"}' ELSE 'score: ' || v END AS reply
+FROM (SELECT event_id, event_type, CAST(floor(value) / 64 AS STRING) AS v FROM {events}) t
+"""
+
 # Chats with system, tool and reasoning turns.
 VIEWS["dialogs"] = """
 SELECT id, shape, user_text, assistant_text, CASE shape

@@ -257,6 +257,14 @@ def test_judge_replies(one):
     assert one(lambda: judging.judge_int(c("t")), t="1.0") == 0
 
 
+def test_detailed_reply(one):
+    f = lambda: judging.detailed_result(c("t"))
+    full = one(f, t='{"score": 0.5, "detailed_scores": {"format": 1, "reasoning": 0.2}, "explanation": "ok"}')
+    assert (full["answer_score"], full["thinking_score"], full["format_score"]) == (0.5, 0.2, 1.0)
+    assert full["confidence"] == 0.8 and full["explanation"] == "ok"
+    assert one(f, t="broken")["score"] == 0.0 and one(f, t="broken")["confidence"] == 0.0
+
+
 def test_loss_labels(spark):
     ids = [9, 1, 2, 5, 6, 3, 4, 7, 1, 2, 8]
     df = spark.createDataFrame([(ids,)], "ids array<int>")
