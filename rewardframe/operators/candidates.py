@@ -1,6 +1,7 @@
 """Scored candidates per group: log-softmax, top-k with ties, nucleus.
 
 A group may hold a large share of all rows, so none of these opens a window over a group's rows.
+Groups and scores must not be null.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ def with_log_softmax(df: DataFrame, group: str, score: str, out: str = "logp") -
         F.sum(F.exp(F.col(score) - F.col("_max"))).alias("_sum"), F.first("_max").alias("_max")
     )
     return (
-        df.join(total, group)
+        df.join(total, group, "left")
         .withColumn(out, F.col(score) - F.col("_max") - F.log("_sum"))
         .drop("_max", "_sum")
     )

@@ -19,7 +19,7 @@ def hash_rank(df: DataFrame, digest: Column, ties: list[str], out: str = "positi
 
     Digests are uniform, so their leading digits cut the order into even blocks.
     """
-    keyed = df.withColumn("_digest", digest).withColumn("_block", F.substring("_digest", 1, _PREFIX))
+    keyed = df.withColumn("_digest", F.coalesce(digest, F.lit(""))).withColumn("_block", F.substring("_digest", 1, _PREFIX))
     sizes = keyed.groupBy("_block").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(

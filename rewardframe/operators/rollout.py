@@ -18,7 +18,8 @@ def _standard(x: Column, mean: Column, sd: Column, eps: float) -> Column:
 
 def _with_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     stats = df.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_sd"))
-    return df.join(stats, keys)
+    # A left join keeps rows without a group; they have no figures and get advantage 0.
+    return df.join(stats, keys, "left")
 
 
 def group_advantages(
@@ -53,8 +54,8 @@ def useful_steps(df: DataFrame, step: str | list[str], advantage: str = "advanta
 
 
 def with_gold(completions: DataFrame, gold: DataFrame, key: str) -> DataFrame:
-    """Gold answer of the prompt on each of its completions."""
-    return completions.join(gold, key)
+    """Gold answer of the prompt on each of its completions, null where the prompt has none."""
+    return completions.join(gold, key, "left")
 
 
 def masked_sum(x: Column, mask: Column) -> Column:

@@ -11,7 +11,7 @@ from ..functions.formats import think_has_box
 from ..operators import judge
 from ..streaming.judging import cached_stream, start_judging, start_window_counts, unique_stream, window_counts
 from .registry import (
-    FOUR, WSC, flag_sql, math_method_sql, q6, query, r6, scratch, trim, words_sql,
+    FOUR, flag_sql, math_method_sql, q6, query, r6, scratch, trim, words_sql,
 )
 from .views import Tables
 

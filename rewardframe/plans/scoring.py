@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import charf1, choices, extract, formats, markup, maths, rules
 from ..functions.chat import chat_turns, eval_fields
-from ..functions.text import join_list, strip, text
+from ..functions.text import join_list, json_quote, text
 from ..operators.codetests import code_rewards, code_samples
 from ..operators.rewards import (
     composite_rewards, routed_rewards, rule_scores, type_based_answer, uses_judge,
@@ -14,7 +14,7 @@ from ..operators.rewards import (
 from .registry import (
     BBOX_SQL, BOOL_SQL, CHOICE_SQL, CRITIC_SQL, HTML_CODE_SQL, HTML_SQL, MATH_SQL, NUMBER_SQL, OCR_SQL, RO,
     SCORED, STRING_SQL, SVG_CODE_SQL, SVG_SQL, THINK_BOX_SQL, WSC, bodies, flag_sql, math_method_sql, pred,
-    q6, query, r6, squeeze, strict_sql, times, trim, words_sql,
+    q6, query, r6, strict_sql, times, trim,
 )
 from .views import Tables
 
@@ -207,8 +207,7 @@ def _(t):
 
 @query("e19_math", f"SELECT id, g, {math_method_sql(strict_sql('completion'), 'answer')} AS method, {MATH_SQL} AS score FROM rollouts")
 def _(t):
-    strict = extract.text(maths.strict_answer(C()))
-    r = t("rollouts").withColumn("method", maths.math_method(strict, A()))
+    r = t("rollouts").withColumn("method", maths.math_method(text(maths.strict_answer(C())), A()))
     return r.select("id", "g", "method", F.when(F.col("method") != "none", 1.0).otherwise(0.0).alias("score"))
 
 
@@ -404,15 +403,8 @@ def _(t):
     return t("qa").select("id", r6(charf1.char_f1(F.col("assistant_text"), F.col("user_text"))).alias("f1"))
 
 
-EVAL_CHATS = """SELECT id, CASE WHEN id % 2 = 0
-   THEN '[{"role": "user", "content": ' || u || '}, {"role": "assistant", "content": ' || a || '}, {"role": "user", "content": ' || a || '}]'
-   ELSE '[{"from": "human", "value": ' || u || '}, {"from": "gpt", "value": ' || a || '}]' END AS conversations"""
-
-
 @query("e37_eval_fields", "SELECT id, CASE WHEN id % 2 = 0 THEN assistant_text ELSE user_text END AS prompt, assistant_text AS gt FROM qa")
 def _(t):
-    from ..functions.text import json_quote
-
     u, a = json_quote(F.col("user_text")), json_quote(F.col("assistant_text"))
     even = F.concat(F.lit('[{"role": "user", "content": '), u, F.lit('}, {"role": "assistant", "content": '), a,
                     F.lit('}, {"role": "user", "content": '), a, F.lit("}]"))
