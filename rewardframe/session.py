@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,9 +54,12 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The frame written to the checkpoint folder, so that several readers share one computation.
+    """The frame written as a table beside the checkpoints, so that several readers share one run.
 
-    Callers select the few columns they need first; raw texts and images are never written.
+    Parquet keeps column pruning and sizes for the readers' joins.  Callers select the few columns
+    they need first; raw texts and images are never written.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
