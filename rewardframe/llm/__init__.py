@@ -1,0 +1 @@
+"""Operators for preparing training corpora: filtering, deduplication, decontamination, mixing, archives."""
