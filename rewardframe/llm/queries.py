@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lines, mixing, quality, secrets, urls
+from . import decontam, jaccard, lines, mixing, quality, secrets, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,15 @@ def _sql_line(text: str) -> str:
     return f"trim(regexp_replace({flat}, '{_SP}', ' ', 'g'))"
 
 
+# --- 1: n-gram Jaccard join -----------------------------------------------------------------------
+
+
+@query("op1_jaccard_join")
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = jaccard.join_similar(table(spark, sf_dir, "documents"))
+    return joined.select("doc_id", "n_shingles", "component_id")
+
+
 # --- 2: quality rules -----------------------------------------------------------------------------
 
 _QUALITY = f"""
