@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, lines, mixing, quality, secrets, urls
+from . import decontam, jaccard, lines, mixing, quality, records, secrets, urls, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +91,24 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- 3: WARC --------------------------------------------------------------------------------------
+
+_WARC = f"""
+WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+t AS (SELECT h, max(page_id) AS top, count(*) AS c FROM p WHERE n >= {warc.REVISIT} GROUP BY h)
+SELECT page_id, n AS payload_bytes, p.h AS payload_digest,
+  CASE WHEN c > 1 AND page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN c > 1 AND page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM p LEFT JOIN t ON p.h = t.h
+"""
+
+
+@query("op3_warc_archive", _WARC)
+def warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archive(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 # --- 5: benchmark decontamination -----------------------------------------------------------------
 
 
@@ -117,6 +135,21 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+# --- 6: token-ID output ---------------------------------------------------------------------------
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op6_token_records")
+def token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = records.export(table(spark, sf_dir, "documents"), tokenizer_path())
+    return read.select("doc_id", "start", "n_tokens", "ids_crc32", "file")
+
+
 # --- 7: mixing ------------------------------------------------------------------------------------
 
 _MIX = f"""
