@@ -47,6 +47,15 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sorted_side(df: DataFrame) -> DataFrame:
+    """Side of a join with rows that carry texts, to be shuffled and sorted at every size.
+
+    Its size follows the corpus, so a plan that broadcasts it while it is small would change under
+    way; a shuffle of both sides also lets adaptive execution split a hot key.
+    """
+    return df.hint("merge")
+
+
 def packed(docs: DataFrame) -> Column:
     """All columns of a row as one struct, so that helper columns cannot clash with them."""
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns])

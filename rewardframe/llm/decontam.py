@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, digest, packed, settle, unpacked, words
+from .common import ascii_lower, digest, packed, settle, sorted_side, unpacked, words
 
 N_WORDS = 5
 PERCENT = 80  # of an item's shingles that a document must hold
@@ -102,11 +102,11 @@ def leaks(
     sets = lambda df: df.withColumn("_w", words(ascii_lower(F.col("text")))).withColumn("set", shingles(F.col("_w")))
     # One text per key: copies carry the same words.
     asked = pairs.select("key").distinct()
-    doc_texts = d.join(asked, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    doc_texts = d.join(sorted_side(asked), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     item_sets = sets(i.join(pairs.select(F.col("item").alias("key")).distinct(), "key", "left_semi").distinct()).select(F.col("key").alias("item"), F.col("set").alias("item_set"))
     # A document's shingles are built once and serve all its items, then only counts go on.
     listed = settle(pairs.join(item_sets, "item").groupBy("key").agg(F.collect_list(F.struct("item", "item_set")).alias("items")))
-    both = sets(doc_texts.join(listed, "key")).select("key", "set", F.explode("items").alias("i"))
+    both = sets(doc_texts.join(sorted_side(listed), "key")).select("key", "set", F.explode("items").alias("i"))
     return (
         both.select("key", F.col("i.item").alias("item"), F.size("i.item_set").cast("bigint").alias("n_item"), F.size(F.array_intersect("set", "i.item_set")).cast("bigint").alias("n_shared"))
         .filter(100 * F.col("n_shared") >= percent * F.col("n_item"))
@@ -128,4 +128,4 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str
     """The documents that hold no test item, with their columns."""
     bad = settle(leaks(docs, items, text, item_text, percent).select("key").distinct())
     rows = docs.select(packed(docs).alias("row"), digest(F.col(text)).alias("key"))
-    return unpacked(rows.join(bad, "key", "left_anti"), docs)
+    return unpacked(rows.join(sorted_side(bad), "key", "left_anti"), docs)

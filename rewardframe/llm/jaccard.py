@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import digest, packed, settle, unpacked
+from .common import digest, packed, settle, sorted_side, unpacked
 from .shingles import mix, shingle_sets
 
 RARE = 64  # documents that may hold a rare token
@@ -246,9 +246,9 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = settle(pairs)
     fans = settle(pairs.groupBy("x").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fans")))
     dealt = pairs.join(fans, "x").withColumn("salt", F.pmod(F.xxhash64("y"), F.col("fans")).cast("int"))
-    partners = dealt.join(texts, dealt["y"] == texts["node"]).select("x", "salt", "y", "text")
+    partners = sorted_side(dealt).join(texts, dealt["y"] == texts["node"]).select("x", "salt", "y", "text")
     hubs = fans.select("x", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("salt"))
-    hubs = hubs.join(texts, hubs["x"] == texts["node"]).select("x", "salt", F.col("x").alias("y"), "text")
+    hubs = sorted_side(hubs).join(texts, hubs["x"] == texts["node"]).select("x", "salt", F.col("x").alias("y"), "text")
     rows = partners.union(hubs).withColumn("late", (F.col("x") != F.col("y")).cast("int"))
     rows = rows.repartition("x", "salt").sortWithinPartitions("x", "salt", "late").select("x", "y", "text")
     return settle(rows.mapInArrow(_verify, "x long, y long"))
@@ -314,7 +314,7 @@ def links_of(described: DataFrame, docs: DataFrame, doc_id: str, text: str, buck
     wanted = described.join(used, described["row"] == used["node"]).select("node", _identity("doc_id", "tkey").alias("same"))
     body = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("tkey", digest(F.col("text")))
     body = body.select("text", _identity("doc_id", "tkey").alias("same"))
-    texts = settle(body.join(settle(wanted), "same").dropDuplicates(["same"]).select("node", "text"))
+    texts = settle(body.join(sorted_side(settle(wanted)), "same").dropDuplicates(["same"]).select("node", "text"))
 
     near = verified(first, texts)
     found = components(near)
@@ -366,7 +366,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     kept = join_similar(docs, doc_id, text).filter("keeps").select(_identity("doc_id", "tkey").alias("same"), "n_shingles")
     kept = settle(kept.distinct())
     rows = docs.select(packed(docs).alias("row"), F.col(doc_id).alias("doc_id"), digest(F.col(text)).alias("tkey"))
-    rows = rows.select("row", _identity("doc_id", "tkey").alias("same")).join(kept, "same")
+    rows = rows.select("row", _identity("doc_id", "tkey").alias("same")).join(sorted_side(kept), "same")
     # Of rows that repeat the kept id and text one stays; rows without shingles all stay.
     place = F.row_number().over(Window.partitionBy("same").orderBy("n_shingles"))
     return unpacked(rows.withColumn("place", place).filter("place = 1 OR n_shingles = 0"), docs)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, digest, packed, settle
+from .common import WORD, digest, packed, settle, sorted_side
 from .quality import normal_line, without_lines
 
 MIN_SITES = 6  # a line on so many sites or more is boilerplate
@@ -60,9 +60,10 @@ def drop_site_lines(
     bad = settle(boilerplate_lines(held.select("line", "site"), min_sites))
     lost = held.select("key", "line").distinct().join(bad, "line").groupBy("key").agg(F.collect_list("line").alias("lost"))
     lost = settle(lost)
-    rows = docs.select(packed(docs).alias("doc"), F.col(text).alias("_text"), digest(F.col(text)).alias("key"))
-    rows = rows.join(lost, "key", "left").withColumn("cleaned", without_lines(F.col("_text"), F.col("lost")))
+    rows = docs.select(packed(docs).alias("doc"), digest(F.col(text)).alias("key"))
+    body = F.col(f"doc.`{text}`")
+    rows = rows.join(sorted_side(lost), "key", "left").withColumn("cleaned", without_lines(body, F.col("lost")))
     count = lambda c: F.coalesce(F.size(F.filter(F.split(c, "\n", -1), lambda x: x.rlike(WORD))), F.lit(0)).cast("bigint")
-    n: Column = F.when(F.col("_text").isNull(), F.lit(0).cast("bigint")).otherwise(count(F.col("_text")))
+    n: Column = F.when(body.isNull(), F.lit(0).cast("bigint")).otherwise(count(body))
     left: Column = F.when(F.col("cleaned").isNull(), F.lit(0).cast("bigint")).otherwise(count(F.col("cleaned")))
     return rows.withColumn("n_lines", n).withColumn("n_removed", F.col("n_lines") - left).select("doc", "n_lines", "n_removed", "cleaned")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest, settle
+from .common import digest, settle, sorted_side
 from .rlbwt import repeated_spans
 from .shingles import _BYTE, _power
 
@@ -371,7 +371,7 @@ def remove_repeats(
     same = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.hex("tkey"))))
     wanted = listed.select("row", same.alias("same")).join(first, "row").join(marks, "row")
     body = rows.select("text", same.alias("same"))
-    texts = settle(body.join(settle(wanted), "same").dropDuplicates(["same"]).select("row", "tkey", "copies", "marks", "hot", "text"))
+    texts = settle(body.join(sorted_side(settle(wanted)), "same").dropDuplicates(["same"]).select("row", "tkey", "copies", "marks", "hot", "text"))
 
     sent = texts.select("row", "copies", "marks", "text").mapInArrow(_send(buckets, least, gram), _CONTEXTS)
     spans = sent.groupBy("bucket").applyInArrow(_index(least), "row long, start long, spans binary")
@@ -383,7 +383,7 @@ def remove_repeats(
     spans = settle(spans.union(pieces.select("cid", "row", "start").join(hot, "cid").select("row", "start", "spans")))
 
     parts = spans.groupBy("row").agg(F.collect_list(F.struct("start", "spans")).alias("parts"))
-    cut = texts.select("row", "tkey", "text").join(parts, "row").select("tkey", "text", "parts").mapInArrow(
+    cut = texts.select("row", "tkey", "text").join(sorted_side(parts), "row").select("tkey", "text", "parts").mapInArrow(
         _cut(keep_text), "key binary, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )
     cut = settle(cut)

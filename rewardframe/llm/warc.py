@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, shared_folder
+from .common import settle, shared_folder, sorted_side
 from .files import store, whole_file
 
 REVISIT = 1000  # least payload bytes that are not written again
@@ -341,7 +341,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     # The id of the response for each payload that is long enough and held twice.
     keep = rows.filter(F.octet_length(body) >= REVISIT).groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("c"))
     keep = settle(keep.filter("c > 1").select("digest", "top"))
-    rows = rows.join(keep, "digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("top")), F.col("top")))
+    rows = rows.join(sorted_side(keep), "digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("top")), F.col("top")))
     rows = rows.select("page_id", "url", "html", "digest", "refers_to").sortWithinPartitions("page_id", "digest", "url")
     return settle(rows.mapInArrow(_write(folder), _BLOCKS))
 
