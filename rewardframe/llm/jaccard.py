@@ -156,7 +156,7 @@ def entries(tokens: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarr
             same = g[gap:] == g[:-gap] if gap < len(g) else np.zeros(0, bool)
             if not same.any():
                 break
-            pairs.append(mix(t[:-gap][same] * _PAIR[0] + t[gap:][same] * _PAIR[1] + _U(c) * _PAIR[2]))
+            pairs.append(mix(t[:-gap][same] * _PAIR[0] + t[gap:][same] * _PAIR[1] + _PAIR[2:] * _U(c)))
     return rare, np.concatenate(pairs) if pairs else none
 
 

@@ -49,7 +49,7 @@ def _common(data: np.ndarray, left: np.ndarray, a: np.ndarray, b: np.ndarray) ->
     n = len(data)
     words = np.zeros(n + 8, np.uint64)
     for k in range(8):
-        words[: n - k] |= data[k:].astype(np.uint64) << _U(8 * k)
+        words[: max(n - k, 0)] |= data[k:].astype(np.uint64) << _U(8 * k)
     most = np.minimum(left[a], left[b])
     found = most.copy()
     live, at = np.flatnonzero(most > 0), 0
