@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rewardframe.llm import decontam, jaccard, mixing, quality, records
-from rewardframe.llm.common import fenced, settle, table, unpacked
+from rewardframe.llm.common import settle, table, unpacked
 from rewardframe.llm.queries import tokenizer_path
 
 
@@ -19,7 +19,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     ``n_chars``, where there is such a column, follows a text that lost lines.
     """
-    judged = fenced(quality.judge(docs), F.col("kept"))
+    judged = quality.judge(docs).filter("kept")
     text = quality.without_lines(F.col("doc.text"), F.col("lost_lines"))
     own = {"text": text}
     if "n_chars" in docs.columns:

@@ -70,10 +70,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fenced(df: DataFrame, condition: Column) -> DataFrame:
-    """Rows that meet a condition on computed columns.
+def computed(*columns: Column) -> Column:
+    """Columns computed at this place in the plan, whatever is filtered above.
 
-    The row number keeps the filter above the projection: pushed below, it would evaluate array
-    expressions a second time, and those inside lambdas once per element.
+    They come out of a generator with one row.  A filter on them stays above it; pushed below, it would
+    evaluate the array expressions again, and those inside lambdas once per element.
     """
-    return df.withColumn("_row", F.monotonically_increasing_id()).filter(condition & (F.col("_row") >= 0)).drop("_row")
+    return F.inline(F.array(F.struct(*columns)))

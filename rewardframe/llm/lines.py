@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, digest, packed, settle, sorted_side
+from .common import WORD, computed, digest, packed, settle, sorted_side
 from .quality import normal_line, without_lines
 
 MIN_SITES = 6  # a line on so many sites or more is boilerplate
@@ -27,7 +27,8 @@ def _lines(docs: DataFrame, text: str, site: str) -> DataFrame:
     full = F.filter(F.split(F.col("text"), "\n", -1), lambda x: x.rlike(WORD))
     return (
         docs.select(F.col(text).alias("text"), F.col(site).alias("site"))
-        .select(digest(F.col("text")).alias("key"), digest(F.col("site")).alias("site"), F.explode(full).alias("raw"))
+        .select(digest(F.col("text")).alias("key"), digest(F.col("site")).alias("site"), F.explode_outer(full).alias("raw"))
+        .filter("raw IS NOT NULL")
         .select("key", "site", F.xxhash64(normal_line(F.col("raw"))).alias("line"))
     )
 
@@ -62,8 +63,8 @@ def drop_site_lines(
     lost = settle(lost)
     rows = docs.select(packed(docs).alias("doc"), digest(F.col(text)).alias("key"))
     body = F.col(f"doc.`{text}`")
-    rows = rows.join(sorted_side(lost), "key", "left").withColumn("cleaned", without_lines(body, F.col("lost")))
+    rows = rows.join(sorted_side(lost), "key", "left").select("doc", body.alias("_text"), computed(without_lines(body, F.col("lost")).alias("cleaned")))
     count = lambda c: F.coalesce(F.size(F.filter(F.split(c, "\n", -1), lambda x: x.rlike(WORD))), F.lit(0)).cast("bigint")
-    n: Column = F.when(body.isNull(), F.lit(0).cast("bigint")).otherwise(count(body))
+    n: Column = F.when(F.col("_text").isNull(), F.lit(0).cast("bigint")).otherwise(count(F.col("_text")))
     left: Column = F.when(F.col("cleaned").isNull(), F.lit(0).cast("bigint")).otherwise(count(F.col("cleaned")))
-    return rows.withColumn("n_lines", n).withColumn("n_removed", F.col("n_lines") - left).select("doc", "n_lines", "n_removed", "cleaned")
+    return rows.select("doc", n.alias("n_lines"), (n - left).alias("n_removed"), "cleaned")

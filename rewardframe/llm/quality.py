@@ -19,7 +19,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD, digest, packed, settle, words
+from .common import SPACES, WORD, digest, packed, settle, sorted_side, words
 
 MAX_DOCS = 100  # distinct documents of a host that may share a line
 MAX_LOST = 70  # per cent of its words that a document may lose
@@ -113,8 +113,9 @@ def judge(
     """
     lost = settle(boilerplate(docs, doc_id, text, host, max_docs))
     rows = docs.select(packed(docs).alias("doc"), F.col(text).alias("_text"), digest(F.col(host), F.col(text)).alias("key"))
-    joined = rows.join(lost, "key", "left").withColumn("lost_words", F.coalesce("lost_words", F.lit(0)).cast("bigint"))
-    judged = with_stats(joined, "_text").drop("key", "_text")
+    # The figures come first, so that the join carries no text beyond ``doc``.
+    judged = with_stats(rows, "_text").drop("_text").join(sorted_side(lost), "key", "left").drop("key")
+    judged = judged.withColumn("lost_words", F.coalesce("lost_words", F.lit(0)).cast("bigint"))
     enough = 100 * F.col("lost_words") <= max_lost * F.col("n_words")
     return judged.withColumn("kept", ~F.col("base_failed") & enough)
 

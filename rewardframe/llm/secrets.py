@@ -92,7 +92,7 @@ def scan_unseen(docs: DataFrame, text: str, ledger: str, rules: tuple[Rule, ...]
         F.array_contains("todo", F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"))),
         F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans(F.col("text"), r, i).alias("found")),
     ) for i, r in enumerate(rules)]
-    rows = todo.select("blob", F.explode(F.filter(F.array(*per_rule), lambda x: x.isNotNull())).alias("r"))
+    rows = todo.select("blob", F.explode(F.array(*per_rule)).alias("r")).filter("r IS NOT NULL")
     rows.select("blob", "r.kind", "r.version", "r.found").write.mode("append").parquet(ledger)
 
 

@@ -137,3 +137,14 @@ def test_pattern_tokens():
     assert urls.pattern_tokens("||ads.example.com^") == ["ads", "com", "example"]
     assert urls.pattern_tokens("*foo/bar*") == [] or urls.pattern_tokens("/foo/bar*") == ["foo"]
     assert urls.pattern_tokens("casino") == []
+
+
+def test_differing_bits_bound_differing_tokens():
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(4, 200)), dtype=np.uint64))
+        b = np.unique(np.concatenate((a[int(rng.integers(0, 4)) :], rng.integers(0, 1 << 63, int(rng.integers(0, 60)), dtype=np.uint64))))
+        maps = [jaccard._parity(x, max(16, 2 << (len(x) - 1).bit_length())) for x in (a, b)]
+        apart = jaccard.differing(*maps)
+        assert apart == jaccard.differing(*maps[::-1]) <= len(np.setxor1d(a, b))
+        assert jaccard.differing(maps[0], maps[0]) == 0
