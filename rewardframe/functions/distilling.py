@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from .text import WS, clean_lines, first_match, json_quote, strip, text
 
@@ -57,24 +53,6 @@ def similarity_text(c: Column) -> Column:
     return F.regexp_replace(F.lower(text(c)), r"[^0-9a-z\x{4e00}-\x{9fff}]", "")
 
 
-@F.pandas_udf(DoubleType())
-def _sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(
-        [SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)], dtype="float64"
-    )
-
-
-def similarity(a: Column, b: Column) -> Column:
-    """Matching-block ratio of two normalised texts.
-
-    Equal and empty texts are settled natively; only the remaining pairs carry text to Python.
-    """
-    na, nb = similarity_text(a), similarity_text(b)
-    easy = F.when((na == "") | (nb == ""), 0.0).when(na == nb, 1.0)
-    hard = _sequence_ratio(F.when(easy.isNull(), na), F.when(easy.isNull(), nb))
-    return F.coalesce(easy, hard)
-
-
 def same_text_similarity(a: Column, b: Column) -> Column:
     """Similarity where the answer is carried over from the reference: equal non-empty texts are 1."""
     na, nb = similarity_text(a), similarity_text(b)

@@ -13,6 +13,7 @@ from .text import (
 ANSWER_TAG = r"(?s)<answer>(.*?)</answer>"
 THINK_TAG = r"(?s)<think>(.*?)</think>"
 BOXED_OPEN = "\\boxed{"
+_BOX_TOKEN = r"\\boxed\{|[{}]|[^{}\\]+|\\"
 ANSWER_TAG_ANY_CASE = r"(?is)<answer>(.*?)</answer>"
 ANSWER_PREFIXES = ("answer:", "the answer is:", "answer is:")
 CHOICE_PHRASES = (
@@ -43,43 +44,50 @@ def last_answer(c: Column) -> Column:
     return last_of(answer_bodies(c))
 
 
-def _balanced_prefix(tail: Column) -> Column:
-    """What precedes the brace that closes an already open one; null if it is never closed."""
+def _last_closed(tokens: Column) -> Column:
+    """1-based place of the last box that is closed, 0 for none.
+
+    Read from the end: a closing brace waits for its opening one, so an opening one is closed exactly
+    if one is waiting.
+    """
+    start = F.struct(F.lit(0).alias("waiting"), F.size(tokens).alias("at"), F.lit(0).alias("found"))
+
+    def step(acc: Column, tok: Column) -> Column:
+        opens = (tok == "{") | (tok == BOXED_OPEN)
+        waiting = F.when(tok == "}", acc.waiting + 1).when(opens, F.greatest(acc.waiting - 1, F.lit(0))).otherwise(acc.waiting)
+        found = F.when((acc.found == 0) & (tok == BOXED_OPEN) & (acc.waiting > 0), acc.at).otherwise(acc.found)
+        return F.struct(waiting.alias("waiting"), (acc.at - 1).alias("at"), found.alias("found"))
+
+    return F.aggregate(F.reverse(tokens), start, step)["found"]
+
+
+def _closing(tokens: Column) -> Column:
+    """Number of tokens before the brace that closes an already open one."""
     start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"))
 
     def step(acc: Column, tok: Column) -> Column:
-        depth = (
-            F.when(acc.depth == 0, F.lit(0))
-            .when(tok == "{", acc.depth + 1)
-            .when(tok == "}", acc.depth - 1)
-            .otherwise(acc.depth)
-        )
-        n = F.when((acc.depth == 0) | ((acc.depth == 1) & (tok == "}")), acc.n).otherwise(
-            acc.n + F.length(tok)
-        )
-        return F.struct(depth.alias("depth"), n.alias("n"))
+        opens = (tok == "{") | (tok == BOXED_OPEN)
+        depth = F.when(acc.depth == 0, 0).when(opens, acc.depth + 1).when(tok == "}", acc.depth - 1).otherwise(acc.depth)
+        return F.struct(depth.alias("depth"), (acc.n + (depth > 0).cast("int")).alias("n"))
 
-    return F.aggregate(
-        all_matches(tail, r"[{}]|[^{}]+"),
-        start,
-        step,
-        lambda acc: F.when(acc.depth == 0, F.substring(tail, F.lit(1), acc.n)),
-    )
+    return F.aggregate(tokens, start, step)["n"]
 
 
 def boxed_answer(c: Column) -> Column:
-    """Content of the last brace-balanced ``\\boxed{...}``; empty string when there is none."""
+    """Content of the last brace-balanced ``\\boxed{...}``; empty string when there is none.
 
+    The text is cut into braces, boxes and what lies between once, and read twice.
+    """
 
-    def content(parts: Column) -> Column:
-        tails = F.transform(
-            F.sequence(F.lit(2), F.size(parts)),
-            lambda i: F.array_join(F.slice(parts, i, F.size(parts)), BOXED_OPEN),
-        )
-        return last_of(F.filter(F.transform(tails, _balanced_prefix), lambda x: x.isNotNull()))
+    def content(tokens: Column) -> Column:
+        def tail(at: Column) -> Column:
+            rest = F.slice(tokens, at + 1, F.size(tokens))
+            body = let(rest, lambda r: F.array_join(F.slice(r, F.lit(1), _closing(r)), ""))
+            return F.when(at > 0, body).otherwise("")
+
+        return let(_last_closed(tokens), tail)
 
-    found = let(F.split(c, r"\\boxed\{"), content)
-    return F.when(c.contains(BOXED_OPEN), F.coalesce(found, F.lit(""))).otherwise("")
+    return F.when(c.contains(BOXED_OPEN), let(all_matches(c, _BOX_TOKEN), content)).otherwise("")
 
 
 def last_line_number(c: Column) -> Column:

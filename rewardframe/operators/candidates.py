@@ -6,23 +6,30 @@ Groups and scores must not be null.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settled
 from .ranks import running_sum
 
 
 def with_log_softmax(df: DataFrame, group: str, score: str, out: str = "logp") -> DataFrame:
-    """Adds the log-softmax of the score within its group; sums are shifted by the group maximum."""
-    top = df.groupBy(group).agg(F.max(score).alias("_max"))
-    shifted = df.join(top, group)
-    total = shifted.groupBy(group).agg(
-        F.sum(F.exp(F.col(score) - F.col("_max"))).alias("_sum"), F.first("_max").alias("_max")
+    """Adds the log-softmax of the score within its group.
+
+    One pass sums exp(score - floor) by group and whole part of the score; the few sums of a group are
+    then shifted by its largest whole part, so nothing overflows.
+    """
+    parts = df.groupBy(group, F.floor(score).cast("double").alias("_floor")).agg(
+        F.sum(F.exp(F.col(score) - F.floor(score))).alias("_part")
+    )
+    tops = parts.groupBy(group).agg(F.max("_floor").alias("_top"))
+    total = parts.join(tops, group).groupBy(group).agg(
+        F.first("_top").alias("_top"), F.sum(F.col("_part") * F.exp(F.col("_floor") - F.col("_top"))).alias("_sum")
     )
     return (
-        df.join(total, group, "left")
-        .withColumn(out, F.col(score) - F.col("_max") - F.log("_sum"))
-        .drop("_max", "_sum")
+        df.join(settled(total), group, "left")
+        .withColumn(out, F.col(score) - F.col("_top") - F.log("_sum"))
+        .drop("_top", "_sum")
     )
 
 
@@ -40,17 +47,13 @@ def target_logp(df: DataFrame, targets: DataFrame, group: str, cand: str, score:
 def top_k(df: DataFrame, group: str, score: str, k: int) -> DataFrame:
     """Candidates at or above the k-th highest score of their group, ties kept.
 
-    The k-th score comes from at most k distinct scores per group with their counts.
+    Distinct scores are counted, put in order by range partitions, and summed up to the k-th; no task
+    holds a group, whatever k.
     """
     counts = df.groupBy(group, score).agg(F.count("*").alias("_n"))
-    by_score = Window.partitionBy(group).orderBy(F.desc(score))
-    best = counts.withColumn("_rank", F.row_number().over(by_score)).filter(F.col("_rank") <= k)
-    above = F.coalesce(F.sum("_n").over(by_score.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = (
-        best.withColumn("_above", above).filter(F.col("_above") < k)
-        .groupBy(group).agg(F.min(score).alias("_cut"))
-    )
-    return df.join(cut, group).filter(F.col(score) >= F.col("_cut")).drop("_cut")
+    summed = running_sum(counts, [group], [F.desc(score)], F.col("_n"), "_upto")
+    cut = summed.filter(F.col("_upto") - F.col("_n") < k).groupBy(group).agg(F.min(score).alias("_cut"))
+    return df.join(settled(cut), group).filter(F.col(score) >= F.col("_cut")).drop("_cut")
 
 
 def nucleus(df: DataFrame, group: str, cand: str, score: str, p: float) -> DataFrame:

@@ -4,21 +4,27 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.judging import rule_judge
+from ..session import settled
 from .ranks import hash_rank, order_rank
 
 KEY_COLUMNS = ("prompt", "completion", "answer", "answer_type")
-SMALL_LIMIT = 100_000
 MAX_BATCH = 128  # Fixed value: largest batch a judge accepts.
 # Takes one pandas batch of requests, gives a score and an explanation for each row.
 JudgeFn = Callable[[pd.DataFrame], pd.DataFrame]
 
 
+def check_batch(size: int) -> None:
+    if not 1 <= size <= MAX_BATCH:
+        raise ValueError(f"a batch holds 1 to {MAX_BATCH} requests, not {size}")
+
+
 def request_text(columns: tuple[str, ...] = KEY_COLUMNS) -> Column:
     """Key text of a request; a missing value reads "None"."""
     return F.concat_ws("||", *[F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in columns])
@@ -28,9 +34,14 @@ def request_key(columns: tuple[str, ...] = KEY_COLUMNS) -> Column:
     return F.md5(request_text(columns))
 
 
-def unique_requests(df: DataFrame) -> DataFrame:
-    """One row per key with the columns a judge needs."""
-    return df.withColumn("key", request_key()).select("key", *KEY_COLUMNS).dropDuplicates(["key"])
+def unique_requests(df: DataFrame, context: tuple[str, ...] = ()) -> DataFrame:
+    """One row per key with the columns a judge needs; ``context`` is taken from one of its requests,
+    the smallest by value."""
+    keyed = df.withColumn("key", request_key())
+    if not context:
+        return keyed.select("key", *KEY_COLUMNS).dropDuplicates(["key"])
+    least = keyed.groupBy("key", *KEY_COLUMNS).agg(F.min(F.struct(*context)).alias("_c"))
+    return least.select("key", *KEY_COLUMNS, *[F.col(f"_c.{c}").alias(c) for c in context])
 
 
 def rule_judged(requests: DataFrame) -> DataFrame:
@@ -40,14 +51,18 @@ def rule_judged(requests: DataFrame) -> DataFrame:
 
 
 def judged_by(
-    requests: DataFrame, judge: JudgeFn, retries: int = 3, delay: float = 0.5, batch_size: int = 32
+    requests: DataFrame, judge: JudgeFn, retries: int = 3, delay: float = 0.5, batch_size: int = 32,
+    context: tuple[str, ...] = (), concurrent: int = 8,
 ) -> DataFrame:
     """Scores of a user-supplied judge, called once per batch inside the tasks.
 
-    A failing batch is retried, then its rows are judged one by one; a row that still fails scores
-    0.0 with the error as its explanation.  Calls repeat when a lost task reruns, so a judge should
-    be idempotent; write the result before reuse.
+    The judge gets the key columns and the ``context`` columns (question, problem type, prompt type,
+    data source).  Up to ``concurrent`` batches of a task are judged at the same time.  A failing batch
+    is retried, then halved until the failing requests are alone; a ``ValueError`` is not retried.  A
+    request that still fails scores 0.0 with the error as its explanation.  Calls repeat when a lost
+    task reruns, so a judge should be idempotent; write the result before reuse.
     """
+    check_batch(batch_size)
 
     def call(part: pd.DataFrame) -> pd.DataFrame:
         error: Exception | None = None
@@ -60,25 +75,26 @@ def judged_by(
                     "explanation": out["explanation"].to_numpy(),
                     "failed": False,
                 })
-            except Exception as e:  # noqa: BLE001 - any judge error is retried
+            except Exception as e:  # noqa: BLE001 - any judge error is answered
                 error = e
+                if isinstance(e, ValueError):
+                    break
                 if attempt < retries:
                     time.sleep(delay * (attempt + 1))
+        if len(part) > 1:
+            half = len(part) // 2
+            return pd.concat([call(part.iloc[:half]), call(part.iloc[half:])])
         return pd.DataFrame({
             "key": part["key"].to_numpy(), "score": 0.0,
             "explanation": f"Request failed: {error}", "failed": True,
         })
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for lo in range(0, len(frame), batch_size):
-                part = frame.iloc[lo: lo + batch_size]
-                out = call(part)
-                if len(part) > 1 and out["failed"].all():
-                    out = pd.concat([call(part.iloc[[i]]) for i in range(len(part))])
-                yield out
-
-    return requests.select("key", *KEY_COLUMNS).mapInPandas(
+        with ThreadPoolExecutor(concurrent) as pool:
+            for frame in frames:
+                yield from pool.map(call, [frame.iloc[lo : lo + batch_size] for lo in range(0, len(frame), batch_size)])
+
+    return requests.select("key", *KEY_COLUMNS, *context).mapInPandas(
         run, "key string, score double, explanation string, failed boolean"
     )
 
@@ -86,7 +102,7 @@ def judged_by(
 def scored_once(df: DataFrame, score: Callable[[DataFrame], DataFrame] = rule_judged) -> DataFrame:
     """Every request with the score of its key; each key is judged once."""
     keyed = df.withColumn("key", request_key())
-    return keyed.join(score(unique_requests(df)), "key", "left")
+    return keyed.join(settled(score(unique_requests(df))), "key", "left")
 
 
 def cache_lookup(df: DataFrame, cache: DataFrame, now: Column, ttl_seconds: int = 3600) -> DataFrame:
@@ -108,10 +124,8 @@ def cache_misses(df: DataFrame, cache: DataFrame, now: Column, ttl_seconds: int
     return unique_requests(df).join(cache.filter(age < ttl_seconds).select("key"), "key", "left_anti")
 
 
-def newest(df: DataFrame, order: list[Column], names: list[str], limit: int) -> DataFrame:
-    """First rows of a total order; beyond a small limit by global rank, not by one sorted task."""
-    if limit <= SMALL_LIMIT:
-        return df.orderBy(*order).limit(limit)
+def newest(df: DataFrame, names: list[str], limit: int) -> DataFrame:
+    """First rows of a total order (columns ``names``), by global rank: no task sorts them all."""
     ranked = order_rank(df, names, "_rank")
     return ranked.filter(F.col("_rank") < limit).drop("_rank")
 
@@ -124,12 +138,12 @@ def cache_update(cache: DataFrame, scored: DataFrame, max_size: int = 10_000) ->
         .select("key", "e.score", "e.ts")
     )
     aged = merged.withColumn("_age", -F.unix_micros(F.col("ts").cast("timestamp")))
-    return newest(aged, [F.col("_age"), F.col("key")], ["_age", "key"], max_size).drop("_age")
+    return newest(aged, ["_age", "key"], max_size).drop("_age")
 
 
 def request_batches(df: DataFrame, size: int = 32) -> DataFrame:
     """Unique requests with a batch number; every batch but the last holds ``size`` of them."""
-    size = min(size, MAX_BATCH)
+    check_batch(size)
     ranked = hash_rank(unique_requests(df), F.col("key"), [], "position")
     return ranked.withColumn("batch", F.floor(F.col("position") / size))
 

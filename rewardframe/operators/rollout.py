@@ -1,8 +1,9 @@
 """Statistics over rollouts: advantages, KL, losses, step metrics.
 
 Group figures come from a partial aggregate joined back to the rows, not from a window: a window
-would pull a hot group into one task, the aggregate combines it map-side and the join lets adaptive
-execution split it.
+would pull a hot group into one task.  The figures (one row per group) are written out first: adaptive
+execution splits a hot key only where both sides of a join are shuffled for the join itself, which an
+aggregate on the same key is not.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settled
+
 
 def _standard(x: Column, mean: Column, sd: Column, eps: float) -> Column:
     """Standard score; 0.0 for a group of one or of equal values."""
@@ -19,7 +22,7 @@ def _standard(x: Column, mean: Column, sd: Column, eps: float) -> Column:
 def _with_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     stats = df.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_sd"))
     # A left join keeps rows without a group; they have no figures and get advantage 0.
-    return df.join(stats, keys, "left")
+    return df.join(settled(stats), keys, "left")
 
 
 def group_advantages(
@@ -50,7 +53,7 @@ def useful_steps(df: DataFrame, step: str | list[str], advantage: str = "advanta
     """Rows of the steps whose advantages are not all zero."""
     keys = [step] if isinstance(step, str) else step
     live = df.groupBy(*keys).agg(F.sum(F.abs(advantage)).alias("_size")).filter("_size <> 0")
-    return df.join(live.select(*keys), keys, "left_semi")
+    return df.join(settled(live.select(*keys)), keys, "left_semi")
 
 
 def with_gold(completions: DataFrame, gold: DataFrame, key: str) -> DataFrame:

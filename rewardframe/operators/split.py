@@ -28,16 +28,16 @@ def epoch_plan(
 ) -> DataFrame:
     """Shard and batch number of every sample in the epoch's seeded order.
 
-    Positions are dealt to shards in turn; as in distributed samplers the first rows repeat at the
-    end until every shard has equally many.  A final short batch is kept, skipped ones are not.
+    Positions are dealt to shards in turn; as in distributed samplers the rows repeat from the first
+    until every shard has equally many, as often as that takes.  A final short batch is kept, skipped ones are not.
     """
     digest = F.md5(F.concat(F.lit(f"{seed + epoch}-"), F.col(id_col).cast("string")))
     order = hash_rank(df.select(id_col), digest, [id_col])
     if shards > 1:
         total = df.agg(F.count("*")).scalar()
         at = F.col("position")
-        again = F.when(at < F.pmod(-total, F.lit(shards)), F.array(at, at + total)).otherwise(F.array(at))
-        order = order.withColumn("position", F.explode(again))
+        upto = F.ceil(total / shards) * shards
+        order = order.withColumn("position", F.explode(F.sequence(at, upto - 1, total)))
     in_shard = F.floor(F.col("position") / shards)
     return (
         order.withColumn("shard", (F.col("position") % shards).cast("int"))

@@ -295,11 +295,6 @@ def _(t):
     return f.select("id", F.coalesce(n, F.lit(-1)).alias("chars"), "n_lines", F.coalesce((n < 40) | (F.col("n_lines") < 1), F.lit(True)).alias("short"))
 
 
-@query("b17_similarity")
-def _(t):
-    return t("qa").select("id", r6(distilling.similarity(F.col("user_text"), F.col("assistant_text"))).alias("ratio"))
-
-
 @query("b17_same_text", f"""SELECT a.id, {flag_sql("regexp_replace(lower(a.text), '[^0-9a-z\\x{4e00}-\\x{9fff}]', '', 'g') <> '' AND regexp_replace(lower(a.text), '[^0-9a-z\\x{4e00}-\\x{9fff}]', '', 'g') = regexp_replace(lower(b.text), '[^0-9a-z\\x{4e00}-\\x{9fff}]', '', 'g')")} AS same
     FROM (SELECT doc_id AS id, text FROM documents) a JOIN (SELECT doc_id - 1 AS id, text FROM documents) b ON a.id = b.id""")
 def _(t):
@@ -609,7 +604,7 @@ def _(t):
 
 
 @query("d2_epoch_plan", """WITH o AS (SELECT id, row_number() OVER (ORDER BY md5('44-' || id), id) - 1 AS position, count(*) OVER () AS n FROM gold),
-    p AS (SELECT id, position FROM o UNION ALL SELECT id, position + n FROM o WHERE position < (7 - n % 7) % 7),
+    p AS (SELECT id, unnest(range(position, CAST(ceil(n / 7) * 7 AS BIGINT), n)) AS position FROM o),
     q AS (SELECT id, position, position % 7 AS shard, CAST(floor(floor(position / 7) / 32) AS BIGINT) AS batch FROM p)
     SELECT * FROM q WHERE batch >= 3""")
 def _(t):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import enhanced, extract, judging
 from ..functions.formats import think_has_box
 from ..operators import judge
-from ..streaming.judging import cached_stream, start_judging, start_window_counts, unique_stream, window_counts
+from ..streaming.judging import answers, latest_counts, start_judging, start_window_counts, stream_metrics, window_counts
 from .registry import (
     FOUR, flag_sql, math_method_sql, q6, query, r6, scratch, trim, words_sql,
 )
@@ -348,35 +348,58 @@ def _(t):
 
 # --- stream --------------------------------------------------------------------------------------
 
-def _request_stream(t: Tables) -> DataFrame:
-    """The request table as a file stream: its rows, written once, read as they arrive."""
+def request_stream(t: Tables, files: int = 8, per_trigger: int = 4) -> DataFrame:
+    """The request table as a file stream: its rows, dealt over files without order, read as they arrive."""
     folder = scratch(t.spark)
     rows = t("requests")
-    rows.write.parquet(folder)
-    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(folder)
+    rows.repartition(files, F.xxhash64("request_id")).write.parquet(folder)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
 
 
-# The watermark spans the data, so every key is judged once, as in the batch job.
-@query("g9_judge_stream", f"WITH {KEYED} SELECT key, {q6(RULE_JUDGE_SQL)} AS score FROM uniq")
-def _(t):
+def judged_stream(t: Tables, stream: DataFrame, **how) -> str:
     out = scratch(t.spark)
-    start_judging(unique_stream(_request_stream(t), "60 days"), out, scratch(t.spark)).awaitTermination()
-    return t.spark.read.parquet(out).select("key", r6(F.col("score")).alias("score"))
+    start_judging(stream, out, scratch(t.spark), **how).awaitTermination()
+    return out
 
 
-@query("g9_stream_with_cache", f"""WITH {CACHE} SELECT u.key, CASE WHEN c.key IS NULL THEN 'judge' ELSE 'cache' END AS source FROM uniq u LEFT JOIN cache c ON c.key = u.key""")
+@query("g9_judge_stream", f"SELECT request_id, {KEY_SQL} AS key, {q6(RULE_JUDGE_SQL)} AS score FROM requests")
 def _(t):
-    out = scratch(t.spark)
-    uniq = cached_stream(unique_stream(_request_stream(t), "60 days"), _cache(t), 365 * 86_400)
-    start_judging(uniq, out, scratch(t.spark)).awaitTermination()
-    return t.spark.read.parquet(out).select("key", "source")
+    rows = answers(t.spark, judged_stream(t, request_stream(t)))
+    return rows.select("request_id", "key", r6(F.col("score")).alias("score"))
+
+
+# Entries expire within the month: a request is served by one only if that is young enough for it.
+_STREAM_TTL = 4 * 86_400
+_STREAM_FRESH = f"c.key IS NOT NULL AND epoch(k.ts) - epoch(c.ts) < {_STREAM_TTL}"
+
+
+@query("g9_stream_with_cache", f"""WITH {CACHE} SELECT request_id, CASE WHEN {_STREAM_FRESH} THEN 'cache' ELSE 'judge' END AS source,
+    {q6(f"CASE WHEN {_STREAM_FRESH} THEN c.score ELSE {RULE_JUDGE_SQL} END")} AS score FROM keyed k LEFT JOIN cache c ON c.key = k.key""")
+def _(t):
+    rows = answers(t.spark, judged_stream(t, request_stream(t), cache=_cache(t), ttl_seconds=_STREAM_TTL))
+    return rows.select("request_id", "source", r6(F.col("score")).alias("score"))
+
+
+@query("g9_user_judge_stream", f"""WITH {KEYED}, s AS (SELECT *, ends_with(completion, '9') AS bad FROM keyed) SELECT request_id,
+    CASE WHEN bad THEN 0.0 ELSE least(1.0, length(prompt) / 10) END AS score FROM s""")
+def _(t):
+    by_length = lambda rows: judge.judged_by(rows, length_judge, retries=0, delay=0.0)
+    rows = answers(t.spark, judged_stream(t, request_stream(t), score=by_length))
+    return rows.select("request_id", "score")
+
+
+@query("g9_stream_metrics", f"""WITH {CACHE}, j AS (SELECT k.key, {_STREAM_FRESH} AS hit FROM keyed k LEFT JOIN cache c ON c.key = k.key)
+    SELECT CAST(count(*) AS BIGINT) AS requests, CAST(count(*) FILTER (hit) AS BIGINT) AS hits,
+    CAST(count(*) FILTER (NOT hit) - count(DISTINCT key) FILTER (NOT hit) AS BIGINT) AS repeats,
+    CAST(count(DISTINCT key) FILTER (NOT hit) AS BIGINT) AS judged, CAST(0 AS BIGINT) AS errors FROM j""")
+def _(t):
+    out = judged_stream(t, request_stream(t), cache=_cache(t), ttl_seconds=_STREAM_TTL)
+    return stream_metrics(t.spark, out).select("requests", "hits", "repeats", "judged", "errors")
 
 
-@query("g9_window_counts", "SELECT strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d') AS window_start, count(*) AS requests FROM requests WHERE ts < TIMESTAMP '2024-01-29 00:00:00' GROUP BY 1")
+@query("g9_window_counts", "SELECT strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d') AS window_start, count(*) AS requests FROM requests GROUP BY 1")
 def _(t):
     out = scratch(t.spark)
-    counts = window_counts(_request_stream(t), "1 day", "0 seconds")
-    start_window_counts(counts, out, scratch(t.spark)).awaitTermination()
-    # Windows the watermark has not yet closed stay in the state; compare the closed ones.
-    closed = t.spark.read.parquet(out).filter(F.col("window_start") < F.lit("2024-01-29").cast("timestamp"))
-    return closed.select(F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "requests")
+    # Files come in no order, so any row may be as late as the table is long.
+    start_window_counts(window_counts(request_stream(t), "1 day", "60 days"), out, scratch(t.spark)).awaitTermination()
+    return latest_counts(t.spark, out).select(F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "requests")

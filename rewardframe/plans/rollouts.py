@@ -182,7 +182,7 @@ def _(t):
 def _(t):
     path = scratch(t.spark)
     src.append_records(src.generations(t("rollouts"), F.col("step"), "completion", ["id", "g"]), path)
-    back = t.spark.read.schema("step bigint, epoch bigint, num_samples bigint, gen_texts array<string>").json(path)
+    back = src.generation_records(t.spark.read.schema("epoch bigint, step bigint, position bigint, text string").json(path))
     return back.select("step", "epoch", "num_samples", F.md5(F.array_join("gen_texts", "|")).alias("texts"))
 
 

@@ -43,16 +43,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan with fewer splits than cores, dealt out over the cores; larger scans stay as they are.
-
-    Only small single-file inputs are touched: anything of cluster size has more splits than cores
-    and is never shuffled here.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def settled(df: DataFrame) -> DataFrame:
     """The frame written as a table beside the checkpoints, so that several readers share one run.
 

@@ -9,7 +9,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.chat import as_image_list, chat_turns
 from ..operators.judge import newest
-from ..operators.ranks import order_rank
+from ..operators.ranks import order_rank, running_sum
 
 # Column names, the shard pattern, and the evaluation record.
 RL_COLUMNS = (
@@ -78,7 +78,7 @@ def first_rows(df: DataFrame, key: str, k: int = 100) -> DataFrame:
 
     Only keys are ordered; the rows, images included, are picked by a semi join.
     """
-    return df.join(newest(df.select(key), [F.col(key)], [key], k), key, "left_semi")
+    return df.join(newest(df.select(key), [key], k), key, "left_semi")
 
 
 def capped(df: DataFrame, key: str, max_samples: int | None) -> DataFrame:
@@ -112,19 +112,20 @@ def read_eval_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EVAL_SCHEMA).json(path)
 
 
-def generations(
-    df: DataFrame, step: Column, text: str, order: list[str], epoch: int = 1, max_texts: int = 4096
-) -> DataFrame:
-    """(epoch, step, part, num_samples, gen_texts) records.
+def generations(df: DataFrame, step: Column, text: str, order: list[str], epoch: int = 1) -> DataFrame:
+    """(epoch, step, position, text) rows: the texts of each step, numbered from 0 in a total order."""
+    rows = df.select(F.lit(epoch).alias("epoch"), step.alias("step"), *order, F.col(text).alias("text"))
+    ranked = running_sum(rows, ["step"], [F.col(c) for c in order], F.lit(1).cast("bigint"), "position")
+    return ranked.select("epoch", "step", (F.col("position") - 1).alias("position"), "text")
 
-    A step is one training batch and makes one record, part 0.  A step with more texts than fit a
-    record is dealt out over several parts, so that no task gathers an unbounded list.
+
+def generation_records(rows: DataFrame) -> DataFrame:
+    """One (epoch, step, num_samples, gen_texts) record per step, of rows from ``generations``.
+
+    An export for readers of that form: a step is one training batch and must fit a record.
     """
-    rows = df.withColumn("step", step).select("step", *order, F.col(text).alias("_text"))
-    sizes = rows.groupBy("step").agg(F.ceil(F.count("*") / max_texts).alias("_parts"))
-    part = F.pmod(F.xxhash64(*order), F.col("_parts")).cast("int")
-    place = F.struct(*order, "_text")
-    return rows.join(sizes, "step").withColumn("part", part).groupBy("step", "part").agg(
-        F.lit(epoch).alias("epoch"), F.count("*").alias("num_samples"),
-        F.transform(F.array_sort(F.collect_list(place)), lambda s: s["_text"]).alias("gen_texts"),
+    place = F.struct("position", "text")
+    return rows.groupBy("epoch", "step").agg(
+        F.count("*").alias("num_samples"),
+        F.transform(F.array_sort(F.collect_list(place)), lambda s: s["text"]).alias("gen_texts"),
     )

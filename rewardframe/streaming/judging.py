@@ -1,71 +1,111 @@
 """Judge scoring over a request stream.
 
-Requests are deduplicated by key within the watermark, enriched from a cache table, scored in
-micro-batches and written once per batch number.  Dedup state is bounded by the watermark; a key seen
-again after it is judged again, unless the cache still knows it.
+Every request is answered, whenever it comes.  The scores of all keys judged so far are a table in
+storage; each micro-batch judges the keys that the table and the cache lack, adds them, and answers
+all of its requests.  A late request is one like any other: nothing depends on event time but the age
+of cache entries.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.judge import KEY_COLUMNS, request_key, rule_judged
 
+_SCORED = "key string, score double, failed boolean, batch int"
+_METRICS = "batch int, requests long, hits long, repeats long, judged long, judge_batches long, errors long"
 
-def unique_stream(stream: DataFrame, delay: str, ts: str = "ts") -> DataFrame:
-    """First request of each key within the watermark delay."""
-    return (
-        stream.withWatermark(ts, delay).withColumn("key", request_key())
-        .dropDuplicatesWithinWatermark(["key"])
-        .select("key", ts, *KEY_COLUMNS)
-    )
 
+def scored_before(spark: SparkSession, folder: str, number: int) -> DataFrame:
+    """Scores (key, score, failed) of the micro-batches before ``number``; failed ones are judged again."""
+    try:
+        rows = spark.read.schema(_SCORED).parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], _SCORED)
+    return rows.filter((F.col("batch") < number) & ~F.col("failed")).select("key", "score").dropDuplicates(["key"])
 
-def cached_stream(unique: DataFrame, cache: DataFrame, ttl_seconds: int, ts: str = "ts") -> DataFrame:
-    """Stream-static join with the cache: score of an entry younger than the TTL, else null."""
+
+def with_cached(requests: DataFrame, cache: DataFrame | None, ttl_seconds: int, ts: str) -> DataFrame:
+    """Requests with ``cached_score``: that of an entry (key, score, ts) younger than the TTL, else null."""
+    if cache is None:
+        return requests.withColumn("cached_score", F.lit(None).cast("double"))
     entries = cache.select("key", F.col("score").alias("cached_score"), F.col("ts").alias("cached_at"))
-    fresh = F.col(ts).cast("double") - F.col("cached_at").cast("double") < ttl_seconds
-    return unique.join(entries, "key", "left").withColumn(
-        "cached_score", F.when(fresh, F.col("cached_score"))
-    ).drop("cached_at")
+    fresh: Column = F.col(ts).cast("double") - F.col("cached_at").cast("double") < ttl_seconds
+    joined = requests.join(entries, "key", "left")
+    return joined.withColumn("cached_score", F.when(fresh, F.col("cached_score"))).drop("cached_at")
 
 
 def start_judging(
-    unique: DataFrame, out: str, checkpoint: str,
+    stream: DataFrame, out: str, checkpoint: str,
     score: Callable[[DataFrame], DataFrame] = rule_judged,
-    interval: str | None = None,
+    cache: DataFrame | None = None, ttl_seconds: int = 3600, batch_size: int = 32,
+    interval: str | None = None, request_id: str = "request_id", ts: str = "ts",
 ) -> StreamingQuery:
-    """Scores every micro-batch into ``out/batch=N``; a replayed batch overwrites its own folder.
-
-    ``interval`` is the longest wait to form a batch (such as "100 milliseconds"); without it the
-    query drains what is available and stops.
+    """Answers every request of the stream under ``out``.
+
+    ``out/answers/batch=N`` holds (request_id, key, score, source), source being ``cache`` or
+    ``judge``; ``out/scored/batch=N`` the keys judged in a micro-batch; ``out/metrics/batch=N`` its
+    requests, cache hits, requests served by a score of before, keys judged, judge batches and errors.
+    A replayed micro-batch overwrites its own folders.  ``interval`` is the longest wait to form a
+    micro-batch (such as "100 milliseconds"); without it the query drains what is available and stops.
+    The rows of a micro-batch are bounded by the source (files or offsets per trigger), those of a call
+    of the judge by ``score``.
     """
-    has_cache = "cached_score" in unique.columns
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = batch.persist() if has_cache else batch
-        todo = rows.filter(F.col("cached_score").isNull()) if has_cache else rows
-        done = score(todo).select("key", "score", F.lit("judge").alias("source"))
-        if has_cache:
-            known = rows.filter(F.col("cached_score").isNotNull())
-            done = done.unionByName(
-                known.select("key", F.col("cached_score").alias("score"), F.lit("cache").alias("source"))
-            )
-        done.write.mode("overwrite").parquet(f"{out}/batch={number}")
-        if has_cache:
-            rows.unpersist()
-
-    writer = unique.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        spark = batch.sparkSession
+        rows = batch.withColumn("key", request_key()).persist()
+        asked = with_cached(rows, cache, ttl_seconds, ts)
+        open_ = asked.filter(F.col("cached_score").isNull())
+        before = scored_before(spark, f"{out}/scored", number)
+        todo = open_.select("key", *KEY_COLUMNS).dropDuplicates(["key"]).join(before, "key", "left_anti")
+        done = score(todo)
+        failed = F.col("failed") if "failed" in done.columns else F.lit(False)
+        done.select("key", "score", failed.alias("failed")).write.mode("overwrite").parquet(f"{out}/scored/batch={number}")
+
+        new = spark.read.schema("key string, score double, failed boolean").parquet(f"{out}/scored/batch={number}")
+        known = before.select("key", "score", F.lit(False).alias("failed")).unionByName(new)
+        answers = asked.join(known, "key", "left").select(
+            request_id, "key", F.coalesce("cached_score", "score").alias("score"),
+            F.when(F.col("cached_score").isNotNull(), "cache").otherwise("judge").alias("source"),
+        )
+        answers.write.mode("overwrite").parquet(f"{out}/answers/batch={number}")
+        judged = new.agg(F.count("*").alias("judged"), F.coalesce(F.sum(F.col("failed").cast("int")), F.lit(0)).alias("errors"))
+        told = spark.read.schema("source string").parquet(f"{out}/answers/batch={number}")
+        told = told.agg(F.count("*").alias("requests"), F.count(F.when(F.col("source") == "cache", 1)).alias("hits"))
+        zero = F.lit(0).cast("bigint")
+        parts = told.withColumns({"judged": zero, "errors": zero}).unionByName(judged.withColumns({"requests": zero, "hits": zero}))
+        sums = parts.agg(*[F.sum(c).alias(c) for c in parts.columns])
+        sums.select(
+            "requests", "hits", (F.col("requests") - F.col("hits") - F.col("judged")).alias("repeats"), "judged",
+            F.ceil(F.col("judged") / batch_size).alias("judge_batches"), "errors",
+        ).write.mode("overwrite").parquet(f"{out}/metrics/batch={number}")
+        rows.unpersist()
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
     return writer.start()
 
 
+def answers(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.parquet(f"{out}/answers")
+
+
+def stream_metrics(spark: SparkSession, out: str) -> DataFrame:
+    """Figures of all micro-batches so far."""
+    rows = spark.read.schema(_METRICS).parquet(f"{out}/metrics")
+    return rows.agg(*[F.sum(c).alias(c) for c in ("requests", "hits", "repeats", "judged", "judge_batches", "errors")])
+
+
 def window_counts(stream: DataFrame, width: str, delay: str, ts: str = "ts") -> DataFrame:
-    """Requests per tumbling window, emitted when the watermark passes the window."""
+    """Requests per tumbling window; ``delay`` must cover the disorder of the stream."""
     return (
         stream.withWatermark(ts, delay).groupBy(F.window(ts, width).alias("w"))
         .agg(F.count("*").alias("requests"))
@@ -74,7 +114,19 @@ def window_counts(stream: DataFrame, width: str, delay: str, ts: str = "ts") ->
 
 
 def start_window_counts(counts: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Writes the windows that a micro-batch changed to ``out/batch=N``, open ones included."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
     return (
-        counts.writeStream.format("parquet").outputMode("append").option("path", out)
+        counts.writeStream.foreachBatch(write).outputMode("update")
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+
+
+def latest_counts(spark: SparkSession, out: str) -> DataFrame:
+    """Last count of every window."""
+    rows = spark.read.schema("window_start timestamp, requests long, batch int").parquet(out)
+    last = rows.groupBy("window_start").agg(F.max(F.struct("batch", "requests")).alias("last"))
+    return last.select("window_start", F.col("last.requests").alias("requests"))

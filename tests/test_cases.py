@@ -182,11 +182,31 @@ def test_reply_lines(one):
     assert one(f, t="Answer: only") == []
 
 
-def test_similarity(one):
-    f = lambda: distilling.similarity(c("a"), c("b"))
+def test_same_text_similarity(one):
+    f = lambda: distilling.same_text_similarity(c("a"), c("b"))
     assert one(f, a="Ab, c!", b="abc") == 1.0
     assert one(f, a="!!", b="!!") == 0.0
-    assert one(f, a="abcd", b="bcde") == pytest.approx(0.75)
+    assert one(f, a="abcd", b="bcde") == 0.0
+
+
+def test_boxed_answer_is_the_last_closed_box(one):
+    f = lambda: extract.boxed_answer(c("t"))
+    for t, want in (
+        (r"\boxed{a}", "a"), (r"\boxed{a{b}c} \boxed{d", "a{b}c"), (r"\boxed{a\boxed{b}}", "b"), (r"\boxed{a\boxed{b}", "b"),
+        (r"\boxed{a{b}", ""), (r"}\boxed{} {", ""), (r"\boxed{x}}{\boxed{\frac{1}{2}} y}", r"\frac{1}{2}"), ("none", ""), (r"a \boxed{{}", ""),
+    ):
+        assert one(f, t=t) == want, t
+
+
+def test_many_boxes_are_read_in_linear_time(one):
+    import time
+
+    f = lambda: extract.boxed_answer(c("t"))
+    one(f, t="x")
+    start = time.perf_counter()
+    assert one(f, t="\\boxed{some text {x}" * 50_000) == ""
+    assert one(f, t="\\boxed{{some te}xt}" * 50_000) == "{some te}xt"
+    assert time.perf_counter() - start < 8
 
 
 def test_char_f1(one):

@@ -166,8 +166,117 @@ def test_first_rows_and_missing_shards(spark, tmp_path):
         tables.read_rl_shards(spark, str(tmp_path))
 
 
-def test_a_step_splits_into_bounded_records(spark):
-    df = spark.range(1000).select("id", F.lit("t").alias("text"))
-    recs = tables.generations(df, F.lit(1), "text", ["id"], max_texts=100).collect()
-    assert sum(r["num_samples"] for r in recs) == 1000 and max(r["num_samples"] for r in recs) < 250
-    assert len(tables.generations(df, F.lit(1), "text", ["id"]).collect()) == 1
+def test_generations_are_numbered_rows(spark):
+    df = spark.range(1000).select("id", F.concat(F.lit("t"), "id").alias("text"))
+    rows = tables.generations(df.repartition(7), F.col("id") % 2, "text", ["id"])
+    assert sorted((r["step"], r["position"], r["text"]) for r in rows.collect()) == sorted((i % 2, i // 2, f"t{i}") for i in range(1000))
+    records = tables.generation_records(rows).collect()
+    assert sorted((r["step"], r["num_samples"], r["gen_texts"][3]) for r in records) == [(0, 500, "t6"), (1, 500, "t7")]
+
+
+def test_epoch_plan_fills_every_shard(spark):
+    for n, shards in ((2, 8), (1, 5), (7, 3), (8, 4), (0, 4)):
+        plan = split.epoch_plan(spark.range(n), "id", 1, 1, 4, shards=shards).groupBy("shard").count().collect()
+        assert len(plan) == (shards if n else 0) and {r["count"] for r in plan} <= {-(-n // shards)}
+
+
+def test_batches_beyond_the_limit_are_refused(spark):
+    df = spark.createDataFrame([("p", "c", "a", "t")], "prompt string, completion string, answer string, answer_type string")
+    with pytest.raises(ValueError):
+        judge.request_batches(df, 256)
+    with pytest.raises(ValueError):
+        judge.judged_by(judge.unique_requests(df), lambda x: x, batch_size=129)
+
+
+def test_top_k_beyond_a_thousand(spark):
+    from rewardframe.operators.candidates import top_k
+
+    df = spark.range(6000).select(F.lit(1).alias("g"), "id", (F.col("id") % 3000).alias("score"))
+    kept = top_k(df, "g", "score", 2001).collect()
+    assert len(kept) == 2002 and min(r["score"] for r in kept) == 1999
+
+
+def test_judge_sees_context_and_halves_failing_batches(spark):
+    rows = [(f"p{i}", "c", "a", "t", "math" if i % 2 else "ocr") for i in range(20)]
+    df = spark.createDataFrame(rows, "prompt string, completion string, answer string, answer_type string, problem_type string")
+
+    def by_type(part):
+        if (part["prompt"] == "p7").any():
+            raise ValueError("no p7")
+        return part.assign(score=(part["problem_type"] == "math").astype(float), explanation="")
+
+    asked = judge.unique_requests(df, ("problem_type",))
+    got = judge.judged_by(asked, by_type, retries=0, context=("problem_type",)).join(asked, "key").collect()
+    assert {r["prompt"]: r["score"] for r in got} == {f"p{i}": float(i % 2) if i != 7 else 0.0 for i in range(20)}
+    assert [r["prompt"] for r in got if r["failed"]] == ["p7"]
+
+
+@pytest.mark.parametrize(("files", "per_trigger"), [(1, 1), (4, 1), (40, 3)])
+def test_stream_answers_every_request(spark, files, per_trigger):
+    from rewardframe.plans import judging as plan
+    from rewardframe.plans.views import Tables
+    from rewardframe.streaming import judging as stream
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    out = plan.judged_stream(t, plan.request_stream(t, files, per_trigger))
+    want = judge.scored_once(t("requests")).select("request_id", "score")
+    got = stream.answers(spark, out).select("request_id", "score")
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+    figures = stream.stream_metrics(spark, out).first()
+    assert figures["requests"] == want.count() and figures["judged"] == judge.unique_requests(t("requests")).count()
+    counts = stream.window_counts(plan.request_stream(t, files, per_trigger), "1 day", "60 days")
+    folder = plan.scratch(spark)
+    stream.start_window_counts(counts, folder, plan.scratch(spark)).awaitTermination()
+    assert stream.latest_counts(spark, folder).agg(F.sum("requests")).first()[0] == want.count()
+
+
+def test_late_and_repeated_requests_are_answered(spark, tmp_path):
+    from rewardframe.streaming import judging as stream
+
+    schema = "request_id bigint, prompt string, completion string, answer string, answer_type string, ts timestamp"
+    days = ((1, "a", "2024-01-30"), (2, "b", "2024-01-29"), (3, "a", "2024-01-01"), (4, "c", "2023-01-01"))
+    for i, p, day in days:
+        row = [(i, p, "yes", "yes", "t", f"{day} 00:00:00")]
+        spark.createDataFrame(row, schema.replace("ts timestamp", "ts string")).withColumn("ts", F.col("ts").cast("timestamp")) \
+            .coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        requests = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        stream.start_judging(requests, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    assert sorted(r["request_id"] for r in stream.answers(spark, str(tmp_path / "out")).collect()) == [1, 2, 3, 4]
+    figures = stream.stream_metrics(spark, str(tmp_path / "out")).first()
+    assert (figures["requests"], figures["judged"], figures["repeats"]) == (4, 3, 1)
+
+
+def _plan(df):
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def skewed(spark):
+    """Lowers the bounds of skew splitting and turns broadcasts off; 90 % of the rows are in one group."""
+    own = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k",
+    }
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    rows = spark.range(300_000, numPartitions=12).select(
+        "id", F.when(F.col("id") % 10 > 0, 0).otherwise(F.col("id")).alias("grp"), (F.xxhash64("id") % 1000 / 100.0).alias("reward")
+    )
+    yield rows
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_hot_groups_are_split(skewed):
+    from rewardframe.operators import candidates, rollout
+
+    assert "skew=true" in _plan(rollout.group_advantages(skewed, "grp").select("id", "advantage"))
+    assert "skew=true" in _plan(candidates.with_log_softmax(skewed, "grp", "reward").select("id", "logp"))
+    assert "skew=true" in _plan(candidates.top_k(skewed, "grp", "reward", 900).select("id"))
+    texts = skewed.select("id", F.col("grp").cast("string").alias("prompt"), F.lit("c").alias("completion"), F.lit("a").alias("answer"), F.lit("t").alias("answer_type"))
+    assert "skew=true" in _plan(judge.scored_once(texts).select("id", "score"))
+
