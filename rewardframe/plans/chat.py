@@ -502,6 +502,23 @@ def sum_sql(x: str) -> str:
     return f"CAST(coalesce(list_sum({codes_sql(x)}), 0) AS BIGINT)"
 
 
+def _spelled(arr):
+    """Whole array as one value: order and place of every element count."""
+    return F.md5(F.array_join(arr.cast("array<string>"), ","))
+
+
+def spelled_sql(*lists: str) -> str:
+    return f"md5(array_to_string({' || '.join(lists)}, ','))"
+
+
+def list_sql(x: str) -> str:
+    return f"CAST({codes_sql(x)} AS BIGINT[])"
+
+
+def times_sql(value: int, n: str) -> str:
+    return f"list_transform(range(CAST({n} AS BIGINT)), lambda i: CAST({value} AS BIGINT))"
+
+
 def _labelled(t: Tables) -> DataFrame:
     ids = t("spoken").withColumn("ids", tokens.pad_right(_ids("t"), MAX_LEN, PAD))
     return ids.withColumn("labels", tokens.loss_labels(F.col("ids"), START, END, MAX_LEN))
@@ -513,11 +530,11 @@ SEG = f"""{CUT}, s AS (SELECT *, regexp_extract_all(cut, '(?s)<a>(.*?)(?:</a>|$)
   regexp_extract_all(cut, '(?s)<a>((?:.*?)(?:</a>|$))', 1) AS segs FROM c)"""
 
 
-@query("c8_pad_right", f"WITH {CUT} SELECT id, CAST({MAX_LEN} AS BIGINT) AS n, {sum_sql('cut')} AS total, greatest(0, {MAX_LEN} - length(t)) AS pads FROM c")
+@query("c8_pad_right", f"WITH {CUT} SELECT id, CAST({MAX_LEN} AS BIGINT) AS n, {spelled_sql(list_sql('cut'), times_sql(PAD, f"greatest(0, {MAX_LEN} - length(t))"))} AS ids, greatest(0, {MAX_LEN} - length(t)) AS pads FROM c")
 def _(t):
     ids = t("spoken").select("id", tokens.pad_right(_ids("t"), MAX_LEN, PAD).alias("ids"))
     return ids.select(
-        "id", F.size("ids").alias("n"), _total(F.col("ids")).alias("total"),
+        "id", F.size("ids").alias("n"), _spelled(F.col("ids")).alias("ids"),
         F.size(F.filter("ids", lambda x: x == PAD)).alias("pads"),
     )
 
@@ -535,43 +552,42 @@ def _(t):
     return _labelled(t).select("id", tokens.prompt_length(F.col("ids"), F.col("labels"), PAD).alias("prompt_len"))
 
 
-@query("c11_labelled_ids", f"""WITH {SEG} SELECT id, {sum_sql("array_to_string(segs, '')")} AS total FROM s""")
+@query("c11_labelled_ids", f"""WITH {SEG} SELECT id, {spelled_sql(list_sql("array_to_string(segs, '')"))} AS ids FROM s""")
 def _(t):
     got = tokens.labelled_ids(F.col("ids"), F.col("labels"))
-    return _labelled(t).select("id", _total(got).alias("total"))
+    return _labelled(t).select("id", _spelled(F.filter(got, lambda x: x != PAD)).alias("ids"))
 
 
 # The first full stop plays the end token.
 @query("c12_completion_mask", f"""WITH x AS (SELECT id, assistant_text AS s, CASE WHEN contains(assistant_text, '.') THEN left(assistant_text, instr(assistant_text, '.')) ELSE assistant_text END AS cut FROM qa)
-    SELECT id, length(cut) AS n_cut, {sum_sql('cut')} AS total, length(cut) AS mask_sum, length(s) AS mask_len FROM x""")
+    SELECT id, {spelled_sql(list_sql('cut'))} AS cut, {spelled_sql(times_sql(1, 'length(cut)'), times_sql(0, 'length(s) - length(cut)'))} AS mask FROM x""")
 def _(t):
     x = t("qa").select("id", _ids("assistant_text").alias("ids"))
     cut, mask = tokens.until_eos(F.col("ids"), ord(".")), tokens.completion_mask(F.col("ids"), ord("."))
     return x.select("id", cut.alias("cut"), mask.alias("mask")).select(
-        "id", F.size("cut").alias("n_cut"), _total(F.col("cut")).alias("total"),
-        _total(F.col("mask")).alias("mask_sum"), F.size("mask").alias("mask_len"),
+        "id", _spelled(F.col("cut")).alias("cut"), _spelled(F.col("mask")).alias("mask"),
     )
 
 
 @query("c13_collate", f"""WITH x AS (SELECT id, batch, left(user_text, 300) AS cut FROM spoken),
     w AS (SELECT *, max(length(cut)) OVER (PARTITION BY batch) AS width FROM x)
-    SELECT id, width AS n, length(cut) AS mask_sum, {sum_sql('cut')} AS total, CAST(CASE WHEN width > length(cut) THEN {PAD} ELSE unicode(cut) END AS BIGINT) AS first_id FROM w""")
+    SELECT id, {spelled_sql(times_sql(PAD, 'width - length(cut)'), list_sql('cut'))} AS ids, {spelled_sql(times_sql(0, 'width - length(cut)'), times_sql(1, 'length(cut)'))} AS mask FROM w""")
 def _(t):
     x = t("spoken").select("id", "batch", _ids("user_text").alias("ids"))
     return collate(x, "batch", "ids", 300, PAD).select(
-        "id", F.size("input_ids").alias("n"), _total(F.col("attention_mask")).alias("mask_sum"),
-        _total(F.col("input_ids")).alias("total"), F.get("input_ids", F.lit(0)).alias("first_id"),
+        "id", _spelled(F.col("input_ids")).alias("ids"), _spelled(F.col("attention_mask")).alias("mask"),
     )
 
 
 @query("c14_assemble", f"""WITH w AS (SELECT *, max(length(user_text)) OVER (PARTITION BY batch) + max(length(assistant_text)) OVER (PARTITION BY batch) AS width FROM spoken)
-    SELECT id, width AS n, length(user_text) + length(assistant_text) AS mask_sum, {sum_sql("user_text || assistant_text")} AS id_total, length(assistant_text) AS n_labels FROM w""")
+    SELECT id, {spelled_sql(list_sql("user_text || assistant_text"), times_sql(PAD, "width - length(user_text) - length(assistant_text)"))} AS ids,
+      {spelled_sql(times_sql(1, "length(user_text) + length(assistant_text)"), times_sql(0, "width - length(user_text) - length(assistant_text)"))} AS mask,
+      {spelled_sql(times_sql(tokens.IGNORE, "length(user_text)"), list_sql("assistant_text"), times_sql(tokens.IGNORE, "width - length(user_text) - length(assistant_text)"))} AS labels FROM w""")
 def _(t):
     x = t("spoken").select("id", "batch", _ids("user_text").alias("p"), _ids("assistant_text").alias("c"))
     return assemble(x, "batch", "p", "c", PAD).select(
-        "id", F.size("full_ids").alias("n"), _total(F.col("attention_mask")).alias("mask_sum"),
-        _total(F.col("full_ids")).alias("id_total"),
-        F.size(F.filter("labels", lambda v: v != tokens.IGNORE)).alias("n_labels"),
+        "id", _spelled(F.col("full_ids")).alias("ids"), _spelled(F.col("attention_mask")).alias("mask"),
+        _spelled(F.col("labels")).alias("labels"),
     )
 
 
