@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import charf1, choices, extract, formats, markup, maths, rules
 from ..functions.chat import chat_turns, eval_fields
 from ..functions.text import join_list, json_quote, text
 from ..operators.codetests import code_rewards, code_samples
+from ..operators.judge import judged_by, request_key, unique_requests
 from ..operators.rewards import (
     composite_rewards, routed_rewards, rule_scores, type_based_answer, uses_judge,
 )
+from ..session import settled
 from .registry import (
     BBOX_SQL, BOOL_SQL, CHOICE_SQL, CRITIC_SQL, HTML_CODE_SQL, HTML_SQL, MATH_SQL, NUMBER_SQL, OCR_SQL, RO,
     SCORED, STRING_SQL, SVG_CODE_SQL, SVG_SQL, THINK_BOX_SQL, WSC, bodies, flag_sql, math_method_sql, pred,
@@ -386,11 +389,22 @@ def _(t):
     return r.select("id", "g", *[r6(F.col(c)).alias(c) for c in ("acc_reward", "bbox_reward", "reward")])
 
 
-@query("e35_judge_front", f"""WITH {SCORED} SELECT id, g, answer_type = 'FREE_TEXT' AS judged,
-   {q6("CASE WHEN answer_type = 'FREE_TEXT' THEN CAST(0.25 AS DOUBLE) ELSE reward END")} AS reward FROM rewarded""")
+def typed_judge(batch: pd.DataFrame) -> pd.DataFrame:
+    """Stand-in for a remote judge that reads the problem type."""
+    return pd.DataFrame({"score": (batch["problem_type"].str.len() / 40.0).clip(0, 1), "explanation": batch["problem_type"]})
+
+
+@query("e35_judge_front", f"""WITH {SCORED}, j AS (SELECT problem, completion, answer, answer_type, min(problem_type) AS pt FROM rollouts WHERE answer_type = 'FREE_TEXT' GROUP BY ALL)
+   SELECT s.id, s.g, s.answer_type = 'FREE_TEXT' AS judged,
+   {q6("CASE WHEN s.answer_type = 'FREE_TEXT' THEN least(1.0, length(j.pt) / 40) ELSE s.reward END")} AS reward FROM rewarded s
+   JOIN rollouts r ON r.id = s.id AND r.g = s.g
+   LEFT JOIN j ON j.problem = r.problem AND j.completion = r.completion AND j.answer IS NOT DISTINCT FROM r.answer AND j.answer_type = r.answer_type""")
 def _(t):
-    # A judge that always answers a quarter, so that its rows stand out.
-    r = routed_rewards(t("rollouts"), "TYPE_BASED_JUDGE", judge=F.lit(0.25))
+    rows = t("rollouts").withColumn("prompt", F.col("problem")).withColumn("key", request_key())
+    asked = unique_requests(rows.filter(uses_judge(F.col("answer_type"))), ("problem_type",))
+    judged = settled(judged_by(asked, typed_judge, retries=0, context=("problem_type",)))
+    rows = rows.join(judged.select("key", F.col("score").alias("judge_score")), "key", "left")
+    r = routed_rewards(rows, "TYPE_BASED_JUDGE", judge=F.col("judge_score"))
     return r.select("id", "g", uses_judge(F.col("answer_type")).alias("judged"), r6(F.col("reward")).alias("reward"))
 
 
