@@ -43,10 +43,33 @@ RULES = (
     Rule("chat", 1, "xox[abprs]-[0-9A-Za-z-]{10,}"),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 )
+_BLOCK = 256
 BASE = ("assign", "access", "hex")
 _SPANS = "array<struct<start:bigint,place:int,kind:string,stop:bigint>>"
 
 
+def _walk(sizes: Column) -> Column:
+    """Start and stop of each match, from the lengths of what lies before it (b) and of itself (m).
+
+    Walked in blocks, so that lists are only ever extended by a block.
+    """
+    pairs, zero = "array<struct<a:bigint,z:bigint>>", F.lit(0).cast("bigint")
+
+    def one(s: Column, x: Column) -> Column:
+        a = s["at"] + x["b"]
+        return F.struct((a + x["m"]).alias("at"), F.concat(s["all"], F.array(F.struct(a.alias("a"), (a + x["m"]).alias("z")))).alias("all"))
+
+    def block(s: Column, part: Column) -> Column:
+        own = F.aggregate(part, F.struct(s["at"].alias("at"), F.array().cast(pairs).alias("all")), one)
+        put = lambda r: F.struct(r["at"].alias("at"), F.concat(s["all"], F.array(r["all"])).alias("all"))
+        return F.get(F.transform(F.array(own), put), F.lit(0))
+
+    count = F.ceil(F.size(sizes) / _BLOCK).cast("int")
+    parts = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(sizes, i * _BLOCK + 1, F.lit(_BLOCK)))).otherwise(F.array())
+    start = F.struct(zero.alias("at"), F.array().cast(f"array<{pairs}>").alias("all"))
+    return F.flatten(F.aggregate(parts, start, block)["all"])
+
+
 def spans(text: Column, rule: Rule, place: int) -> Column:
     """Matches of a rule as (start, place, kind, stop).
 
@@ -57,11 +80,7 @@ def spans(text: Column, rule: Rule, place: int) -> Column:
     group = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
     between = F.split(text, rule.pattern, -1)
     sizes = F.zip_with(between, found, lambda b, m: F.struct(F.length(b).alias("b"), F.length(m).alias("m")))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<a:bigint,z:bigint>>").alias("all"))
-    walked = F.aggregate(sizes, start, lambda s, x: F.when(x["m"].isNull(), s).otherwise(F.struct(
-        (s["at"] + x["b"] + x["m"]).alias("at"),
-        F.concat(s["all"], F.array(F.struct((s["at"] + x["b"]).alias("a"), (s["at"] + x["b"] + x["m"]).alias("z")))).alias("all"),
-    )))["all"]
+    walked = _walk(F.filter(sizes, lambda x: x["m"].isNotNull()))
     kept = F.zip_with(walked, group, lambda w, g: F.when(F.length(g) >= rule.least, F.struct(
         w["a"].alias("start"), F.lit(place).alias("place"), F.lit(rule.kind).alias("kind"), w["z"].alias("stop"),
     )))

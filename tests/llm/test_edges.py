@@ -303,3 +303,12 @@ def test_empty_tables(spark, docs, pages):
     ):
         assert df.count() == 0
     assert decontam.clean(docs, bench).count() == docs.count()
+
+
+def test_secrets_in_a_text_full_of_them(spark):
+    rng = random.Random(12)
+    text = " ".join(f"{rng.choice(['ü', 'x', ''])}{''.join(rng.choice('0123456789abcdef') for _ in range(rng.randint(10, 24)))}" for _ in range(3000))
+    text += " token: abcdefghijkl" * 700
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    found = scans.find_secrets(df)
+    assert found.select(scans.spelled(found["found"])).first()[0] == secrets(text)[4]
