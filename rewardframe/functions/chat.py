@@ -82,8 +82,17 @@ def real_images(images: Column) -> Column:
     return F.filter(images, lambda b: F.length(b) > 0)
 
 
+def image_lengths(images: Column) -> Column:
+    return F.transform(images, F.length)
+
+
 def image_state(images: Column) -> Column:
-    n = F.coalesce(F.size(real_images(images)), F.lit(0))
+    return image_state_of(image_lengths(images))
+
+
+def image_state_of(lengths: Column) -> Column:
+    """Image state from the images' lengths alone."""
+    n = F.coalesce(F.size(F.filter(lengths, lambda n: n > 0)), F.lit(0))
     return (
         F.when(n <= 0, F.lit("no_image_bytes")).when(n == 1, F.lit("single")).otherwise(F.lit("multi"))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.chat import IMAGE_TAG, conversation, image_state, is_question
+from ..functions.chat import IMAGE_TAG, conversation, image_lengths, image_state_of, is_question
 from ..functions.text import strip
 
 
@@ -19,15 +19,22 @@ def percentile_or_zero(c: Column, p: float) -> Column:
 
 
 def parsed(df: DataFrame, conv: str = "conversations", images: str = "images") -> DataFrame:
-    """Adds ``conv`` (user, assistant, state) and ``image_state``; image bytes are not carried on."""
+    """Adds ``conv`` (user, assistant, state) and ``image_state``.
+
+    A table with ``image_lengths`` (see ``write_chats``) is judged by them, and its images are not read.
+    """
     return df.withColumn("conv", conversation(F.col(conv))).withColumn(
-        "image_state", image_state(F.col(images))
+        "image_state", image_state_of(_lengths(df, images))
     )
 
 
+def _lengths(df: DataFrame, images: str) -> Column:
+    return F.col("image_lengths") if "image_lengths" in df.columns else image_lengths(F.col(images))
+
+
 def audit(df: DataFrame, conv: str = "conversations", images: str = "images") -> DataFrame:
     """One row of audit figures; zero denominators count as one."""
-    img = F.col(images)
+    img = _lengths(df, images)
     rows = parsed(df, conv, images).select(
         "image_state", F.col("conv.state").alias("state"),
         strip(F.col("conv.user")).alias("user"), strip(F.col("conv.assistant")).alias("assistant"),

@@ -171,7 +171,9 @@ _Q = lambda c, p: f"coalesce(quantile_cont({c}, {p}), 0)"
     count(*) FILTER (state = 'empty_text') AS anomaly_empty_text, count(*) FILTER (n_images IN (0, 4)) AS anomaly_no_image_bytes,
     count(*) FILTER (state IN ('json_error', 'non_standard')) AS anomaly_non_standard FROM l""")
 def _(t):
-    a = audit(chat_table(t))
+    path = scratch(t.spark)
+    src.write_chats(chat_table(t), path)
+    a = audit(src.read_chats(t.spark, path))
     return a.select(*[
         r6(F.col(c)).alias(c) if dict(a.dtypes)[c] == "double" else F.col(c) for c in a.columns
     ])

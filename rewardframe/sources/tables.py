@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from ..functions.chat import as_image_list, chat_turns
+from ..functions.chat import as_image_list, chat_turns, image_lengths
 from ..operators.judge import newest
 from ..operators.ranks import order_rank, running_sum
 
@@ -24,8 +24,11 @@ EVAL_SCHEMA = (
 
 
 def read_chats(spark: SparkSession, path: str) -> DataFrame:
-    """Chat table with images as a list, also where the file holds one image per row."""
+    """Chat table with images as a list, also where the file holds one image per row; a table of
+    ``write_chats`` as it is."""
     df = spark.read.parquet(path)
+    if "images" in df.columns:
+        return df
     if "image_bytes" not in df.columns:
         return df.withColumn("images", F.lit(None).cast("array<binary>"))
     is_array = isinstance(df.schema["image_bytes"].dataType, ArrayType)
@@ -98,6 +101,11 @@ def write_kept(df: DataFrame, columns: list[str], path: str) -> None:
     df.select(*columns).write.mode("overwrite").parquet(path)
 
 
+def write_chats(df: DataFrame, path: str) -> None:
+    """Chats with the lengths of their images beside them, for jobs that need no more than those."""
+    df.withColumn("image_lengths", image_lengths(F.col("images"))).write.mode("overwrite").parquet(path)
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """One-row report as JSON."""
     report.write.mode("overwrite").json(path)

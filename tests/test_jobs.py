@@ -280,3 +280,18 @@ def test_hot_groups_are_split(skewed):
     texts = skewed.select("id", F.col("grp").cast("string").alias("prompt"), F.lit("c").alias("completion"), F.lit("a").alias("answer"), F.lit("t").alias("answer_type"))
     assert "skew=true" in _plan(judge.scored_once(texts).select("id", "score"))
 
+
+
+def test_audits_of_stored_chats_read_no_images(spark, tmp_path):
+    from rewardframe.operators import audit, distill
+
+    chat = '[{"role": "user", "content": "what is in the picture?"}, {"role": "assistant", "content": "a cat"}]'
+    rows = [(1, chat, [b"x" * 9]), (2, chat, [b"x", b"y"]), (3, "no json", [b""]), (4, chat, None)]
+    df = spark.createDataFrame(rows, "id bigint, conversations string, images array<binary>")
+    tables.write_chats(df, str(tmp_path / "chats"))
+    stored = tables.read_chats(spark, str(tmp_path / "chats"))
+    assert audit.audit(stored).collect() == audit.audit(df).collect()
+    reasons = distill.candidates(stored).select("id", "early_reason")
+    assert sorted(reasons.collect()) == sorted(distill.candidates(df).select("id", "early_reason").collect())
+    for job in (audit.audit(stored), reasons):
+        assert "binary" not in job._jdf.queryExecution().executedPlan().toString()
