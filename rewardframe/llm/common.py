@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import string
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +58,26 @@ def sorted_side(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(job: Callable[..., DataFrame], rows: int = 1000) -> Callable[..., DataFrame]:
+    """Runs a job over a frame with at most so many rows in an Arrow batch, so that a batch of whole
+    texts fits beside the work on it.  For jobs that settle whatever passes through Python."""
+
+    @functools.wraps(job)
+    def run(df: DataFrame, *args, **named) -> DataFrame:
+        conf = df.sparkSession.conf
+        before = conf.get(_BATCH)
+        conf.set(_BATCH, str(min(rows, int(before)) if int(before) > 0 else rows))
+        try:
+            return job(df, *args, **named)
+        finally:
+            conf.set(_BATCH, before)
+
+    return run
+
+
 def packed(docs: DataFrame) -> Column:
     """All columns of a row as one struct, so that helper columns cannot clash with them."""
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns])

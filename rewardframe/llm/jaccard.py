@@ -16,7 +16,8 @@ missing token more than there can be.  Which tokens are frequent only affects th
    Buckets whose nodes are not yet in one component then compare what is outside the hub's component
    with the rest.  So linked groups cost as many comparisons as they have nodes, not pairs of nodes.
 4. Lengths and bitmaps discard pairs that can't be similar (two sets differ in at least as many
-   tokens as their parity bitmaps differ in bits); the rest are verified on the whole texts.
+   tokens as their parity bitmaps differ in bits): a small bitmap inside the bucket join, one that
+   grows with the set after it.  The rest are verified on the whole texts.
 
 Defined cases: null and empty texts, and texts of white space, have no shingles and are linked with
 nothing; repeated rows and texts with equal sets are in one component; a null id never is the id of
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import digest, packed, settle, sorted_side, unpacked
+from .common import digest, packed, settle, small_batches, sorted_side, unpacked
 from .shingles import mix, shingle_sets
 
 RARE = 64  # documents that may hold a rare token
@@ -160,18 +161,37 @@ def entries(tokens: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return rare, np.concatenate(pairs) if pairs else none
 
 
+def _parity(tokens: np.ndarray, bits: int) -> bytes:
+    """For each remainder modulo ``bits``, whether an odd number of tokens has it."""
+    return np.packbits(np.bincount((tokens & _U(bits - 1)).astype(np.int64), minlength=bits) & 1 > 0, bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits in which two parity bitmaps differ; the larger one is folded to the size of the smaller."""
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    size = min(len(a), len(b)) * 8
+    for k, n in ((0, len(a) * 8), (1, len(b) * 8)):
+        v = (x, y)[k]
+        while n > size:
+            n //= 2
+            v = (v >> n) ^ (v & ((1 << n) - 1))
+        x, y = (v, y) if k == 0 else (x, v)
+    return (x ^ y).bit_count()
+
+
 def _describe(frequent, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for tokens in shingle_sets(batch.column("text")):
                 single, pair = entries(tokens, _is_frequent(tokens, frequent.value, width))
-                bits = np.packbits(np.bincount((tokens & _U(BITS - 1)).astype(np.int64), minlength=BITS) & 1 > 0)
                 key = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None
-                out.append((len(tokens), key, bits.tobytes(), single.tobytes(), pair.tobytes()))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            made = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), *[pa.binary()] * 4), strict=True)]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("tkey"), *made], ["doc_id", "tkey", "n", "key", "bits", "single", "pair"])
+                # The wide bitmap has two to four bits per token.
+                bits, wide = _parity(tokens, BITS), _parity(tokens, max(16, 2 << (len(tokens) - 1).bit_length()))
+                out.append((len(tokens), key, bits, wide, single.tobytes(), pair.tobytes()))
+            cols = list(zip(*out, strict=True)) or [[]] * 6
+            made = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), *[pa.binary()] * 5), strict=True)]
+            yield pa.record_batch([batch.column("doc_id"), batch.column("tkey"), *made], ["doc_id", "tkey", "n", "key", "bits", "wide", "single", "pair"])
 
     return run
 
@@ -237,6 +257,20 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["x", "y"])
 
 
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        xs, ys, nx, ny, wx, wy = (batch.column(c).to_pylist() for c in ("x", "y", "nx", "ny", "wx", "wy"))
+        kept = [9 * differing(a, b) <= m + n for a, b, m, n in zip(wx, wy, nx, ny, strict=True)]
+        yield pa.record_batch([pa.array([v for v, k in zip(c, kept, strict=True) if k], pa.int64()) for c in (xs, ys)], ["x", "y"])
+
+
+def near_pairs(pairs: DataFrame, about: DataFrame) -> DataFrame:
+    """Pairs (x, y) whose wide bitmaps (about: node, a.n, wide) don't rule them out."""
+    side = lambda k: about.select(F.col("node").alias(k), F.col("a.n").alias(f"n{k}"), F.col("wide").alias(f"w{k}"))
+    both = pairs.join(sorted_side(side("x")), "x").join(sorted_side(side("y")), "y")
+    return both.select("x", "y", "nx", "ny", "wx", "wy").mapInArrow(_near, "x long, y long")
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (x, y) of nodes whose texts (node, text) are similar.
 
@@ -245,12 +279,10 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """
     pairs = settle(pairs)
     fans = settle(pairs.groupBy("x").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fans")))
-    dealt = pairs.join(fans, "x").withColumn("salt", F.pmod(F.xxhash64("y"), F.col("fans")).cast("int"))
-    partners = sorted_side(dealt).join(texts, dealt["y"] == texts["node"]).select("x", "salt", "y", "text")
-    hubs = fans.select("x", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("salt"))
-    hubs = sorted_side(hubs).join(texts, hubs["x"] == texts["node"]).select("x", "salt", F.col("x").alias("y"), "text")
-    rows = partners.union(hubs).withColumn("late", (F.col("x") != F.col("y")).cast("int"))
-    rows = rows.repartition("x", "salt").sortWithinPartitions("x", "salt", "late").select("x", "y", "text")
+    partners = pairs.join(fans, "x").select("x", F.pmod(F.xxhash64("y"), F.col("fans")).cast("int").alias("salt"), F.col("y").alias("node"))
+    hubs = fans.select("x", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("salt"), F.col("x").alias("node"))
+    rows = texts.join(sorted_side(partners.union(hubs)), "node").withColumn("late", (F.col("x") != F.col("node")).cast("int"))
+    rows = rows.repartition("x", "salt").sortWithinPartitions("x", "salt", "late").select("x", F.col("node").alias("y"), "text")
     return settle(rows.mapInArrow(_verify, "x long, y long"))
 
 
@@ -274,7 +306,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _close(x: str, y: str):
-    """Bounds that similar sets of sizes n meet: lengths, and bits in which the bitmaps differ."""
+    """Bounds that similar sets meet: lengths, and bits in which the small bitmaps differ."""
     nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
     apart = sum(
         (F.bit_count(F.get(f"{x}.bits", F.lit(i)).bitwiseXOR(F.get(f"{y}.bits", F.lit(i)))) for i in range(BITS // 64)), F.lit(0)
@@ -303,9 +335,9 @@ def links_of(described: DataFrame, docs: DataFrame, doc_id: str, text: str, buck
     live = posted.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select("g")
     shape = F.array(*[F.conv(F.hex(F.substring("bits", 8 * i + 1, 8)), 16, -10).cast("bigint") for i in range(BITS // 64)])
     about = settle(sets.join(rows.filter("row = node").select("row"), "row", "left_semi").select(
-        F.col("row").alias("node"), F.struct("n", shape.alias("bits"), F.xxhash64("row").alias("u"), F.col("row").alias("id")).alias("a")
+        F.col("row").alias("node"), "wide", F.struct("n", shape.alias("bits"), F.xxhash64("row").alias("u"), F.col("row").alias("id")).alias("a")
     ))
-    posted = settle(posted.join(live, "g").join(about, "node"))
+    posted = settle(posted.join(live, "g").join(about.select("node", "a"), "node"))
 
     hubs = settle(posted.groupBy("g").agg(F.min(F.struct("a.u", "a.id"))["id"].alias("hub"), F.count("*").alias("c")).join(about.select(F.col("node").alias("hub"), F.col("a").alias("h")), "hub"))
     first = posted.join(hubs, "g").filter((F.col("hub") != F.col("node")) & _close("h", "a")).select(F.col("hub").alias("x"), F.col("node").alias("y")).distinct()
@@ -316,7 +348,7 @@ def links_of(described: DataFrame, docs: DataFrame, doc_id: str, text: str, buck
     body = body.select("text", _identity("doc_id", "tkey").alias("same"))
     texts = settle(body.join(sorted_side(settle(wanted)), "same").dropDuplicates(["same"]).select("node", "text"))
 
-    near = verified(first, texts)
+    near = verified(near_pairs(first, about), texts)
     found = components(near)
     posted = settle(posted.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     open_ = posted.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("a.u", "comp"))["comp"].alias("bulk")).filter("lo <> hi").select("g", "bulk")
@@ -324,12 +356,14 @@ def links_of(described: DataFrame, docs: DataFrame, doc_id: str, text: str, buck
     out = left.filter("comp <> bulk").select("g", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("a").alias("h"))
     inner = left.select(F.col("g").alias("g2"), F.col("node").alias("y"), F.col("comp").alias("cy"), "a", "bulk")
     rest = out.join(inner, (F.col("g") == F.col("g2")) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("bulk")) | (F.col("x") < F.col("y"))) & _close("h", "a"))
-    far = verified(rest.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), texts)
+    rest = rest.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    far = verified(near_pairs(rest, about), texts)
     # Components so far stand for their nodes: new links join components.
     linked = found.select(F.col("node").alias("x"), F.col("comp").alias("y")).union(far)
     return nodes, components(linked)
 
 
+@small_batches
 def join_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rare: int = RARE) -> DataFrame:
     """One row per document: doc_id, tkey (content key of the text), n_shingles, component_id, keeps.
 
@@ -342,7 +376,7 @@ def join_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
     buckets = max(1, -(-size // (6 * BUCKET)))
     frequent = frequent_tokens(rows.select("text"), buckets, rare)
     sent = spark.sparkContext.broadcast(frequent)
-    schema = ", ".join(f"{n} {t}" for n, t in (("doc_id", rows.schema["doc_id"].dataType.simpleString()), ("tkey", "binary"), ("n", "long"), ("key", "binary"), ("bits", "binary"), ("single", "binary"), ("pair", "binary")))
+    schema = ", ".join(f"{n} {t}" for n, t in (("doc_id", rows.schema["doc_id"].dataType.simpleString()), ("tkey", "binary"), ("n", "long"), ("key", "binary"), ("bits", "binary"), ("wide", "binary"), ("single", "binary"), ("pair", "binary")))
     described = rows.select("doc_id", digest(F.col("text")).alias("tkey"), "text").mapInArrow(_describe(sent, 1 << _shift(buckets)), schema)
     described = settle(described.withColumn("row", F.monotonically_increasing_id()))
     nodes, comps = links_of(described, docs, doc_id, text, buckets)
@@ -357,7 +391,7 @@ def join_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
     return joined.join(best, "comp", "left").select(
         "doc_id", "tkey", "n_shingles",
         F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.coalesce(chosen, F.lit(True)).alias("keeps"),
+        F.when(F.col("comp").isNull(), True).otherwise(chosen).alias("keeps"),
     )
 
 

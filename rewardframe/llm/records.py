@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import settle, shared_folder
+from .common import settle, shared_folder, small_batches
 from .files import store, whole_file
 
 END_ID = 2
@@ -230,6 +230,7 @@ def read_records(spark: SparkSession, folder: str, lean: bool = False) -> DataFr
     return rows.join(sums, rows["file"] == sums["of"]).withColumn("start", F.col("base") + F.col("inside")).drop("of", "base", "inside")
 
 
+@small_batches
 def export(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
     """Writes the documents to a new folder and reads them back, without the ids themselves."""
     folder = shared_folder(docs.sparkSession)
