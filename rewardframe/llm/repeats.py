@@ -12,8 +12,8 @@ anchor.
 3. The spans of a text are put together and cut out.
 
 An anchor with more than ``HOT`` occurrences has its contexts cut into pieces of ``PIECE`` windows at
-fixed distances from the anchor and dealt by the bytes that all windows of a piece share; its
-occurrences meet their results in a join, so neither gathers in one task.
+fixed distances from the anchor and dealt by the bytes that all windows of a piece share; the places
+of a piece stay out of the index and meet its spans in a join, batch by batch.
 
 Defined cases: null texts are empty ones; texts under ``LEAST`` bytes stay; rows that repeat a text
 repeat all of it; a span may cut a character, the digest is over the bytes that remain; an empty table
@@ -27,10 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest, settle, sorted_side
+from .common import digest, settle, small_batches, sorted_side
 from .rlbwt import repeated_spans
 from .shingles import _BYTE, _power
 
@@ -38,9 +39,9 @@ LEAST = 200
 GRAM = 64
 HOT = 4096  # occurrences of an anchor whose contexts one task takes whole
 PIECE = 16
-CHUNK = 1 << 20  # bytes whose anchors are found at once
+CHUNK = 1 << 19  # bytes whose anchors are found at once
 BUCKET = 4 << 20  # bytes of text for each indexing group
-BLOCK = 1 << 20  # bytes of contexts in one index, about
+BLOCK = 1 << 18  # bytes of contexts in one index, about
 _PLACE_BITS = 21
 _U = np.uint64
 
@@ -173,7 +174,7 @@ def _marked(batch: pa.RecordBatch, least: int, gram: int, hot: bool):
     anchor hash, first window, last window, place."""
     wanted = [np.concatenate([np.frombuffer(x, np.uint32) for x in m]) for m in batch.column("marks").to_pylist()]
     # Texts are cut at the same bytes, so anchors have the numbers they had before.
-    sizes = np.cumsum([0, *[len((x or "").encode()) for x in batch.column("text").to_pylist()]])
+    sizes = np.concatenate(([0], np.cumsum(pc.binary_length(batch.column("text").fill_null("")).to_numpy(zero_copy_only=False).astype(np.int64))))
     for i, own, text, first, (last, place), h in anchors(batch.column("text"), least, gram):
         edges = np.searchsorted(text, np.arange(text[-1] + 2 if len(text) else 0))
         raw = own.tobytes()
@@ -189,7 +190,7 @@ _CONTEXTS = "bucket int, keys binary, lengths binary, counts binary, refs binary
 
 
 def _send(buckets: int, least: int, gram: int):
-    """Contexts of a batch by bucket; equal ones once, with the number of texts and where they stand."""
+    """Contexts by bucket, some MB at a time; equal ones once, with the number of texts and where they stand."""
 
     def packed(found: dict[bytes, list]) -> pa.RecordBatch:
         by: dict[int, list] = {}
@@ -209,9 +210,9 @@ def _send(buckets: int, least: int, gram: int):
         return pa.record_batch([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(cols)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = {}, 0
         for batch in batches:
             rows, copies = batch.column("row").to_pylist(), batch.column("copies").to_pylist()
-            found, size = {}, 0
             for i, base, raw, key, first, last, _ in _marked(batch, least, gram, False):
                 text = raw[first : last + least]
                 item = found.get(text)
@@ -220,10 +221,10 @@ def _send(buckets: int, least: int, gram: int):
                     size += len(text)
                 item[1] += copies[i]
                 item[2].append((rows[i], first - base))
-                if size > 32 << 20:
+                if size > 8 << 20:
                     yield packed(found)
                     found, size = {}, 0
-            yield packed(found)
+        yield packed(found)
 
     return run
 
@@ -269,15 +270,26 @@ def _index(least: int):
     return run
 
 
+_PIECES = "bucket int, core long, cid binary, copies long, rows binary, starts binary, piece binary"
+
+
 def _send_hot(buckets: int, least: int, gram: int):
-    """Pieces of hot anchors' contexts: every occurrence, the text only once in a batch."""
+    """Pieces of hot anchors' contexts, some MB at a time; each once, with all the places where it stands."""
+
+    def packed(found: dict[bytes, tuple]) -> pa.RecordBatch:
+        rows = [
+            (((core >> 32) * buckets) >> 32, core - (1 << 63), cid, sum(x[2] for x in refs),
+             np.array([x[0] for x in refs], np.int64).tobytes(), np.array([x[1] for x in refs], np.int64).tobytes(), text)
+            for cid, (core, text, refs) in found.items()
+        ]
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+        return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in _PIECES.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "core", "cid", "row", "start", "copies", "piece"]
-        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        found, size = {}, 0
         for batch in batches:
             rows, copies = batch.column("row").to_pylist(), batch.column("copies").to_pylist()
-            out, seen = [], set()
             for i, base, raw, key, first, last, place in _marked(batch, least, gram, True):
                 for d in range((place - last) // PIECE, (place - first) // PIECE + 1):
                     # Windows that start d * PIECE to (d + 1) * PIECE - 1 bytes before the anchor.
@@ -286,16 +298,32 @@ def _send_hot(buckets: int, least: int, gram: int):
                     core = int.from_bytes(hashlib.blake2b(shared + d.to_bytes(4, "little") + key.to_bytes(8, "little"), digest_size=8).digest(), "little")
                     text = raw[lo : hi + least]
                     cid = hashlib.blake2b(text + core.to_bytes(8, "little"), digest_size=16).digest()
-                    out.append((((core >> 32) * buckets) >> 32, core - (1 << 63), cid, rows[i], lo - base, copies[i], None if cid in seen else text))
-                    seen.add(cid)
-                if len(out) > 100_000:
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
-                    out = []
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 7, kinds, strict=True)], names)
+                    if cid not in found:
+                        found[cid] = (core, text, [])
+                        size += len(text)
+                    found[cid][2].append((rows[i], lo - base, copies[i]))
+                if size > 8 << 20:
+                    yield packed(found)
+                    found, size = {}, 0
+        yield packed(found)
 
     return run
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of pieces, put at all their places: one row for each text of a batch."""
+    for batch in batches:
+        out: dict[int, list[np.ndarray]] = {}
+        for rows, starts, spans in zip(*[batch.column(c).to_pylist() for c in ("rows", "starts", "spans")], strict=True):
+            own = np.frombuffer(spans, np.int64)
+            for row, start in zip(np.frombuffer(rows, np.int64).tolist(), np.frombuffer(starts, np.int64).tolist(), strict=True):
+                out.setdefault(row, []).append(own + start)
+        yield pa.record_batch([
+            pa.array(list(out), pa.int64()), pa.array([0] * len(out), pa.int64()),
+            pa.array([np.concatenate(x).tobytes() for x in out.values()], pa.binary()),
+        ], ["row", "start", "spans"])
+
+
 def _index_hot(least: int):
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         found: dict[int, dict[bytes, tuple[bytes, int]]] = {}
@@ -349,6 +377,7 @@ def _cut(keep_text: bool):
     return run
 
 
+@small_batches
 def remove_repeats(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, gram: int = GRAM, keep_text: bool = False,
 ) -> DataFrame:
@@ -375,12 +404,11 @@ def remove_repeats(
 
     sent = texts.select("row", "copies", "marks", "text").mapInArrow(_send(buckets, least, gram), _CONTEXTS)
     spans = sent.groupBy("bucket").applyInArrow(_index(least), "row long, start long, spans binary")
-    pieces = settle(texts.filter("hot").select("row", "copies", "marks", "text").mapInArrow(
-        _send_hot(buckets, least, gram), "bucket int, core long, cid binary, row long, start long, copies long, piece binary"
-    ))
-    held = pieces.groupBy("cid").agg(F.sum("copies").alias("copies"), F.first("piece", ignorenulls=True).alias("piece"), F.first("bucket").alias("bucket"), F.first("core").alias("core"))
+    pieces = settle(texts.filter("hot").select("row", "copies", "marks", "text").mapInArrow(_send_hot(buckets, least, gram), _PIECES))
+    held = pieces.groupBy("cid").agg(F.sum("copies").alias("copies"), F.first("piece").alias("piece"), F.first("bucket").alias("bucket"), F.first("core").alias("core"))
     hot = settle(held.groupBy("bucket").applyInArrow(_index_hot(least), "cid binary, spans binary"))
-    spans = settle(spans.union(pieces.select("cid", "row", "start").join(hot, "cid").select("row", "start", "spans")))
+    placed = pieces.select("cid", "rows", "starts").join(hot, "cid").select("rows", "starts", "spans")
+    spans = settle(spans.union(placed.mapInArrow(_spread, "row long, start long, spans binary")))
 
     parts = spans.groupBy("row").agg(F.collect_list(F.struct("start", "spans")).alias("parts"))
     cut = texts.select("row", "tkey", "text").join(sorted_side(parts), "row").select("tkey", "text", "parts").mapInArrow(

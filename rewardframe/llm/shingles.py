@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 N_WORDS = 5
-CHUNK = 1 << 20  # bytes of text that are worked on at once; a longer text goes alone
+CHUNK = 1 << 19  # bytes of text that are worked on at once; a longer text goes alone
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C13  # odd
 _rng = np.random.default_rng(20240229)
