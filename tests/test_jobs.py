@@ -107,10 +107,10 @@ def test_no_window_over_a_group(spark):
         assert "Window" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
-def test_top_k_limits_before_the_shuffle(spark):
+def test_top_k_opens_no_window_over_a_group(spark):
     df, _ = hot_table(spark)
     plan = candidates.top_k(df, "grp", "score", 3)._jdf.queryExecution().optimizedPlan().toString()
-    assert "WindowGroupLimit" in plan
+    assert "Window" not in plan
 
 
 def test_split_is_disjoint_and_complete(spark):
