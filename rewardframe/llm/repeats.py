@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import digest, settle, small_batches, sorted_side
 from .rlbwt import repeated_spans
-from .shingles import _BYTE, _power
+from .shingles import _BYTE, _power, mix
 
 LEAST = 200
 GRAM = 64
@@ -79,7 +79,8 @@ def _windows(data: np.ndarray, offsets: np.ndarray, least: int, gram: int) -> tu
     fresh = np.concatenate(([True], (place[1:] != place[:-1]) | (text[1:] != text[:-1])))[: len(start)]
     at = np.flatnonzero(fresh)
     last = start[np.append(at[1:] - 1, len(start) - 1)] if len(at) else at
-    return start[at], last, place[at], h[place[at]], text[at]
+    # Anchors are small hashes: mixed again, they spread evenly over the buckets.
+    return start[at], last, place[at], mix(h[place[at]]), text[at]
 
 
 def anchors(texts: pa.Array, least: int, gram: int) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
