@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextvars
 import functools
 import string
 import uuid
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
+#: Tables settled by the job that runs, if it is to remove them.
+_scope: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("settled", default=None)
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -46,9 +49,35 @@ def settle(df: DataFrame) -> DataFrame:
     """
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
+    scope = _scope.get()
+    if scope is not None:
+        scope.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(job: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Settles the result of a job and removes the tables that the job settled on its way.
+
+    For jobs with a narrow result: it is written once more.
+    """
+
+    @functools.wraps(job)
+    def run(df: DataFrame, *args, **named) -> DataFrame:
+        outer, paths = _scope.get(), []
+        _scope.set(paths)
+        try:
+            out = job(df, *args, **named)
+            _scope.set(outer)
+            return settle(out)
+        finally:
+            _scope.set(outer)
+            for path in paths:
+                place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+    return run
+
+
 def sorted_side(df: DataFrame) -> DataFrame:
     """Side of a join with rows that carry texts, to be shuffled and sorted at every size.
 

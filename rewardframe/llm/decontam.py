@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, digest, packed, settle, sorted_side, unpacked, words
+from .common import ascii_lower, digest, packed, settle, sorted_side, tidy, unpacked, words
 
 N_WORDS = 5
 PERCENT = 80  # of an item's shingles that a document must hold
@@ -92,6 +92,7 @@ def candidates(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     return texts.select("key", F.explode_outer(signature("hashes", F.col("n"), load(least, percent))).alias("v")).join(side, "v").select("key", "item").distinct()
 
 
+@tidy
 def leaks(
     docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", percent: int = PERCENT,
 ) -> DataFrame:
@@ -118,7 +119,7 @@ def contamination(
     item_id: str = "item_id", item_text: str = "text", percent: int = PERCENT,
 ) -> DataFrame:
     """One row per document and test item it holds: doc_id, item_id, n_item, n_shared."""
-    found = settle(leaks(docs, items, text, item_text, percent))
+    found = leaks(docs, items, text, item_text, percent)
     d = docs.select(F.col(doc_id).alias("doc_id"), digest(F.col(text)).alias("key"))
     i = items.select(F.col(item_id).alias("item_id"), digest(F.col(item_text)).alias("item"))
     return d.join(found, "key").join(i, "item").select("doc_id", "item_id", "n_item", "n_shared")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import digest, packed, settle, small_batches, sorted_side, unpacked
+from .common import digest, packed, settle, small_batches, sorted_side, tidy, unpacked
 from .shingles import mix, shingle_sets
 
 RARE = 64  # documents that may hold a rare token
@@ -56,7 +56,11 @@ def _ranges(sorted_values: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _count_tokens(buckets: int):
-    """Per batch and bucket: the distinct tokens, 4 bytes each, and further counts of those met again."""
+    """Per batch and bucket: the distinct tokens, 3 bytes each, and further counts of those met again.
+
+    Within a bucket 24 bits tell tokens apart well enough: two that share them are counted together,
+    and at worst called frequent together.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,7 +74,7 @@ def _count_tokens(buckets: int):
             for b in np.flatnonzero(np.diff(edges)).tolist():
                 part, more = tokens[edges[b] : edges[b + 1]], counts[edges[b] : edges[b + 1]]
                 many = more > 1
-                rows.append((b, _short(part, b, buckets).tobytes(), np.concatenate((part[many], (more[many] - 1).astype(np.uint64))).tobytes()))
+                rows.append((b, _three(part, b, buckets).view(np.uint8).reshape(-1, 4)[:, :3].tobytes(), np.concatenate((part[many], (more[many] - 1).astype(np.uint64))).tobytes()))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[], [], []], (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "tokens", "extra"])
 
     return run
@@ -87,14 +91,25 @@ def _short(tokens: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
     return ((tokens - start) >> _U(_shift(buckets))).astype(np.uint32)
 
 
+def _three(tokens: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
+    """The upper 24 of the 32 bits that follow from a token's bucket."""
+    return (_short(tokens, bucket, buckets) >> np.uint32(8)).astype("<u4")
+
+
+def _from_three(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 3, 4), np.uint8)
+    wide[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
+    return wide.view("<u4").ravel()
+
+
 def _frequent_of(buckets: int, least: int):
     """Tokens of a bucket counted over all batches: those with more than ``least``."""
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         b = key[0].as_py()
-        parts = [np.frombuffer(x, np.uint32) for x in t["tokens"].to_pylist()]
+        parts = [_from_three(x) for x in t["tokens"].to_pylist()]
         extra = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in t["extra"].to_pylist()]
-        more = [_short(x[0], b, buckets) for x in extra]
+        more = [_three(x[0], b, buckets) for x in extra]
         values = np.concatenate(parts + more)
         weights = np.concatenate([np.ones(sum(map(len, parts)), np.int64), *[x[1].astype(np.int64) for x in extra]])
         order = np.argsort(values)
@@ -104,7 +119,7 @@ def _frequent_of(buckets: int, least: int):
         kept = counts > least
         start = _U((b << 64) // buckets)
         # The token's lower bits are cut off: a frequent token is one with these upper bits.
-        tokens = (values[first][kept].astype(np.uint64) << _U(_shift(buckets))) + start
+        tokens = (values[first][kept].astype(np.uint64) << _U(_shift(buckets) + 8)) + start
         return pa.table({"token": tokens.view(np.int64), "docs": counts[kept]})
 
     return run
@@ -134,14 +149,17 @@ def _is_frequent(tokens: np.ndarray, frequent: np.ndarray, width: int) -> np.nda
 
 
 def entries(tokens: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index entries of a set: single rare tokens, and pairs of frequent ones."""
+    """Index entries of a set: single rare tokens, and pairs of frequent ones.
+
+    Prefixes hold small hashes; entries are mixed again, so that they spread evenly over the buckets.
+    """
     n, none = len(tokens), np.zeros(0, np.uint64)
     if n < 4:  # a set of another size can't be similar
         return none, none
     need = n // 5 + 1
     rare = tokens[~often]
     if len(rare) >= need:
-        return rare[:need], none
+        return mix(rare[:need]), none
     many, need = tokens[often], need - len(rare)
     pairs = []
     # A pair of sets meets in the size class of the larger one.
@@ -158,7 +176,7 @@ def entries(tokens: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarr
             if not same.any():
                 break
             pairs.append(mix(t[:-gap][same] * _PAIR[0] + t[gap:][same] * _PAIR[1] + _PAIR[2:] * _U(c)))
-    return rare, np.concatenate(pairs) if pairs else none
+    return mix(rare), np.concatenate(pairs) if pairs else none
 
 
 def _parity(tokens: np.ndarray, bits: int) -> bytes:
@@ -179,6 +197,17 @@ def differing(a: bytes, b: bytes) -> int:
     return (x ^ y).bit_count()
 
 
+def _six(tokens: np.ndarray) -> bytes:
+    """The upper six bytes of each token: enough to bring sets together, which are then verified."""
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _from_six(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return wide.view("<u8").ravel().astype(np.uint64)
+
+
 def _describe(frequent, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,7 +217,7 @@ def _describe(frequent, width: int):
                 key = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None
                 # The wide bitmap has two to four bits per token.
                 bits, wide = _parity(tokens, BITS), _parity(tokens, max(16, 2 << (len(tokens) - 1).bit_length()))
-                out.append((len(tokens), key, bits, wide, single.tobytes(), pair.tobytes()))
+                out.append((len(tokens), key, bits, wide, _six(single), pair.tobytes()))
             cols = list(zip(*out, strict=True)) or [[]] * 6
             made = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), *[pa.binary()] * 5), strict=True)]
             yield pa.record_batch([batch.column("doc_id"), batch.column("tkey"), *made], ["doc_id", "tkey", "n", "key", "bits", "wide", "single", "pair"])
@@ -197,30 +226,40 @@ def _describe(frequent, width: int):
 
 
 def _deal(buckets: int):
-    """Single entries of a batch, by bucket: their values and rows."""
+    """Single entries of a batch, by bucket: 32 bits of each, and its row as a distance from a base."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [np.frombuffer(x, np.uint64) for x in batch.column("single").to_pylist()]
+            values = [_from_six(x) for x in batch.column("single").to_pylist()]
             rows = np.repeat(batch.column("row").to_numpy(), [len(x) for x in values])
             values = np.concatenate(values) if values else np.zeros(0, np.uint64)
-            order = np.argsort(values)
-            values, rows = values[order], rows[order]
-            edges = _ranges(values, buckets)
-            full = np.flatnonzero(np.diff(edges)).tolist()
-            yield pa.record_batch([
-                pa.array(full, pa.int32()),
-                pa.array([values[edges[b] : edges[b + 1]].tobytes() for b in full], pa.binary()),
-                pa.array([rows[edges[b] : edges[b + 1]].tobytes() for b in full], pa.binary()),
-            ], ["bucket", "values", "rows"])
+            # Rows of one file are near each other.
+            for file in np.unique(rows >> 32):
+                own = rows >> 32 == file
+                order = np.argsort(values[own])
+                v, base = values[own][order], int(rows[own].min())
+                away = rows[own][order] - base
+                away = away.astype(np.uint16 if away.max() < 1 << 16 else np.uint32)
+                edges = _ranges(v, buckets)
+                full = np.flatnonzero(np.diff(edges)).tolist()
+                yield pa.record_batch([
+                    pa.array(full, pa.int32()),
+                    pa.array([_short(v[edges[b] : edges[b + 1]], b, buckets).tobytes() for b in full], pa.binary()),
+                    pa.array([base] * len(full), pa.int64()),
+                    pa.array([away[edges[b] : edges[b + 1]].tobytes() for b in full], pa.binary()),
+                ], ["bucket", "values", "base", "rows"])
 
     return run
 
 
 def _meet(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
     """Groups of rows that share an entry of the bucket, each group of rows once."""
-    values = np.concatenate([np.frombuffer(x, np.uint64) for x in t["values"].to_pylist()])
-    rows = np.concatenate([np.frombuffer(x, np.int64) for x in t["rows"].to_pylist()])
+    values = [np.frombuffer(x, np.uint32) for x in t["values"].to_pylist()]
+    rows = np.concatenate([
+        np.frombuffer(x, np.uint16 if len(x) == 2 * len(v) else np.uint32).astype(np.int64) + base
+        for v, base, x in zip(values, t["base"].to_pylist(), t["rows"].to_pylist(), strict=True)
+    ])
+    values = np.concatenate(values)
     order = np.argsort(values, kind="stable")
     values, rows = values[order], rows[order]
     edges = np.append(np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))), len(values))
@@ -326,7 +365,7 @@ def links_of(described: DataFrame, docs: DataFrame, doc_id: str, text: str, buck
     rows = sets.select("row", "key").join(nodes.select("key", "node"), "key").select("row", "node")
     rows = settle(rows)
 
-    single = sets.filter(F.octet_length("single") > 0).select("row", "single").mapInArrow(_deal(buckets), "bucket int, values binary, rows binary")
+    single = sets.filter(F.octet_length("single") > 0).select("row", "single").mapInArrow(_deal(buckets), "bucket int, values binary, base long, rows binary")
     groups = settle(single.groupBy("bucket").applyInArrow(_meet, "rows array<long>").distinct())
     from_single = groups.select(F.xxhash64("rows").alias("g"), F.explode("rows").alias("row")).join(rows, "row").select("g", "node")
     paired = sets.filter(F.octet_length("pair") > 0).select("row", "pair").join(rows.filter("row = node").select("row"), "row", "left_semi")
@@ -363,6 +402,7 @@ def links_of(described: DataFrame, docs: DataFrame, doc_id: str, text: str, buck
     return nodes, components(linked)
 
 
+@tidy
 @small_batches
 def join_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rare: int = RARE) -> DataFrame:
     """One row per document: doc_id, tkey (content key of the text), n_shingles, component_id, keeps.
@@ -377,7 +417,7 @@ def join_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
     frequent = frequent_tokens(rows.select("text"), buckets, rare)
     sent = spark.sparkContext.broadcast(frequent)
     schema = ", ".join(f"{n} {t}" for n, t in (("doc_id", rows.schema["doc_id"].dataType.simpleString()), ("tkey", "binary"), ("n", "long"), ("key", "binary"), ("bits", "binary"), ("wide", "binary"), ("single", "binary"), ("pair", "binary")))
-    described = rows.select("doc_id", digest(F.col("text")).alias("tkey"), "text").mapInArrow(_describe(sent, 1 << _shift(buckets)), schema)
+    described = rows.select("doc_id", digest(F.col("text")).alias("tkey"), "text").mapInArrow(_describe(sent, 1 << (_shift(buckets) + 8)), schema)
     described = settle(described.withColumn("row", F.monotonically_increasing_id()))
     nodes, comps = links_of(described, docs, doc_id, text, buckets)
     nodes = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
