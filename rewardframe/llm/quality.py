@@ -14,12 +14,10 @@ table gives an empty result.
 
 from __future__ import annotations
 
-import string
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD, digest, packed, settle, sorted_side, words
+from .common import SPACES, WORD, computed, digest, packed, settle, sorted_side, tidy, words
 
 MAX_DOCS = 100  # distinct documents of a host that may share a line
 MAX_LOST = 70  # per cent of its words that a document may lose
@@ -28,9 +26,8 @@ _SYMBOLS = "#*$%&|<>"
 
 
 def normal_line(line: Column) -> Column:
-    """Line with A-Z lower-cased, digits as 0 and single spaces."""
-    flat = F.translate(line, string.ascii_uppercase + "123456789", string.ascii_lowercase + "0" * 9)
-    return F.trim(F.regexp_replace(flat, SPACES, " "))
+    """Line in lower case, digits as 0 and single spaces."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[1-9]", "0"), SPACES, " "))
 
 
 def repeated_words(df: DataFrame, hashes: str, out: str) -> DataFrame:
@@ -39,10 +36,9 @@ def repeated_words(df: DataFrame, hashes: str, out: str) -> DataFrame:
     Only texts that repeat a window at all sort their windows by hash, so that equal ones meet.
     """
     n = F.size(hashes)
-    ends = [F.get(hashes, F.lit(0))]  # keeps `hashes` a column of its own, used more than once
     h = df.withColumn(
         "_windows",
-        F.when((n >= WINDOW) & ends[0].isNotNull(), F.transform(
+        F.when(n >= WINDOW, F.transform(
             F.slice(hashes, F.lit(1), F.greatest(n - WINDOW + 1, F.lit(0))),
             lambda x, i: F.xxhash64(x, *[F.get(hashes, i + k) for k in range(1, WINDOW)]),
         )).otherwise(F.array().cast("array<bigint>")),
@@ -65,24 +61,26 @@ def with_stats(df: DataFrame, text: str) -> DataFrame:
     df = df.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
     df = repeated_words(df, "_hashes", "n_repeat_words")
     n = F.size("_words").cast("bigint")
+    failed = (n < 10) | (100 * F.col("n_repeat_words") > 20 * n)
+    own = [c for c in df.columns if c not in ("_words", "_hashes", "_lines", "n_repeat_words")]
     spaces = "".join(map(chr, [32, *range(9, 14)]))
-    df = df.select(
-        "*", n.alias("n_words"),
+    return df.select(*own, computed(
+        n.alias("n_words"),
         F.length(F.translate(body, spaces, "")).cast("bigint").alias("word_chars"),
         (F.length(body) - F.length(F.translate(body, _SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
-    ).drop("_words", "_hashes", "_lines")
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return df.withColumn("base_failed", failed)
+        F.col("n_repeat_words"), failed.alias("base_failed"),
+    ))
 
 
+@tidy
 def boilerplate(docs: DataFrame, doc_id: str, text: str, host: str, max_docs: int) -> DataFrame:
     """Lines to take out of each text: key (of host and text), lost_words, lost_lines (line hashes)."""
     lines = F.filter(F.split(F.col("text"), "\n", -1), lambda x: x.rlike(WORD))
     held = (
         docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(host).alias("host"))
         .withColumn("key", digest(F.col("host"), F.col("text")))
-        .select("id", "key", "host", F.explode(lines).alias("raw"))
+        .select("id", "key", "host", F.explode_outer(lines).alias("raw")).filter("raw IS NOT NULL")
         .select("id", "key", "host", F.xxhash64(normal_line(F.col("raw"))).alias("line"), F.regexp_count("raw", F.lit(WORD)).alias("n"))
         # Copies of a text repeat each line as often as the text holds it: count it per row first.
         .groupBy("id", "key", "host", "line").agg(F.sum("n").alias("n"), F.count("*").alias("c"))
@@ -111,7 +109,7 @@ def judge(
     ``kept`` is false if the base rules fail or if more than ``max_lost`` per cent of the words
     stand in boilerplate lines.
     """
-    lost = settle(boilerplate(docs, doc_id, text, host, max_docs))
+    lost = boilerplate(docs, doc_id, text, host, max_docs)
     rows = docs.select(packed(docs).alias("doc"), F.col(text).alias("_text"), digest(F.col(host), F.col(text)).alias("key"))
     # The figures come first, so that the join carries no text beyond ``doc``.
     judged = with_stats(rows, "_text").drop("_text").join(sorted_side(lost), "key", "left").drop("key")

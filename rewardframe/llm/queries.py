@@ -39,8 +39,7 @@ def _sql_lower(text: str) -> str:
 
 
 def _sql_line(text: str) -> str:
-    flat = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000')"
-    return f"trim(regexp_replace({flat}, '{_SP}', ' ', 'g'))"
+    return f"trim(regexp_replace(regexp_replace(lower({text}), '[1-9]', '0', 'g'), '{_SP}', ' ', 'g'))"
 
 
 # --- 1: n-gram Jaccard join -----------------------------------------------------------------------

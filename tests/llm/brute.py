@@ -109,8 +109,7 @@ def records(rows):
 
 
 def normal_line(line):
-    flat = line.translate(LOWER).translate(str.maketrans("123456789", "000000000"))
-    return re.sub(r"[\x20\x09-\x0D]+", " ", flat).strip(" ")
+    return re.sub(r"[\x20\x09-\x0D]+", " ", re.sub("[1-9]", "0", line.lower())).strip(" ")
 
 
 def quality(docs, max_docs=100, max_lost=70):
