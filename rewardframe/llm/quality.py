@@ -80,11 +80,11 @@ def boilerplate(docs: DataFrame, doc_id: str, text: str, host: str, max_docs: in
     held = (
         docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(host).alias("host"))
         .withColumn("key", digest(F.col("host"), F.col("text")))
-        .select("id", "key", "host", F.explode_outer(lines).alias("raw")).filter("raw IS NOT NULL")
-        .select("id", "key", "host", F.xxhash64(normal_line(F.col("raw"))).alias("line"), F.regexp_count("raw", F.lit(WORD)).alias("n"))
-        # Copies of a text repeat each line as often as the text holds it: count it per row first.
-        .groupBy("id", "key", "host", "line").agg(F.sum("n").alias("n"), F.count("*").alias("c"))
-        .groupBy("key", "host", "line").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first"), F.max("n").alias("n"))
+        .select("id", "key", "host", F.posexplode_outer(lines).alias("place", "raw")).filter("raw IS NOT NULL")
+        .select("id", "key", "host", "place", F.xxhash64(normal_line(F.col("raw"))).alias("line"), F.regexp_count("raw", F.lit(WORD)).alias("n"))
+        # Rows with one key hold the same line at the same place: it counts once, however many rows there are.
+        .groupBy("key", "host", "line", "place").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first"), F.max("n").alias("n"))
+        .groupBy("key", "host", "line").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
     )
     held = settle(held)
     common = (

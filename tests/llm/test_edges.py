@@ -104,6 +104,17 @@ def test_quality_boilerplate(spark):
     assert all((line in t) == (d == 1) for d, t in got if d % 7) and not any(d >= 100 for d, _ in got)
 
 
+def test_quality_counts_the_lines_of_repeated_rows_once(spark):
+    line = "the very same line on every page"
+    own = lambda i: " ".join(f"own{i}x{k}" for k in range(80))
+    data = [(i, f"{line}\n{own(i)}", "h") for i in range(1, 13)]
+    # A row twenty times, and a text that holds the line twice: without id, twice, and under an id.
+    data += [data[5]] * 19 + [(d, f"{line}\n{own(50)}\n{line}", "h") for d in (None, None, 50)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, source string").repartition(3)
+    got = rows(rules.judge(df, max_docs=10), "doc.doc_id", "lost_words", "kept")
+    assert got == sorted(((d, 0 if d == 1 else 14 if d in (None, 50) else 7, True) for d, _, _ in data), key=repr)
+
+
 def test_repeats(spark, docs, monkeypatch):
     want = sorted(((d, *r) for (d, _, _), r in zip(texts(), repeats([t for _, t, _ in texts()]), strict=True)), key=repr)
     columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
