@@ -5,8 +5,8 @@ their set; in each class the hash space is cut into so many bins that the items
 sets of that size, and a document's signature is its smallest hash in every bin (one permutation
 hashing).  A document is a candidate for an item if a value of its signature is a shingle of the item.
 The longer the documents of a class, the more bins it has, so the chance to miss an item at the limit
-stays under ``MISS`` whatever the document's length.  Candidates are verified by exact shingle
-containment.
+stays under ``MISS`` whatever the document's length.  Where an item has too few shingles for that,
+every hash of a document is in its signature.  Candidates are verified by exact shingle containment.
 
 Defined cases: null and empty texts, and items without words, match nothing; with fewer than five
 words the whole sequence is one shingle; repeated rows (documents or items) give repeated results;
@@ -59,7 +59,7 @@ def load(n_item: int, percent: int) -> float:
     """Mean number of a document's shingles in a bin, if items have ``n_item`` shingles or more.
 
     A shingle is the smallest of its bin with chance (1 - e^-x) / x, and the item has ``percent`` of
-    its shingles in the document.  0 stands for a bin for every shingle, for very short items.
+    its shingles in the document.  0 stands for every shingle, for items with very few.
     """
     held = max(1, math.ceil(n_item * percent / 100))
     x = 16.0
@@ -69,8 +69,10 @@ def load(n_item: int, percent: int) -> float:
 
 
 def signature(hashes: str, n: Column, x: float) -> Column:
-    """Smallest hash of every bin, from sorted hashes of a set in the size class of ``n``."""
-    m = F.greatest(F.pow(F.lit(2.0), size_class(n)) / (x or 0.01), F.lit(1.0))
+    """Smallest hash of every bin, from sorted hashes of a set in the size class of ``n``; every hash if ``x`` is 0."""
+    if not x:
+        return F.array_distinct(hashes)
+    m = F.greatest(F.pow(F.lit(2.0), size_class(n)) / x, F.lit(1.0))
     width = F.greatest(F.floor(F.lit(float(_HALF)) / m), F.lit(1)).cast("bigint")
     return F.filter(hashes, lambda h, i: (i == 0) | (F.get(hashes, F.greatest(i - 1, F.lit(0))) < h - h % width))
 
@@ -80,7 +82,9 @@ def candidates(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
 
     Both frames have key and text.
     """
-    sized = settle(with_hashes(items.select(F.col("key").alias("item"), F.col("text").alias("_t")), "_t").select("item", "n", F.explode_outer("hashes").alias("v")).filter("v IS NOT NULL").distinct())
+    hashed = with_hashes(items.select(F.col("key").alias("item"), F.col("text").alias("_t")), "_t").withColumn("hashes", F.array_distinct("hashes"))
+    # An item that repeats its shingles can be hit by the distinct ones alone.
+    sized = settle(hashed.select("item", F.size("hashes").alias("n"), F.explode_outer("hashes").alias("v")).filter("v IS NOT NULL").distinct())
     least, rows = sized.agg(F.min("n"), F.count("*")).first()
     texts = with_hashes(docs.select("key", F.col("text").alias("_t")), "_t")
     if not least:

@@ -229,6 +229,24 @@ def test_decontamination_finds_what_brute_force_finds(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("item", ["one two three four five", "again " * 15, "on and " * 8])
+def test_decontamination_finds_items_of_few_shingles(spark, item):
+    from brute import shingles
+
+    rng = random.Random(10)
+    data = []
+    for d in range(3000):
+        own = [word(rng) for _ in range(rng.randint(200, 240))]
+        at = rng.randint(0, len(own))
+        own[at:at] = item.split() if d % 10 else item.split()[:4]
+        data.append((d, " ".join(own)))
+    x = shingles(item)
+    want = {d for d, t in data if 100 * len(shingles(t) & x) >= 80 * len(x)}
+    bench = spark.createDataFrame([(1, item), (2, " ".join(f"long{i}" for i in range(40)))], "item_id bigint, text string")
+    got = decontam.contamination(spark.createDataFrame(data, "doc_id bigint, text string"), bench)
+    assert {r["doc_id"] for r in got.filter("item_id = 1").collect()} == want and len(want) >= 2700
+
+
 PAGES = [
     (1, "http://a.Example.com/en/x?q#f", "<p>" + "x" * 2000), (2, "https://example.com/en/", "<p>" + "x" * 2000), (3, None, None),
     (4, "no scheme", ""), (5, "http://www.example.com/en/1", "<p>" + "x" * 2000), (6, "http://b.net", "é" * 499), (7, "ftp://B.NET/es/?x://y", "é" * 499),
