@@ -31,10 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest, packed, settle, small_batches, sorted_side, tidy, unpacked
+from .common import WORD, digest, packed, settle, small_batches, sorted_side, tidy, unpacked
 from .shingles import mix, shingle_sets
 
 RARE = 64  # documents that may hold a rare token
@@ -437,10 +437,13 @@ def join_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with one of each component left, with their columns."""
-    kept = join_similar(docs, doc_id, text).filter("keeps").select(_identity("doc_id", "tkey").alias("same"), "n_shingles")
+    kept = join_similar(docs, doc_id, text).filter("keeps AND n_shingles > 0").select(_identity("doc_id", "tkey").alias("same"))
     kept = settle(kept.distinct())
-    rows = docs.select(packed(docs).alias("row"), F.col(doc_id).alias("doc_id"), digest(F.col(text)).alias("tkey"))
-    rows = rows.select("row", _identity("doc_id", "tkey").alias("same")).join(sorted_side(kept), "same")
-    # Of rows that repeat the kept id and text one stays; rows without shingles all stay.
-    place = F.row_number().over(Window.partitionBy("same").orderBy("n_shingles"))
-    return unpacked(rows.withColumn("place", place).filter("place = 1 OR n_shingles = 0"), docs)
+    full = F.coalesce(F.col(text).rlike(WORD), F.lit(False))
+    rows = docs.filter(full).select(packed(docs).alias("row"), F.col(doc_id).alias("doc_id"), digest(F.col(text)).alias("tkey"))
+    # Of rows that repeat the kept id and text one stays: each task passes on one, before rows are dealt.
+    rows = rows.select("row", _identity("doc_id", "tkey").alias("same")).dropDuplicates(["same"])
+    # An inner join: a semi join would be moved below, where whole groups are dealt.
+    rows = rows.join(sorted_side(kept), "same").select("row")
+    # Rows without words have no shingles; all of them stay.
+    return unpacked(rows.unionAll(docs.filter(~full).select(packed(docs).alias("row"))), docs)

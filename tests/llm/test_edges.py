@@ -62,6 +62,16 @@ def test_one_of_each(docs):
     assert ids.count(11) == 1 and {1, 2, 3, 4} <= set(ids) and not {5, 6, 9} & set(ids) and ids.count(None) == 1
 
 
+def test_one_of_each_of_many_copies(spark):
+    copied = " ".join(f"w{k}" for k in range(30))
+    data = [(None, copied)] * 400 + [(None, t) for t in (None, "", " \n\t")] * 100 + [(1, "some other text of a few words")] * 3
+    kept = jaccard.one_of_each(spark.createDataFrame(data, "doc_id bigint, text string").repartition(4))
+    assert rows(kept, "doc_id", "text") == sorted([(None, copied), (1, data[-1][1]), *[x for x in data if x[0] is None and x[1] != copied]], key=repr)
+    # No group goes through one task: rows are picked by a partial aggregate, below the exchange.
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.index("Join Inner") < plan.index("Aggregate [same")
+
+
 def chains(spark):
     """A long chain of texts, each similar to the next alone, and a crowd of near copies."""
     rng = random.Random(5)
