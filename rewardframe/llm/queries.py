@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, lines, mixing, quality, records, repeats, secrets, urls, warc
+from . import align, bpe, decontam, jaccard, lines, mixing, quality, records, repeats, secrets, urls, variants, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -249,3 +249,39 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[n(k) for k in secrets.BASE], F.sha2(secrets.spelled(base), 256).alias("base_sha256"),
         secrets.spelled(F.col("found")).alias("spans"),
     )
+
+
+# --- 11: byte-level BPE ---------------------------------------------------------------------------
+
+
+@query("op11_byte_bpe")
+def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    told = encoded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), "ids",
+    )
+    return bpe.decode(told, ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+# --- 12: spelling variants ------------------------------------------------------------------------
+
+
+@query("op12_spelling_variants")
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = variants.group_variants(table(spark, sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+# --- 13: cross-tokenizer alignment ----------------------------------------------------------------
+
+
+@query("op13_token_alignment")
+def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align.align(
+        table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), public_tokenizers.PATTERN,
+    )

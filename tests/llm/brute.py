@@ -170,3 +170,111 @@ def mix(docs, weights=(3, 1, 2), percent=150, most=2, seed="mix-1"):
         (n, total[s], target[s], min(whole[s] + (h <= cut[s]), most))
         for (_, _, s), n, h in zip(docs, sizes, mark, strict=True)
     ]
+
+
+def byte_bpe(texts, path, pattern):
+    """(n_tokens, digest of the ids, digest of the decoded bytes) of each text, by the library on whole texts."""
+    import base64
+
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    whole = tiktoken.Encoding("whole", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    out = []
+    for t in texts:
+        ids = whole.encode_ordinary(t or "")
+        digest = hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        out.append((len(ids), digest, hashlib.sha256(whole.decode_bytes(ids)).hexdigest()))
+    return out
+
+
+def spelled_words(rows):
+    """Words of (doc_id, text) rows with their counts, some of them misspelled."""
+    words = Counter()
+    for d, t in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            low = run.translate(LOWER)
+            h = zlib.crc32(f"{'null' if d is None else d}:{low}".encode())
+            words[low[: h % len(low)] + low[h % len(low) + 1 :] if h % 199 == 0 else low] += 1
+    return {w: n for w, n in words.items() if len(w) >= 6 and n >= 5}
+
+
+def one_edit(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def variants(counts):
+    """(word, form, root, n, n_near, form_n) of words with their counts; every pair is compared."""
+    near = {w: [x for x in counts if one_edit(w, x)] for w in counts}
+    form = {}
+    for w, n in counts.items():
+        best = min(near[w], key=lambda x: (-counts[x], x), default=None)
+        form[w] = best if best is not None and counts[best] >= 5 * n else None
+    out = []
+    for w, n in counts.items():
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.append((w, form[w], root, n, len(near[w]), counts.get(form[w])))
+    return out
+
+
+@cache
+def aligners(a, b):
+    """Encoders and token bytes of a byte-level and a piece tokenizer."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    first = Tokenizer.from_file(a)
+    first.encode_special_tokens = True
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(x): x for x in visible} | {chr(256 + i): x for i, x in enumerate(x for x in range(256) if x not in visible)}
+    entries = {i: bytes(letters[c] for c in t) for t, i in first.get_vocab(with_added_tokens=False).items()}
+    second = sentencepiece.SentencePieceProcessor(model_file=b)
+    piece = lambda p: bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode()
+    return (
+        lambda t: [(i, entries[i]) for i in first.encode(" " + t, add_special_tokens=False).ids],
+        lambda t: [(i, piece(second.id_to_piece(i))) for i in second.encode(t)],
+    )
+
+
+def alignment(rows, a, b):
+    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, digest) of (doc_id, text) rows, token by token."""
+    found, counts = [], Counter()
+    for d, t in rows:
+        sides = [f(t) for f in aligners(a, b)] if t else [[], []]
+        if not t or any(b"".join(x for _, x in s) != (" " + t).encode() for s in sides):
+            found.append((d, 0, 0, 0, [], ""))
+            continue
+        spans = []
+        for s in sides:
+            at, own = 0, []
+            for i, x in s:
+                own.append((at, at + len(x), i))
+                at += len(x)
+            spans.append(own)
+        ends = sorted({z for _, z, _ in spans[0]} & {z for _, z, _ in spans[1]})
+        groups, links, lo, places = [], [], 0, [0, 0]
+        for end in ends:
+            part = []
+            for k, own in enumerate(spans):
+                first = places[k]
+                while places[k] < len(own) and own[places[k]][1] <= end:
+                    places[k] += 1
+                part.append(own[first : places[k]])
+            groups.append("|".join(",".join(str(i) for *_, i in p) for p in part))
+            links += [(x[2], y[2]) for x in part[0] for y in part[1] if x[0] < y[1] and y[0] < x[1]]
+            lo = end
+        found.append((d, len(spans[0]), len(spans[1]), len(ends), links, hashlib.sha256(";".join(groups).encode()).hexdigest()))
+        counts.update(set(links))
+    most = Counter()
+    for (x, _), n in counts.items():
+        most[x] = max(most[x], n)
+    return [
+        (d, na, nb, ng, len(ls), sum(counts[x] == most[x[0]] for x in ls), sum(counts[x] for x in ls), h)
+        for d, na, nb, ng, ls, h in found
+    ]

@@ -2,7 +2,7 @@
 
 import duckdb
 import pytest
-from brute import clean, components, mix, quality, records, repeats, secrets
+from brute import alignment, byte_bpe, clean, components, mix, quality, records, repeats, secrets, spelled_words, variants
 
 from rewardframe.llm import queries
 
@@ -57,6 +57,27 @@ def test_secrets(spark, docs):
     assert got == sorted(want, key=repr) and any(w[5] for w in want)
 
 
+def test_byte_bpe(spark, docs):
+    import public_tokenizers
+
+    got = rows(queries.QUERIES["op11_byte_bpe"](spark, DATA), ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    want = byte_bpe([t for _, t, _ in docs], queries.tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert got == sorted(((d, *w) for (d, _, _), w in zip(docs, want, strict=True)), key=repr)
+
+
+def test_variants(spark, docs):
+    got = rows(queries.QUERIES["op12_spelling_variants"](spark, DATA), ["word", "form", "root", "n", "n_near", "form_n"])
+    want = variants(spelled_words([(d, t) for d, t, _ in docs]))
+    assert got == sorted(want, key=repr) and any(w[1] for w in want)
+
+
+def test_alignment(spark, docs):
+    columns = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    got = rows(queries.QUERIES["op13_token_alignment"](spark, DATA), columns)
+    want = alignment([(d, t) for d, t, _ in docs], queries.tokenizer_path("byte_bpe_50k.json"), queries.tokenizer_path("piece_bpe_32k.model"))
+    assert got == sorted(want, key=repr)
+
+
 def test_pipeline(spark, duck, docs):
     import corpus_pipeline
 
