@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pretokens
-from .common import settle, shared_folder, small_batches
+from .common import settle, work_folder
 from .files import store, whole_file
 from .workers import kept
 
-BLOCK = 16 << 20  # bytes of text
-OUT = 4 << 20  # ids put together at once
+BLOCK = 10 << 20  # bytes of text
+OUT = 1 << 20  # ids put together at once
 _PACKED = "block string, bucket int, words binary"
 
 
@@ -200,12 +200,13 @@ def _put_together(folder: str):
     return run
 
 
-@small_batches
 def encode(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids) of every text, by the rank file ``ranks`` that all executors have, without special
-    tokens.  ``pattern`` must be the one that ``pretokens`` cuts by; each of its matches is encoded apart."""
+    tokens.  ``pattern`` must be the one that ``pretokens`` cuts by; each of its matches is encoded apart.
+
+    Whole texts and id lists pass through Python: run it under ``small_batches``."""
     spark = docs.sparkSession
-    folder, buckets = shared_folder(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder, buckets = work_folder(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     words = settle(rows.mapInArrow(_cut(folder, pretokens.character_kinds(pattern), buckets), _PACKED))
     coded = words.groupBy("bucket").applyInArrow(_encode_bucket(ranks, pattern), _PACKED)

@@ -41,6 +41,14 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
+def work_folder(spark: SparkSession) -> str:
+    """New shared folder that goes with the settled tables of the job that runs, if it removes them."""
+    path, scope = shared_folder(spark), _scope.get()
+    if scope is not None:
+        scope.append(path)
+    return path
+
+
 def settle(df: DataFrame) -> DataFrame:
     """The frame written as a table in the shared folder.
 

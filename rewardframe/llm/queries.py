@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import align, bpe, decontam, jaccard, lines, mixing, quality, records, repeats, secrets, urls, variants, warc
-from .common import table
+from .common import settle, small_batches, table, tidy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -254,16 +254,20 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- 11: byte-level BPE ---------------------------------------------------------------------------
 
 
+@tidy
+@small_batches
+def _bpe_digests(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
+    told = bpe.encode(docs, ranks, pattern).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), "ids",
+    )
+    return settle(bpe.decode(told, ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256")))
+
+
 @query("op11_byte_bpe")
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    ranks = tokenizer_path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    told = encoded.select(
-        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), "ids",
-    )
-    return bpe.decode(told, ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+    return _bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 # --- 12: spelling variants ------------------------------------------------------------------------

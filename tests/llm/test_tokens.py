@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from rewardframe.llm import align, bpe, pretokens, queries
 from rewardframe.llm import variants as spelling
+from rewardframe.llm.common import shared_folder
 
 RANKS = queries.tokenizer_path("byte_bpe_multi_50k.tiktoken")
 FILES = queries.tokenizer_path("byte_bpe_50k.json"), queries.tokenizer_path("piece_bpe_32k.model")
@@ -76,7 +77,7 @@ def test_each_word_is_encoded_once(spark, monkeypatch):
     """A word that every document holds is one row of a bucket per block, and one entry of the encoder."""
     monkeypatch.setattr(bpe, "BLOCK", 2000)
     df = spark.createDataFrame([(i, f"the same words again {i} ") for i in range(600)], "doc_id bigint, text string").repartition(3)
-    cut = df.mapInArrow(bpe._cut(bpe.shared_folder(spark), pretokens.character_kinds(public_tokenizers.PATTERN), 4), bpe._PACKED).collect()
+    cut = df.mapInArrow(bpe._cut(shared_folder(spark), pretokens.character_kinds(public_tokenizers.PATTERN), 4), bpe._PACKED).collect()
     per_block = {}
     for r in cut:
         own = [w for w in bpe.unpack_words(r["words"]).to_pylist() if w == b" words"]
