@@ -37,7 +37,8 @@ from .bpe import gathered, pack, slices, unpack
 from .common import settle, small_batches, sorted_side, tidy
 from .workers import kept
 
-BLOCK = 12 << 20  # bytes of text
+BLOCK = 8 << 20  # bytes of text
+TOGETHER = 1 << 15  # units that the tokenizers get at once
 _SPACE = "▁"  # how B's pieces spell a space
 _NEWER = "\u0250"  # first character after the Latin blocks
 _BLOCK_ROW = (
@@ -100,16 +101,21 @@ class Tokenizers:
 
     def encode(self, units: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """For A and B: number of tokens by unit, all ids, all byte lengths, and which units they spell."""
+        parts = [self._encode(units.slice(lo, TOGETHER)) for lo in range(0, len(units), TOGETHER)] or [self._encode(units)]
+        return [tuple(map(np.concatenate, zip(*side, strict=True))) for side in zip(*parts, strict=True)]
+
+    def _encode(self, units: pa.Array) -> list[tuple[np.ndarray, ...]]:
         texts = units.cast(pa.large_string()).to_pylist()
         # B adds the first space of a unit by itself, but not to an empty text.
-        pieces = [x or self.space for x in self.b.encode([u[1:] for u in texts], num_threads=1)]
+        coders = (self._ids, lambda us: [x or self.space for x in self.b.encode([u[1:] for u in us], num_threads=1)])
         out = []
-        for ids, table in zip((self._ids(texts), pieces), self.tables, strict=True):
-            counts = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(counts.sum()))
+        for coder, table in zip(coders, self.tables, strict=True):
+            ids = coder(texts)
+            counts = np.fromiter(map(len, ids), np.int32, len(ids))
+            flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(counts.sum()))
             tokens = table.take(pa.array(flat))
-            sizes = pc.binary_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
-            ends = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(counts)))]
+            sizes = pc.binary_length(tokens).to_numpy(zero_copy_only=False).astype(np.int32)
+            ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))[np.concatenate(([0], np.cumsum(counts)))]
             spelled = pa.Array.from_buffers(pa.large_binary(), len(units), [None, pa.py_buffer(ends), tokens.buffers()[2] or pa.py_buffer(b"")])
             out.append((counts, flat, sizes, pc.equal(spelled, units).to_numpy(zero_copy_only=False)))
         return out
@@ -148,7 +154,7 @@ class Units:
         keep_a, keep_b = np.repeat(self.right, self.n_a), np.repeat(self.right, self.n_b)
         a, a_size, b, b_size = a[keep_a], a_size[keep_a], b[keep_b], b_size[keep_b]
         self.n_a, self.n_b = self.n_a * self.right, self.n_b * self.right
-        a_end, b_end = np.cumsum(a_size), np.cumsum(b_size)
+        a_end, b_end = np.cumsum(a_size, dtype=np.int64), np.cumsum(b_size, dtype=np.int64)
         a_start, b_start = a_end - a_size, b_end - b_size
         order, group = coalesce(np.concatenate((a_start, b_start)), np.concatenate((a_end, b_end)))
         own = np.empty(len(order), np.int64)
@@ -169,7 +175,7 @@ class Units:
         self.n_groups = np.bincount(unit[listed][new], minlength=len(units))
         at_a, at_b = overlaps(a_start, a_end, b_start, b_end)
         self.n_links = np.bincount(unit[: len(a)][at_a], minlength=len(units)) if len(a) else np.zeros(len(units), np.int64)
-        self.pairs, self.links = np.unique((a[at_a] << 32) | b[at_b], return_inverse=True)
+        self.pairs, self.links = np.unique((a[at_a].astype(np.int64) << 32) | b[at_b], return_inverse=True)
         self.link_start = np.cumsum(self.n_links) - self.n_links
 
 
