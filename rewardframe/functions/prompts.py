@@ -93,6 +93,7 @@ BINARY_PROMPT_WITH_QUESTION = (
 )
 
 # System prompt of the two-part judge.
+# Its "boxed" hint holds a backspace, as the text that the judge is known to get does.
 TWO_PART_SYSTEM = """You are an expert evaluator specializing in {question_type} problems.
 
 Your task is to evaluate both:
@@ -223,6 +224,12 @@ def two_part_user(question: Column, gold: Column, prediction: Column) -> Column:
     )
 
 
+def image_prompt(step_by_step: Column, pads: int = 64) -> Column:
+    """Prompt about an image alone: the step-by-step form, or the default one."""
+    filled = [F.lit(p.replace("<image>", IMAGE_PAD * pads)) for p in (COT_PROMPT, DEFAULT_IMAGE_PROMPT)]
+    return F.when(step_by_step, filled[0]).otherwise(filled[1])
+
+
 def detailed_system(question_type: Column) -> Column:
     name, extra = F.lit("general"), F.lit("")
     for kind, label in DETAILED_NAMES.items():

@@ -7,12 +7,15 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.judging import rule_judge
 from ..session import settled
-from .ranks import hash_rank, order_rank
+from ..sources.files import add_lines, read_lines
+from .ranks import hash_rank
+from .select import first_k
 
 KEY_COLUMNS = ("prompt", "completion", "answer", "answer_type")
 MAX_BATCH = 128  # Fixed value: largest batch a judge accepts.
@@ -50,53 +53,79 @@ def rule_judged(requests: DataFrame) -> DataFrame:
     return requests.select("key", verdict.alias("v")).select("key", "v.score", "v.explanation")
 
 
+def call_judge(judge: JudgeFn, part: pd.DataFrame, retries: int = 3, delay: float = 0.5) -> pd.DataFrame:
+    """Answers (key, score, explanation, failed) of a judge to one batch of requests.
+
+    A failing batch is retried, then halved until the failing requests are alone; a ``ValueError`` is
+    not retried.  A request that still fails scores 0.0 with the error as its explanation.
+    """
+    error: Exception | None = None
+    for attempt in range(retries + 1):
+        try:
+            out = judge(part)
+            return pd.DataFrame({
+                "key": part["key"].to_numpy(),
+                "score": out["score"].astype("float64").to_numpy(),
+                "explanation": out["explanation"].to_numpy(),
+                "failed": False,
+            })
+        except Exception as e:  # noqa: BLE001 - any judge error is answered
+            error = e
+            if isinstance(e, ValueError):
+                break
+            if attempt < retries:
+                time.sleep(delay * (attempt + 1))
+    if len(part) > 1:
+        half = len(part) // 2
+        return pd.concat([call_judge(judge, x, retries, delay) for x in (part.iloc[:half], part.iloc[half:])])
+    return pd.DataFrame({
+        "key": part["key"].to_numpy(), "score": 0.0,
+        "explanation": f"Request failed: {error}", "failed": True,
+    })
+
+
 def judged_by(
     requests: DataFrame, judge: JudgeFn, retries: int = 3, delay: float = 0.5, batch_size: int = 32,
-    context: tuple[str, ...] = (), concurrent: int = 8,
+    context: tuple[str, ...] = (), concurrent: int = 8, ledger: str | None = None, parts: int = 200,
 ) -> DataFrame:
     """Scores of a user-supplied judge, called once per batch inside the tasks.
 
     The judge gets the key columns and the ``context`` columns (question, problem type, prompt type,
-    data source).  Up to ``concurrent`` batches of a task are judged at the same time.  A failing batch
-    is retried, then halved until the failing requests are alone; a ``ValueError`` is not retried.  A
-    request that still fails scores 0.0 with the error as its explanation.  Calls repeat when a lost
-    task reruns, so a judge should be idempotent; write the result before reuse.
+    data source).  Up to ``concurrent`` batches of a task are judged at the same time; errors are handled
+    by ``call_judge``.
+
+    ``ledger`` names a shared folder in which every call leaves its answers as soon as they are there.
+    Keys are dealt to ``parts`` partitions by hash, so a task that runs again finds the answers of its
+    earlier attempts in its own subfolder and asks for the rest only; so does a later job with the same folder and
+    number of parts.  Failed requests are asked again.  Without a ledger calls repeat when a lost task reruns.
     """
     check_batch(batch_size)
 
-    def call(part: pd.DataFrame) -> pd.DataFrame:
-        error: Exception | None = None
-        for attempt in range(retries + 1):
-            try:
-                out = judge(part)
-                return pd.DataFrame({
-                    "key": part["key"].to_numpy(),
-                    "score": out["score"].astype("float64").to_numpy(),
-                    "explanation": out["explanation"].to_numpy(),
-                    "failed": False,
-                })
-            except Exception as e:  # noqa: BLE001 - any judge error is answered
-                error = e
-                if isinstance(e, ValueError):
-                    break
-                if attempt < retries:
-                    time.sleep(delay * (attempt + 1))
-        if len(part) > 1:
-            half = len(part) // 2
-            return pd.concat([call(part.iloc[:half]), call(part.iloc[half:])])
-        return pd.DataFrame({
-            "key": part["key"].to_numpy(), "score": 0.0,
-            "explanation": f"Request failed: {error}", "failed": True,
-        })
+    def called(part: pd.DataFrame, folder: str | None) -> pd.DataFrame:
+        out = call_judge(judge, part, retries, delay)
+        good = out[~out["failed"]]
+        if folder is not None and len(good):
+            attempt = TaskContext.get().attemptNumber()
+            add_lines(folder, [{"key": k, "attempt": attempt, "score": float(v), "explanation": e} for k, v, e in zip(good["key"], good["score"], good["explanation"], strict=True)])
+        return out
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        folder = None if ledger is None else f"{ledger}/{TaskContext.get().partitionId():06d}"
+        told = {} if folder is None else {r["key"]: r for r in read_lines(folder)}
         with ThreadPoolExecutor(concurrent) as pool:
             for frame in frames:
-                yield from pool.map(call, [frame.iloc[lo : lo + batch_size] for lo in range(0, len(frame), batch_size)])
+                known = frame["key"].isin(told)
+                if known.any():
+                    rows = [told[k] for k in frame.loc[known, "key"]]
+                    yield pd.DataFrame({"key": frame.loc[known, "key"].to_numpy(), "score": [r["score"] for r in rows], "explanation": [r["explanation"] for r in rows], "failed": False})
+                frame = frame[~known]
+                tasks = [frame.iloc[lo : lo + batch_size] for lo in range(0, len(frame), batch_size)]
+                yield from pool.map(called, tasks, [folder] * len(tasks))
 
-    return requests.select("key", *KEY_COLUMNS, *context).mapInPandas(
-        run, "key string, score double, explanation string, failed boolean"
-    )
+    rows = requests.select("key", *KEY_COLUMNS, *context)
+    if ledger is not None:
+        rows = rows.repartition(parts, "key")
+    return rows.mapInPandas(run, "key string, score double, explanation string, failed boolean")
 
 
 def scored_once(df: DataFrame, score: Callable[[DataFrame], DataFrame] = rule_judged) -> DataFrame:
@@ -124,12 +153,6 @@ def cache_misses(df: DataFrame, cache: DataFrame, now: Column, ttl_seconds: int
     return unique_requests(df).join(cache.filter(age < ttl_seconds).select("key"), "key", "left_anti")
 
 
-def newest(df: DataFrame, names: list[str], limit: int) -> DataFrame:
-    """First rows of a total order (columns ``names``), by global rank: no task sorts them all."""
-    ranked = order_rank(df, names, "_rank")
-    return ranked.filter(F.col("_rank") < limit).drop("_rank")
-
-
 def cache_update(cache: DataFrame, scored: DataFrame, max_size: int = 10_000) -> DataFrame:
     """Cache with new (key, score, ts) entries, the latest per key, oldest keys evicted."""
     merged = (
@@ -137,8 +160,8 @@ def cache_update(cache: DataFrame, scored: DataFrame, max_size: int = 10_000) ->
         .groupBy("key").agg(F.max(F.struct("ts", "score")).alias("e"))
         .select("key", "e.score", "e.ts")
     )
-    aged = merged.withColumn("_age", -F.unix_micros(F.col("ts").cast("timestamp")))
-    return newest(aged, ["_age", "key"], max_size).drop("_age")
+    aged = settled(merged.withColumn("_age", -F.unix_micros(F.col("ts").cast("timestamp"))))
+    return first_k(aged, ["_age", "key"], max_size).drop("_age")
 
 
 def request_batches(df: DataFrame, size: int = 32) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import chat, distilling, prompts, tokens
 from ..functions.text import LINE_BREAK, strip
 from ..operators import split
+from ..operators import permute
 from ..operators.audit import audit, percentile_or_zero
+from ..operators.quantiles import exact_percentiles
 from ..operators.batches import assemble, collate
 from ..operators.distill import candidates, distill_report, drop_counts, funnel, kept_chats
 from ..sources import tables as src
@@ -187,6 +189,14 @@ def _(t):
     )
 
 
+@query("b6_exact_percentiles", f"""SELECT l_returnflag, l_linestatus, p, {q6("CASE p WHEN 0.5 THEN a WHEN 0.9 THEN b ELSE c END")} AS value FROM
+    (SELECT l_returnflag, l_linestatus, quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.5) AS a, quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.9) AS b,
+     quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.99) AS c FROM lineitem GROUP BY ALL), (VALUES (CAST(0.5 AS DOUBLE)), (CAST(0.9 AS DOUBLE)), (CAST(0.99 AS DOUBLE))) v(p)""")
+def _(t):
+    found = exact_percentiles(t("lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", [0.5, 0.9, 0.99])
+    return found.select("l_returnflag", "l_linestatus", "p", r6(F.col("value")).alias("value"))
+
+
 def _questions(t: Tables) -> DataFrame:
     conv = chat.conversation(F.col("conversations"))
     return t("chats").select("id", conv.alias("conv")).withColumn(
@@ -298,12 +308,14 @@ def _(t):
 
 
 @query("b17_same_text", f"""SELECT a.id, {flag_sql("regexp_replace(lower(a.text), '[^0-9a-z\\x{4e00}-\\x{9fff}]', '', 'g') <> '' AND regexp_replace(lower(a.text), '[^0-9a-z\\x{4e00}-\\x{9fff}]', '', 'g') = regexp_replace(lower(b.text), '[^0-9a-z\\x{4e00}-\\x{9fff}]', '', 'g')")} AS same
-    FROM (SELECT doc_id AS id, text FROM documents) a JOIN (SELECT doc_id - 1 AS id, text FROM documents) b ON a.id = b.id""")
+    FROM (SELECT doc_id AS id, text FROM documents) a LEFT JOIN (SELECT doc_id - 1 AS id, text FROM documents) b ON a.id = b.id""")
 def _(t):
+    # Each document against the one after it; the last one of a run of ids has none, which is no equal.
     d = t("documents")
     a = d.select(F.col("doc_id").alias("id"), F.col("text").alias("one"))
     b = d.select((F.col("doc_id") - 1).alias("id"), F.col("text").alias("two"))
-    return a.join(b, "id").select("id", distilling.same_text_similarity(F.col("one"), F.col("two")).alias("same"))
+    same = distilling.same_text_similarity(F.col("one"), F.coalesce("two", F.lit("")))
+    return a.join(b, "id", "left").select("id", same.alias("same"))
 
 
 @query("b18_drop_funnel", f"WITH {FUNNEL} SELECT id, drop_reason FROM fun")
@@ -401,11 +413,17 @@ def _(t):
 _PADS = f"repeat('{prompts.IMAGE_PAD}', 64)"
 
 
-@query("c2_image_pads", f"""SELECT id, CASE WHEN shape = 1 THEN 'be kind <image>' || chr(10) || replace('<image> ' || user_text, '<image>', {_PADS}) ELSE '' END AS first_two FROM dialogs""")
+_PADDED = f"replace({{}}, '<image>', {_PADS})".format
+
+
+@query("c2_image_pads", f"""SELECT id, md5(CASE shape WHEN 1 THEN 'be kind <image>' || chr(10) || {_PADDED("'<image> ' || user_text")} || chr(10) || '<think>' || chr(10) || {_PADDED('user_text')} || chr(10) || '</think>' || chr(10) || chr(10) || {_PADDED('assistant_text')}
+    WHEN 2 THEN {_PADDED('user_text')} || chr(10) || {_PADDED('assistant_text')} || chr(10) || 'r1' || chr(10) || 'r2' || chr(10) || {_PADDED('assistant_text')}
+    WHEN 3 THEN 'sys' || chr(10) || {_PADDED('user_text')} || chr(10)
+    ELSE {_PADDED('user_text')} || chr(10) || {_PADDED('assistant_text')} END) AS contents FROM dialogs""")
 def _(t):
     x = _turns(t).withColumn("turns", chat.with_image_pads(F.col("turns")))
-    two = F.concat_ws("\n", *[F.get("turns", F.lit(i))["content"] for i in (0, 1)])
-    return x.select("id", F.when(F.col("shape") == 1, two).otherwise("").alias("first_two"))
+    contents = F.array_join(F.transform("turns", lambda v: F.coalesce(v["content"], F.lit(""))), "\n")
+    return x.select("id", F.md5(contents).alias("contents"))
 
 
 @query("c3_tools", """SELECT id, CASE WHEN shape = 3 THEN '[{"name":"f1"},{"name":"f2"}]' END AS tools FROM dialogs""")
@@ -444,6 +462,14 @@ def _(t):
     return _rendered(t).select("id", "chat")
 
 
+@query("c4_generation_prompts", f"""SELECT id, {RENDERED} || '<|im_start|>assistant' || chr(10) || '<think>' || chr(10) AS open_think,
+    {RENDERED} || '<|im_start|>assistant' || chr(10) || '<think>' || chr(10) || chr(10) || '</think>' || chr(10) || chr(10) AS no_think FROM dialogs""")
+def _(t):
+    # The one open block lets the model think, the empty one makes it answer at once.
+    ready = lambda x, thinks: chat.render_chat(x, chat.chat_tools(x), generation_prompt=True, open_thinking=thinks)
+    return _turns(t).select("id", ready(F.col("turns"), True).alias("open_think"), ready(F.col("turns"), False).alias("no_think"))
+
+
 @query("c5_drop_empty_think", f"""SELECT id, CASE WHEN {percent_sql('think', 'id')} >= 2000
     THEN replace({RENDERED}, '<think>' || chr(10) || chr(10) || '</think>' || chr(10) || chr(10), '') ELSE {RENDERED} END AS chat FROM dialogs""")
 def _(t):
@@ -482,6 +508,22 @@ def _(t):
     )
 
 
+_QUOTED = lambda x: "'" + x.replace("'", "''") + "'"
+
+
+@query("c7_image_prompts", f"""SELECT id, md5('Question: ' || coalesce(asked, 'See prediction below') || chr(10) || 'Ground Truth Answer: ' || assistant_text || chr(10) || 'Model Completion/Prediction:' || chr(10) || user_text
+      || chr(10) || chr(10) || {_QUOTED(prompts.TWO_PART_REQUEST)}) AS two_part_user,
+    md5(replace(CASE WHEN asked IS NULL THEN {_QUOTED(prompts.DEFAULT_IMAGE_PROMPT)} ELSE {_QUOTED(prompts.COT_PROMPT)} END, '<image>', {_PADS})) AS image_prompt
+    FROM (SELECT *, CASE WHEN id % 3 = 0 THEN NULL ELSE user_text END AS asked FROM qa)""")
+def _(t):
+    u, a = F.col("user_text"), F.col("assistant_text")
+    asked = F.when(F.col("id") % 3 != 0, u)
+    return t("qa").select(
+        "id", F.md5(prompts.two_part_user(asked, a, u)).alias("two_part_user"),
+        F.md5(prompts.image_prompt(asked.isNotNull())).alias("image_prompt"),
+    )
+
+
 # --- token arrays --------------------------------------------------------------------------------
 
 START, END = [ord(c) for c in "<a>"], [ord(c) for c in "</a>"]
@@ -629,9 +671,35 @@ def _(t):
     return split.epoch_plan(t("gold"), "id", 42, 2, 32, shards=7, skip_batches=3)
 
 
+# The bijection step by step: even rounds move the column of the grid, odd ones its row, until the cell is a row number.
+@query("d2_epoch_bijection", """WITH RECURSIVE g AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS row, count(*) OVER () AS n FROM gold),
+    dim AS (SELECT DISTINCT n, w, CAST(ceil(n / w) AS BIGINT) AS h FROM (SELECT n, CAST(floor(sqrt(n - 1)) AS BIGINT) + 1 AS w FROM g)),
+    net(id, l, r, step) AS (
+      SELECT id, row % w, row // w, 0 FROM g, dim UNION ALL
+      SELECT id, CASE WHEN step % 2 = 0 THEN (l + ('0x' || md5('44-' || step % 6 || '-' || r)[1:12])::BIGINT) % w ELSE l END,
+        CASE WHEN step % 2 = 1 THEN (r + ('0x' || md5('44-' || step % 6 || '-' || l)[1:12])::BIGINT) % h ELSE r END, step + 1
+      FROM net, dim WHERE step = 0 OR step % 6 > 0 OR r * w + l >= n),
+    o AS (SELECT id, r * w + l AS position, n FROM net, dim WHERE step > 0 AND step % 6 = 0 AND r * w + l < n),
+    p AS (SELECT id, unnest(range(position, CAST(ceil(n / 7) * 7 AS BIGINT), n)) AS position FROM o),
+    q AS (SELECT id, position, position % 7 AS shard, CAST(floor(floor(position / 7) / 32) AS BIGINT) AS batch FROM p)
+    SELECT * FROM q WHERE batch >= 3""")
+def _(t):
+    rows = permute.numbered(t("gold"), "id")
+    return permute.epoch_order(rows, rows.count(), 42, 2, 32, shards=7, skip_batches=3).drop("row")
+
+
 @query("d3_repeat_prompts", """SELECT id, g, CAST(id % 1000 AS BIGINT) * 4 + g AS slot FROM (SELECT id, unnest(generate_series(0, 3)) AS g FROM qa)""")
 def _(t):
     rows = t("qa").select("id", (F.col("id") % 1000).alias("row"))
     return split.repeat_prompts(rows, 4).select("id", "g", "slot")
 
 
+@query("d3_generation_major", """SELECT id, g, batch, g * n + row AS slot FROM (SELECT id, batch, row, count(*) OVER (PARTITION BY batch) AS n FROM
+    (SELECT id, CAST(floor(position / 64) AS BIGINT) AS batch, position % 64 AS row FROM (SELECT id, row_number() OVER (ORDER BY md5('9-' || id), id) - 1 AS position FROM gold))), (SELECT unnest(generate_series(0, 3)) AS g)""")
+def _(t):
+    # All prompts of a batch once, then all of them again: g-th answers stand together.
+    plan = split.epoch_plan(t("gold"), "id", 9, 0, 64).select("id", "batch", (F.col("position") % 64).alias("row"))
+    sizes = plan.groupBy("batch").agg(F.count("*").alias("batch_rows"))
+    return split.repeat_prompts(plan.join(sizes, "batch"), 4, "generation").select("id", "g", "batch", "slot")
+
+

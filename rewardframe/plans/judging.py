@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import enhanced, extract, judging
 from ..functions.formats import think_has_box
 from ..operators import judge
-from ..streaming.judging import answers, latest_counts, start_judging, start_window_counts, stream_metrics, window_counts
+from ..session import settled
+from ..streaming.judging import answers, start_judging, start_window_counts, stream_metrics, window_counts
 from .registry import (
     FOUR, flag_sql, math_method_sql, q6, query, r6, scratch, trim, words_sql,
 )
@@ -326,6 +327,17 @@ def _(t):
     return judge.judged_by(judge.unique_requests(t("requests")), length_judge, retries=1, delay=0.0)
 
 
+@query("g6_judged_with_ledger", f"""WITH {KEYED} SELECT key, CASE WHEN ends_with(completion, '9') THEN 0.0 ELSE least(1.0, length(prompt) / 10) END AS score,
+    CAST(CASE WHEN ends_with(completion, '9') THEN 0 ELSE 1 END AS BIGINT) AS told FROM uniq""")
+def _(t):
+    # The second run finds the answers of the first, so every answered key was told once.
+    folder = scratch(t.spark)
+    ask = lambda: settled(judge.judged_by(judge.unique_requests(t("requests")), length_judge, retries=0, delay=0.0, ledger=folder, parts=8))
+    ask()
+    told = t.spark.read.schema("key string").json(f"{folder}/*").groupBy("key").agg(F.count("*").alias("told"))
+    return ask().join(told, "key", "left").select("key", "score", F.coalesce("told", F.lit(0)).alias("told"))
+
+
 def _with_failures(t: Tables) -> DataFrame:
     scores = judge.judged_by(judge.unique_requests(t("requests")), length_judge, retries=0, delay=0.0)
     return t("requests").withColumn("key", judge.request_key()).join(scores, "key")
@@ -383,8 +395,7 @@ def _(t):
 @query("g9_user_judge_stream", f"""WITH {KEYED}, s AS (SELECT *, ends_with(completion, '9') AS bad FROM keyed) SELECT request_id,
     CASE WHEN bad THEN 0.0 ELSE least(1.0, length(prompt) / 10) END AS score FROM s""")
 def _(t):
-    by_length = lambda rows: judge.judged_by(rows, length_judge, retries=0, delay=0.0)
-    rows = answers(t.spark, judged_stream(t, request_stream(t), score=by_length))
+    rows = answers(t.spark, judged_stream(t, request_stream(t), judge=length_judge, retries=0, delay=0.0))
     return rows.select("request_id", "score")
 
 
@@ -397,9 +408,14 @@ def _(t):
     return stream_metrics(t.spark, out).select("requests", "hits", "repeats", "judged", "errors")
 
 
+def counted_stream(t: Tables, stream: DataFrame, width: str = "1 day", delay: str = "1 hour", **how) -> str:
+    out = scratch(t.spark)
+    start_window_counts(stream, out, scratch(t.spark), width, delay, **how).awaitTermination()
+    return out
+
+
 @query("g9_window_counts", "SELECT strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d') AS window_start, count(*) AS requests FROM requests GROUP BY 1")
 def _(t):
-    out = scratch(t.spark)
-    # Files come in no order, so any row may be as late as the table is long.
-    start_window_counts(window_counts(request_stream(t), "1 day", "60 days"), out, scratch(t.spark)).awaitTermination()
-    return latest_counts(t.spark, out).select(F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "requests")
+    # Files come in no order, so most rows are late by the delay; they count all the same.
+    counts = window_counts(t.spark, counted_stream(t, request_stream(t)))
+    return counts.select(F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "requests")

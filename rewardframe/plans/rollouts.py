@@ -178,6 +178,16 @@ def _(t):
     return t.spark.read.schema("id bigint, latency double, ok boolean").json(path)
 
 
+@query("a10_append_once", """SELECT id, latency, CASE WHEN coalesce(reply, '') = '' THEN FALSE ELSE TRUE END AS ok FROM replies
+    UNION ALL SELECT id, -1.0, TRUE FROM qa""")
+def _(t):
+    path = scratch(t.spark)
+    for _ in range(2):  # as after a job that did not hear of its own success
+        src.append_records(t("replies").select("id", "latency", (F.coalesce("reply", F.lit("")) != "").alias("ok")), path, "replies")
+        src.append_records(t("qa").select("id", F.lit(-1.0).alias("latency"), F.lit(True).alias("ok")), path, "qa")
+    return src.read_records(t.spark, path, "id bigint, latency double, ok boolean")
+
+
 @query("a10_generations", """SELECT step, CAST(1 AS BIGINT) AS epoch, count(*) AS num_samples, md5(string_agg(completion, '|' ORDER BY id, g)) AS texts FROM rollouts GROUP BY step""")
 def _(t):
     path = scratch(t.spark)

@@ -512,3 +512,13 @@ def _(t):
         "id", extract.shown_reasoning(extract.reasoning_part(c)).alias("reasoning"),
         extract.answer_part(c).alias("final_answer"), F.length(c).alias("clean_len"),
     )
+
+
+_ANSWER_PART = trim(f"regexp_extract(c, '(?is)(?:^|\\n){WSC}*Answer{WSC}*[:：](.*)$', 1)")
+
+
+@query("e38_shown_answer", f"""WITH x AS (SELECT id, {_CLEAN} AS c FROM essays)
+  SELECT id, CASE WHEN regexp_matches(c, '(?is)(?:^|\\n){WSC}*Answer{WSC}*[:：]') THEN CASE WHEN {_ANSWER_PART} = '' THEN '{extract.NO_ANSWER_TEXT}' ELSE {_ANSWER_PART} END END AS shown FROM x""")
+def _(t):
+    cleaned = t("essays").select("id", extract.clean_generated(C()).alias("c"))
+    return cleaned.select("id", extract.shown_answer(extract.answer_part(F.col("c"))).alias("shown"))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.chat import as_image_list, chat_turns, image_lengths
-from ..operators.judge import newest
+from ..operators.bloom import maybe_in
 from ..operators.ranks import order_rank, running_sum
+from ..operators.select import first_k
 
 # Column names, the shard pattern, and the evaluation record.
 RL_COLUMNS = (
@@ -77,11 +81,9 @@ def spread_preview(df: DataFrame, key: str, parts: int = 5) -> DataFrame:
 
 
 def first_rows(df: DataFrame, key: str, k: int = 100) -> DataFrame:
-    """The first k rows in the order of a unique key.
-
-    Only keys are ordered; the rows, images included, are picked by a semi join.
-    """
-    return df.join(newest(df.select(key), [key], k), key, "left_semi")
+    """The first k rows in the order of a unique key: a filter on the key, so that images are read for
+    those rows alone and never shuffled."""
+    return first_k(df, [key], k)
 
 
 def capped(df: DataFrame, key: str, max_samples: int | None) -> DataFrame:
@@ -90,10 +92,15 @@ def capped(df: DataFrame, key: str, max_samples: int | None) -> DataFrame:
 
 
 def lookup(df: DataFrame, ids: DataFrame | list, key: str = "id") -> DataFrame:
-    """Rows of the given ids; a list becomes a filter the Parquet scan can push down."""
+    """Rows of the given ids; a list becomes a filter the Parquet scan can push down.
+
+    A table of ids becomes a Bloom filter that is tested right above the scan, so that the exact join
+    shuffles rows that are looked up, and hardly any others.
+    """
     if isinstance(ids, list):
         return df.filter(F.col(key).isin(ids))
-    return df.join(ids.select(key).distinct(), key, "left_semi")
+    wanted = ids.select(key).distinct()
+    return maybe_in(df, wanted, key).join(wanted, key, "left_semi")
 
 
 def write_kept(df: DataFrame, columns: list[str], path: str) -> None:
@@ -111,9 +118,41 @@ def write_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
 
 
-def append_records(df: DataFrame, path: str) -> None:
-    """Records appended as JSON lines: generations, judge calls, evaluation records."""
-    df.write.mode("append").json(path)
+def append_records(df: DataFrame, path: str, batch_id: str | None = None) -> None:
+    """Records appended as JSON lines: generations, judge calls, evaluation records.
+
+    With a ``batch_id`` they are appended once however often the append is repeated: rows go to a folder of
+    this attempt, then a manifest of the batch names that folder.  ``read_records`` takes what manifests name, so
+    an attempt that was cut off, or came second, adds nothing.
+    """
+    if batch_id is None:
+        df.write.mode("append").json(path)
+        return
+    spark = df.sparkSession
+    if batch_id in {b for b, _ in _committed(spark, path)}:
+        return
+    folder = f"attempts/{uuid.uuid4().hex}"
+    df.write.json(f"{path}/{folder}")
+    manifest = spark.createDataFrame([(batch_id, folder)], "batch_id string, folder string").coalesce(1)
+    # Refused if a manifest of the batch is there by now: the other attempt counts.
+    manifest.write.mode("ignore").json(f"{path}/manifests/batch={hashlib.sha256(batch_id.encode()).hexdigest()[:32]}")
+
+
+def _committed(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(batch id, folder) of all complete appends: as many rows as there were batches."""
+    try:
+        rows = spark.read.schema("batch_id string, folder string").json(f"{path}/manifests")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    return [(r["batch_id"], r["folder"]) for r in rows.select("batch_id", "folder").collect()]
+
+
+def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records of all complete appends under batch ids."""
+    folders = [f"{path}/{folder}" for _, folder in sorted(_committed(spark, path))]
+    return spark.read.schema(schema).json(folders) if folders else spark.createDataFrame([], schema)
 
 
 def read_eval_records(spark: SparkSession, path: str) -> DataFrame:

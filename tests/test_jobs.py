@@ -224,10 +224,8 @@ def test_stream_answers_every_request(spark, files, per_trigger):
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
     figures = stream.stream_metrics(spark, out).first()
     assert figures["requests"] == want.count() and figures["judged"] == judge.unique_requests(t("requests")).count()
-    counts = stream.window_counts(plan.request_stream(t, files, per_trigger), "1 day", "60 days")
-    folder = plan.scratch(spark)
-    stream.start_window_counts(counts, folder, plan.scratch(spark)).awaitTermination()
-    assert stream.latest_counts(spark, folder).agg(F.sum("requests")).first()[0] == want.count()
+    folder = plan.counted_stream(t, plan.request_stream(t, files, per_trigger), every=3)
+    assert stream.window_counts(spark, folder).agg(F.sum("requests")).first()[0] == want.count()
 
 
 def test_late_and_repeated_requests_are_answered(spark, tmp_path):
