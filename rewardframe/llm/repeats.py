@@ -7,8 +7,9 @@ anchor.
 
 1. List the anchors of all texts, deal them by value, and mark those that occur twice or more.
 2. Around each marked anchor lies its context: the windows that have it as their anchor.  Contexts are
-   dealt by anchor, equal ones collapse, and for blocks of anchors a run-length index of the contexts
-   gives the matching statistics, and so the spans that repeat.
+   dealt by anchor, equal ones collapse, and each block of anchors gets a run-length index of its contexts: their
+   run-compressed Burrows-Wheeler transform with sampled run ends.  The indexes are a table.  Then the contexts
+   are streamed from their index for the matching statistics, and so the spans that repeat.
 3. The spans of a text are put together and cut out.
 
 An anchor with more than ``HOT`` occurrences has its contexts cut into pieces of ``PIECE`` windows at
@@ -31,8 +32,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import pack, unpack
 from .common import digest, settle, small_batches, sorted_side
-from .rlbwt import repeated_spans
+from .rlbwt import RunIndex, repeated_spans
 from .shingles import _BYTE, _power, mix
 
 LEAST = 200
@@ -230,47 +232,70 @@ def _send(buckets: int, least: int, gram: int):
     return run
 
 
-def _index(least: int):
-    """Spans of the contexts of a bucket, per row: block by block of anchors, an index each."""
-
-    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        found: dict[int, dict[bytes, list]] = {}
-        for r in t.drop_columns("bucket").to_pylist():
-            kinds = (("keys", np.uint64), ("lengths", np.uint32), ("counts", np.int64), ("refs", np.uint32), ("rows", np.int64), ("starts", np.int64))
-            keys, lengths, counts, refs, rows, starts = (np.frombuffer(r[c], k).tolist() for c, k in kinds)
-            data = pa.decompress(r["data"], decompressed_size=sum(lengths), codec="zstd", asbytes=True)
-            at = ref = 0
-            for k, n, c, m in zip(keys, lengths, counts, refs, strict=True):
-                item = found.setdefault(k, {}).setdefault(data[at : at + n], [0, []])
-                item[0] += c
-                item[1].extend(zip(rows[ref : ref + m], starts[ref : ref + m], strict=True))
-                at, ref = at + n, ref + m
-        out: dict[int, list[np.ndarray]] = {}
-
-        def flush(block: list[tuple[bytes, list]]) -> None:
-            spans = repeated_spans([x[0] for x in block], np.array([x[1][0] for x in block]), least)
-            for (_, (_, refs)), own in zip(block, spans, strict=True):
-                if len(own):
-                    for row, start in refs:
-                        out.setdefault(row, []).append(own + start)
-
-        block, size = [], 0
-        for k in sorted(found):
-            block.extend(found[k].items())
-            size += sum(map(len, found[k]))
-            if size >= BLOCK:
-                flush(block)
-                block, size = [], 0
-        if block:
+_INDEX = "index binary, lengths binary, counts binary, refs binary, rows binary, starts binary"
+
+
+def _build(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+    """Indexes of the contexts of a bucket, one for each block of anchors, with the places of the contexts."""
+    found: dict[int, dict[bytes, list]] = {}
+    for r in t.drop_columns("bucket").to_pylist():
+        kinds = (("keys", np.uint64), ("lengths", np.uint32), ("counts", np.int64), ("refs", np.uint32), ("rows", np.int64), ("starts", np.int64))
+        keys, lengths, counts, refs, rows, starts = (np.frombuffer(r[c], k).tolist() for c, k in kinds)
+        data = pa.decompress(r["data"], decompressed_size=sum(lengths), codec="zstd", asbytes=True)
+        at = ref = 0
+        for k, n, c, m in zip(keys, lengths, counts, refs, strict=True):
+            item = found.setdefault(k, {}).setdefault(data[at : at + n], [0, []])
+            item[0] += c
+            item[1].extend(zip(rows[ref : ref + m], starts[ref : ref + m], strict=True))
+            at, ref = at + n, ref + m
+    out = []
+
+    def flush(block: list[tuple[bytes, list]]) -> None:
+        refs = [r for x in block for r in x[1][1]]
+        out.append((
+            RunIndex.build([x[0] for x in block]).pack(), pack(np.array([len(x[0]) for x in block])), np.array([x[1][0] for x in block], np.int64).tobytes(),
+            pack(np.array([len(x[1][1]) for x in block])), np.array([r[0] for r in refs], np.int64).tobytes(), np.array([r[1] for r in refs], np.int64).tobytes(),
+        ))
+
+    block, size = [], 0
+    for k in sorted(found):
+        block.extend(found[k].items())
+        size += sum(map(len, found[k]))
+        if size >= BLOCK:
             flush(block)
-        return pa.table({
-            "row": pa.array(list(out), pa.int64()), "start": pa.array([0] * len(out), pa.int64()),
-            "spans": pa.array([np.concatenate(x).astype(np.int64).tobytes() for x in out.values()], pa.binary()),
-        })
+            block, size = [], 0
+    if block:
+        flush(block)
+    cols = list(zip(*out, strict=True)) or [[]] * 6
+    return pa.table([pa.array(c, pa.binary()) for c in cols], [x.split()[0] for x in _INDEX.split(", ")])
+
+
+def _stream(least: int):
+    """Spans per row: the contexts of each index are streamed from it, for their matching statistics."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                lengths, refs = unpack(r["lengths"]).astype(np.int64), unpack(r["refs"]).tolist()
+                spans = repeated_spans(RunIndex.unpack(r["index"]), lengths, np.frombuffer(r["counts"], np.int64), least)
+                rows, starts = (np.frombuffer(r[c], np.int64).tolist() for c in ("rows", "starts"))
+                out: dict[int, list[np.ndarray]] = {}
+                at = 0
+                for own, m in zip(spans, refs, strict=True):
+                    if len(own):
+                        for row, start in zip(rows[at : at + m], starts[at : at + m], strict=True):
+                            out.setdefault(row, []).append(own + start)
+                    at += m
+                yield _span_rows(out)
 
     return run
 
 
+def _span_rows(out: dict[int, list[np.ndarray]]) -> pa.RecordBatch:
+    spans = [np.concatenate(x).astype(np.int64).tobytes() for x in out.values()]
+    return pa.record_batch([pa.array(list(out), pa.int64()), pa.array([0] * len(out), pa.int64()), pa.array(spans, pa.binary())], ["row", "start", "spans"])
+
+
 _PIECES = "bucket int, core long, cid binary, copies long, rows binary, starts binary, piece binary"
 
 
@@ -319,36 +344,45 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = np.frombuffer(spans, np.int64)
             for row, start in zip(np.frombuffer(rows, np.int64).tolist(), np.frombuffer(starts, np.int64).tolist(), strict=True):
                 out.setdefault(row, []).append(own + start)
-        yield pa.record_batch([
-            pa.array(list(out), pa.int64()), pa.array([0] * len(out), pa.int64()),
-            pa.array([np.concatenate(x).tobytes() for x in out.values()], pa.binary()),
-        ], ["row", "start", "spans"])
-
-
-def _index_hot(least: int):
-    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        found: dict[int, dict[bytes, tuple[bytes, int]]] = {}
-        for core, cid, piece, copies in zip(*[t[c].to_pylist() for c in ("core", "cid", "piece", "copies")], strict=True):
-            found.setdefault(core, {})[cid] = (piece, copies)
-        cids, spans = [], []
-
-        def flush(block: list[tuple[bytes, tuple[bytes, int]]]) -> None:
-            got = repeated_spans([x[1][0] for x in block], np.array([x[1][1] for x in block]), least)
-            for (cid, _), own in zip(block, got, strict=True):
-                if len(own):
-                    cids.append(cid)
-                    spans.append(own.astype(np.int64).tobytes())
-
-        block, size = [], 0
-        for k in sorted(found):
-            block.extend(found[k].items())
-            size += sum(len(x[0]) for x in found[k].values())
-            if size >= BLOCK:
-                flush(block)
-                block, size = [], 0
-        if block:
+        yield _span_rows(out)
+
+
+_HOT_INDEX = "index binary, lengths binary, counts binary, cids binary"
+
+
+def _build_hot(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+    """Indexes of the pieces of a bucket, one for each block of cores, with the pieces' names."""
+    found: dict[int, dict[bytes, tuple[bytes, int]]] = {}
+    for core, cid, piece, copies in zip(*[t[c].to_pylist() for c in ("core", "cid", "piece", "copies")], strict=True):
+        found.setdefault(core, {})[cid] = (piece, copies)
+    out = []
+
+    def flush(block: list[tuple[bytes, tuple[bytes, int]]]) -> None:
+        pieces = [x[1][0] for x in block]
+        counts = np.array([x[1][1] for x in block], np.int64).tobytes()
+        out.append((RunIndex.build(pieces).pack(), pack(np.array(list(map(len, pieces)))), counts, b"".join(x[0] for x in block)))
+
+    block, size = [], 0
+    for k in sorted(found):
+        block.extend(found[k].items())
+        size += sum(len(x[0]) for x in found[k].values())
+        if size >= BLOCK:
             flush(block)
-        return pa.table({"cid": pa.array(cids, pa.binary()), "spans": pa.array(spans, pa.binary())})
+            block, size = [], 0
+    if block:
+        flush(block)
+    cols = list(zip(*out, strict=True)) or [[]] * 4
+    return pa.table([pa.array(c, pa.binary()) for c in cols], [x.split()[0] for x in _HOT_INDEX.split(", ")])
+
+
+def _stream_hot(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                spans = repeated_spans(RunIndex.unpack(r["index"]), unpack(r["lengths"]).astype(np.int64), np.frombuffer(r["counts"], np.int64), least)
+                cids = [r["cids"][i : i + 16] for i in range(0, len(r["cids"]), 16)]
+                some = [(c, own.astype(np.int64).tobytes()) for c, own in zip(cids, spans, strict=True) if len(own)]
+                yield pa.record_batch([pa.array([x[i] for x in some], pa.binary()) for i in (0, 1)], ["cid", "spans"])
 
     return run
 
@@ -404,10 +438,13 @@ def remove_repeats(
     texts = settle(body.join(sorted_side(settle(wanted)), "same").dropDuplicates(["same"]).select("row", "tkey", "copies", "marks", "hot", "text"))
 
     sent = texts.select("row", "copies", "marks", "text").mapInArrow(_send(buckets, least, gram), _CONTEXTS)
-    spans = sent.groupBy("bucket").applyInArrow(_index(least), "row long, start long, spans binary")
+    # The indexes are rows of a table; a lost task streams its own again, and builds none.
+    indexes = settle(sent.groupBy("bucket").applyInArrow(_build, _INDEX))
+    spans = indexes.mapInArrow(_stream(least), "row long, start long, spans binary")
     pieces = settle(texts.filter("hot").select("row", "copies", "marks", "text").mapInArrow(_send_hot(buckets, least, gram), _PIECES))
     held = pieces.groupBy("cid").agg(F.sum("copies").alias("copies"), F.first("piece").alias("piece"), F.first("bucket").alias("bucket"), F.first("core").alias("core"))
-    hot = settle(held.groupBy("bucket").applyInArrow(_index_hot(least), "cid binary, spans binary"))
+    hot_indexes = settle(held.groupBy("bucket").applyInArrow(_build_hot, _HOT_INDEX))
+    hot = settle(hot_indexes.mapInArrow(_stream_hot(least), "cid binary, spans binary"))
     placed = pieces.select("cid", "rows", "starts").join(hot, "cid").select("rows", "starts", "spans")
     spans = settle(spans.union(placed.mapInArrow(_spread, "row long, start long, spans binary")))
 

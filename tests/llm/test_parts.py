@@ -76,6 +76,27 @@ def test_matching_statistics():
                 assert got[begins[i] + p] == best
 
 
+def test_run_index_is_small_for_alike_texts():
+    rng = random.Random(5)
+    letters = b"abcdefghijklmnopqrstuvwxyz "
+    base = bytes(rng.choice(letters) for _ in range(330))
+    texts = []
+    for i in range(400):
+        own = bytearray(base[: rng.randint(250, 330)])
+        own[rng.randrange(250)] = 65 + i % 26
+        texts.append(bytes(own))
+    texts = list(set(texts))
+    index = rlbwt.RunIndex.build(texts)
+    size = sum(map(len, texts))
+    assert len(index.heads) < size / 8 and len(index.pack()) < size / 4
+    back = rlbwt.RunIndex.unpack(index.pack())
+    sizes = np.array(list(map(len, texts)))
+    assert (back.statistics(sizes)[0] == index.statistics(sizes)[0]).all()
+    # Where texts differ from all others, the index is no smaller than they are: runs are short.
+    other = [bytes(rng.choice(letters) for _ in range(300)) for _ in range(50)]
+    assert len(rlbwt.RunIndex.build(other).heads) > 0.8 * sum(map(len, other))
+
+
 def test_anchors_depend_on_windows_alone(monkeypatch):
     rng = random.Random(4)
     text = "".join(rng.choice("abcd") for _ in range(9000))
