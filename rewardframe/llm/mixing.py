@@ -8,7 +8,7 @@ blocks, then inside one block, so no source is sorted in one task.
 
 Defined cases: a null or empty text has size 0 and is taken as often as its neighbours, with no
 words; a null source is a source of its own, last in order; repeated rows share a hash and are taken
-alike; a source without words has target 0; if the budget exceeds all clamps, every source is taken
+alike; rows without an id have the hash of their text, so equal texts among them are taken alike; a source without words has target 0; if the budget exceeds all clamps, every source is taken
 ``max_epochs`` times; an empty table gives an empty result; further columns are left alone.
 """
 
@@ -31,8 +31,9 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def seeded_hash(doc_id: Column, seed: str) -> Column:
-    key = F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("null")))
+def seeded_hash(doc_id: Column, text: Column, seed: str) -> Column:
+    """60 bits from the id, or where there is none from the text."""
+    key = F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit(""))))))
     return F.conv(F.substring(F.md5(key), 1, _DIGITS), 16, 10).cast("bigint")
 
 
@@ -123,7 +124,7 @@ def mix(
     def sized(own: list[Column]) -> DataFrame:
         return docs.select(
             F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"),
-            seeded_hash(F.col(doc_id), seed).alias("hash"), *own,
+            seeded_hash(F.col(doc_id), F.col(text), seed).alias("hash"), *own,
         )
 
     narrow = settle(sized([]))

@@ -162,7 +162,7 @@ def token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MIX = f"""
 WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_W}')) AS size,
-    ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::varchar, 'null')), 1, 15))::bigint AS h FROM documents),
+    ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::varchar, 'null:' || md5(coalesce(text, '')))), 1, 15))::bigint AS h FROM documents),
 s AS (SELECT source, sum(size)::bigint AS n, (list_value{mixing.WEIGHTS})[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)}] AS w
       FROM d GROUP BY source),
 lv(k, level) AS (

@@ -154,7 +154,8 @@ def mix(docs, weights=(3, 1, 2), percent=150, most=2, seed="mix-1"):
             break
         level = raised
     target = {s: min(float(most * total[s]), level * weight[s]) for s in order}
-    mark = [int(hashlib.md5(f"{seed}:{'null' if d is None else d}".encode()).hexdigest()[:15], 16) for d, _, _ in docs]
+    own = lambda d, t: "null:" + hashlib.md5((t or "").encode()).hexdigest() if d is None else d
+    mark = [int(hashlib.md5(f"{seed}:{own(d, t)}".encode()).hexdigest()[:15], 16) for d, t, _ in docs]
     whole = {s: int(target[s] // total[s]) if total[s] else 0 for s in order}
     cut = dict.fromkeys(order, -1)
     for s in order:

@@ -182,6 +182,16 @@ def test_mixing_meets_targets(spark):
         assert abs(r[1] - r[2]) <= 60
 
 
+def test_mixing_meets_targets_without_ids(spark):
+    rng = random.Random(4)
+    data = [(None if rng.random() < 0.5 else i, f"w{i} " * rng.randint(1, 60), rng.choice(["a", "b", "c"])) for i in range(3000)]
+    df = mixing.mix(spark.createDataFrame(data, "doc_id bigint, text string, source string"))
+    for r in df.groupBy("source").agg({"taken": "sum", "target": "max"}).collect():
+        assert abs(r[1] - r[2]) <= 60
+    got = rows(df, "doc_id", "size", "source_size", "target", "taken")
+    assert got == sorted(((d, n, total, target, n * k) for (d, _, _), (n, total, target, k) in zip(data, mix(data), strict=True)), key=repr)
+
+
 def test_secrets(docs):
     found = scans.find_secrets(docs)
     got = rows(found.select("doc_id", scans.spelled(found["found"]).alias("spans")), "doc_id", "spans")
