@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import enhanced, extract, judging
 from ..functions.formats import think_has_box
-from ..operators import judge
+from ..operators import cachestore, judge
 from ..session import settled
 from ..streaming.judging import answers, start_judging, start_window_counts, stream_metrics, window_counts
 from .registry import (
@@ -307,6 +307,21 @@ def _(t):
     return out.select("key", "score", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))
 
 
+@query("g4_cache_store", f"""WITH {CACHE}, fresh AS (SELECT key, 0.25 AS score, max(ts) AS ts FROM keyed WHERE ts >= TIMESTAMP '{HALF}' GROUP BY key),
+    al AS (SELECT key, CAST(score AS DOUBLE) AS score, ts FROM cache UNION ALL SELECT key, CAST(score AS DOUBLE), ts FROM fresh),
+    l AS (SELECT key, max(ts) AS ts, arg_max(score, ts) AS score FROM al GROUP BY key)
+    SELECT key, score, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at FROM l ORDER BY ts DESC, key LIMIT 700""")
+def _(t):
+    folder = scratch(t.spark)
+    new = t("requests").filter(F.col("ts") >= F.lit(HALF).cast("timestamp")).withColumn("key", judge.request_key())
+    cachestore.add_scores(_cache(t), folder, 8)
+    cachestore.add_scores(new.groupBy("key").agg(F.max("ts").alias("ts")).withColumn("score", F.lit(0.25)), folder, 8)
+    cachestore.compact(t.spark, folder, 2)
+    cachestore.evict(t.spark, folder, 700)
+    out = cachestore.read_scores(t.spark, folder)
+    return out.select("key", "score", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))
+
+
 @query("g5_request_batches", f"WITH {KEYED} SELECT key, prompt, CAST(floor((row_number() OVER (ORDER BY key) - 1) / 32) AS BIGINT) AS batch FROM uniq")
 def _(t):
     return judge.request_batches(t("requests"), 32).select("key", "prompt", "batch")

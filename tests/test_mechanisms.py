@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from rewardframe.operators import bloom, judge, permute, quantiles, select, split
+from rewardframe.operators import bloom, cachestore, judge, permute, quantiles, select, split
 from rewardframe.sources import tables
 from rewardframe.streaming import judging as stream
 
@@ -173,6 +173,42 @@ def test_a_repeated_append_adds_nothing(spark, tmp_path):
     assert tables.read_records(spark, path, schema).count() == 10
 
 
+def _files(folder):
+    return {d: sorted(f for f in os.listdir(f"{folder}/{d}") if f.startswith("part")) for d in os.listdir(folder) if d.startswith("bucket")}
+
+
+def test_cache_store_touches_changed_buckets_only(spark, tmp_path):
+    folder = str(tmp_path / "cache")
+    assert cachestore.read_scores(spark, folder).count() == 0 and cachestore.compact(spark, folder) == []
+    entries = lambda ids, hour, score: spark.createDataFrame([(f"k{i}", score, hour) for i in ids], "key string, score double, h int").select(
+        "key", "score", F.timestamp_seconds(F.col("h") * 3600 + F.length("key")).alias("ts"))
+    cachestore.add_scores(entries(range(200), 5, 0.5), folder, 16)
+    before = _files(folder)
+    cachestore.add_scores(entries([3], 6, 0.75), folder, 16)
+    changed = [b for b, fs in _files(folder).items() if fs != before[b]]
+    assert len(before) == 16 and len(changed) == 1
+    assert cachestore.compact(spark, folder, 2) == [int(changed[0].split("=")[1])]
+    after = _files(folder)
+    assert {b: fs for b, fs in after.items() if b not in changed} == {b: fs for b, fs in before.items() if b not in changed}
+    got = {r["key"]: r["score"] for r in cachestore.read_scores(spark, folder).collect()}
+    assert len(got) == 200 and got["k3"] == 0.75 and got["k4"] == 0.5
+    asked = spark.createDataFrame([("k3",), ("k4",), ("new",)], "key string")
+    hits = cachestore.lookup_scores(asked, folder, F.timestamp_seconds(F.lit(6 * 3600 + 60)), 3600, 16).collect()
+    assert {(r["key"], r["score"]) for r in hits if r["hit"]} == {("k3", 0.75)} and len(hits) == 3
+
+
+@pytest.mark.parametrize("size", [0, 1, 150, 199, 200, 500])
+def test_cache_store_evicts_the_oldest(spark, tmp_path, size):
+    folder = str(tmp_path / "cache")
+    rng = random.Random(size)
+    rows = [(f"k{i}", 0.5, rng.randint(0, 4) * 3600 + rng.randint(0, 9)) for i in range(200)]
+    df = spark.createDataFrame(rows, "key string, score double, s int").withColumn("ts", F.timestamp_seconds("s"))
+    cachestore.add_scores(df, folder, 4)
+    assert cachestore.evict(spark, folder, size) == max(0, 200 - size)
+    want = {k for k, _, _ in sorted(rows, key=lambda r: (-r[2], r[0]))[:size]}
+    assert {r["key"] for r in cachestore.read_scores(spark, folder).collect()} == want
+
+
 # --- judge pool ----------------------------------------------------------------------------------
 
 SCHEMA = "request_id bigint, prompt string, completion string, answer string, answer_type string, ts timestamp"
