@@ -135,19 +135,23 @@ def rule_scores(df: DataFrame, judge: Column | None = None, format_weight: float
 
 
 def gated_accuracy(
-    df: DataFrame, judged: DataFrame, key: list[str], w_format: float = 1.0, w_acc: float = 1.0
+    df: DataFrame, judged: DataFrame | Column, key: list[str], w_format: float = 1.0, w_acc: float = 1.0
 ) -> DataFrame:
     """Total of the strict format reward and the judge's accuracy.
 
     ``judged`` holds (key, accuracy) for rows that passed the format; the others score zero with a
-    reason, so no judge call is spent on them.
+    reason, so no judge call is spent on them.  A judge that is an expression is given as a column: it is
+    computed where the format holds, in the same pass over the rows.
     """
-    fmt = df.withColumn("format_reward", formats.strict_format(F.col("completion"))["reward"])
+    rows = df.withColumn("format_reward", formats.strict_format(F.col("completion"))["reward"])
     passed = F.col("format_reward") > 0
+    if isinstance(judged, Column):
+        rows = rows.withColumn("accuracy", F.when(passed, judged))
+    else:
+        rows = rows.join(judged.select(*key, "accuracy"), key, "left")
     acc = F.when(passed, F.coalesce(F.col("accuracy"), F.lit(0.0))).otherwise(0.0)
     return (
-        fmt.join(judged.select(*key, "accuracy"), key, "left")
-        .withColumn("accuracy", acc)
+        rows.withColumn("accuracy", acc)
         .withColumn("skipped", ~passed)
         .withColumn("reason", F.when(~passed, F.lit("format_reward_zero")))
         .withColumn("reward", w_format * F.col("format_reward") + w_acc * F.col("accuracy"))

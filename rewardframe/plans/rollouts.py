@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import judging
 from ..operators import candidates as cand
 from ..operators import rollout
-from ..operators.rewards import gated_accuracy, needs_judging, routed_rewards
+from ..operators.rewards import gated_accuracy, routed_rewards
 from ..operators.split import epoch_plan
 from ..session import settled
 from ..sources import tables as src
@@ -62,10 +62,8 @@ def _(t):
 @query("f5_gated_accuracy", f"""WITH {STRICT_CTE} SELECT id, g, fmt AS format_reward, CASE WHEN fmt > 0 THEN {flag_sql('contains(completion, answer)')} ELSE CAST(0 AS DOUBLE) END AS accuracy,
     CASE WHEN fmt > 0 THEN 0.5 + {flag_sql('contains(completion, answer)')} ELSE CAST(0 AS DOUBLE) END AS reward, CASE WHEN fmt = 0 THEN 'format_reward_zero' END AS reason FROM graded""")
 def _(t):
-    todo = needs_judging(t("rollouts"))
-    judged = todo.select("id", "g", judging.rule_judge(F.lit(""), F.col("completion"), F.col("answer"))["score"].alias("accuracy"))
-    judged = judged.withColumn("accuracy", F.floor("accuracy").cast("double"))
-    out = gated_accuracy(t("rollouts"), judged, ["id", "g"], w_format=0.5)
+    judge = F.floor(judging.rule_judge(F.lit(""), F.col("completion"), F.col("answer"))["score"]).cast("double")
+    out = gated_accuracy(t("rollouts"), judge, ["id", "g"], w_format=0.5)
     return out.select("id", "g", "format_reward", "accuracy", "reward", "reason")
 
 

@@ -276,3 +276,21 @@ def test_late_rows_count(spark, tmp_path, every):
     assert {(r["window_start"].timestamp() - 1_700_006_400) // 3600: r["requests"] for r in rows} == {h: 5 * hours.count(h) for h in hours}
     assert sum(r["requests"] for r in rows) == 40 and 10 <= sum(r["late"] for r in rows) <= 20
     assert sum(r["closed"] for r in rows) >= 5
+
+
+# --- gated accuracy ------------------------------------------------------------------------------
+
+
+def test_gated_accuracy_of_a_judge_table_and_of_a_column(spark):
+    from rewardframe.operators.rewards import gated_accuracy, needs_judging
+
+    good = "<REASONING>why</REASONING><ANSWER>{}</ANSWER>"
+    texts = [good.format(4), good.format(5), "no tags 4", None]
+    df = spark.createDataFrame([(i, t, "4") for i, t in enumerate(texts)], "id int, completion string, answer string")
+    hit = F.col("completion").contains(F.col("answer")).cast("double")
+    by_column = gated_accuracy(df, hit, ["id"])
+    by_table = gated_accuracy(df, needs_judging(df).select("id", hit.alias("accuracy")), ["id"])
+    columns = ["id", "format_reward", "accuracy", "reward", "skipped", "reason"]
+    got = sorted(tuple(r) for r in by_column.select(*columns).collect())
+    assert got == sorted(tuple(r) for r in by_table.select(*columns).collect()) and len(got) == 4
+    assert "Join" not in by_column._jdf.queryExecution().optimizedPlan().toString()
