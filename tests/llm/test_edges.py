@@ -341,6 +341,30 @@ def queries_line(x):
     return normal_line(x)
 
 
+def test_urls_with_many_rules(spark):
+    import re
+
+    rng = random.Random(12)
+    word_ = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 5)))
+    site = lambda: ".".join(word_() for _ in range(rng.randint(1, 3))) + rng.choice([".com", ".net", ""])
+    links = [f"http://{site()}/{'/'.join(word_() for _ in range(rng.randint(0, 3)))}{rng.choice(['', '/', '?q=' + word_()])}" for _ in range(600)]
+    # A third of all pages on one host, and one token in every URL.
+    links += [f"http://hot.com/every/{word_()}" for _ in range(300)]
+    host_rules = list({f"{site()}/{word_() if rng.random() < 0.5 else ''}": rng.choice(["allow", "block"]) for _ in range(3000)}.items()) + [("hot.com/every/a", "block")]
+    shapes = ["/{0}/{1}", "{0}{1}", "||{0}.com^", "{0}*{1}|", "?q={0}", "/every/", "^{0}^", "{0}"]
+    patterns = list({rng.choice(shapes).format(word_(), word_()): rng.choice(["allow", "block"]) for _ in range(4000)}.items())
+    df = spark.createDataFrame(list(enumerate(links)), "page_id bigint, url string").repartition(4)
+    got = {r["page_id"]: tuple(r)[1:] for r in urls.judge_urls(df, host_rules=tuple(host_rules), pattern_rules=tuple(patterns)).collect()}
+    tests = [(v, p, re.compile(urls.pattern_regex(p))) for p, v in patterns]
+    for i, link in enumerate(links):
+        host, path = re.match(r".*?://([^/?#]*)([^?#]*)", link).groups()
+        own = [(len(r), r, v) for r, v in host_rules for d, _, s in [r.partition("/")] if (host == d or host.endswith("." + d)) and path.startswith("/" + s)]
+        rule = max(own, default=(0, None, None))
+        hit = min(((v, p) for v, p, x in tests if x.search(link)), default=(None, None))
+        assert got[i] == (host, path, rule[1], rule[2] or hit[0] or "allow", hit[1])
+    assert sum(g[2] is not None for g in got.values()) > 50 and len({g[4] for g in got.values()}) > 20
+
+
 def test_empty_tables(spark, docs, pages):
     none, no_pages = docs.limit(0), pages.limit(0)
     bench = spark.createDataFrame([], "item_id bigint, text string")
