@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, computed, digest, packed, settle, sorted_side
+from .common import computed, digest, packed, settle, sorted_side
 from .quality import normal_line, without_lines
 
 MIN_SITES = 6  # a line on so many sites or more is boilerplate
@@ -22,14 +22,19 @@ LOG_BUCKETS = 12
 MARGIN = 5 * 1.04 / 2 ** (LOG_BUCKETS / 2)  # five standard errors of the sketch
 
 
+#: Start of a line with a word, whatever else ends lines.
+_FULL = r"(?md)^[\x20\x09\x0B-\x0D]*+[^\x20\x09-\x0D]"
+
+
 def _lines(docs: DataFrame, text: str, site: str) -> DataFrame:
     """key (of the text), site and line hash of every line that holds a word."""
-    full = F.filter(F.split(F.col("text"), "\n", -1), lambda x: x.rlike(WORD))
     return (
         docs.select(F.col(text).alias("text"), F.col(site).alias("site"))
-        .select(digest(F.col("text")).alias("key"), digest(F.col("site")).alias("site"), F.explode_outer(full).alias("raw"))
+        .select(digest(F.col("text")).alias("key"), digest(F.col("site")).alias("site"), F.explode_outer(F.split("text", "\n", -1)).alias("raw"))
         .filter("raw IS NOT NULL")
-        .select("key", "site", F.xxhash64(normal_line(F.col("raw"))).alias("line"))
+        .select("key", "site", normal_line(F.col("raw")).alias("line"))
+        .filter("line <> ''")
+        .select("key", "site", F.xxhash64("line").alias("line"))
     )
 
 
@@ -63,8 +68,9 @@ def drop_site_lines(
     lost = settle(lost)
     rows = docs.select(packed(docs).alias("doc"), digest(F.col(text)).alias("key"))
     body = F.col(f"doc.`{text}`")
-    rows = rows.join(sorted_side(lost), "key", "left").select("doc", body.alias("_text"), computed(without_lines(body, F.col("lost")).alias("cleaned")))
-    count = lambda c: F.coalesce(F.size(F.filter(F.split(c, "\n", -1), lambda x: x.rlike(WORD))), F.lit(0)).cast("bigint")
-    n: Column = F.when(F.col("_text").isNull(), F.lit(0).cast("bigint")).otherwise(count(F.col("_text")))
-    left: Column = F.when(F.col("cleaned").isNull(), F.lit(0).cast("bigint")).otherwise(count(F.col("cleaned")))
-    return rows.select("doc", n.alias("n_lines"), (n - left).alias("n_removed"), "cleaned")
+    rows = rows.join(sorted_side(lost), "key", "left").select("doc", body.alias("_text"), F.col("lost").isNotNull().alias("_lost"), computed(without_lines(body, F.col("lost")).alias("cleaned")))
+    count = lambda c: F.coalesce(F.regexp_count(c, F.lit(_FULL)), F.lit(0)).cast("bigint")
+    # Most texts lose no line, and their lines are counted once.
+    n: Column = count(F.col("_text"))
+    gone: Column = F.when(F.col("_lost"), n - count(F.col("cleaned"))).otherwise(F.lit(0).cast("bigint"))
+    return rows.select("doc", n.alias("n_lines"), gone.alias("n_removed"), "cleaned")
