@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import computed, digest, packed, settle, sorted_side
+from .common import WORD, computed, digest, packed, settle, sorted_side
 from .quality import normal_line, without_lines
 
 MIN_SITES = 6  # a line on so many sites or more is boilerplate
@@ -29,12 +29,11 @@ _FULL = r"(?md)^[\x20\x09\x0B-\x0D]*+[^\x20\x09-\x0D]"
 def _lines(docs: DataFrame, text: str, site: str) -> DataFrame:
     """key (of the text), site and line hash of every line that holds a word."""
     return (
-        docs.select(F.col(text).alias("text"), F.col(site).alias("site"))
-        .select(digest(F.col("text")).alias("key"), digest(F.col("site")).alias("site"), F.explode_outer(F.split("text", "\n", -1)).alias("raw"))
-        .filter("raw IS NOT NULL")
-        .select("key", "site", normal_line(F.col("raw")).alias("line"))
-        .filter("line <> ''")
-        .select("key", "site", F.xxhash64("line").alias("line"))
+        # The keys first: beside the generator they would be computed again for every line.
+        docs.select(digest(F.col(text)).alias("key"), digest(F.col(site)).alias("site"), F.col(text).alias("text"))
+        .select("key", "site", F.explode(F.split("text", "\n", -1)).alias("raw"))
+        .filter(F.col("raw").rlike(WORD))
+        .select("key", "site", F.xxhash64(normal_line(F.col("raw"))).alias("line"))
     )
 
 

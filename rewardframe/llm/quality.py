@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, computed, digest, packed, settle, sorted_side, tidy, words
+from .common import SPACES, WORD, computed, digest, packed, settle, sorted_side, tidy, words
 
 MAX_DOCS = 100  # distinct documents of a host that may share a line
 MAX_LOST = 70  # per cent of its words that a document may lose
@@ -25,14 +25,18 @@ WINDOW = 5
 _SYMBOLS = "#*$%&|<>"
 
 
-_PLAIN = "123456789" + "".join(map(chr, range(9, 14))), "0" * 9 + " " * 5
+#: What most lines do not hold: digits that change, white space other than spaces.
+_UNEVEN = r"[1-9\x09-\x0D]"
 
 
 def normal_line(line: Column) -> Column:
-    """Line in lower case, digits as 0 and single spaces; empty for a line without words."""
-    plain = F.translate(F.lower(line), *_PLAIN)
-    # Few lines have two spaces in a row; only those meet the regular expression.
-    return F.trim(F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " +", " ")).otherwise(plain))
+    """Line in lower case, digits as 0 and single spaces; empty for a line without words.
+
+    A cheap search tells the lines that need replacing from the others.
+    """
+    low = F.lower(line)
+    even = F.regexp_replace(F.regexp_replace(low, "[1-9]", "0"), SPACES, " ")
+    return F.trim(F.when(F.contains(line, F.lit("  ")) | line.rlike(_UNEVEN), even).otherwise(low))
 
 
 def repeated_words(df: DataFrame, hashes: str, out: str) -> DataFrame:
