@@ -105,9 +105,10 @@ def leaks(
     i = items.select(digest(F.col(item_text)).alias("key"), F.col(item_text).alias("text"))
     pairs = settle(candidates(d, i, percent))
     sets = lambda df: df.withColumn("_w", words(ascii_lower(F.col("text")))).withColumn("set", shingles(F.col("_w")))
-    # One text per key: copies carry the same words.
-    asked = pairs.select("key").distinct()
-    doc_texts = d.join(sorted_side(asked), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    # One text per key, as copies carry the same words: each task passes on one, before keys are dealt.  An inner join
+    # of distinct keys: a semi join would be moved below, where all copies of a text meet.
+    asked = settle(pairs.select("key").distinct())
+    doc_texts = d.dropDuplicates(["key"]).join(sorted_side(asked), "key")
     item_sets = sets(i.join(pairs.select(F.col("item").alias("key")).distinct(), "key", "left_semi").distinct()).select(F.col("key").alias("item"), F.col("set").alias("item_set"))
     # A document's shingles are built once and serve all its items, then only counts go on.
     listed = settle(pairs.join(item_sets, "item").groupBy("key").agg(F.collect_list(F.struct("item", "item_set")).alias("items")))

@@ -249,6 +249,17 @@ def test_decontamination_finds_what_brute_force_finds(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
 
 
+def test_decontamination_of_many_copies(spark):
+    item = " ".join(f"t{k}" for k in range(40))
+    held = "some words before " + item + " and after it"
+    data = [(None if i % 2 else i, held) for i in range(600)] + [(1000 + i, f"own words of text number {i} and no more of it") for i in range(300)]
+    docs_ = spark.createDataFrame(data, "doc_id bigint, text string").repartition(6)
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    got = rows(decontam.contamination(docs_, bench), "doc_id", "item_id", "n_item", "n_shared")
+    assert got == sorted([(d, 1, 36, 36) for d, t in data if t == held], key=repr)
+    assert decontam.clean(docs_, bench).count() == 300
+
+
 @pytest.mark.parametrize("item", ["one two three four five", "again " * 15, "on and " * 8])
 def test_decontamination_finds_items_of_few_shingles(spark, item):
     from brute import shingles
