@@ -385,7 +385,8 @@ def request_stream(t: Tables, files: int = 8, per_trigger: int = 4) -> DataFrame
 
 def judged_stream(t: Tables, stream: DataFrame, **how) -> str:
     out = scratch(t.spark)
-    start_judging(stream, out, scratch(t.spark), **how).awaitTermination()
+    # The test tables are small: few buckets, so that a micro-batch opens few states.
+    start_judging(stream, out, scratch(t.spark), **{"buckets": 16, **how}).awaitTermination()
     return out
 
 
