@@ -11,7 +11,7 @@ from ..functions.text import WHITESPACE, join_list, json_quote, text
 from ..operators.codetests import code_rewards, code_samples
 from ..operators.judge import judged_by, request_key, unique_requests
 from ..operators.rewards import (
-    composite_rewards, routed_rewards, rule_scores, type_based_answer, uses_judge,
+    composite_rewards, judged_rewards, routed_rewards, rule_scores, type_based_answer, uses_judge,
 )
 from ..session import settled
 from .registry import (
@@ -467,11 +467,10 @@ def typed_judge(batch: pd.DataFrame) -> pd.DataFrame:
    JOIN rollouts r ON r.id = s.id AND r.g = s.g
    LEFT JOIN j ON j.problem = r.problem AND j.completion = r.completion AND j.answer IS NOT DISTINCT FROM r.answer AND j.answer_type = r.answer_type""")
 def _(t):
-    rows = t("rollouts").withColumn("prompt", F.col("problem")).withColumn("key", request_key())
+    rows = t("rollouts").withColumn("prompt", F.col("problem"))
     asked = unique_requests(rows.filter(uses_judge(F.col("answer_type"))), ("problem_type",))
     judged = settled(judged_by(asked, typed_judge, retries=0, context=("problem_type",)))
-    rows = rows.join(judged.select("key", F.col("score").alias("judge_score")), "key", "left")
-    r = routed_rewards(rows, "TYPE_BASED_JUDGE", judge=F.col("judge_score"))
+    r = judged_rewards(rows, judged, request_key())
     return r.select("id", "g", uses_judge(F.col("answer_type")).alias("judged"), r6(F.col("reward")).alias("reward"))
 
 

@@ -294,3 +294,19 @@ def test_gated_accuracy_of_a_judge_table_and_of_a_column(spark):
     got = sorted(tuple(r) for r in by_column.select(*columns).collect())
     assert got == sorted(tuple(r) for r in by_table.select(*columns).collect()) and len(got) == 4
     assert "Join" not in by_column._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_judged_rows_are_joined(spark):
+    from rewardframe.operators.rewards import judged_rewards, routed_rewards
+
+    rows = [("1", "<answer>4</answer>", "4", "NUMBER"), ("2", "<answer>x</answer>", "y", "ESSAY"), ("3", "<answer>z</answer>", "z", "ESSAY"),
+            ("4", None, None, None), ("2", "<answer>x</answer>", "y", "ESSAY"), (None, "<answer>q</answer>", "q", "JUDGE")]
+    df = spark.createDataFrame(rows, "k string, completion string, answer string, answer_type string").withColumn("problem_type", F.lit("GENERAL"))
+    judged = spark.createDataFrame([("2", 0.25), ("1", 0.5)], "key string, score double")
+    keyed = df.join(judged.withColumnRenamed("key", "k"), "k", "left")
+    want = routed_rewards(keyed, judge=F.col("score")).select(*df.columns, "acc_reward", "bbox_reward", "reward")
+    got = judged_rewards(df, judged, F.col("k"))
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    by_rule = plan[: plan.index("Join LeftOuter")]
+    assert by_rule.startswith("Union") and "GENERAL_CODE" in by_rule  # the rules' rows are scored outside of the join
