@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,29 +35,62 @@ def numbered(df: DataFrame, id_col: str) -> DataFrame:
     return settled(order_rank(df.select(id_col), [id_col], "row"))
 
 
-def _mixed(seed: str, step: int, value: Column) -> Column:
-    digest = F.md5(F.concat(F.lit(f"{seed}-{step}-"), value.cast("string")))
-    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint")
+def _draw(seed: str, step: int, value: int) -> int:
+    return int(hashlib.md5(f"{seed}-{step}-{value}".encode()).hexdigest()[:12], 16)
 
 
-def _network(x: Column, n: int, seed: str) -> Column:
+def _draws(n: int, seed: str) -> list[np.ndarray]:
+    """Draws of each round for all rows or columns of the grid: about the square root of n of them."""
     wide, high = sides(n)
-    at = F.struct((x % wide).alias("l"), F.floor(x / wide).cast("bigint").alias("r"))
-    for step in range(ROUNDS):
-        own = (lambda s: lambda v: F.struct(((v["l"] + _mixed(seed, s, v["r"])) % wide).alias("l"), v["r"].alias("r")))(step) if step % 2 == 0 else (
-            lambda s: lambda v: F.struct(v["l"].alias("l"), ((v["r"] + _mixed(seed, s, v["l"])) % high).alias("r")))(step)
-        at = F.get(F.transform(F.array(at), own), F.lit(0))
-    return at["r"] * wide + at["l"]
+    sizes = [high if step % 2 == 0 else wide for step in range(ROUNDS)]
+    return [np.fromiter((_draw(seed, step, v) for v in range(size)), "int64", size) for step, size in enumerate(sizes)]
+
+
+def _network(x: np.ndarray, n: int, draws: list[np.ndarray]) -> np.ndarray:
+    wide, high = sides(n)
+    left, right = x % wide, x // wide
+    for step, draw in enumerate(draws):
+        if step % 2 == 0:
+            left = (left + draw[right]) % wide
+        else:
+            right = (right + draw[left]) % high
+    return right * wide + left
+
+
+def _places(rows: np.ndarray, n: int, draws: list[np.ndarray]) -> np.ndarray:
+    """Places of row numbers, all from 0 to n - 1."""
+    if len(rows) and not 0 <= rows.min() <= rows.max() < n:
+        raise ValueError(f"row numbers go from 0 to {n - 1}")
+    out = _network(rows, n, draws)
+    for _ in range(WALKS):
+        beyond = np.flatnonzero(out >= n)
+        if not len(beyond):
+            return out
+        out[beyond] = _network(out[beyond], n, draws)
+    if (out >= n).any():
+        raise ValueError("a chain of cells beyond the table is too long")
+    return out
 
 
 def place_of(row: Column, n: int, seed: str) -> Column:
-    """Place of a row in the order of a seed."""
+    """Place of a row in the order of a seed; null without a row number.
+
+    Whole Arrow batches go through the network, and a task hashes each row and column of the grid once a round.
+    """
     if n <= 1:
         return row
-    walks = F.sequence(F.lit(1), F.lit(WALKS))
-    inside = F.aggregate(walks, _network(row.cast("bigint"), n, seed), lambda x, _: F.when(x >= n, _network(x, n, seed)).otherwise(x))
-    # Counting on the number itself, so that the check is of the value that is returned.
-    return F.when(inside < n, inside).otherwise(F.raise_error(F.lit("a chain of cells beyond the table is too long")).cast("bigint"))
+
+    @F.pandas_udf("bigint")
+    def place(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        draws = _draws(n, seed)
+        for rows in batches:
+            known = rows.notna().to_numpy()
+            out = pd.Series(0, index=rows.index, dtype="Int64")
+            out[known] = _places(rows[known].to_numpy("int64"), n, draws)
+            out[~known] = pd.NA
+            yield out
+
+    return place(row.cast("bigint"))
 
 
 def row_at(place: int, n: int, seed: str) -> int:
@@ -62,14 +98,13 @@ def row_at(place: int, n: int, seed: str) -> int:
     if n <= 1:
         return place
     wide, high = sides(n)
-    mixed = lambda step, v: int(hashlib.md5(f"{seed}-{step}-{v}".encode()).hexdigest()[:12], 16)
     while True:
         left, right = place % wide, place // wide
         for step in reversed(range(ROUNDS)):
             if step % 2 == 0:
-                left = (left - mixed(step, right)) % wide
+                left = (left - _draw(seed, step, right)) % wide
             else:
-                right = (right - mixed(step, left)) % high
+                right = (right - _draw(seed, step, left)) % high
         place = right * wide + left
         if place < n:
             return place

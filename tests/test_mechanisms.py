@@ -310,3 +310,16 @@ def test_only_judged_rows_are_joined(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     by_rule = plan[: plan.index("Join LeftOuter")]
     assert by_rule.startswith("Union") and "GENERAL_CODE" in by_rule  # the rules' rows are scored outside of the join
+
+
+def test_places_are_computed_by_batches(spark):
+    from rewardframe.operators import permute
+
+    n = 1000
+    df = spark.range(-1, n).select(F.when(F.col("id") >= 0, F.col("id")).alias("row"))
+    placed = df.withColumn("place", permute.place_of(F.col("row"), n, "s"))
+    got = {r["row"]: r["place"] for r in placed.collect()}
+    assert got.pop(None) is None and sorted(got.values()) == list(range(n))
+    assert all(permute.row_at(p, n, "s") == row for row, p in got.items())
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "md5" not in plan
