@@ -189,7 +189,7 @@ def _(t):
 @query("a10_generations", """SELECT step, CAST(1 AS BIGINT) AS epoch, count(*) AS num_samples, md5(string_agg(completion, '|' ORDER BY id, g)) AS texts FROM rollouts GROUP BY step""")
 def _(t):
     path = scratch(t.spark)
-    src.append_records(src.generations(t("rollouts"), F.col("step"), "completion", ["id", "g"]), path)
+    src.append_records(src.generations(t("rollouts"), F.col("step"), "completion", ["id", "g"]), path, compression="gzip")
     back = src.generation_records(t.spark.read.schema("epoch bigint, step bigint, position bigint, text string").json(path))
     return back.select("step", "epoch", "num_samples", F.md5(F.array_join("gen_texts", "|")).alias("texts"))
 

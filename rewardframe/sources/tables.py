@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions.chat import as_image_list, chat_turns, image_lengths
 from ..operators.bloom import maybe_in
-from ..operators.ranks import order_rank, running_sum
+from ..operators.ranks import order_rank
 from ..operators.select import first_k
+from ..session import settled
 
 # Column names, the shard pattern, and the evaluation record.
 RL_COLUMNS = (
@@ -118,21 +124,22 @@ def write_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
 
 
-def append_records(df: DataFrame, path: str, batch_id: str | None = None) -> None:
-    """Records appended as JSON lines: generations, judge calls, evaluation records.
+def append_records(df: DataFrame, path: str, batch_id: str | None = None, compression: str = "none") -> None:
+    """Records appended as JSON lines: generations, judge calls, evaluation records.  Readers tell compressed files
+    (gzip and others) by their names.
 
     With a ``batch_id`` they are appended once however often the append is repeated: rows go to a folder of
     this attempt, then a manifest of the batch names that folder.  ``read_records`` takes what manifests name, so
     an attempt that was cut off, or came second, adds nothing.
     """
     if batch_id is None:
-        df.write.mode("append").json(path)
+        df.write.mode("append").json(path, compression=compression)
         return
     spark = df.sparkSession
     if batch_id in {b for b, _ in _committed(spark, path)}:
         return
     folder = f"attempts/{uuid.uuid4().hex}"
-    df.write.json(f"{path}/{folder}")
+    df.write.json(f"{path}/{folder}", compression=compression)
     manifest = spark.createDataFrame([(batch_id, folder)], "batch_id string, folder string").coalesce(1)
     # Refused if a manifest of the batch is there by now: the other attempt counts.
     manifest.write.mode("ignore").json(f"{path}/manifests/batch={hashlib.sha256(batch_id.encode()).hexdigest()[:32]}")
@@ -161,9 +168,42 @@ def read_eval_records(spark: SparkSession, path: str) -> DataFrame:
 
 def generations(df: DataFrame, step: Column, text: str, order: list[str], epoch: int = 1) -> DataFrame:
     """(epoch, step, position, text) rows: the texts of each step, numbered from 0 in a total order."""
-    rows = df.select(F.lit(epoch).alias("epoch"), step.alias("step"), *order, F.col(text).alias("text"))
-    ranked = running_sum(rows, ["step"], [F.col(c) for c in order], F.lit(1).cast("bigint"), "position")
-    return ranked.select("epoch", "step", (F.col("position") - 1).alias("position"), "text")
+    # The texts are shuffled once: each range of (step, order) is numbered as it is sorted, and only a step that goes on
+    # from an earlier range, at most one a range, gets the number of its rows there added.
+    rows = df.select(step.alias("step"), *[F.col(c).alias(f"_order{i}") for i, c in enumerate(order)], F.col(text).alias("text"))
+    keys = ["step", *[f"_order{i}" for i in range(len(order))]]
+    ordered = rows.filter(F.col("step").isNotNull()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    schema = StructType([ordered.schema["step"], *_PLACED])
+    placed = settled(ordered.select("step", "text").mapInArrow(_placed, schema), "zstd")
+    sizes = placed.groupBy("step", "_block").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("step").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("step", "_block", F.sum("_n").over(before).alias("_offset")).filter("_offset > 0")
+    return placed.join(F.broadcast(offsets), ["step", "_block"], "left").select(
+        F.lit(epoch).alias("epoch"), "step", (F.col("position") + F.coalesce("_offset", F.lit(0))).alias("position"), "text"
+    )
+
+
+_PLACED = [StructField("text", StringType()), StructField("_block", IntegerType()), StructField("position", LongType())]
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by step, numbered from 0 within each step."""
+    block, last, seen = TaskContext.get().partitionId(), None, 0
+    for batch in batches:
+        n = batch.num_rows
+        if n == 0:
+            continue
+        steps = batch.column(0)
+        starts = np.ones(n, "bool")
+        starts[1:] = pc.not_equal(steps.slice(1), steps.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+        starts[0] = steps[0].as_py() != last
+        at = np.arange(n)
+        position = at - np.maximum.accumulate(np.where(starts, at, 0))
+        if not starts[0]:
+            position[: starts.argmax() or n] += seen
+        last, seen = steps[n - 1].as_py(), int(position[-1]) + 1
+        columns = [steps, batch.column(1), pa.array(np.full(n, block, "int32")), pa.array(position)]
+        yield pa.RecordBatch.from_arrays(columns, names=["step", "text", "_block", "position"])
 
 
 def generation_records(rows: DataFrame) -> DataFrame:

@@ -323,3 +323,21 @@ def test_places_are_computed_by_batches(spark):
     assert all(permute.row_at(p, n, "s") == row for row, p in got.items())
     plan = placed._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "md5" not in plan
+
+
+def test_generations_are_shuffled_once(spark, tmp_path):
+    from rewardframe.sources import tables
+
+    rows = [(None if i % 50 == 7 else 0 if i % 3 else i % 40, i, None if i % 11 == 0 else f"t{i}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "s int, id int, text string").repartition(5)
+    out = tables.generations(df, F.col("s"), "text", ["id"])
+    want = {}
+    for s, i, x in rows:
+        if s is not None:
+            want.setdefault(s, []).append(x)
+    got = sorted((r["step"], r["position"], r["text"] or "") for r in out.collect())
+    assert got == sorted((s, k, x or "") for s, xs in want.items() for k, x in enumerate(xs))
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    tables.append_records(out, str(tmp_path / "r"), compression="gzip")
+    tables.append_records(out, str(tmp_path / "r"))
+    assert spark.read.schema("epoch bigint, step bigint, position bigint, text string").json(str(tmp_path / "r")).count() == 2 * len(got)
