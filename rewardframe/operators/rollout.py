@@ -50,10 +50,17 @@ def batch_advantages(
 
 
 def useful_steps(df: DataFrame, step: str | list[str], advantage: str = "advantage") -> DataFrame:
-    """Rows of the steps whose advantages are not all zero."""
+    """Rows of the steps whose advantages are not all zero.
+
+    Keep the frame narrow and settled: it is read twice.  The steps left out are the smaller list as a rule, and a
+    short list is sent to the rows instead of shuffling them.
+    """
     keys = [step] if isinstance(step, str) else step
-    live = df.groupBy(*keys).agg(F.sum(F.abs(advantage)).alias("_size")).filter("_size <> 0")
-    return df.join(settled(live.select(*keys)), keys, "left_semi")
+    size = F.sum(F.abs(advantage))
+    dead = df.groupBy(*keys).agg(F.coalesce(size == 0, F.lit(True)).alias("_dead")).filter("_dead")
+    for k in keys:  # a row without a step belongs to none
+        df = df.filter(F.col(k).isNotNull())
+    return df.join(settled(dead.select(*keys)), keys, "left_anti")
 
 
 def with_gold(completions: DataFrame, gold: DataFrame, key: str) -> DataFrame:

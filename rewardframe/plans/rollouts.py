@@ -50,7 +50,8 @@ def _(t):
 
 @query("f3_useful_steps", f"""WITH {ADV} SELECT id, g, step FROM adv WHERE step IN (SELECT step FROM adv GROUP BY step HAVING sum(abs(advantage)) <> 0)""")
 def _(t):
-    return rollout.useful_steps(rollout.group_advantages(scored_rollouts(t), "id"), "step").select("id", "g", "step")
+    adv = rollout.group_advantages(scored_rollouts(t), "id").select("id", "g", "step", "advantage")
+    return rollout.useful_steps(settled(adv), "step").select("id", "g", "step")
 
 
 @query("f4_expand_gold", "SELECT r.id, r.g, length(r.completion) AS chars, o.answer AS gold FROM rollouts r JOIN gold o ON o.id = r.id")

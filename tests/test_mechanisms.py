@@ -341,3 +341,14 @@ def test_generations_are_shuffled_once(spark, tmp_path):
     tables.append_records(out, str(tmp_path / "r"), compression="gzip")
     tables.append_records(out, str(tmp_path / "r"))
     assert spark.read.schema("epoch bigint, step bigint, position bigint, text string").json(str(tmp_path / "r")).count() == 2 * len(got)
+
+
+def test_useful_steps_shuffle_no_rows(spark):
+    from rewardframe.operators import rollout
+
+    rows = [(1, 0.0), (1, 0.0), (2, 0.5), (2, -0.5), (3, None), (4, None), (4, 1.0), (None, 2.0), (5, float("nan")), (2, 0.5)]
+    df = spark.createDataFrame(rows, "step int, advantage double")
+    out = rollout.useful_steps(df, "step")
+    assert sorted(r["step"] for r in out.collect()) == [2, 2, 2, 4, 4, 5]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "SortMergeJoin" not in plan
