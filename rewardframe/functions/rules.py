@@ -55,7 +55,10 @@ def ocr_match(pred: Column, targets: Column) -> Column:
     def nearest(seen: Column) -> Column:
         def distance(target: Column) -> Column:
             longest = F.greatest(F.length(F.upper(target)), F.length(F.upper(seen)))
-            steps = F.levenshtein(collapse(F.lower(strip(target))), seen)
+            steps = let(
+                collapse(F.lower(strip(target))),
+                lambda x: F.when(x == seen, F.lit(0)).otherwise(F.levenshtein(x, seen)),
+            )
             return F.when(longest == 0, F.lit(0.0)).otherwise(steps / longest)
 
         return 1 - F.array_min(F.transform(targets, distance))
@@ -83,7 +86,8 @@ def box_iou(pred: Column, gold: Column) -> Column:
         ratio = F.coalesce(F.try_divide(both, areas - both), zero)
         return F.when((F.size(a) == 4) & (F.size(b) == 4), ratio).otherwise(zero)
 
-    return let(both(pred, gold, first_box), iou)
+    # The number patterns are searched only where both texts open a bracket.
+    return F.when(pred.contains("[") & gold.contains("["), let(both(pred, gold, first_box), iou)).otherwise(zero)
 
 
 def numbers_in(c: Column) -> Column:

@@ -73,7 +73,8 @@ def words(c: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    return F.array_join(words(c), " ")
+    """Words with one space between them."""
+    return F.btrim(F.regexp_replace(c, WS + "+", " "), F.lit(" "))
 
 
 def lines(c: Column) -> Column:

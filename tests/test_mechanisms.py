@@ -325,6 +325,17 @@ def test_places_are_computed_by_batches(spark):
     assert "ArrowEvalPython" in plan and "md5" not in plan
 
 
+def test_useful_steps_shuffle_no_rows(spark):
+    from rewardframe.operators import rollout
+
+    rows = [(1, 0.0), (1, 0.0), (2, 0.5), (2, -0.5), (3, None), (4, None), (4, 1.0), (None, 2.0), (5, float("nan")), (2, 0.5)]
+    df = spark.createDataFrame(rows, "step int, advantage double")
+    out = rollout.useful_steps(df, "step")
+    assert sorted(r["step"] for r in out.collect()) == [2, 2, 2, 4, 4, 5]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "SortMergeJoin" not in plan
+
+
 def test_generations_are_shuffled_once(spark, tmp_path):
     from rewardframe.sources import tables
 
@@ -343,12 +354,11 @@ def test_generations_are_shuffled_once(spark, tmp_path):
     assert spark.read.schema("epoch bigint, step bigint, position bigint, text string").json(str(tmp_path / "r")).count() == 2 * len(got)
 
 
-def test_useful_steps_shuffle_no_rows(spark):
-    from rewardframe.operators import rollout
+def test_equal_text_needs_no_edit_distance(spark):
+    from rewardframe.functions import rules
 
-    rows = [(1, 0.0), (1, 0.0), (2, 0.5), (2, -0.5), (3, None), (4, None), (4, 1.0), (None, 2.0), (5, float("nan")), (2, 0.5)]
-    df = spark.createDataFrame(rows, "step int, advantage double")
-    out = rollout.useful_steps(df, "step")
-    assert sorted(r["step"] for r in out.collect()) == [2, 2, 2, 4, 4, 5]
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "LeftAnti" in plan and "SortMergeJoin" not in plan
+    rows = [("A  b", "a b"), ("a\u00a0\tb ", " A b"), ("abcd", "abce"), ("abcd", "wxyz"), ("", "a"), (None, "a"), ("a", None), ("[1,2,3,4]", "1,2"), ("[0,0,2,2]", "[0,0,2,1]")]
+    df = spark.createDataFrame(rows, "p string, g string")
+    got = df.select("p", "g", rules.ocr_match(F.col("p"), F.array("g")).alias("ocr"), rules.box_iou(F.col("p"), F.col("g")).alias("box")).collect()
+    assert [r["ocr"] for r in got] == [1.0, 1.0, 0.75, 0.0, 0.0, 0.0, 0.0, 0.0, pytest.approx(8 / 9)]
+    assert [r["box"] for r in got] == [0.0] * 8 + [0.5]
