@@ -15,6 +15,7 @@ missing token more than there can be.  Which tokens are frequent only affects th
 3. Entries with two nodes or more make buckets.  In each bucket one hub is compared with all others.
    Buckets whose nodes are not yet in one component then compare what is outside the hub's component
    with the rest.  So linked groups cost as many comparisons as they have nodes, not pairs of nodes.
+   A pair that meets in many buckets is passed on by the first of them, and by few others.
 4. Lengths and bitmaps discard pairs that can't be similar (two sets differ in at least as many
    tokens as their parity bitmaps differ in bits): a small bitmap inside the bucket join, one that
    grows with the set after it.  The rest are verified on the whole texts.
@@ -31,16 +32,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, digest, packed, settle, small_batches, sorted_side, tidy, unpacked
 from .shingles import mix, shingle_sets
+from .workers import forget
 
 RARE = 64  # documents that may hold a rare token
 MAX_FREQUENT = 1_000_000  # frequent tokens sent to the tasks, 8 bytes each
 BUCKET = 4_000_000  # tokens that a counting or indexing task gets, about
 BITS = 512
+SEEN = 16  # buckets that a node remembers
 FAN = 256  # partners of a node that one verifying group holds
 _U = np.uint64
 _PAIR = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -63,6 +66,7 @@ def _count_tokens(buckets: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # what an earlier operator left in this worker
         for batch in batches:
             sets = list(shingle_sets(batch.column(0)))
             tokens = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
@@ -107,19 +111,18 @@ def _frequent_of(buckets: int, least: int):
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         b = key[0].as_py()
-        parts = [_from_three(x) for x in t["tokens"].to_pylist()]
-        extra = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in t["extra"].to_pylist()]
-        more = [_three(x[0], b, buckets) for x in extra]
-        values = np.concatenate(parts + more)
-        weights = np.concatenate([np.ones(sum(map(len, parts)), np.int64), *[x[1].astype(np.int64) for x in extra]])
-        order = np.argsort(values)
-        values, weights = values[order], weights[order]
+        values = np.concatenate([_from_three(x) for x in t["tokens"].to_pylist()])
+        values.sort()
         first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
-        counts = np.add.reduceat(weights, first)
+        counts = np.diff(np.append(first, len(values)))
+        values = values[first]
+        for x in t["extra"].to_pylist():  # of tokens that are among the values
+            tokens, more = np.frombuffer(x, np.uint64).reshape(2, -1)
+            np.add.at(counts, np.searchsorted(values, _three(tokens, b, buckets)), more.astype(np.int64))
         kept = counts > least
         start = _U((b << 64) // buckets)
         # The token's lower bits are cut off: a frequent token is one with these upper bits.
-        tokens = (values[first][kept].astype(np.uint64) << _U(_shift(buckets) + 8)) + start
+        tokens = (values[kept].astype(np.uint64) << _U(_shift(buckets) + 8)) + start
         return pa.table({"token": tokens.view(np.int64), "docs": counts[kept]})
 
     return run
@@ -353,6 +356,26 @@ def _close(x: str, y: str):
     return (5 * nx >= 4 * ny) & (5 * ny >= 4 * nx) & (9 * apart <= nx + ny)
 
 
+def with_seen(posted: DataFrame) -> DataFrame:
+    """Adds ``seen``: the node's last ``SEEN`` buckets before this one, in the order of their keys.
+
+    Two nodes whose lists share a bucket have met there, or before it: texts that share a passage share
+    hundreds of buckets, and are to be compared in one or a few of them.  In the first bucket that they
+    share, their lists have nothing in common.
+    """
+    before = Window.partitionBy("node").orderBy("g").rowsBetween(-SEEN, -1)
+    return posted.withColumn("seen", F.collect_list("g").over(before))
+
+
+def open_pairs(left: DataFrame) -> DataFrame:
+    """Pairs (x, y) of nodes of different components that share a bucket of ``left`` (g, node, comp, bulk, a, seen)."""
+    out = left.filter("comp <> bulk").select("g", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("a").alias("h"), F.col("seen").alias("sx"))
+    inner = left.select(F.col("g").alias("g2"), F.col("node").alias("y"), F.col("comp").alias("cy"), "a", "bulk", F.col("seen").alias("sy"))
+    apart = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("bulk")) | (F.col("x") < F.col("y")))
+    pairs = out.join(inner, (F.col("g") == F.col("g2")) & apart & _close("h", "a") & ~F.arrays_overlap("sx", "sy"))
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+
+
 def _identity(doc_id: str, tkey: str):
     """Key of the rows with one id and one text."""
     return F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.lit(":"), F.hex(tkey))))
@@ -391,12 +414,8 @@ def links_of(described: DataFrame, docs: DataFrame, doc_id: str, text: str, buck
     found = components(near)
     posted = settle(posted.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     open_ = posted.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("a.u", "comp"))["comp"].alias("bulk")).filter("lo <> hi").select("g", "bulk")
-    left = settle(posted.join(settle(open_), "g"))
-    out = left.filter("comp <> bulk").select("g", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("a").alias("h"))
-    inner = left.select(F.col("g").alias("g2"), F.col("node").alias("y"), F.col("comp").alias("cy"), "a", "bulk")
-    rest = out.join(inner, (F.col("g") == F.col("g2")) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("bulk")) | (F.col("x") < F.col("y"))) & _close("h", "a"))
-    rest = rest.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    far = verified(near_pairs(rest, about), texts)
+    rest = open_pairs(settle(with_seen(posted.join(settle(open_), "g"))))
+    far = verified(near_pairs(rest.distinct(), about), texts)
     # Components so far stand for their nodes: new links join components.
     linked = found.select(F.col("node").alias("x"), F.col("comp").alias("y")).union(far)
     return nodes, components(linked)

@@ -6,6 +6,8 @@ import sys
 import types
 from collections.abc import Callable, Hashable
 
+import pyarrow as pa
+
 _HOME = "_rewardframe_kept"
 
 
@@ -20,3 +22,11 @@ def kept(key: Hashable, make: Callable[[], object]) -> object:
     if key not in values:
         values[key] = make()
     return values[key]
+
+
+def forget() -> None:
+    """Drops all kept values, for tasks that need the memory themselves."""
+    home = sys.modules.pop(_HOME, None)
+    if home is not None:
+        home.__dict__.clear()
+        pa.default_memory_pool().release_unused()

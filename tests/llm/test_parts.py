@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from brute import shingles, tokenizer
 
-from rewardframe.llm import jaccard, records, repeats, rlbwt, urls, warc
+from rewardframe.llm import jaccard, records, repeats, rlbwt, urls, warc, workers
 from rewardframe.llm.queries import tokenizer_path
 from rewardframe.llm.shingles import shingle_sets
 
@@ -55,6 +55,42 @@ def test_entries_meet():
         assert sig[0][0] & sig[1][0] or sig[0][1] & sig[1][1]
 
 
+def test_pairs_of_many_buckets_are_passed_on_once(spark):
+    """All pairs that share a bucket are found, and hundreds of shared buckets do not multiply them."""
+    rng = random.Random(11)
+    rows, pairs = [], set()
+    for g in range(300):
+        nodes = rng.sample(range(12), 9) if g < 280 else rng.sample(range(10, 40), 3)
+        rows += [(g, n, n // 2, nodes[0] // 2, {"n": 10, "bits": [0] * (jaccard.BITS // 64)}) for n in nodes]
+        pairs |= {(x, y) for x in nodes for y in nodes if x < y and x // 2 != y // 2}
+    posted = spark.createDataFrame(rows, "g long, node long, comp long, bulk long, a struct<n:long,bits:array<long>>")
+    got = [tuple(r) for r in jaccard.open_pairs(jaccard.with_seen(posted)).collect()]
+    assert set(got) == pairs
+    assert len(got) < 2 * len(pairs)
+
+
+def test_frequent_tokens_of_a_bucket():
+    sets = [[1 << 60, 2 << 60, 2 << 60, 3 << 60], [2 << 60, 3 << 60], [3 << 60]]
+    batches = [pa.record_batch([pa.array([0]), pa.array([0])], ["doc_id", "x"]) for _ in sets]
+    made = jaccard._count_tokens(1)
+    given = iter([np.array(x, np.uint64) for x in sets])
+    with pytest.MonkeyPatch.context() as m:
+        m.setitem(made.__globals__, "shingle_sets", lambda column: [next(given)])
+        rows = pa.Table.from_batches(list(made(iter(batches))))
+    got = jaccard._frequent_of(1, 2)((pa.scalar(0),), rows).to_pylist()
+    assert [(r["token"] >> 60, r["docs"]) for r in got] == [(2, 3), (3, 3)]
+
+
+def test_workers_forget():
+    made = []
+    for _ in range(2):
+        workers.kept("t", lambda: made.append(1))
+    assert len(made) == 1
+    workers.forget()
+    workers.kept("t", lambda: made.append(1))
+    assert len(made) == 2
+
+
 def test_matching_statistics():
     rng = random.Random(3)
     for _ in range(40):
