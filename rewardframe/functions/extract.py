@@ -32,6 +32,7 @@ FORBIDDEN_CALLS = (
 _LAST_NUMBER = (
     r"(?<!" + WORD + r")(\d+(?:\.\d+)?)(?!" + WORD + r")" + WS + r"*\.?" + WS + r"*\z"
 )
+_LINE_ENDS_IN_DIGIT = r"\d" + WS + r"*\.?" + WS + r"*(?:\n|\z)"
 
 
 def answer_bodies(c: Column) -> Column:
@@ -76,8 +77,11 @@ def _closing(tokens: Column) -> Column:
 def boxed_answer(c: Column) -> Column:
     """Content of the last brace-balanced ``\\boxed{...}``; empty string when there is none.
 
-    The text is cut into braces, boxes and what lies between once, and read twice.
+    The last box is it where its first brace closes it.  Otherwise the text is cut into braces, boxes and
+    what lies between once, and read twice.
     """
+    after = F.substring_index(c, BOXED_OPEN, -1)
+    plain = F.substring_index(after, "}", 1)
 
     def content(tokens: Column) -> Column:
         def tail(at: Column) -> Column:
@@ -87,13 +91,16 @@ def boxed_answer(c: Column) -> Column:
 
         return let(_last_closed(tokens), tail)
 
-    return F.when(c.contains(BOXED_OPEN), let(all_matches(c, _BOX_TOKEN), content)).otherwise("")
+    nested = let(all_matches(c, _BOX_TOKEN), content)
+    found = F.when(after.contains("}") & ~plain.contains("{"), plain).otherwise(nested)
+    return F.when(c.contains(BOXED_OPEN), found).otherwise("")
 
 
 def last_line_number(c: Column) -> Column:
     """Number that ends the lowest line ending in one; empty string when no line does."""
     ends = F.transform(lines(strip(c)), lambda ln: F.regexp_extract(ln, _LAST_NUMBER, 1))
-    return F.coalesce(last_of(F.filter(ends, lambda x: x != "")), F.lit(""))
+    # Lines are cut only where one may end in a number.
+    return F.coalesce(F.when(c.rlike(_LINE_ENDS_IN_DIGIT), last_of(F.filter(ends, lambda x: x != ""))), F.lit(""))
 
 
 def tagged_answer(c: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 import sys
 import time
 
@@ -11,6 +12,7 @@ from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from rewardframe.functions import extract, maths
 from rewardframe.operators import bloom, cachestore, judge, permute, quantiles, select, split
 from rewardframe.sources import tables
 from rewardframe.streaming import judging as stream
@@ -362,3 +364,30 @@ def test_equal_text_needs_no_edit_distance(spark):
     got = df.select("p", "g", rules.ocr_match(F.col("p"), F.array("g")).alias("ocr"), rules.box_iou(F.col("p"), F.col("g")).alias("box")).collect()
     assert [r["ocr"] for r in got] == [1.0, 1.0, 0.75, 0.0, 0.0, 0.0, 0.0, 0.0, pytest.approx(8 / 9)]
     assert [r["box"] for r in got] == [0.0] * 8 + [0.5]
+
+
+def test_boxes_and_line_numbers_without_cutting_the_text(spark):
+    """Equal to plain Python on random texts; most texts are not cut into tokens or lines."""
+    rng = random.Random(4)
+    parts = ["\\boxed{", "{", "}", "a", "\\", " ", "\n", "12", "3.5", ".", "x7", "\u00a0", "\u2003"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(3000)]
+
+    def boxed(t: str) -> str:
+        for m in reversed(list(re.finditer(r"\\boxed\{", t))):
+            depth = 1
+            for i in range(m.end(), len(t)):
+                depth += {"{": 1, "}": -1}.get(t[i], 0)
+                if depth == 0:
+                    return t[m.end():i]
+        return ""
+
+    def number(t: str) -> str:
+        found = [re.search(r"(?<!\w)(\d+(?:\.\d+)?)(?!\w)\s*\.?\s*\Z", ln) for ln in t.strip().split("\n")]
+        return next((m[1] for m in reversed(found) if m), "")
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", extract.boxed_answer(F.col("t")).alias("b"), extract.last_line_number(F.col("t")).alias("n")).collect()
+    assert all(r["b"] == boxed(r["t"]) and r["n"] == number(r["t"]) for r in got)
+    # The conditions that spare the cutting are in the expressions.
+    plan = df.select(extract.tagged_answer(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert extract._LINE_ENDS_IN_DIGIT in plan and "substring_index" in plan
