@@ -43,6 +43,8 @@ LEAD_INS = (
     (r"(?:c|C)orrect\s+(?:a|A)nswer" + _REST, _END),
     (r"(?:t|T)he\s+(?:a|A)nswer" + _REST, _END),
 )
+_PARTS_OF_LEAD_INS = ("Answer", "inal", "orrect", "he")  # every match of the lead-in holds it
+_CANDIDATES = "array<struct<far:int,rank:int,body:string>>"
 PLAIN_NUMBER = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?"
 ANY_NUMBER = r"(?i)\A[+-]?(?:(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:e[+-]?\d+)?|inf|infinity|nan)\z"
 
@@ -94,7 +96,7 @@ def latex_normal(c: Column) -> Column:
 def math_answer(c: Column) -> Column:
     """Boxed or bare answer, right of the last equals sign, units removed, LaTeX normalised."""
     s = swap(F.lower(text(c)), "{}", "")
-    s = let(s, lambda x: F.coalesce(first_match(x, r"(?s)oxed\{(.*)\}"), x))
+    s = let(s, lambda x: F.coalesce(F.when(x.contains("oxed{"), first_match(x, r"(?s)oxed\{(.*)\}")), x))
     # A closing brace before any opening one ends the answer.
     s = F.regexp_replace(s, r"(?s)\A([^{}]*)\}.*\z", "$1")
     s = F.substring_index(F.substring_index(s, "=", -1), "\\approx", -1)
@@ -119,8 +121,7 @@ def _tidy(c: Column) -> Column:
 def _lead_in_candidates(t: Column, rank: int, lead: str, end: str) -> Column:
     """Candidates after one lead-in pattern, each with its distance to the end of the text."""
     pattern = f"(?d)({lead})(.*?){end}"
-    entry = "array<struct<far:int,rank:int,body:string>>"
-    start = F.struct(F.lit(1).alias("at"), F.array().cast(entry).alias("out"))
+    start = F.struct(F.lit(1).alias("at"), F.array().cast(_CANDIDATES).alias("out"))
 
     def step(acc: Column, m: Column) -> Column:
         at = F.position(m, t, acc["at"])
@@ -148,20 +149,27 @@ def _nearest_answer(t: Column) -> Column:
     def item(body: Column, rank: int) -> Column:
         return F.struct(F.lit(0).alias("far"), F.lit(rank).alias("rank"), body.alias("body"))
 
-    chosen = F.array_min(F.array(*[first_match(t, p) for p in OPTION_ENDS + OPTION_STARTS]))
+    # Options are named within the first or the last six characters.
+    head, end = F.substring(t, 1, 6), F.substring(t, -6, 6)
+    listed = F.array(*[first_match(end, p) for p in OPTION_ENDS], *[first_match(head, p) for p in OPTION_STARTS])
+    chosen = F.when(t.endswith(".") | t.endswith(")") | head.contains("\n"), F.array_min(listed))
     tail = rstrip(strip(F.substring_index(t, "is", -1)), ".")
     tail = strip(F.regexp_replace(tail, r"\Athe ", ""))
     tail = strip(F.regexp_replace(tail, r"\A:", ""))
     ending = let(tail, lambda x: F.when(x.rlike(ANY_NUMBER) | x.rlike(r"\A[A-Z]\z"), x))
 
     sure = F.array(item(_tidy(chosen), 0), item(_tidy(ending), 1))
-    led = F.concat(*[_lead_in_candidates(t, i + 2, lead, end) for i, (lead, end) in enumerate(LEAD_INS)])
+    led = F.concat(*[
+        F.when(t.contains(part), _lead_in_candidates(t, i + 2, lead, stop)).otherwise(F.array().cast(_CANDIDATES))
+        for i, ((lead, stop), part) in enumerate(zip(LEAD_INS, _PARTS_OF_LEAD_INS, strict=True))
+    ])
     pool = F.when(t.contains("nswer"), F.concat(sure, led)).otherwise(sure)
     best = F.array_min(F.filter(pool, lambda x: x["body"] != ""))["body"]
 
     def letter_or_all(answer: Column) -> Column:
         named = F.concat(*[all_matches(answer, p, 1) for p in NAMED_OPTION])
-        return F.coalesce(F.array_min(named), answer)
+        may = answer.contains("(") | answer.contains("{") | answer.contains(". ") | answer.contains(") ")
+        return F.when(may, F.coalesce(F.array_min(named), answer)).otherwise(answer)
 
     # Null when no candidate was found, and null through every step below.
     pick = let(best, letter_or_all)
@@ -190,6 +198,15 @@ def _ratio_or_number(s: Column) -> Column:
     )
 
 
+def _bracketed(c: Column) -> Column:
+    return (c.startswith("(") & c.endswith(")")) | (c.startswith("[") & c.endswith("]"))
+
+
+def _may_be_number(c: Column) -> Column:
+    """Whether the text begins as a number, a fraction or an amount does: with a character up to the digits, or a backslash."""
+    return (c < ":") | c.startswith("\\")
+
+
 def rounded_tuple(c: Column) -> Column:
     """Tuple or list with every element rounded to two decimals; other texts unchanged."""
 
@@ -205,23 +222,25 @@ def rounded_tuple(c: Column) -> Column:
         ).otherwise(c)
 
     items = F.split(F.substring(c, F.lit(2), F.length(c) - 2), ",")
-    shaped = (c.startswith("(") & c.endswith(")")) | (c.startswith("[") & c.endswith("]"))
-    return F.when(shaped, let(F.transform(items, value), whole)).otherwise(c)
+    return F.when(_bracketed(c), let(F.transform(items, value), whole)).otherwise(c)
 
 
 def math_method(pred: Column, gold: Column) -> Column:
-    """Name of the rule by which two answers agree: text, tuple, numeric; else none."""
+    """Name of the rule by which two answers agree: text, tuple, numeric; else none.
 
+    Texts that are not equal agree as tuples only where both have brackets, as numbers only where both begin as numbers.
+    """
 
     def agree(pair: Column, use) -> Column:
         return let(F.transform(pair, use), lambda v: F.get(v, F.lit(0)) == F.get(v, F.lit(1)))
 
     def method(pair: Column) -> Column:
+        a, b = F.get(pair, F.lit(0)), F.get(pair, F.lit(1))
         return (
-            F.when(F.exists(pair, lambda x: swap(x, " ", "") == ""), F.lit("none"))
-            .when(agree(pair, strip), F.lit("text"))
-            .when(agree(pair, rounded_tuple), F.lit("tuple"))
-            .when(agree(pair, lambda x: F.round(numeric_value(x), 2)), F.lit("numeric"))
+            F.when((F.trim(a) == "") | (F.trim(b) == ""), F.lit("none"))
+            .when((a == b) | (strip(a) == strip(b)), F.lit("text"))
+            .when(_bracketed(a) & _bracketed(b) & agree(pair, rounded_tuple), F.lit("tuple"))
+            .when(_may_be_number(a) & _may_be_number(b) & agree(pair, lambda x: F.round(numeric_value(x), 2)), F.lit("numeric"))
             .otherwise(F.lit("none"))
         )
 

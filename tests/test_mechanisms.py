@@ -391,3 +391,27 @@ def test_boxes_and_line_numbers_without_cutting_the_text(spark):
     # The conditions that spare the cutting are in the expressions.
     plan = df.select(extract.tagged_answer(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert extract._LINE_ENDS_IN_DIGIT in plan and "substring_index" in plan
+
+
+def test_answers_that_cannot_agree_are_not_computed(spark):
+    """Methods as by the plain definition; numbers and tuples are read only where both texts may be such."""
+    texts = ["1", "1.0", " 1", "$1", "-1", "1/2", ".5", "\\frac{1}{2}", "(1,2)", "(1.0, 2)", "[1,2]", "( 1,2)", "(1,2) ", "a", "A", " a", "", "  ", "\t", "x 1", "\xa01", ":1"]
+    df = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    a, b = F.lower("a"), F.lower("b")
+    plain = (
+        F.when((F.replace(a, F.lit(" "), F.lit("")) == "") | (F.replace(b, F.lit(" "), F.lit("")) == ""), "none")
+        .when(maths.strip(a) == maths.strip(b), "text").when(maths.rounded_tuple(a) == maths.rounded_tuple(b), "tuple")
+        .when(F.round(maths.numeric_value(a), 2) == F.round(maths.numeric_value(b), 2), "numeric").otherwise("none")
+    )
+    method = maths.math_method(F.col("a"), F.col("b"))
+    got = df.select("a", "b", method.alias("m"), plain.alias("p")).collect()
+    assert all(r["m"] == r["p"] for r in got) and {r["m"] for r in got} == {"none", "text", "tuple", "numeric"}
+    assert "< :" in df.select(method)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_options_are_looked_for_at_the_ends(spark):
+    texts = ["it is (B).", "x" * 50 + " (C)", "so **D**.", "(a) a\nrest " + "y" * 40, "E\nrest", "(f)\nrest", "(a) b\nrest", " (G) not at the end", "none"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = df.select("k", maths.lenient_answer(F.col("t")).alias("v"))
+    assert [r["v"] for r in got.orderBy("k").collect()] == ["b", "c", "d", "a", "e", "f", "", "", ""]
+    assert "-6, 6)" in got._jdf.queryExecution().optimizedPlan().toString()
