@@ -6,11 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import (
-    WORD, WS, all_matches, first_match, first_of, last_of, let, lines, strip, swap, text, words,
+    WORD, WS, all_matches, find, first_match, first_of, last_of, let, lines, strip, swap, text, words,
 )
 
 # Patterns and phrases the extractors look for.
 ANSWER_TAG = r"(?s)<answer>(.*?)</answer>"
+ANSWER_OPEN, ANSWER_CLOSE = "<answer>", "</answer>"
+_TO_THE_END = 2**31 - 1
 THINK_TAG = r"(?s)<think>(.*?)</think>"
 BOXED_OPEN = "\\boxed{"
 _BOX_TOKEN = r"\\boxed\{|[{}]|[^{}\\]+|\\"
@@ -41,8 +43,16 @@ def answer_bodies(c: Column) -> Column:
 
 
 def last_answer(c: Column) -> Column:
-    """The last ``<answer>`` body; null when the completion has none."""
-    return last_of(answer_bodies(c))
+    """The last ``<answer>`` body; null when the completion has none.
+
+    It ends at the last closing tag where an opening one lies between that and the closing tag before; only otherwise
+    are all bodies looked for.
+    """
+    before = F.substring_index(F.substring_index(c, ANSWER_CLOSE, -2), ANSWER_CLOSE, 1)
+    paired = before.contains(ANSWER_OPEN) & c.contains(ANSWER_CLOSE)
+    start = F.when(paired, find(before, ANSWER_OPEN) + len(ANSWER_OPEN))
+    body = F.substring(before, start, F.lit(_TO_THE_END))  # null without a start
+    return F.coalesce(body, F.when(c.contains(ANSWER_CLOSE), last_of(answer_bodies(c))))
 
 
 def _last_closed(tokens: Column) -> Column:

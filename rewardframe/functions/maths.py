@@ -105,12 +105,10 @@ def math_answer(c: Column) -> Column:
 
 def strict_answer(c: Column) -> Column:
     """Last answer body with an "(A)" wrapping removed; empty when there is no tag."""
-
-    def unwrapped(body: Column) -> Column:
-        inner = strip(F.substring(body, F.lit(2), F.length(body) - 2))
-        return F.when(body.rlike(r"\A" + WS + r"*\([a-zA-Z]\)"), inner).otherwise(body)
-
-    return let(F.coalesce(last_answer(strip(text(c))), F.lit("")), unwrapped)
+    body = F.coalesce(last_answer(text(c)), F.lit(""))
+    inner = strip(F.substring(body, F.lit(2), F.length(body) - 2))
+    wrapped = body.contains("(") & body.rlike(r"\A" + WS + r"*\([a-zA-Z]\)")
+    return F.when(wrapped, inner).otherwise(body)
 
 
 def _tidy(c: Column) -> Column:
