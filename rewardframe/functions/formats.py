@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .extract import BOXED_OPEN, THINK_TAG, answer_bodies, boxed_answer, tagged_answer
-from .text import WS, all_matches, count_of, find, first_match, flag, strip, text
+from .text import WS, all_matches, count_of, find, first_match, flag, strip, swap, text
 
 # Tags counted by the tag reward, the box in a think block, and the strict pairs.
 COUNTED_TAGS = ("<think>", "</think>", "<answer>", "</answer>")
@@ -17,9 +17,7 @@ MATH_SIGN = r"[=+\-*/()\[\]\\]"
 REASONING_BODY = r"(?is)<reasoning>(.*?)</reasoning>"
 ANSWER_BODY = r"(?is)<answer>(.*?)</answer>"
 OPEN_REASONING = r"(?i)<reasoning\b[^>]*>"
-CLOSE_REASONING = r"(?i)</reasoning>"
 OPEN_ANSWER = r"(?i)<answer\b[^>]*>"
-CLOSE_ANSWER = r"(?i)</answer>"
 ANY_TAG = r"(?i)</?" + WS + r"*(?:reasoning|answer)\b"
 
 
@@ -106,23 +104,46 @@ def anchored_format(c: Column) -> Column:
 
 
 def strict_format(c: Column) -> Column:
-    """Struct with the strict reasoning/answer reward and its diagnostics."""
+    """Struct with the strict reasoning/answer reward and its diagnostics.
+
+    Tags are looked for in the lower-cased text: no character outside ASCII becomes part of these tags there.  Patterns
+    run only over texts with tags in other shapes than the plain ones.
+    """
     c = text(c)
-    n = lambda pattern: F.regexp_count(c, F.lit(pattern)).cast("int")
-    open_r, close_r = n(OPEN_REASONING), n(CLOSE_REASONING)
-    open_a, close_a = n(OPEN_ANSWER), n(CLOSE_ANSWER)
-    reasoning, answer = first_match(c, REASONING_BODY), first_match(c, ANSWER_BODY)
-    has_r, has_a = reasoning.isNotNull(), answer.isNotNull()
+    low = F.lower(c)
+
+    def opened(tag: str, pattern: str) -> Column:
+        odd = swap(low, f"<{tag}>", "").contains(f"<{tag}")
+        n = F.when(odd, F.regexp_count(c, F.lit(pattern)).cast("int")).otherwise(count_of(low, f"<{tag}>"))
+        return F.when(low.contains(f"<{tag}"), n).otherwise(0)
+
+    def closed(tag: str) -> Column:
+        return F.when(low.contains(f"</{tag}>"), count_of(low, f"</{tag}>")).otherwise(0)
+
+    def place(tag: str) -> tuple[Column, Column]:
+        """Where the first pair's body begins and ends; the end is 0 without a pair."""
+        start = F.when(low.contains(f"</{tag}>"), find(low, f"<{tag}>")).otherwise(0)
+        return start + len(tag) + 2, F.when(start > 0, find(low, f"</{tag}>", start + len(tag) + 2)).otherwise(0)
+
+    def body(tag: str) -> Column:
+        start, end = place(tag)
+        return F.substring(low, start, end - start)
+
+    def filled(inner: Column) -> Column:
+        return ((inner >= "!") & (inner < "\x7f")) | (strip(inner) != "")  # a visible first character is enough
+
+    def free(found: Column, inner: Column, pattern: str) -> Column:
+        """No tags inside; every tag begins with a bracket."""
+        tags = F.coalesce(first_match(c, pattern).rlike(ANY_TAG), F.lit(False))
+        return F.when(found & inner.contains("<"), ~tags).otherwise(True)
+
+    open_r, close_r = opened("reasoning", OPEN_REASONING), closed("reasoning")
+    open_a, close_a = opened("answer", OPEN_ANSWER), closed("answer")
+    has_r, has_a = place("reasoning")[1] > 0, place("answer")[1] > 0
     single = (open_r == 1) & (close_r == 1) & (open_a == 1) & (close_a == 1) & has_r & has_a
-    order = has_r & has_a & (
-        F.regexp_instr(c, F.lit(REASONING_BODY)) < F.regexp_instr(c, F.lit(ANSWER_BODY))
-    )
-    r_full = F.coalesce(strip(reasoning) != "", F.lit(False))
-    a_full = F.coalesce(strip(answer) != "", F.lit(False))
-    clean = ~(
-        F.coalesce(reasoning.rlike(ANY_TAG), F.lit(False))
-        | F.coalesce(answer.rlike(ANY_TAG), F.lit(False))
-    )
+    order = has_r & has_a & (place("reasoning")[0] - len("reasoning") < place("answer")[0] - len("answer"))
+    r_full, a_full = has_r & filled(body("reasoning")), has_a & filled(body("answer"))
+    clean = free(has_r, body("reasoning"), REASONING_BODY) & free(has_a, body("answer"), ANSWER_BODY)
     return F.struct(
         flag(single & order & r_full & a_full & clean).alias("reward"),
         has_r.alias("has_reasoning"), has_a.alias("has_answer"),

@@ -95,7 +95,7 @@ def has_any(c: Column, needles: Iterable[str]) -> Column:
 
 def count_of(c: Column, needle: str) -> Column:
     """Non-overlapping occurrences of a literal."""
-    return ((F.length(c) - F.length(swap(c, needle, ""))) / len(needle)).cast("int")
+    return ((F.octet_length(c) - F.octet_length(swap(c, needle, ""))) / len(needle.encode())).cast("int")
 
 
 def find(c: Column, needle: Column | str, start: Column | int = 1) -> Column:

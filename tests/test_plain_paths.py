@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rewardframe.functions import extract, maths
+from rewardframe.functions import extract, formats, maths
 from rewardframe.operators import codetests, rewards, rollout
 
 
@@ -27,3 +27,23 @@ def test_strict_answer_binds_nothing(spark, one):
     assert "lambda" not in _plan(_texts(spark).select(maths.strict_answer(F.col("completion"))))
     assert one(lambda: maths.strict_answer(F.col("c")), c=" <answer> (A)</answer> ") == "(A"
     assert one(lambda: maths.strict_answer(F.col("c")), c="<answer>f(A)</answer>") == "f(A)"
+
+
+@pytest.mark.parametrize("text, reward, opened, clean", [
+    ("<Reasoning>a</REASONING><answer>b</answer>", 1.0, 1, True),
+    ("<reasoning x='1'><reasoning>a</reasoning><answer>b</answer>", 0.0, 2, True),
+    ("<reasonings><reasoning>a</reasoning><answer>b</answer>", 1.0, 1, True),
+    ("<reasoning>a < b</reasoning><answer>b</answer>", 1.0, 1, True),
+    ("<reasoning>a </ answer x</reasoning><answer>b</answer>", 0.0, 1, False),
+    ("<reasoning>　</reasoning><answer>b</answer>", 0.0, 1, True),
+    ("<answer>b</answer><reasoning>a</reasoning>", 0.0, 1, True),
+    ("<reasonİng>a</reasonİng><answer>b</answer>", 0.0, 0, True),
+])
+def test_strict_format_of_odd_tags(one, text, reward, opened, clean):
+    got = one(lambda: formats.strict_format(F.col("c")), c=text)
+    assert (got["reward"], got["open_reasoning"], got["nested_ok"]) == (reward, opened, clean)
+
+
+def test_strict_format_counts_plain_tags_without_patterns(spark):
+    plan = _plan(_texts(spark).select(formats.strict_format(F.col("completion"))["close_answer"].alias("n")))
+    assert "regexp" not in plan
