@@ -62,9 +62,11 @@ def format_score(c: Column, tagged: Column | None = None) -> Column:
 def boxed_format(c: Column) -> Column:
     """One think pair followed by boxed content, answer tags at most a fifth of the text."""
     c = text(c)
-    tag_chars = F.aggregate(answer_bodies(c), F.lit(0), lambda n, b: n + F.length(b) + 9)
+    bodies = answer_bodies(c)
+    tag_chars = F.when(c.contains("</answer>"), F.length(F.array_join(bodies, "")) + 9 * F.size(bodies)).otherwise(0)
     ok = (
-        _in_order(c, "<think>", "</think>", BOXED_OPEN, "}")
+        c.contains(BOXED_OPEN)
+        & _in_order(c, "<think>", "</think>", BOXED_OPEN, "}")
         & (count_of(c, "<think>") == 1)
         & (count_of(c, "</think>") == 1)
         & (F.try_divide(tag_chars, F.length(c)) <= 0.2)
@@ -79,10 +81,14 @@ def think_has_box(c: Column) -> Column:
 
 def xml_format(c: Column) -> Column:
     """Only a think block and an answer block with blanks around them, or :func:`boxed_format`."""
-    s = strip(text(c))
-    inner = F.substring(s, F.lit(8), F.length(s) - 16)
-    strict = _ends(s, "<think>", "</answer>") & inner.rlike("</think>" + WS + "*<answer>")
-    return F.greatest(flag(strict), boxed_format(c))
+    s = text(c)
+    # Only blanks before the first think tag and after the last answer tag; the pattern can't reach into either.
+    alone = (strip(F.substring_index(s, "<think>", 1)) == "") & (strip(F.substring_index(s, "</answer>", -1)) == "")
+    strict = (
+        s.contains("<think>") & s.contains("</answer>") & s.contains("</think>") & alone
+        & (s.contains("</think><answer>") | s.rlike("</think>" + WS + "*<answer>"))
+    )
+    return F.greatest(flag(strict), boxed_format(s))
 
 
 def tag_count_score(c: Column) -> Column:

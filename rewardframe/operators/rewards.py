@@ -96,7 +96,7 @@ class CompositeWeights:
 
 def type_based_answer(pred: Column, gold: Column, answer_type: Column) -> Column:
     """Number matching where the type says number, string matching elsewhere."""
-    numeric = F.lower(strip(text(answer_type))).contains("number")
+    numeric = F.lower(text(answer_type)).contains("number")
     gold = text(gold)
     return F.when(numeric, rules.number_match(pred, gold)).otherwise(rules.string_match(pred, gold))
 

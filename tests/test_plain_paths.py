@@ -47,3 +47,16 @@ def test_strict_format_of_odd_tags(one, text, reward, opened, clean):
 def test_strict_format_counts_plain_tags_without_patterns(spark):
     plan = _plan(_texts(spark).select(formats.strict_format(F.col("completion"))["close_answer"].alias("n")))
     assert "regexp" not in plan
+
+
+@pytest.mark.parametrize("text, score", [
+    (" 　<think>a</think>\n<answer>b</answer>\x85", 1.0), ("<think>a</think>x<answer>b</answer>", 0.0),
+    ("x<think>a</think><answer>b</answer>", 0.0), ("<think>a</think><answer>b</answer>x", 0.0), ("<think></answer>", 0.0),
+    ("<think>" + "a" * 99 + "</think>\\boxed{1}<answer>b</answer> ", 1.0), ("<think>a</think>\\boxed{1}<answer>bcdef</answer> ", 0.0),
+])
+def test_xml_format(one, text, score):
+    assert one(lambda: formats.xml_format(F.col("c")), c=text) == score
+
+
+def test_composite_reward_binds_nothing(spark):
+    assert "lambda" not in _plan(rewards.composite_rewards(_texts(spark)).select("reward"))
