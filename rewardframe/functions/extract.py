@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import (
-    WORD, WS, all_matches, find, first_match, first_of, last_of, let, lines, strip, swap, text, words,
+    WORD, WS, all_matches, find, first_match, first_of, has_any, last_of, let, lines, strip, swap, text, words,
 )
 
 # Patterns and phrases the extractors look for.
@@ -42,6 +42,18 @@ def answer_bodies(c: Column) -> Column:
     return all_matches(c, ANSWER_TAG, 1)
 
 
+def before_last_close(c: Column) -> Column:
+    """What lies between the last two closing answer tags (or the start and the only one); null without a closing tag."""
+    return F.when(c.contains(ANSWER_CLOSE), F.substring_index(F.substring_index(c, ANSWER_CLOSE, -2), ANSWER_CLOSE, 1))
+
+
+def last_answer_in(before: Column, c: Column) -> Column:
+    """As :func:`last_answer`, given a column of :func:`before_last_close`."""
+    start = find(before, ANSWER_OPEN) + len(ANSWER_OPEN)
+    paired = F.when(before.contains(ANSWER_OPEN), F.substring(before, start, F.lit(_TO_THE_END)))
+    return F.when(before.isNotNull(), F.coalesce(paired, last_of(answer_bodies(c))))
+
+
 def last_answer(c: Column) -> Column:
     """The last ``<answer>`` body; null when the completion has none.
 
@@ -137,7 +149,7 @@ def python_block(c: Column) -> Column:
     body = strip(c)
     closed = first_match(body, r"```python(?:\r?\n)?([\s\S]*?)```")
     opened = first_match(body, r"```python(?:\r?\n)?([\s\S]*)\z")
-    return strip(F.coalesce(closed, opened, body))
+    return F.when(c.contains("```python"), strip(F.coalesce(closed, opened, body))).otherwise(body)
 
 
 def forbidden_calls(code: Column) -> Column:
@@ -147,6 +159,11 @@ def forbidden_calls(code: Column) -> Column:
     return F.array_sort(F.filter(listed, lambda s: F.contains(low, s)))
 
 
+def calls_forbidden(code: Column) -> Column:
+    """Whether :func:`forbidden_calls` finds any."""
+    return let(F.lower(code), lambda low: has_any(low, FORBIDDEN_CALLS))
+
+
 def clean_generated(c: Column) -> Column:
     """Unix line ends, think tags dropped, runs of blank lines shortened, trimmed."""
     out = swap(text(c), "\r\n", "\n")

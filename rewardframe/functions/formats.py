@@ -76,7 +76,9 @@ def boxed_format(c: Column) -> Column:
 
 def think_has_box(c: Column) -> Column:
     """Some think block holds a bracketed list of four numbers."""
-    return flag(F.exists(all_matches(text(c), THINK_TAG, 1), lambda b: b.rlike(FOUR_NUMBERS)))
+    c = text(c)
+    may = c.contains("</think>") & c.contains("[")  # otherwise no block needs to be cut out
+    return flag(F.when(may, F.exists(all_matches(c, THINK_TAG, 1), lambda b: b.rlike(FOUR_NUMBERS))))
 
 
 def xml_format(c: Column) -> Column:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .extract import last_answer
 from .text import (
-    WHITESPACE, WS, all_matches, both, count_of, find, first_match, flag, let, lstrip, rstrip, strip, swap,
-    text,
+    WHITESPACE, WS, all_matches, both, count_of, find, first_match, flag, let, lstrip, rstrip, strip,
+    strip_read, swap, text,
 )
 
 # Literal replacements in the order they apply, and the lead-in patterns of answers.
@@ -105,7 +105,11 @@ def math_answer(c: Column) -> Column:
 
 def strict_answer(c: Column) -> Column:
     """Last answer body with an "(A)" wrapping removed; empty when there is no tag."""
-    body = F.coalesce(last_answer(text(c)), F.lit(""))
+    return unwrapped(F.coalesce(last_answer(text(c)), F.lit("")))
+
+
+def unwrapped(body: Column) -> Column:
+    """The answer body with an "(A)" wrapping removed."""
     inner = strip(F.substring(body, F.lit(2), F.length(body) - 2))
     wrapped = body.contains("(") & body.rlike(r"\A" + WS + r"*\([a-zA-Z]\)")
     return F.when(wrapped, inner).otherwise(body)
@@ -191,8 +195,8 @@ def _ratio_or_number(s: Column) -> Column:
     sign = F.when(F.regexp_extract(s, frac, 1) == "-", -1.0).otherwise(1.0)
     return (
         F.when(s.rlike(plain), s.try_cast("double"))
-        .when(s.rlike(ratio), F.try_divide(num(ratio, 1), num(ratio, 2)))
-        .when(s.rlike(frac), sign * F.try_divide(num(frac, 2), num(frac, 3)))
+        .when(s.contains("/") & s.rlike(ratio), F.try_divide(num(ratio, 1), num(ratio, 2)))
+        .when(s.contains("\\frac{") & s.rlike(frac), sign * F.try_divide(num(frac, 2), num(frac, 3)))
     )
 
 
@@ -229,20 +233,22 @@ def math_method(pred: Column, gold: Column) -> Column:
     Texts that are not equal agree as tuples only where both have brackets, as numbers only where both begin as numbers.
     """
 
-    def agree(pair: Column, use) -> Column:
-        return let(F.transform(pair, use), lambda v: F.get(v, F.lit(0)) == F.get(v, F.lit(1)))
-
-    def method(pair: Column) -> Column:
-        a, b = F.get(pair, F.lit(0)), F.get(pair, F.lit(1))
-        return (
-            F.when((F.trim(a) == "") | (F.trim(b) == ""), F.lit("none"))
-            .when((a == b) | (strip(a) == strip(b)), F.lit("text"))
-            .when(_bracketed(a) & _bracketed(b) & agree(pair, rounded_tuple), F.lit("tuple"))
-            .when(_may_be_number(a) & _may_be_number(b) & agree(pair, lambda x: F.round(numeric_value(x), 2)), F.lit("numeric"))
-            .otherwise(F.lit("none"))
-        )
+    return let(both(text(pred), text(gold), F.lower), lambda pair: method_of(F.get(pair, F.lit(0)), F.get(pair, F.lit(1))))
+
 
-    return let(both(text(pred), text(gold), F.lower), method)
+def method_of(a: Column, b: Column) -> Column:
+    """As :func:`math_method`, given the lower-cased texts as columns that are only read."""
+
+    def agree(use) -> Column:
+        return let(both(a, b, use), lambda v: F.get(v, F.lit(0)) == F.get(v, F.lit(1)))
+
+    return (
+        F.when((F.trim(a) == "") | (F.trim(b) == ""), F.lit("none"))
+        .when((a == b) | (strip_read(a) == strip_read(b)), F.lit("text"))
+        .when(_bracketed(a) & _bracketed(b) & agree(rounded_tuple), F.lit("tuple"))
+        .when(_may_be_number(a) & _may_be_number(b) & agree(lambda x: F.round(numeric_value(x), 2)), F.lit("numeric"))
+        .otherwise(F.lit("none"))
+    )
 
 
 def math_equal(pred: Column, gold: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import all_matches, both, collapse, first_match, flag, has_any, last_match, let, strip, strip_chars, text
+from .text import all_matches, both, collapse, flag, has_any, last_match, let, strip, strip_chars, text
 
 # Number and box patterns.
 NUMBER_RUN = r"[0-9.]+"
@@ -33,6 +33,13 @@ def _truth(c: Column) -> Column:
     return F.when(has_any(low, ("yes", "true")), True).when(has_any(low, ("no", "false")), False)
 
 
+def truth_match(pred: Column, made: Column, ref: Column) -> Column:
+    """As :func:`bool_match`, given columns of the lower-cased texts."""
+    yes, no = ("yes", "true"), ("no", "false")
+    same = F.when(has_any(made, yes), has_any(ref, yes)).when(has_any(made, no), ~has_any(ref, yes) & has_any(ref, no))
+    return flag((pred != "") & same)
+
+
 def bool_match(pred: Column, gold: Column) -> Column:
     """Equality of the truth values read from substrings; yes/true is tested before no/false."""
     return flag((pred != "") & (_truth(pred) == _truth(gold)))
@@ -67,10 +74,19 @@ def ocr_match(pred: Column, targets: Column) -> Column:
     return F.coalesce(F.when(pred != "", score), F.lit(0.0))
 
 
+def nearness(pred: Column, seen: Column, ref: Column, target: Column) -> Column:
+    """As :func:`ocr_match` of one target, given columns of the collapsed lower-cased answer and target."""
+    longest = F.greatest(F.length(F.upper(target)), F.length(F.upper(seen)))
+    steps = F.when(ref == seen, F.lit(0)).otherwise(F.levenshtein(ref, seen))
+    near = 1 - F.when(longest == 0, F.lit(0.0)).otherwise(steps / longest)
+    return F.coalesce(F.when(pred != "", let(near, lambda s: F.when(s >= 0.5, s))), F.lit(0.0))
+
+
 def first_box(c: Column) -> Column:
     """First bracketed number list as doubles; null when there is none."""
-    body = strip_chars(first_match(text(c), BOX, 0), "[]")
-    return F.transform(F.split(body, ","), lambda x: strip(x).try_cast("double"))
+    # A match is never empty, and the blanks it may hold beside its numbers are such as the cast passes over.
+    body = strip_chars(F.nullif(F.regexp_extract(text(c), BOX, 0), F.lit("")), "[]")
+    return F.transform(F.split(body, ","), lambda x: x.try_cast("double"))
 
 
 def box_iou(pred: Column, gold: Column) -> Column:

@@ -40,6 +40,15 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def apart(c: Column) -> Column:
+    """The column itself, in a projection of its own functions.
+
+    Spark puts the projections of a stage into one method, and the JVM doesn't compile methods beyond 8,000 bytes; a
+    projection with a lambda is cut into small ones.
+    """
+    return let(c, lambda x: x)
+
+
 def both(a: Column, b: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of two columns as a two-element array."""
     return F.transform(F.array(a, b), use)
@@ -50,6 +59,16 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
+def strip_read(c: Column) -> Column:
+    """As :func:`strip`, for a column that is only read: most texts begin and end with a visible ASCII character, and need no search
+    for blanks."""
+
+    def visible(x: Column) -> Column:
+        return (x >= "!") & (x < "\x7f")
+
+    return F.when(visible(c) & visible(F.substring(c, -1, 1)), c).otherwise(strip(c))
+
+
 def strip_chars(c: Column, chars: str) -> Column:
     return F.btrim(c, F.lit(chars))
 
@@ -77,6 +96,11 @@ def collapse(c: Column) -> Column:
     return F.btrim(F.regexp_replace(c, WS + "+", " "), F.lit(" "))
 
 
+def collapsed_lower(c: Column) -> Column:
+    """``collapse(lower(strip(c)))`` of a column that is only read: the pattern runs where there is more to find than single spaces."""
+    return F.when(c.rlike(r"  |[^ -~]"), collapse(F.lower(strip(c)))).otherwise(F.lower(F.trim(c)))
+
+
 def lines(c: Column) -> Column:
     return F.split(c, "\n")
 

@@ -10,20 +10,47 @@ from pyspark.sql import functions as F
 
 from ..functions import formats, markup, maths, rules
 from ..functions.choices import relaxed_match
-from ..functions.extract import last_answer, plain_answer, tagged_answer
-from ..functions.text import strip, text
+from ..functions.extract import before_last_close, last_answer, last_answer_in, plain_answer, tagged_answer
+from ..functions.text import apart, collapsed_lower, flag, strip, strip_read, text
+
+
+@dataclass(frozen=True)
+class Paired:
+    """A rule over two texts made from (last answer, completion, gold), which become columns before they are scored.
+
+    ``score`` takes (made, ref, last answer, gold) and may mention them as often as it likes.
+    """
+
+    texts: Callable[[Column, Column, Column], tuple[Column, Column]]
+    score: Callable[[Column, Column, Column, Column], Column]
+
 
 # A rule takes (last answer, completion, gold) and gives a double; register more under new names.
-Rule = Callable[[Column, Column, Column], Column]
+Rule = Callable[[Column, Column, Column], Column] | Paired
 
 RULES: dict[str, Rule] = {
     "NUMBER": lambda pred, c, gold: rules.number_match(pred, gold),
-    "MATH_EXPRESSIONS": lambda pred, c, gold: maths.math_match(c, gold),
-    "HTML_CODE": lambda pred, c, gold: markup.html_score(markup.html_code(c), gold),
-    "SVG_CODE": lambda pred, c, gold: markup.svg_score(markup.svg_code(c), gold),
-    "BOOLEAN": lambda pred, c, gold: rules.bool_match(pred, gold),
+    "MATH_EXPRESSIONS": Paired(
+        lambda pred, c, gold: (F.lower(maths.unwrapped(text(pred))), F.lower(text(gold))),
+        lambda made, ref, pred, gold: flag(maths.method_of(made, ref) != "none"),
+    ),
+    "HTML_CODE": Paired(
+        lambda pred, c, gold: (markup.html_code(c, pred), strip_read(gold)),
+        lambda made, ref, pred, gold: markup.html_score_of(made, ref),
+    ),
+    "SVG_CODE": Paired(
+        lambda pred, c, gold: (markup.svg_code(c, pred), strip_read(gold)),
+        lambda made, ref, pred, gold: markup.svg_score_of(made, ref),
+    ),
+    "BOOLEAN": Paired(
+        lambda pred, c, gold: (F.lower(pred), F.lower(gold)),
+        lambda made, ref, pred, gold: rules.truth_match(pred, made, ref),
+    ),
     "MULTIPLE_CHOICE": lambda pred, c, gold: rules.choice_match(pred, gold),
-    "OCRTEXT": lambda pred, c, gold: rules.ocr_match(pred, F.array(gold)),
+    "OCRTEXT": Paired(
+        lambda pred, c, gold: (collapsed_lower(pred), collapsed_lower(gold)),
+        lambda made, ref, pred, gold: rules.nearness(pred, made, ref, gold),
+    ),
     "BBOX": lambda pred, c, gold: rules.box_iou(pred, gold),
     "CRITIC": lambda pred, c, gold: rules.exact_match(pred, gold),
     "ANY": lambda pred, c, gold: rules.string_match(pred, gold),
@@ -56,21 +83,31 @@ def routed_rewards(
     rows fall back to string matching; without executed tests code scores zero.
     """
     pred, c, gold = F.col("_pred"), text("completion"), F.col("answer")
+    kind = F.col("answer_type")
+    made = ref = F.lit(None).cast("string")
     plain = rules.string_match(pred, gold)
     by_judge = F.coalesce(judge, plain) if judge is not None else plain
     score = plain
     for name, rule in reversed(RULES.items()):
-        score = F.when(F.col("answer_type") == name, rule(pred, c, gold)).otherwise(score)
+        if isinstance(rule, Paired):
+            own = rule.score(F.col("_made"), F.col("_ref"), pred, gold)
+            texts = rule.texts(pred, c, gold)
+            made, ref = F.when(kind == name, texts[0]).otherwise(made), F.when(kind == name, texts[1]).otherwise(ref)
+        else:
+            own = rule(pred, c, gold)
+        score = F.when(F.col("_kind") == name, own).otherwise(score)
     code_score = F.coalesce(code, F.lit(0.0)) if code is not None else F.lit(0.0)
     score = F.when(F.col("answer_type") == "GENERAL_CODE", code_score).otherwise(score)
     acc = F.when(uses_judge(F.col("answer_type"), mode), by_judge).otherwise(score)
     box = F.when(F.col("problem_type") == "SPATIAL_REASONING", formats.think_has_box(c)).otherwise(0.0)
     return (
-        df.withColumn("_pred", last_answer(c))
+        df.withColumn("_before", before_last_close(c))
+        .withColumn("_pred", last_answer_in(F.col("_before"), c))
+        .withColumns({"_made": made, "_ref": ref, "_kind": apart(kind)})
         .withColumn("acc_reward", acc)
         .withColumn("bbox_reward", box)
         .withColumn("reward", F.col("acc_reward") + 0.5 * F.col("bbox_reward"))
-        .drop("_pred")
+        .drop("_before", "_pred", "_made", "_ref", "_kind")
     )
 
 
