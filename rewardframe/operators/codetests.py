@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.extract import forbidden_calls, last_answer, python_block
+from ..functions.extract import calls_forbidden, forbidden_calls, last_answer, python_block
 from ..functions.text import strip
+from ..session import settled
 
 TESTS_SCHEMA = "struct<tests:array<struct<input:string,output:string>>>"
 
@@ -22,14 +23,17 @@ def code_rewards(df: DataFrame, outputs: DataFrame, key: str) -> DataFrame:
     """(key, code_reward): 1.0 when every test ran cleanly and printed the expected text.
 
     ``df`` holds key, completion and answer (the tests as JSON); ``outputs`` holds
-    (key, test, return_code, stdout) from wherever the code was executed.  No code runs here.
+    (key, test, return_code, stdout) from wherever the code was executed.  No code runs here.  The samples are
+    written out once without their texts: their tests and their rewards are read from there, and what Spark infers of the
+    tests (that there are some) doesn't parse the JSON again.
     """
-    samples = code_samples(df).select(
+    body = F.col("_body")
+    samples = settled(df.withColumn("_body", last_answer(F.col("completion"))).select(
         key,
-        (F.col("code").isNotNull() & (F.size("forbidden") == 0)).alias("runnable"),
-        F.col("code").isNotNull().alias("has_code"),
+        (body.isNotNull() & ~calls_forbidden(python_block(body))).alias("runnable"),
+        body.isNotNull().alias("has_code"),
         F.when(F.try_parse_json("answer").isNotNull(), F.from_json("answer", TESTS_SCHEMA)["tests"]).alias("tests"),
-    )
+    ))
     tests = samples.select(key, "runnable", F.posexplode("tests").alias("test", "t"))
     judged = (
         tests.join(outputs, [key, "test"], "left")
